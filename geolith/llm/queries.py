@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from geolith.llm.groups import group_sizes, linked_groups, match_pairs
+from geolith.llm.near_duplicates import near_duplicate_features
+from geolith.llm.packing import pack_items, packing_report
+from geolith.llm.repetition import host_rates, judge_repetition, with_host_verdicts
+from geolith.llm.tokens import token_counts, token_ids, token_statistics
 from geolith.plans.tables import table
 from geolith.storage import Scratch
 
@@ -17,5 +22,73 @@ def p3_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return group_sizes(p3_found(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_sizes)}
-ORACLES: dict[str, str] = {}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_features(table(spark, folder, "feature_geometries"), Scratch(spark, "p6"))
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return token_ids(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def p7_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return token_statistics(token_counts(table(spark, folder, "documents").select("lang", "text")))
+
+
+def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return pack_items(token_counts(documents.select("doc_id", "text")).select("doc_id", "n_tokens"), rows=documents.count())
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_report(p8_pack(spark, folder))
+
+
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Measured once and written narrow, as hosts and documents are both derived from it."""
+    return Scratch(spark, "p9").save(judge_repetition(table(spark, folder, "documents")))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return with_host_verdicts(_judged(spark, folder)).where("fails").select("doc_id")
+
+
+def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return with_host_verdicts(_judged(spark, folder)).select("doc_id", "host", "words", "repeated", F.round("share", 6).alias("share"), "fails", F.round("shrunk_rate", 6).alias("shrunk_rate"), "bad_host")
+
+
+def p9_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    return host_rates(_judged(spark, folder)).select("host", "documents", "failures", F.round("shrunk_rate", 6).alias("shrunk_rate"), "bad_host")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_sizes, p6_found, p7_ids, p7_statistics, p8_pack, p8_report, p9_found, p9_documents, p9_hosts)}
+
+_LINKED = """
+WITH RECURSIVE e AS MATERIALIZED (
+  SELECT left_index AS u, right_index AS v FROM duplicate_pairs
+  WHERE left_index IS NOT NULL AND right_index IS NOT NULL AND similarity_percent >= 85 AND NOT isnan(similarity_percent)
+  UNION
+  SELECT right_index, left_index FROM duplicate_pairs
+  WHERE left_index IS NOT NULL AND right_index IS NOT NULL AND similarity_percent >= 85 AND NOT isnan(similarity_percent)
+), cc(feature_index, group_index) USING KEY (feature_index) AS (
+  SELECT u, u FROM e GROUP BY u
+  UNION
+  (SELECT c.feature_index, min(n.group_index) FROM recurring.cc AS c, e, cc AS n
+   WHERE e.u = c.feature_index AND e.v = n.feature_index AND n.group_index < c.group_index GROUP BY c.feature_index)
+)"""
+_REPEATED = r"""
+WITH w AS (
+  SELECT doc_id, host, list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'), lambda x: lower(x)) AS ws FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, gram) AS first FROM g) WHERE i > first
+), covered AS (
+  SELECT doc_id, count(DISTINCT pos) AS repeated FROM (SELECT doc_id, unnest(range(i, i + 8)) AS pos FROM again) GROUP BY doc_id
+), judged AS (
+  SELECT w.doc_id, host, len(ws) AS words, coalesce(repeated, 0) AS repeated FROM w LEFT JOIN covered USING (doc_id)
+)"""
+ORACLES: dict[str, str] = {
+    "p3_found": _LINKED + " SELECT group_index, feature_index FROM cc",
+    "p3_sizes": _LINKED + " SELECT features, count(*) AS groups FROM (SELECT group_index, count(*) AS features FROM cc GROUP BY 1) GROUP BY 1",
+    "p9_found": _REPEATED + " SELECT doc_id FROM judged WHERE words > 0 AND repeated >= 0.30 * words",
+}
