@@ -5,5 +5,5 @@ from __future__ import annotations
 from geolith.plans import problems
 
 QUERIES = {**problems.QUERIES}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {**problems.ORACLES}
 FLAGSHIP = problems.p1_found

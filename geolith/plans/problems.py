@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from geolith.operators.differences import compare_copies, difference_summary
+from geolith.operators.drift import field_changes, field_table, field_types, file_versions, fingerprints, migration_steps, unified_cells, unified_fields
+from geolith.operators.nearby import neighbourhood, points_near_points
 from geolith.operators.profile import ColumnRule, apply_deltas, attribute_issues, column_rules, counted_value, delivered_once, profile_metrics, value_deltas
 from geolith.plans.tables import table
 from geolith.storage import Scratch
@@ -30,4 +32,89 @@ def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
     return profile_metrics(apply_deltas(None, value_deltas(once, {r.column_name: counted_value(once[r.column_name], r) for r in rules})))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_profile)}
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbourhood(table(spark, folder, "survey_points"), table(spark, folder, "spatial_layers"))
+
+
+def p4_near(spark: SparkSession, folder: str) -> DataFrame:
+    return points_near_points(table(spark, folder, "survey_points"), 50.0)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return field_changes(table(spark, folder, "schema_files"), table(spark, folder, "file_records"), Scratch(spark, "p5"))
+
+
+def _drift(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    scratch = Scratch(spark, "p5")
+    cells = scratch.save(field_table(table(spark, folder, "file_records")))
+    return file_versions(table(spark, folder, "schema_files")), cells, scratch.save(field_types(cells))
+
+
+def p5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    versions, _, types = _drift(spark, folder)
+    return versions.join(fingerprints(types), "file_id").select("series_name", "file_seq", "file_id", "fields", "fingerprint")
+
+
+def p5_unified(spark: SparkSession, folder: str) -> DataFrame:
+    versions, cells, types = _drift(spark, folder)
+    return unified_cells(cells, unified_fields(versions, types, migration_steps(versions, cells, types)))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_profile, p4_found, p4_near, p5_found, p5_fingerprints, p5_unified)}
+
+_ONCE = """
+WITH once AS (
+  SELECT DISTINCT load_id, row_position, id, name, state, score, price, active, created_at FROM attribute_rows
+), cells AS (
+  SELECT load_id, row_position, unnest([{'c': 'id', 'v': id}, {'c': 'name', 'v': name}, {'c': 'state', 'v': state}, {'c': 'score', 'v': score},
+    {'c': 'price', 'v': price}, {'c': 'active', 'v': active}, {'c': 'created_at', 'v': created_at}]) AS cell FROM once
+)"""
+_FAULTS = r"""
+, ruled AS (
+  SELECT load_id, row_position, cell.v AS v, r.*,
+    CASE data_type WHEN 'integer' THEN regexp_full_match(cell.v, '[+-]?[0-9]+') WHEN 'float' THEN regexp_full_match(cell.v, '[+-]?[0-9]+(\.[0-9]+)?')
+      WHEN 'boolean' THEN cell.v IN ('true', 'false')
+      WHEN 'datetime' THEN regexp_full_match(cell.v, '[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z') AND try_cast(substr(cell.v, 1, 10) AS date) IS NOT NULL
+      ELSE true END AS good
+  FROM cells JOIN attribute_columns r ON r.column_name = cell.c
+), sized AS (
+  SELECT *, CASE WHEN good AND data_type IN ('integer', 'float') THEN try_cast(v AS double) END AS num FROM ruled
+), counted AS (
+  SELECT load_id, column_name, CASE WHEN v IS NULL THEN 'null' WHEN bin_width IS NULL THEN 'v' || v WHEN good THEN 'b' || floor(num / bin_width)::varchar ELSE 'x' END AS k, count(*) AS n
+  FROM sized WHERE compare_loads GROUP BY ALL
+), shares AS (
+  SELECT load_id, column_name, k, n / sum(n) OVER (PARTITION BY load_id, column_name) AS s FROM counted
+), base AS (
+  SELECT DISTINCT load_id, baseline_load_id FROM attribute_loads WHERE baseline_load_id IS NOT NULL
+), moved AS (
+  SELECT b.load_id, baseline_load_id, column_name, k, s FROM base b JOIN shares USING (load_id)
+  UNION ALL SELECT b.load_id, baseline_load_id, column_name, k, -s FROM base b JOIN shares s ON s.load_id = b.baseline_load_id
+), changed AS (
+  SELECT load_id, column_name FROM (SELECT load_id, baseline_load_id, column_name, k, abs(sum(s)) AS d FROM moved GROUP BY ALL)
+  WHERE (load_id IN (SELECT load_id FROM once)) AND baseline_load_id IN (SELECT load_id FROM once)
+  GROUP BY load_id, baseline_load_id, column_name HAVING sum(d) / 2 >= 0.25 - 1e-12
+), found AS (
+  SELECT load_id, column_name, 'null_value' AS issue_type, row_position FROM sized WHERE NOT nullable AND v IS NULL
+  UNION ALL SELECT load_id, column_name, 'invalid_data_type', row_position FROM sized WHERE v IS NOT NULL AND NOT good
+  UNION ALL SELECT load_id, column_name, 'pattern_violation', row_position FROM sized WHERE v IS NOT NULL AND value_pattern IS NOT NULL AND NOT regexp_matches(v, value_pattern)
+  UNION ALL SELECT load_id, column_name, 'out_of_range', row_position FROM sized WHERE v IS NOT NULL AND good AND CASE WHEN data_type IN ('integer', 'float')
+    THEN num < min_value::double OR num > max_value::double ELSE v < min_value OR v > max_value END
+  UNION ALL SELECT load_id, column_name, 'duplicate_id', row_position FROM (
+    SELECT *, count(*) OVER (PARTITION BY load_id, column_name, CAST(v AS hugeint)) AS same FROM sized WHERE is_id AND regexp_full_match(v, '[+-]?[0-9]{1,37}')) WHERE same > 1
+  UNION ALL SELECT load_id, column_name, 'distribution_change', -1 FROM changed
+)"""
+_PROFILE = """
+, counts AS (SELECT load_id, cell.c AS column_name, cell.v AS v, count(*) AS n FROM cells GROUP BY ALL), sums AS (
+  SELECT load_id, column_name, sum(n)::bigint AS "rows", coalesce(sum(n) FILTER (v IS NULL), 0)::bigint AS nulls, count(*) FILTER (v IS NOT NULL) AS distinct_values,
+    count(*) FILTER (v IS NOT NULL AND n > 1) AS repeated_values, max(n) AS most_frequent, sum(n * log2(n)) AS nlogn, min(v) AS least_text, max(v) AS greatest_text
+  FROM counts GROUP BY ALL)
+SELECT load_id, column_name, "rows", nulls, round(nulls / "rows", 6) AS null_rate, distinct_values, repeated_values, most_frequent,
+  round(abs(log2("rows") - nlogn / "rows"), 6) AS entropy_bits, least_text, greatest_text FROM sums"""
+ORACLES = {
+    "p2_found": _ONCE + _FAULTS + " SELECT load_id, column_name, issue_type, row_position FROM found",
+    "p2_profile": _ONCE + _PROFILE,
+    "p4_near": """
+WITH p AS (SELECT DISTINCT point_id AS id, longitude AS lon, latitude AS lat FROM survey_points WHERE longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90)
+SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM p a JOIN p b ON b.lat >= a.lat - 0.001 AND b.lat <= a.lat + 0.001 AND a.id < b.id
+WHERE 2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(a.lat - b.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(a.lon - b.lon) / 2), 2)))) <= 50""",
+}
