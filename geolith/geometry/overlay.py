@@ -68,7 +68,7 @@ def _bounding(pieces, wanted: Callable[[frozenset[int]], bool]):
             x = Fraction(p[0] + q[0]) / 2
             y = Fraction(p[1] + q[1]) / 2
             for a, b, others in plain:
-                if a[0] < x < b[0] and (a, b) != (p, q) and a[1] + (b[1] - a[1]) * (x - a[0]) / (b[0] - a[0]) < y:
+                if a[0] <= x < b[0] and (a, b) != (p, q) and a[1] + (b[1] - a[1]) * (x - a[0]) / (b[0] - a[0]) < y:
                     for o, n in others.items():
                         inside[o] += n
             right = {o for o, n in inside.items() if n % 2}  # below; p to q runs to the right, so below is to its right
@@ -77,7 +77,7 @@ def _bounding(pieces, wanted: Callable[[frozenset[int]], bool]):
             y = Fraction(p[1] + q[1]) / 2
             for (a, b), others in pieces.items():
                 lo, hi = sorted((a[1], b[1]))
-                if lo < y < hi and (a, b) != (p, q) and a[0] + (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) < p[0]:
+                if lo <= y < hi and (a, b) != (p, q) and a[0] + (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) < p[0]:
                     for o, n in others.items():
                         inside[o] += n
             left = {o for o, n in inside.items() if n % 2}  # west; p to q runs up, so west is to its left

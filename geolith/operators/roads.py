@@ -116,8 +116,11 @@ def road_findings(features: DataFrame, config: RoadConfig = RoadConfig(), geomet
     found = found.unionByName(nearest.select(F.lit("broken_connection").alias("issue_type"), F.array("of", "m.r").alias("feature_indices"), *point, F.col("m.d").alias("metric")))
     loops = lines.where(F.col("ring") & (F.col("length") <= config.max_loop_length))
     found = found.unionByName(loops.select(F.lit("loop_error").alias("issue_type"), F.array("feature_index").alias("feature_indices"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("length").alias("metric")))
-    alike = envelope_pairs(lines, tolerance=tolerance, keep=("length", "x0", "y0", "x1", "y1"))
-    alike = alike.where(F.greatest(*[F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")) for c in ("x0", "y0", "x1", "y1")]) <= tolerance).select("l", "r")  # else further apart than that
+    # Lines as near as that have their envelopes' corners as near: corners are joined, not envelopes that merely meet.
+    corners = lines.select("feature_index", F.col("x0").alias("u0"), F.col("y0").alias("v0"), F.col("x1").alias("u1"), F.col("y1").alias("v1"))
+    corners = corners.withColumns({"x0": F.col("u0"), "y0": F.col("v0"), "x1": F.col("u0"), "y1": F.col("v0")})
+    alike = envelope_pairs(corners, tolerance=tolerance, keep=("u1", "v1"))
+    alike = alike.where(F.greatest(*[F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")) for c in ("u1", "v1")]) <= tolerance).select("l", "r")
     found = found.unionByName(with_shapes(alike, lines).mapInPandas(_same(config), FINDING))
     return found.dropDuplicates(["issue_type", "feature_indices", "x", "y"])
 

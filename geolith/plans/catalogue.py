@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from geolith.plans import problems
+from geolith.plans import audits, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLES: dict[str, str] = {**problems.ORACLES}
-FLAGSHIP = problems.p1_found
+QUERIES = {**problems.QUERIES, **audits.QUERIES}
+ORACLES: dict[str, str] = {**problems.ORACLES, **audits.ORACLES}
+FLAGSHIP = audits.duplicate_pairs
