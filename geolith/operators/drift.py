@@ -59,7 +59,7 @@ def field_table(records: DataFrame) -> DataFrame:
     once = records.select(records["file_id"].cast("bigint").alias("file_id"), records["record_no"].cast("bigint").alias("record_no"), records["payload"].alias("payload"))
     once = once.groupBy("file_id", "record_no").agg(F.max("payload").alias("payload"))
     parsed = once.select("file_id", "record_no", F.pandas_udf(record_fields, FIELDS)("payload").alias("fields"))
-    id_of = F.element_at(F.filter("fields", lambda f: f["field"] == "id"), 1)["value"]
+    id_of = F.get(F.filter("fields", lambda f: f["field"] == "id"), 0)["value"]
     parsed = parsed.where(F.size("fields") > 0).select("file_id", "record_no", id_of.alias("id"), F.explode("fields").alias("f"))
     form = F.when(F.col("f.kind") == "text", F.when(valid_form(F.substring("f.value", 2, 2**31 - 1), "datetime"), "datetime").otherwise("string")).otherwise(F.col("f.kind"))
     return parsed.select("file_id", "record_no", "id", F.col("f.field").alias("field"), form.alias("kind"), F.col("f.value").alias("value"))
@@ -81,7 +81,7 @@ def fingerprints(types: DataFrame) -> DataFrame:
     return types.groupBy("file_id").agg(sorted_fields.alias("f")).select("file_id", F.size("f").alias("fields"), F.sha2(F.to_json("f"), 256).alias("fingerprint"))
 
 
-def migration_steps(versions: DataFrame, cells: DataFrame, types: DataFrame) -> DataFrame:
+def migration_steps(versions: DataFrame, cells: DataFrame, types: DataFrame, scratch) -> DataFrame:
     """Changes of every file against the one before it: file_id, issue_type, field_name, previous_name, old_type, new_type.
 
     A name only before and a name only now are one field renamed if, of the ids in both files at which one of the
@@ -90,49 +90,43 @@ def migration_steps(versions: DataFrame, cells: DataFrame, types: DataFrame) ->
     counts. Records without id take no part in that. A file without records has no fields.
     """
     pairs = versions.where("previous_id is not null").select("file_id", "previous_id")
-    now = pairs.join(types, "file_id").select("file_id", "field", F.col("type").alias("new_type"), F.lit(True).alias("now"))
-    before = pairs.join(types.withColumnRenamed("file_id", "previous_id"), "previous_id").select("file_id", "field", F.col("type").alias("old_type"), F.lit(True).alias("before"))
-    sides = before.join(now, ["file_id", "field"], "full").withColumns({"now": F.coalesce("now", F.lit(False)), "before": F.coalesce("before", F.lit(False))})
-    lone_old = sides.where("before and not now").select("file_id", "field", "old_type")
-    lone_new = sides.where("now and not before").select("file_id", "field", "new_type")
-    # Values of the lone fields by (file, id). The metadata side is small; record values move once.
-    ids = cells.where("field = 'id' and id is not null").select("file_id", "id").distinct()
-    old_pairs = pairs.join(lone_old.select("file_id", F.col("field")), "file_id")
-    first = lambda c: F.min_by("value", "record_no").alias(c)
-    valued = cells.where("id is not null")
-    old_values = valued.withColumnRenamed("file_id", "previous_id").join(old_pairs, ["previous_id", "field"]).groupBy("file_id", "id", "field").agg(first("value")).where("value is not null")
-    new_values = valued.join(lone_new.select("file_id", "field"), ["file_id", "field"]).groupBy("file_id", "id", "field").agg(first("value")).where("value is not null")
-    shared = pairs.join(ids.withColumnRenamed("file_id", "previous_id"), "previous_id").select("file_id", "id").join(ids, ["file_id", "id"], "left_semi")
-    old_values = old_values.join(shared, ["file_id", "id"], "left_semi").select("file_id", "id", F.col("field").alias("old"), "value")
-    new_values = new_values.join(shared, ["file_id", "id"], "left_semi").select("file_id", "id", F.col("field").alias("new"), "value")
-    old_n = old_values.groupBy("file_id", "old").agg(F.count(F.lit(1)).alias("old_n"))
-    new_n = new_values.groupBy("file_id", "new").agg(F.count(F.lit(1)).alias("new_n"))
-    equal = old_values.join(new_values, ["file_id", "id", "value"]).groupBy("file_id", "old", "new").agg(F.count(F.lit(1)).alias("equal_n"))
+    now = pairs.join(types, "file_id").select("file_id", "field", F.struct(F.col("type").alias("t")).alias("new"), F.lit(None).cast("struct<t:string>").alias("old"))
+    before = pairs.join(types.withColumnRenamed("file_id", "previous_id"), "previous_id").select("file_id", "field", F.lit(None).cast("struct<t:string>").alias("new"), F.struct(F.col("type").alias("t")).alias("old"))
+    sides = now.unionByName(before).groupBy("file_id", "field").agg(F.max("old").alias("old"), F.max("new").alias("new"))
+    sides = sides.join(pairs, "file_id").select("file_id", "previous_id", "field", F.col("old").isNotNull().alias("before"), F.col("new").isNotNull().alias("now"), F.col("old.t").alias("old_type"), F.col("new.t").alias("new_type"))
+    sides = scratch.save(sides)  # metadata: a row for each file and field
+    lone = sides.where("before <> now").select("file_id", "field", "now", F.when(F.col("now"), F.col("file_id")).otherwise(F.col("previous_id")).alias("of_file"))
+    # The only pass over the records: values of the lone fields, and the ids of their files, by (file, id).
+    wanted = lone.unionByName(sides.where("before <> now").select("file_id", F.lit("id").alias("field"), F.explode(F.array(F.lit(True), F.lit(False))).alias("now"), "previous_id").select("file_id", "field", "now", F.when(F.col("now"), F.col("file_id")).otherwise(F.col("previous_id")).alias("of_file"))).distinct()
+    valued = cells.where("id is not null").select(F.col("file_id").alias("of_file"), "record_no", "id", "field", "value")
+    values = valued.join(wanted, ["of_file", "field"]).groupBy("file_id", "id", "field", "now").agg(F.min_by("value", "record_no").alias("value"))
+    values = scratch.save(values)
+    both_have = values.where("field = 'id'").groupBy("file_id", "id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("file_id", "id")
+    shared = scratch.save(values.where("field <> 'id' and value is not null").join(both_have, ["file_id", "id"], "left_semi"))
+    counted = shared.groupBy("file_id", "field", "now").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda is_now, name: shared.where(F.col("now") == is_now).select("file_id", "id", F.col("field").alias(name), "value")
+    total = lambda is_now, name: counted.where(F.col("now") == is_now).select("file_id", F.col("field").alias(name), F.col("n").alias(name + "_n"))
+    equal = side(False, "old").join(side(True, "new"), ["file_id", "id", "value"]).groupBy("file_id", "old", "new").agg(F.count(F.lit(1)).alias("equal_n"))
     # At least one value: old_n + new_n - both_n, which is never below the larger of the two: few pairs need both_n.
-    likely = equal.join(old_n, ["file_id", "old"]).join(new_n, ["file_id", "new"]).where(F.col("equal_n") * RENAME_DEN >= F.greatest("old_n", "new_n") * RENAME_NUM)
+    likely = equal.join(total(False, "old"), ["file_id", "old"]).join(total(True, "new"), ["file_id", "new"])
+    likely = scratch.save(likely.where(F.col("equal_n") * RENAME_DEN >= F.greatest("old_n", "new_n") * RENAME_NUM))
     both = (
         likely.select("file_id", "old", "new")
-        .join(old_values.select("file_id", "id", "old"), ["file_id", "old"])
-        .join(new_values.select("file_id", "id", "new"), ["file_id", "id", "new"])
+        .join(side(False, "old").drop("value"), ["file_id", "old"])
+        .join(side(True, "new").drop("value"), ["file_id", "id", "new"])
         .groupBy("file_id", "old", "new")
         .agg(F.count(F.lit(1)).alias("both_n"))
     )
-    renamed = (
-        likely.join(both, ["file_id", "old", "new"])
-        .where(F.col("equal_n") * RENAME_DEN >= (F.col("old_n") + F.col("new_n") - F.col("both_n")) * RENAME_NUM)
-        .join(lone_old.withColumnRenamed("field", "old"), ["file_id", "old"])
-        .join(lone_new.withColumnRenamed("field", "new"), ["file_id", "new"])
-        .select("file_id", "old", "new", "old_type", "new_type")
-    )
-    none = F.lit("")
+    sure = likely.join(both, ["file_id", "old", "new"]).where(F.col("equal_n") * RENAME_DEN >= (F.col("old_n") + F.col("new_n") - F.col("both_n")) * RENAME_NUM)
+    typed = lambda name: sides.select("file_id", F.col("field").alias(name), F.col(f"{name}_type"))
+    renamed = scratch.save(sure.select("file_id", "old", "new").join(typed("old"), ["file_id", "old"]).join(typed("new"), ["file_id", "new"]))
+    # Both ends of a rename, so one anti join tells which lone fields are left.
+    ends = renamed.select("file_id", F.explode(F.array(F.struct(F.col("old").alias("field"), F.lit(False).alias("now")), F.struct(F.col("new").alias("field"), F.lit(True).alias("now")))).alias("e")).select("file_id", "e.field", "e.now")
+    rest = sides.where("before <> now").join(ends, ["file_id", "field", "now"], "left_anti")
+    plain = rest.select("file_id", F.when(F.col("now"), "added").otherwise("removed").alias("issue_type"), F.col("field").alias("field_name"), F.lit("").alias("previous_name"), "old_type", "new_type")
+    changed = sides.where("before and now").select("file_id", "field", "old_type", "new_type").unionByName(renamed.select("file_id", F.col("new").alias("field"), "old_type", "new_type")).where("old_type <> new_type").distinct()
     out = renamed.select("file_id", F.lit("renamed").alias("issue_type"), F.col("new").alias("field_name"), F.col("old").alias("previous_name"), "old_type", "new_type")
-    gone = lone_old.join(renamed.select("file_id", F.col("old").alias("field")), ["file_id", "field"], "left_anti")
-    come = lone_new.join(renamed.select("file_id", F.col("new").alias("field")), ["file_id", "field"], "left_anti")
-    out = out.unionByName(gone.select("file_id", F.lit("removed").alias("issue_type"), F.col("field").alias("field_name"), none.alias("previous_name"), "old_type", F.lit(None).cast("string").alias("new_type")))
-    out = out.unionByName(come.select("file_id", F.lit("added").alias("issue_type"), F.col("field").alias("field_name"), none.alias("previous_name"), F.lit(None).cast("string").alias("old_type"), "new_type"))
-    kept = sides.where("before and now").select("file_id", "field", "old_type", "new_type").unionByName(renamed.select("file_id", F.col("new").alias("field"), "old_type", "new_type"))
-    changed = kept.where("old_type <> new_type").distinct()
-    return out.unionByName(changed.select("file_id", F.lit("type_changed").alias("issue_type"), F.col("field").alias("field_name"), none.alias("previous_name"), "old_type", "new_type"))
+    return out.unionByName(plain).unionByName(changed.select("file_id", F.lit("type_changed").alias("issue_type"), F.col("field").alias("field_name"), F.lit("").alias("previous_name"), "old_type", "new_type"))
 
 
 def chained_names(frame: pd.DataFrame) -> pd.DataFrame:
@@ -187,7 +181,7 @@ def field_changes(files: DataFrame, records: DataFrame, scratch) -> DataFrame:
     """
     cells = scratch.save(field_table(records))
     types = scratch.save(field_types(cells))
-    return migration_steps(file_versions(files), cells, types).select("file_id", "issue_type", "field_name", "previous_name")
+    return migration_steps(scratch.save(file_versions(files)), cells, types, scratch).select("file_id", "issue_type", "field_name", "previous_name")
 
 
 def all_changes(steps: DataFrame, kinds: Iterable[str] = ("added", "removed", "renamed", "type_changed")) -> DataFrame:

@@ -44,20 +44,20 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return field_changes(table(spark, folder, "schema_files"), table(spark, folder, "file_records"), Scratch(spark, "p5"))
 
 
-def _drift(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    scratch = Scratch(spark, "p5")
+def _drift(spark: SparkSession, folder: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     cells = scratch.save(field_table(table(spark, folder, "file_records")))
-    return file_versions(table(spark, folder, "schema_files")), cells, scratch.save(field_types(cells))
+    return scratch.save(file_versions(table(spark, folder, "schema_files"))), cells, scratch.save(field_types(cells))
 
 
 def p5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    versions, _, types = _drift(spark, folder)
+    versions, _, types = _drift(spark, folder, Scratch(spark, "p5"))
     return versions.join(fingerprints(types), "file_id").select("series_name", "file_seq", "file_id", "fields", "fingerprint")
 
 
 def p5_unified(spark: SparkSession, folder: str) -> DataFrame:
-    versions, cells, types = _drift(spark, folder)
-    return unified_cells(cells, unified_fields(versions, types, migration_steps(versions, cells, types)))
+    scratch = Scratch(spark, "p5")
+    versions, cells, types = _drift(spark, folder, scratch)
+    return unified_cells(cells, unified_fields(versions, types, migration_steps(versions, cells, types, scratch)))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_profile, p4_found, p4_near, p5_found, p5_fingerprints, p5_unified)}
