@@ -22,17 +22,25 @@ from geolith.geometry import wkt
 
 EARTH_RADIUS_M = 6_371_008.8
 TILE_DEGREES = 1.0
-SLABS = "region bigint, part int, x0 double, x1 double, y0 double, y1 double, edges array<struct<ax:double,ay:double,bx:double,by:double>>"
+SLABS = "region bigint, part int, x0 double, x1 double, y0 double, y1 double, edges array<struct<ax:double,ay:double,bx:double,by:double>>, walls array<struct<lo:double,hi:double>>"
 
 
 def slabs_of(polygon):
-    """Slabs (x0, x1, edges) of one polygon; edges from left to right, ordered by height over the slab, holes among them.
+    """Slabs (x0, x1, edges, walls) of one polygon; edges from left to right, ordered by height over the slab, holes among them.
+
+    walls: the spans of the boundary that lie on the slab's left side, upright edges and vertices.
 
     Edges that cross (an invalid ring) would not keep one order; slabs are cut there too.
     """
     e = [tuple(sorted((tuple(p[:2]), tuple(q[:2])))) for ring in polygon for p, q in zip(ring, ring[1:]) if p[0] != q[0]]
     if not e:
         return
+    walls: dict[float, set] = {}
+    for ring in polygon:
+        for p, q in zip(ring, ring[1:]):
+            walls.setdefault(float(p[0]), set()).add((float(p[1]), float(p[1])))
+            if p[0] == q[0]:
+                walls[float(p[0])].add((float(min(p[1], q[1])), float(max(p[1], q[1]))))
     a = np.array([(*p, *q) for p, q in e], dtype=float)
     a = a[np.argsort(a[:, 0], kind="stable")]
     cuts = [a[:, 0], a[:, 2]]
@@ -52,7 +60,7 @@ def slabs_of(polygon):
         over = np.flatnonzero((a[:, 0] <= x0) & (a[:, 2] >= x1))
         if len(over):
             mid = a[over, 1] + ((x0 + x1) / 2 - a[over, 0]) * slope[over]
-            yield x0, x1, a[over[np.argsort(mid, kind="stable")]]
+            yield x0, x1, a[over[np.argsort(mid, kind="stable")]], sorted(walls.get(float(x0), ()))
 
 
 def decompose(batches):
@@ -67,11 +75,11 @@ def decompose(batches):
             for part, polygon in enumerate(g.polygons):
                 if not all(math.isfinite(v) for ring in polygon for c in ring for v in c[:2]):
                     continue
-                for x0, x1, edges in slabs_of(polygon):
+                for x0, x1, edges, walls in slabs_of(polygon):
                     ends = np.concatenate((edges[:, 1] + (x0 - edges[:, 0]) * (edges[:, 3] - edges[:, 1]) / (edges[:, 2] - edges[:, 0]), edges[:, 1] + (x1 - edges[:, 0]) * (edges[:, 3] - edges[:, 1]) / (edges[:, 2] - edges[:, 0])))
                     pad = 1e-9 * max(1.0, float(np.abs(ends).max()))
-                    rows.append((region, part, x0, x1, float(ends.min()) - pad, float(ends.max()) + pad, [dict(zip(("ax", "ay", "bx", "by"), map(float, x))) for x in edges]))
-        yield pd.DataFrame(rows, columns=["region", "part", "x0", "x1", "y0", "y1", "edges"])
+                    rows.append((region, part, x0, x1, float(ends.min()) - pad, float(ends.max()) + pad, [dict(zip(("ax", "ay", "bx", "by"), map(float, x))) for x in edges], [{"lo": lo, "hi": hi} for lo, hi in walls]))
+        yield pd.DataFrame(rows, columns=["region", "part", "x0", "x1", "y0", "y1", "edges", "walls"])
 
 
 def _side(edge: Column, x: Column, y: Column) -> Column:
@@ -117,7 +125,8 @@ def points_in_regions(points: DataFrame, regions: DataFrame, *, point: str = "po
     at = at.where("left_id is not null and px is not null and py is not null and not isnan(px) and not isnan(py)")
     at = at.withColumns({"tx": F.floor(F.col("px") / tile), "ty": F.floor(F.col("py") / tile)})
     met = at.join(tiled, ["tx", "ty"]).where("px >= x0 and px < x1 and py >= y0 and py <= y1")
-    inside = met.where(edges_below(F.col("edges"), F.col("px"), F.col("py")) % 2 == 1)
+    on_wall = (F.col("px") == F.col("x0")) & F.exists("walls", lambda w: (w["lo"] <= F.col("py")) & (F.col("py") <= w["hi"]))
+    inside = met.where(~on_wall).where(edges_below(F.col("edges"), F.col("px"), F.col("py")) % 2 == 1)
     return inside.select("left_id", F.col("region").alias("right_id")).distinct()
 
 

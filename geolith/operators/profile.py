@@ -65,7 +65,7 @@ def valid_form(value: Column, data_type: str) -> Column:
 def _sign_of(value: Column, bound: str) -> Column:
     """Sign of value - bound for numeric text, exact also where doubles tie."""
     near = value.try_cast("decimal(38,14)") - F.lit(bound).cast("decimal(38,14)")
-    far = value.cast("double") - F.lit(float(bound))
+    far = value.try_cast("double") - F.lit(float(bound))
     return F.when((far != 0) | near.isNull(), far).otherwise(near.cast("double"))
 
 
@@ -96,7 +96,7 @@ def counted_value(value: Column, rule: ColumnRule) -> Column:
     if rule.bin_width is None:
         counted = F.concat(F.lit("v"), value)
     else:
-        share = value.cast("double") / F.lit(float(rule.bin_width))
+        share = value.try_cast("double") / F.lit(float(rule.bin_width))
         number = F.when(F.abs(share) < 9e15, F.floor(share).cast("string")).otherwise(share.cast("string"))
         form = rule.data_type if rule.data_type in ("integer", "float") else "float"
         counted = F.when(valid_form(value, form), F.concat(F.lit("b"), number)).otherwise("x")
