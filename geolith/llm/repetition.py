@@ -55,7 +55,7 @@ def host_rates(judged: DataFrame) -> DataFrame:
 
     The prior Beta(m k, (1 - m) k) has the corpus rate m as mean, and the k at which its variance with the binomial
     noise is the variance seen between hosts, hosts weighing by their documents; without excess variance k is the
-    number of documents, so rates shrink to m.
+    number of documents, so rates shrink to m, and k is never below one document.
     """
     hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("fails").cast("bigint")).alias("failures"))
     n, x = F.col("documents").cast("double"), F.col("failures").cast("double")
@@ -65,7 +65,7 @@ def host_rates(judged: DataFrame) -> DataFrame:
     noise = (F.col("hosts") - 1) * m * (1 - m)
     spread = (F.col("total") - F.col("nn") / F.col("total")) * m * (1 - m) - between
     excess = between - noise
-    prior = sums.select(m.alias("m"), F.when((excess > 0) & (spread > 0), F.greatest(spread / excess, F.lit(1e-6))).otherwise(F.col("total")).alias("k"))
+    prior = sums.select(m.alias("m"), F.when(excess > 0, F.greatest(spread / excess, F.lit(1.0))).otherwise(F.col("total")).alias("k"))
     rate = (x + F.col("m") * F.col("k")) / (n + F.col("k"))
     return hosts.crossJoin(F.broadcast(prior)).select("host", "documents", "failures", rate.alias("shrunk_rate"), (rate >= BAD_HOST_RATE).alias("bad_host"))  # prior: one row
 
