@@ -18,6 +18,11 @@ from geolith.geometry.wkt import Geom
 Polygons = list[list[list[tuple]]]
 
 
+def _plain(v):
+    """A whole Fraction as int, which is far faster."""
+    return v.numerator if v.denominator == 1 else v
+
+
 def _cross(o, a, b):
     return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
@@ -47,7 +52,7 @@ def _pieces(edges: Sequence[tuple]) -> dict[tuple, dict[int, int]]:
                     cuts[k].append(c)
             if d1 and d2 and d3 and d4:
                 t = Fraction(d3) / (d3 - d4)
-                x = (p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1]))
+                x = (_plain(p[0] + t * (q[0] - p[0])), _plain(p[1] + t * (q[1] - p[1])))
                 cuts[i].append(x)
                 cuts[j].append(x)
         live.append(i)
@@ -64,22 +69,24 @@ def _bounding(pieces, wanted: Callable[[frozenset[int]], bool]):
     for (p, q), owners in pieces.items():
         odd = {o for o, n in owners.items() if n % 2}
         inside: dict[int, int] = defaultdict(int)
+        x2, y2 = p[0] + q[0], p[1] + q[1]  # twice the middle, so nothing is divided
         if p[0] != q[0]:
-            x = Fraction(p[0] + q[0]) / 2
-            y = Fraction(p[1] + q[1]) / 2
             for a, b, others in plain:
-                if a[0] <= x < b[0] and (a, b) != (p, q) and a[1] + (b[1] - a[1]) * (x - a[0]) / (b[0] - a[0]) < y:
-                    for o, n in others.items():
-                        inside[o] += n
+                if 2 * a[0] <= x2 < 2 * b[0] and (a, b) != (p, q):
+                    run = b[0] - a[0]
+                    if 2 * a[1] * run + (b[1] - a[1]) * (x2 - 2 * a[0]) < y2 * run:
+                        for o, n in others.items():
+                            inside[o] += n
             right = {o for o, n in inside.items() if n % 2}  # below; p to q runs to the right, so below is to its right
             left = right ^ odd
         else:
-            y = Fraction(p[1] + q[1]) / 2
             for (a, b), others in pieces.items():
-                lo, hi = sorted((a[1], b[1]))
-                if lo <= y < hi and (a, b) != (p, q) and a[0] + (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) < p[0]:
-                    for o, n in others.items():
-                        inside[o] += n
+                lo, hi = (a, b) if a[1] < b[1] else (b, a)
+                if 2 * lo[1] <= y2 < 2 * hi[1] and (a, b) != (p, q):
+                    rise = hi[1] - lo[1]
+                    if 2 * lo[0] * rise + (hi[0] - lo[0]) * (y2 - 2 * lo[1]) < 2 * p[0] * rise:
+                        for o, n in others.items():
+                            inside[o] += n
             left = {o for o, n in inside.items() if n % 2}  # west; p to q runs up, so west is to its left
             right = left ^ odd
         a, b = wanted(frozenset(left)), wanted(frozenset(right))
@@ -146,7 +153,8 @@ def _rings(directed):
 
 def ring_area(ring):
     """Signed area, exact for exact coordinates."""
-    return sum(p[0] * q[1] - q[0] * p[1] for p, q in pairwise(ring)) / 2
+    twice = sum(p[0] * q[1] - q[0] * p[1] for p, q in pairwise(ring))
+    return Fraction(twice) / 2 if isinstance(twice, int) else twice / 2
 
 
 def _contains(ring, p) -> bool:
@@ -167,16 +175,22 @@ def _straightened(ring, keep):
     return [*left, left[0]] if len(left) >= 3 else ring
 
 
+def _unscaled(v, scale: int) -> float:
+    return v / scale if isinstance(v, int) else float(v / scale)
+
+
 def combine(regions: Sequence[Polygons], wanted: Callable[[frozenset[int]], bool]) -> Polygons:
     """The set of points whose memberships (indices of the regions they are in, by even-odd) are wanted.
 
     wanted(frozenset()) must be false, the result being bounded.
     """
+    ratios = [[[[(float(c[0]).as_integer_ratio(), float(c[1]).as_integer_ratio()) for c in ring] for ring in polygon] for polygon in polygons] for polygons in regions]
+    scale = max((v[1] for polygons in ratios for polygon in polygons for ring in polygon for c in ring for v in c), default=1)  # powers of two
     edges, keep = [], set()
-    for i, polygons in enumerate(regions):
+    for i, polygons in enumerate(ratios):
         for polygon in polygons:
             for ring in polygon:
-                exact = [(Fraction(float(c[0])), Fraction(float(c[1]))) for c in ring]
+                exact = [(x[0] * (scale // x[1]), y[0] * (scale // y[1])) for x, y in ring]
                 keep.update(exact)
                 edges += [(p, q, i) for p, q in pairwise(exact) if p != q]
     if not edges:
@@ -188,11 +202,11 @@ def combine(regions: Sequence[Polygons], wanted: Callable[[frozenset[int]], bool
         if a < 0:
             probe = next((v for v in hole if True), None)
             for size, shell, polygon in shells:
-                points = [v for v in hole if v not in shell] or [((hole[0][0] + hole[1][0]) / 2, (hole[0][1] + hole[1][1]) / 2)]
+                points = [v for v in hole if v not in shell] or [(Fraction(hole[0][0] + hole[1][0]) / 2, Fraction(hole[0][1] + hole[1][1]) / 2)]
                 if size > -a and probe is not None and _contains(shell, points[0]):
                     polygon.append(hole)
                     break
-    return [[[(float(x), float(y)) for x, y in r] for r in polygon] for _, _, polygon in shells]
+    return [[[(_unscaled(x, scale), _unscaled(y, scale)) for x, y in r] for r in polygon] for _, _, polygon in shells]
 
 
 def intersection(a: Polygons, b: Polygons) -> Polygons:

@@ -12,7 +12,7 @@ from geolith.geometry import overlay, wkb, wkt
 from geolith.geometry.exact import topologically_equal
 from geolith.geometry.measure import similarities
 from geolith.operators.components import connected
-from geolith.operators.tiles import Cache, envelope_pairs, prepared, require, with_shapes
+from geolith.operators.tiles import Cache, envelope_pairs, likely_pairs, prepared, require, saved, with_shapes
 from geolith.storage import Scratch
 
 
@@ -59,10 +59,10 @@ def compare_features(spark: SparkSession, left: DataFrame, right: DataFrame, mat
     """
     if not 0 <= match_threshold <= 1:
         raise ValueError("match_threshold must be within 0 and 1")
-    a, b = prepared(left, geometry=geometry), prepared(right, geometry=geometry)
+    a, b = saved(prepared(left, geometry=geometry)), saved(prepared(right, geometry=geometry))
     require(a)
     require(b)
-    scored = with_shapes(envelope_pairs(a, b), a, b).mapInPandas(_score(match_threshold), "l bigint, r bigint, score double, equal boolean")
+    scored = with_shapes(likely_pairs(a, b, 0.0, (1 / 3, 1 / 3, 1 / 3), match_threshold), a, b).mapInPandas(_score(match_threshold), "l bigint, r bigint, score double, equal boolean")
     matched = match_once(spark, scored)
     if attributes:
         empty = F.create_map().cast("map<string,string>")

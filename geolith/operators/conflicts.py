@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolith.geometry.measure import intersects, length_inside, overlay_areas, shared_length
-from geolith.operators.tiles import Cache, envelope_pairs, prepared, with_shapes
+from geolith.operators.tiles import Cache, envelope_pairs, prepared, saved, with_shapes
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ def analyze_conflicts(features: DataFrame, policy: ConflictPolicy = ConflictPoli
     keyed = features.select("layer_seq", "layer_name", "layer_role", "agency", F.col("feature_index").cast("bigint").alias("own_index"), F.col(geometry).alias("geometry"))
     numbered = keyed.withColumn("id", F.xxhash64("layer_seq", "own_index"))
     info = numbered.select("id", "layer_seq", "layer_name", F.col("layer_role").alias("role"), "agency", "own_index")
-    shapes = prepared(numbered, "id").join(info.withColumnRenamed("id", "feature_index"), "feature_index").where("fault is null")
+    shapes = saved(prepared(numbered, "id").join(info.withColumnRenamed("id", "feature_index"), "feature_index").where("fault is null"))
     met = envelope_pairs(shapes, keep=("layer_seq", "role", "agency"))
     met = met.where("l_layer_seq <> r_layer_seq").withColumn("conflict_type", conflict_rule(*[F.col(c) for c in ("l_role", "r_role", "l_agency", "r_agency")])).where("conflict_type is not null")
     found = with_shapes(met.select("l", "r", "conflict_type"), shapes.select("feature_index", "shape")).mapInPandas(_magnitudes, "l bigint, r bigint, conflict_type string, magnitude double")

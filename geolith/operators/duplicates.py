@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from geolith.geometry import wkb, wkt
 from geolith.geometry.exact import topologically_equal
 from geolith.geometry.measure import similarities
-from geolith.operators.tiles import Cache, envelope_pairs, prepared, require, with_shapes
+from geolith.operators.tiles import Cache, envelope_pairs, likely_pairs, prepared, require, saved, with_shapes
 
 PAIR = "left_index bigint, right_index bigint, similarity double, iou double, hausdorff_similarity double, shape_similarity double, exact boolean"
 TIE = 1e-12
@@ -62,11 +62,12 @@ def detect_duplicates(features: DataFrame, config: DuplicateConfig = DuplicateCo
     maximum_pairs is set, only the first candidates by (left, right) are scored, as a report asks for; by default all
     are. Missing or empty geometries raise ValueError. Order the result by similarity_percent descending and indices.
     """
-    shapes = prepared(features, index, geometry)
+    shapes = saved(prepared(features, index, geometry))
     require(shapes)
-    pairs = envelope_pairs(shapes, tolerance=config.search_tolerance)
-    if config.maximum_pairs is not None:
-        pairs = pairs.orderBy("l", "r").limit(config.maximum_pairs)
+    if config.maximum_pairs is None:
+        pairs = likely_pairs(shapes, None, config.search_tolerance, config.weights, config.similarity_threshold)
+    else:
+        pairs = envelope_pairs(shapes, tolerance=config.search_tolerance).orderBy("l", "r").limit(config.maximum_pairs)
     found = with_shapes(pairs, shapes).mapInPandas(scores(config), PAIR)
     return found.select(
         "left_index", "right_index", F.round(F.col("similarity") * 100, 4).alias("similarity_percent"),
@@ -76,7 +77,7 @@ def detect_duplicates(features: DataFrame, config: DuplicateConfig = DuplicateCo
 
 def duplicate_statistics(features: DataFrame, config: DuplicateConfig = DuplicateConfig(), geometry: str = "geometry", index: str = "feature_index") -> DataFrame:
     """One row: feature_count, possible_pairs, candidate_pairs, candidate_reduction_percent (100 where no pair is possible), truncated."""
-    shapes = prepared(features, index, geometry)
+    shapes = saved(prepared(features, index, geometry).drop("shape"))
     n = shapes.agg(F.count(F.lit(1)).alias("feature_count"))
     c = envelope_pairs(shapes, tolerance=config.search_tolerance).agg(F.count(F.lit(1)).alias("met"))
     most = F.lit(config.maximum_pairs) if config.maximum_pairs is not None else F.col("met")

@@ -90,11 +90,11 @@ def _first_stage(config: RepairConfig):
 def _erase(key, frame: pd.DataFrame) -> pd.DataFrame:
     """One feature and the earlier ones it meets: the feature without them."""
     own = wkb.load(frame["own"].iloc[0])
-    others = overlay.union([wkb.load(w).polygons for w in frame.sort_values("other_index")["other"]])
-    common = overlay.area_of(overlay.intersection(own.polygons, others))
+    rest = overlay.difference(own.polygons, *[wkb.load(w).polygons for w in frame["other"]])
+    common = overlay.area_of(own.polygons) - overlay.area_of(rest)
     if common <= AREA_EPSILON:
         return pd.DataFrame([], columns=["feature_index", "erased", "detail"])
-    rest = overlay.region(overlay.difference(own.polygons, others))
+    rest = overlay.region(rest)
     return pd.DataFrame([(key[0], wkb.dump(rest), f"Erased {common:.6g} of overlap.")], columns=["feature_index", "erased", "detail"])
 
 

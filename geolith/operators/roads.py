@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from geolith.geometry import wkb, wkt
 from geolith.geometry.measure import Shape, hausdorff, point_segment_distances
 from geolith.geometry.validity import lines_simple
-from geolith.operators.tiles import Cache, envelope_pairs, prepared, require, with_shapes
+from geolith.operators.tiles import Cache, envelope_pairs, prepared, require, saved, with_shapes
 
 LINES = ("LINESTRING", "MULTILINESTRING")
 ISSUE_TYPES = ("broken_connection", "dangling_road", "dead_end", "duplicate_segment", "loop_error")
@@ -85,9 +85,9 @@ def road_findings(features: DataFrame, config: RoadConfig = RoadConfig(), geomet
     simple line no longer than max_loop_length.  duplicate_segment: two lines within duplicate_tolerance whose
     overlap share reaches the ratio.  Other geometries than lines, missing or empty ones raise ValueError.
     """
-    shapes = prepared(features, index, geometry)
+    shapes = saved(prepared(features, index, geometry).select("feature_index", "shape", "kind", "fault"))
     require(shapes, LINES)
-    lines = shapes.select("feature_index", "shape").mapInPandas(_longest, LONGEST)
+    lines = saved(shapes.select("feature_index", "shape").mapInPandas(_longest, LONGEST))
     ends = lines.select("feature_index", "length", F.posexplode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("end", "p"))
     ends = ends.select(F.col("feature_index").alias("of"), "length", "end", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
     tolerance = config.duplicate_tolerance
@@ -104,7 +104,7 @@ def road_findings(features: DataFrame, config: RoadConfig = RoadConfig(), geomet
         own = spots.withColumns({"cx": cell("px"), "cy": cell("py")})
         company = own.join(near, ["cx", "cy"]).where(((F.col("px") != F.col("qx")) | (F.col("py") != F.col("qy"))) & (F.hypot(F.col("px") - F.col("qx"), F.col("py") - F.col("qy")) <= tolerance)).select("px", "py").distinct()
         alone = spots.select("px", "py").join(company, ["px", "py"], "left_anti")
-        dead = ends.join(alone, ["px", "py"])
+        dead = saved(ends.join(alone, ["px", "py"]))
     point = [F.col("px").alias("x"), F.col("py").alias("y")]
     one = F.array("of").alias("feature_indices")
     found = dead.select(F.lit("dead_end").alias("issue_type"), one, *point, F.lit(None).cast("double").alias("metric"))

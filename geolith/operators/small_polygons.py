@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from geolith.geometry import overlay, wkb, wkt
 from geolith.geometry.measure import distance, shared_length
 from geolith.geometry.validity import invalid_reason
-from geolith.operators.tiles import Cache, envelope_pairs, prepared, require, with_shapes
+from geolith.operators.tiles import Cache, envelope_pairs, prepared, require, saved, with_shapes
 
 POLYGONS = ("POLYGON", "MULTIPOLYGON")
 RECOMMENDATIONS = ("delete", "ignore", "merge")
@@ -90,9 +90,9 @@ def small_polygons(features: DataFrame, config: SmallPolygonConfig = SmallPolygo
     target's area by no more than the limit, else delete for noise and islands and ignore for slivers. preview is the
     union where merge is recommended. Other geometries than polygons, missing or empty ones raise ValueError.
     """
-    shapes = prepared(features, index, geometry)
+    shapes = saved(prepared(features, index, geometry))
     require(shapes, POLYGONS)
-    small = classify_small(shapes, config)
+    small = saved(classify_small(shapes, config))
     ranked = with_shapes(envelope_pairs(small, shapes, config.merge_tolerance).where("l <> r"), small, shapes).mapInPandas(_rank, "l bigint, r bigint, shared double, d double")
     best = ranked.groupBy("l").agg(F.max(F.struct("shared", (-F.col("d")).alias("d"), (-F.col("r")).alias("r"))).alias("m")).select("l", (-F.col("m.r")).alias("r"))
     merged = with_shapes(best, small, shapes).mapInPandas(_merge(config.max_target_area_change), "feature_index bigint, target_index bigint, target_before string, preview string")

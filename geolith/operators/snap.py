@@ -12,7 +12,7 @@ from geolith.geometry import wkb, wkt
 from geolith.geometry.measure import Shape, boundary_distance, hausdorff, intersects, overlay_areas
 from geolith.geometry.repair import snapped
 from geolith.geometry.validity import invalid_reason
-from geolith.operators.tiles import Cache, envelope_pairs, prepared, require, with_shapes
+from geolith.operators.tiles import Cache, envelope_pairs, prepared, require, saved, with_shapes
 
 POLYGONS = ("POLYGON", "MULTIPOLYGON")
 OVERLAP_EPSILON = 1e-12
@@ -92,10 +92,10 @@ def snap_boundaries(features: DataFrame, config: SnapConfig = SnapConfig(), geom
     too much, or adds overlap with any other feature; only features whose envelope meets the candidate can. Other
     geometries than polygons, missing or empty ones raise ValueError.
     """
-    shapes = prepared(features, index, geometry)
+    shapes = saved(prepared(features, index, geometry))
     require(shapes, POLYGONS)
     pairs = with_shapes(snap_pairs(shapes, config.tolerance), shapes)
-    moved = pairs.groupBy("r").applyInPandas(_move(config), MOVED)
+    moved = saved(pairs.groupBy("r").applyInPandas(_move(config), MOVED))
     # A feature has few anchors: those within the tolerance of its boundary.
     open_ = moved.where("reason = ''")
     met = envelope_pairs(open_, shapes).where("l <> r")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from geolith.geometry import wkb, wkt
 from geolith.geometry.measure import Shape
+from geolith.storage import Scratch
 
 SHAPES = "feature_index bigint, shape binary, kind string, area double, length double, x0 double, y0 double, x1 double, y1 double, fault string"
 LOWEST_LEVEL = -20
@@ -51,6 +52,11 @@ def prepared(features: DataFrame, index: str = "feature_index", geometry: str =
     return kept.mapInPandas(_prepare, SHAPES)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """The table written once, where several steps read what Python made."""
+    return Scratch(df.sparkSession, "shapes").save(df)
+
+
 def require(shapes: DataFrame, kinds: Iterable[str] | None = None) -> None:
     """Raise ValueError if a geometry is missing, empty, unreadable or of another kind than wanted."""
     bad = F.col("fault").isNotNull()
@@ -125,3 +131,36 @@ class Cache:
                 self.kept.clear()
             found = self.kept[data] = Shape(wkb.load(data))
         return found
+
+
+def similarity_bound(left: str, right: str, weights: tuple[float, float, float]) -> Column:
+    """No pair's weighted similarity is above this, from areas, lengths and envelopes (structs of these names) alone."""
+    c = lambda s, n: F.col(f"{s}.{n}")
+    both = lambda f, n: f(c(left, n), c(right, n))
+    w = both(F.least, "x1") - both(F.greatest, "x0")
+    h = both(F.least, "y1") - both(F.greatest, "y0")
+    total = c(left, "area") + c(right, "area")
+    common = F.least(c(left, "area"), c(right, "area"), F.greatest(F.lit(0.0), w * h))
+    areas = (c(left, "area") > 0) & (c(right, "area") > 0)
+    lines = (c(left, "area") <= 0) & (c(right, "area") <= 0) & (both(F.greatest, "length") > 0)
+    iou = F.when(areas, F.greatest(common / (total - common), both(F.least, "length") / total)).when(lines, both(F.least, "length") / both(F.greatest, "length")).otherwise(1.0)
+    d = F.hypot(both(F.greatest, "x1") - both(F.least, "x0"), both(F.greatest, "y1") - both(F.least, "y0"))
+    far = F.greatest(*[F.abs(c(left, n) - c(right, n)) for n in ("x0", "y0", "x1", "y1")])
+    near = F.when(d > 0, F.greatest(F.lit(0.0), 1 - far / d)).otherwise(1.0)
+    measure = lambda s: F.when(c(s, "area") > 0, c(s, "area")).otherwise(c(s, "length"))
+    envelope = lambda s: (c(s, "x1") - c(s, "x0")) * (c(s, "y1") - c(s, "y0"))
+    fill = lambda s: F.when(envelope(s) > 0, c(s, "area") / envelope(s)).otherwise(1.0)
+    top = F.greatest(measure(left), measure(right))
+    ratio = F.when(top > 0, F.least(measure(left), measure(right)) / top).otherwise(1.0)
+    shape = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (ratio + 1 - F.abs(fill(left) - fill(right))) / 2))
+    return weights[0] * F.least(F.lit(1.0), iou) + weights[1] * near + weights[2] * shape
+
+
+MEASURED = ("area", "length", "x0", "y0", "x1", "y1")
+
+
+def likely_pairs(left: DataFrame, right: DataFrame | None, tolerance: float, weights: tuple[float, float, float], least: float) -> DataFrame:
+    """The envelope pairs whose similarity can reach ``least``."""
+    met = envelope_pairs(left, right, tolerance, MEASURED)
+    both = met.select("l", "r", *[F.struct(*[F.col(f"{s}_{c}").alias(c) for c in MEASURED]).alias(s + "m") for s in "lr"])
+    return both.where(similarity_bound("lm", "rm", weights) + 1e-9 >= least).select("l", "r")

@@ -316,10 +316,10 @@ scored AS (SELECT l, r, least(1, CASE WHEN w > 0 AND hh > 0 THEN w * hh / (aa +
     as_cte("parcels")
     + _BOX_SCORES.format(left="parcels", right="parcels", on="a.idx < b.idx")
     + """ SELECT l AS left_index, r AS right_index, round(100 * (0.45 * iou + 0.35 * hs + 0.20 * ss), 4) AS similarity_percent, round(iou, 6) AS iou, round(hs, 6) AS hausdorff_similarity, round(ss, 6) AS shape_similarity, iou = 1 AS exact
-FROM scored WHERE 0.45 * iou + 0.35 * hs + 0.20 * ss + 1e-12 >= 0.6"""
+FROM scored WHERE 0.45 * iou + 0.35 * hs + 0.20 * ss + 1e-12 >= 0.45"""
 )
 def duplicate_pairs(spark, folder):
-    return duplicates.detect_duplicates(boxes(spark, folder, "parcels"), duplicates.DuplicateConfig(similarity_threshold=0.6))
+    return duplicates.detect_duplicates(boxes(spark, folder, "parcels"), duplicates.DuplicateConfig(similarity_threshold=0.45))
 
 
 # A07
