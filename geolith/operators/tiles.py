@@ -98,14 +98,17 @@ def envelope_pairs(left: DataFrame, right: DataFrame | None = None, tolerance: f
         out = df.withColumn("level", F.explode(at)).withColumn("cell", F.pow(F.lit(2.0), F.col("level")))
         for c, lo, hi in (("gx", "a0", "a1"), ("gy", "b0", "b1")):
             out = out.withColumn(c, F.explode(F.sequence(F.floor(F.col(lo) / F.col("cell")), F.floor(F.col(hi) / F.col("cell")))))
+        home = F.col("own") == F.col("level")
+        # Lane 0: natives of the left with all of the right; lane 1: guests of the left with natives of the right. Guests never meet guests.
+        lanes = F.when(home, F.lit(0)).otherwise(1) if s == "l" else F.explode(F.when(home, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         cols = ["id", *keep, "a0", "b0", "a1", "b1"]
-        return out.select("level", "cell", "gx", "gy", *[F.col(c).alias(f"{s}_{c}") for c in cols], (F.col("own") == F.col("level")).alias(f"{s}_home"))
+        return out.select("level", "cell", "gx", "gy", lanes.alias("lane"), *[F.col(c).alias(f"{s}_{c}") for c in cols])
 
-    met = tiled(a, "l").join(tiled(b, "r").drop("cell"), ["level", "gx", "gy"])
+    met = tiled(a, "l").join(tiled(b, "r").drop("cell"), ["level", "gx", "gy", "lane"])
     cx, cy = F.greatest("l_a0", "r_a0"), F.greatest("l_b0", "r_b0")
     meet = (F.col("l_a0") <= F.col("r_a1")) & (F.col("r_a0") <= F.col("l_a1")) & (F.col("l_b0") <= F.col("r_b1")) & (F.col("r_b0") <= F.col("l_b1"))
     first = (F.floor(cx / F.col("cell")) == F.col("gx")) & (F.floor(cy / F.col("cell")) == F.col("gy"))
-    once = met.where((F.col("l_home") | F.col("r_home")) & meet & first)
+    once = met.where(meet & first)
     if one:
         once = once.where("l_id < r_id")
     return once.select(F.col("l_id").alias("l"), F.col("r_id").alias("r"), *[f"{s}_{c}" for s in "lr" for c in keep])
