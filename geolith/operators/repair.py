@@ -87,15 +87,28 @@ def _first_stage(config: RepairConfig):
     return run
 
 
-def _erase(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """One feature and the earlier ones it meets: the feature without them."""
-    own = wkb.load(frame["own"].iloc[0])
-    rest = overlay.difference(own.polygons, *[wkb.load(w).polygons for w in frame["other"]])
-    common = overlay.area_of(own.polygons) - overlay.area_of(rest)
-    if common <= AREA_EPSILON:
-        return pd.DataFrame([], columns=["feature_index", "erased", "detail"])
-    rest = overlay.region(rest)
-    return pd.DataFrame([(key[0], wkb.dump(rest), f"Erased {common:.6g} of overlap.")], columns=["feature_index", "erased", "detail"])
+def _erased(index: int, own: bytes, others: list[bytes]):
+    """One feature without the earlier ones it meets; None where they have no area in common."""
+    polygons = wkb.load(own).polygons
+    rest = overlay.difference(polygons, *[wkb.load(w).polygons for w in others])
+    common = overlay.area_of(polygons) - overlay.area_of(rest)
+    return None if common <= AREA_EPSILON else (index, wkb.dump(overlay.region(rest)), f"Erased {common:.6g} of overlap.")
+
+
+def _erase(batches):
+    """Rows sorted by feature: one feature's rows follow one another, so only they are held, and small groups cost no more than their rows."""
+    index, own, others = None, None, []
+    for batch in batches:
+        out = []
+        for i, mine, other in zip(batch["feature_index"].tolist(), batch["own"], batch["other"]):
+            if i != index:
+                if index is not None and (found := _erased(index, own, others)):
+                    out.append(found)
+                index, own, others = i, mine, []
+            others.append(other)
+        yield pd.DataFrame(out, columns=["feature_index", "erased", "detail"])
+    if index is not None and (found := _erased(index, own, others)):
+        yield pd.DataFrame([found], columns=["feature_index", "erased", "detail"])
 
 
 def _fill(config: RepairConfig):
@@ -154,7 +167,8 @@ def repair_coverage(spark: SparkSession, features: DataFrame, config: RepairConf
         own = shapes.select(F.col("feature_index").alias("r"), F.col("shape").alias("own"))
         other = shapes.select(F.col("feature_index").alias("l"), F.col("shape").alias("other"))
         groups = pairs.join(own, "r").join(other, "l").select(F.col("r").alias("feature_index"), "own", F.col("l").alias("other_index"), "other")
-        erased = groups.groupBy("feature_index").applyInPandas(_erase, "feature_index bigint, erased binary, detail string")
+        spread = groups.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "feature_index").sortWithinPartitions("feature_index", "other_index")
+        erased = spread.mapInPandas(_erase, "feature_index bigint, erased binary, detail string")
         stage = scratch.save(
             stage.join(erased, "feature_index", "left").select(
                 "feature_index", "before", F.coalesce("erased", "shape").alias("shape"),
