@@ -12,7 +12,9 @@ import sqlite3
 import struct
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from geolith.errors import CorruptDatasetError, EncodingError, MetadataReadError, UnsupportedFormatError
@@ -504,9 +506,6 @@ def inspect(path: str, layer: str | None = None) -> dict:
 
 def write_geojson(features: DataFrame, path: str, geometry: str = "geometry", index: str = "feature_index") -> None:
     """Write features as line-delimited GeoJSON features, attributes kept, ids by index; one file for each partition."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     def as_json(values: pd.Series) -> pd.Series:
         return pd.Series([None if v is None else json.dumps(to_mapping(wkb.load(v))) for v in values], dtype=object)
 

@@ -16,11 +16,11 @@ def audit_stream(spark: SparkSession, folder: str, schema: str, state: str, geom
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        issues = validate(batch.withColumn("_file", F.col("_metadata.file_path")), geometry).select("_file", F.transform("issues", lambda i: i["issue_type"]).alias("kinds"))
+        issues = validate(batch, geometry).select("_file", F.transform("issues", lambda i: i["issue_type"]).alias("kinds"))
         rows = issues.select("_file", F.explode(F.concat(F.array(F.lit("features")), F.when(F.size("kinds") > 0, F.array(F.lit("invalid"))).otherwise(F.array().cast("array<string>")), "kinds")).alias("measure"))
         rows.groupBy(F.col("_file").alias("file"), "measure").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{state}/counts/batch={batch_id}")
 
-    stream = spark.readStream.schema(schema).parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(folder).select("*", F.col("_metadata.file_path").alias("_file"))
     stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
