@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolith.storage import Scratch
+
 # Actions by issue type, penalties by severity, lower edges of the badges.
 ACTIONS = {
     "building_in_river": "Clip or relocate the building once an authority has confirmed the river.",
@@ -57,7 +59,8 @@ def prioritize(candidates: DataFrame, weights: PriorityWeights = PriorityWeights
 def numbered(df: DataFrame, order, name: str, start: int = 0) -> DataFrame:
     """The rows with their position in a total order, without a single-task window: positions within range partitions plus the rows before them."""
     parted = df.orderBy(*order).withColumn("_p", F.spark_partition_id())
-    parted = parted.withColumn("_m", F.monotonically_increasing_id())
+    # Written, so that both readers below see the same partitions.
+    parted = Scratch(df.sparkSession, "numbered").save(parted.withColumn("_m", F.monotonically_increasing_id()))
     ahead = parted.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
     ahead = ahead.select("_p", "_first", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # one row for each partition
     return parted.join(F.broadcast(ahead), "_p").withColumn(name, (F.col("_before") + F.col("_m") - F.col("_first") + start).cast("bigint")).drop("_p", "_m", "_first", "_before")
