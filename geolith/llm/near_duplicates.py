@@ -3,12 +3,14 @@
 Every geometry gets a bit signature of its position and size: the cell of its envelope's centre, as a unary code
 on each axis, and the order of magnitude of its measure, as a cyclic unary code.  Neighbouring values differ in
 one bit, so the Hamming distance of two signatures is the number of steps between them.  A pair that reaches the
-similarity cannot be further apart than MOST_ERRORS bits: the Hausdorff term bounds how far the centres are
-apart (one cell on each axis), the overlap term bounds the ratio of the measures (one step).  The signature is
+similarity cannot be further apart than MOST_ERRORS bits: meeting envelopes bound how far the centres are apart
+(one cell on each axis), the overlap term bounds the ratio of the measures (one step).  The signature is
 split into CHUNKS chunks; by pigeonhole a pair within the bound has a chunk with at most
 MOST_ERRORS // CHUNKS wrong bits, so one side looks up its chunks as they are and the other with these errors
-enumerated.  Cells are relative to the geometry's size: it takes part at the level of its envelope's diagonal and
-the next LEVELS - 1 above, so pairs whose diagonals differ by up to 2 ** (LEVELS - 1) meet at one level.
+enumerated.  Cells are relative to the geometry's size: its home level has cells wider than its envelope's diagonal,
+so the centres of envelopes that meet are at most one cell apart at the home level of the larger one.  A pair meets
+there: each geometry is also a guest one level above its home, and further above at every level that is the home
+of some geometry whose measure could suit it.  Guests never meet guests.
 
 Geometries that are written differently but have the same vertices form one class; only one of a class is joined,
 and members are put back at the end.  Exact scores follow the join.
@@ -28,7 +30,6 @@ from geolith.geometry.measure import Shape, similarities, signed_area
 from geolith.storage import Scratch
 
 WEIGHTS = (0.45, 0.35, 0.20)
-LEVELS = 2
 CHUNKS = 2
 MOST_ERRORS = 3
 TILE_BITS = 2
@@ -135,21 +136,40 @@ def candidate_pairs(shapes: DataFrame, scratch: Scratch, least: float) -> DataFr
     # Overlap is bounded by measures of one kind only: areas with areas, lengths with lengths. A line in a polygon, or two
     # polygons that only touch, overlap by a length against an area; that needs a polygon of less area than this.
     longest = sized.where("area <= 0").agg(F.coalesce(F.max("length"), F.lit(0.0)).alias("longest"))
-    thin = F.col("area") <= F.greatest(F.col("length"), F.col("longest")) / overlap
     sized = sized.crossJoin(F.broadcast(longest))  # one row
+    thin = F.col("area") <= F.greatest(F.col("length"), F.col("longest")) / overlap
+    crossed = F.col("area") <= F.col("longest") / overlap
+    # Where one diagonal is more than twice the other, the Hausdorff distance is at least 1 / (4 sqrt 2) of the common one, so the
+    # shape term bounds the measures of all kinds.
+    apart = 2 * (least - WEIGHTS[0] - WEIGHTS[1] * (1 - 1 / math.sqrt(32))) / WEIGHTS[2] - 1
+    steps = lambda column, least_ratio: F.floor(F.log(column) / (max(math.log(1 / least_ratio), 1e-6) * (1 + SLACK)))
     measure = F.when(F.col("area") > 0, F.col("area")).otherwise(F.col("length"))
-    kinds = F.array(F.when(F.col("area") > 0, F.lit(2)).otherwise(F.lit(1)), F.when(thin, F.lit(3)))
-    level0 = F.floor(F.log2("d"))
-    step = math.log(1 / overlap) * (1 + SLACK)
-    placed = (
-        sized.withColumn("kind", F.explode(F.filter(kinds, lambda k: k.isNotNull())))
-        .withColumn("m", F.when(F.col("kind") == 3, F.lit(0)).otherwise(F.pmod(F.floor(F.log(measure) / step), F.lit(2 * MEASURE_BITS))))
-        .withColumn("level", F.explode(F.array(*[level0 + k for k in range(LEVELS)])))
-        .withColumn("cell", F.pow(F.lit(2.0), F.col("level")))
-        .withColumn("cx", F.floor((F.col("x0") + F.col("x1")) / 2 / F.col("cell")))
-        .withColumn("cy", F.floor((F.col("y0") + F.col("y1")) / 2 / F.col("cell")))
-        .select("feature_index", "kind", "m", "level", "cx", "cy")
-    )
+    far = steps(measure, apart) if apart > 0 else F.lit(0).cast("bigint")
+    based = sized.withColumn("home", F.floor(F.log2("d")) + 1)
+
+    def placed(zero, line, area, touching, across):
+        """A row for each kind the feature takes part in. Kinds: points 0, lines 1, areas 2, touching areas 3, lines in areas 4 and 5 by who is the guest; 10 more for the far ones of these."""
+        listed = lambda kinds: F.array(*[F.lit(k) for k in kinds]).cast("array<int>")
+        areas = F.concat(listed(area), F.when(thin, listed(touching)).otherwise(listed(())), F.when(crossed, listed(across)).otherwise(listed(())))
+        kinds = F.when(F.col("area") > 0, areas).when(F.col("length") > 0, listed(line)).otherwise(listed(zero))
+        out = based.withColumn("kind", F.explode(kinds))
+        alike = F.when(F.col("kind") == 1, steps(F.col("length"), overlap)).when(F.col("kind") == 2, steps(F.col("area"), overlap))
+        return out.withColumn("step", F.when(F.col("kind").isin(1, 2), alike).when(F.col("kind") > 10, far).otherwise(F.lit(0).cast("bigint")))
+
+    natives = placed((0,), (1, 4, 14), (2,), (3, 13), (5, 15)).withColumn("level", F.col("home"))
+    beside = placed((0,), (1,), (2,), (3,), (4,)).withColumn("level", F.col("home"))
+    above = placed((), (1, 5), (2,), (3,), (4,)).withColumn("level", F.col("home") + 1)
+    # At most one row for each kind and order of magnitude of measure and size.
+    homes = natives.where("kind in (1, 2) or kind > 10").select("kind", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step"), "level").groupBy("kind", "step").agg(F.collect_set("level").alias("levels"))
+    upward = placed((), (1, 15), (2,), (13,), (14,)).join(F.broadcast(homes), ["kind", "step"])
+    upward = upward.withColumn("level", F.explode(F.filter("levels", lambda v: v > F.col("home") + 1)))
+
+    def centred(df, guest):
+        out = df.withColumn("cell", F.pow(F.lit(2.0), F.col("level")))
+        for c, lo, hi in (("cx", "x0", "x1"), ("cy", "y0", "y1")):
+            out = out.withColumn(c, F.floor((F.col(lo) + F.col(hi)) / 2 / F.col("cell")))
+        return out.select("feature_index", "kind", F.pmod("step", F.lit(2 * MEASURE_BITS)).alias("m"), "level", "cx", "cy", F.lit(guest).alias("guest"))
+
     side = 1 << TILE_BITS
     tile = lambda c: F.floor(c / side)
 
@@ -159,14 +179,16 @@ def candidate_pairs(shapes: DataFrame, scratch: Scratch, least: float) -> DataFr
         out = out.withColumns({"x": x, "y": y})
         args = [F.col(c) for c in ("x", "y", "m", "kind", "level", "tx", "ty")]
         keys = F.concat(*[_chunks(*args, chunk, role == "probe") for chunk in range(CHUNKS)])
-        return out.select(F.col("feature_index").alias(role), signature(*args[:3]).alias(role + "_bits"), F.explode(keys).alias("key"))
+        further = [F.col("guest") | (F.col("kind") == 4)] if role == "kept" else []
+        return out.select(F.col("feature_index").alias(role), signature(*args[:3]).alias(role + "_bits"), *[c.alias("any_order") for c in further], F.explode(keys).alias("key"))
 
-    probe = rows(tile(F.col("cx")), tile(F.col("cy")), "probe", placed)
+    probe = rows(tile(F.col("cx")), tile(F.col("cy")), "probe", centred(natives, False))
     around = lambda c: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor((F.col(c) + k) / side)))
-    near = placed.withColumn("ux", F.explode(around("cx"))).withColumn("uy", F.explode(around("cy")))
+    takers = centred(beside, False).unionByName(centred(above, True)).unionByName(centred(upward, True))
+    near = takers.withColumn("ux", F.explode(around("cx"))).withColumn("uy", F.explode(around("cy")))
     kept = rows(F.col("ux"), F.col("uy"), "kept", near)
-    met = probe.join(kept, "key").where((F.col("probe") < F.col("kept")) & (F.bit_count(F.col("probe_bits").bitwiseXOR(F.col("kept_bits"))) <= MOST_ERRORS))
-    return met.select(F.col("probe").alias("l"), F.col("kept").alias("r")).distinct()
+    met = probe.join(kept, "key").where((F.col("any_order") | (F.col("probe") < F.col("kept"))) & (F.bit_count(F.col("probe_bits").bitwiseXOR(F.col("kept_bits"))) <= MOST_ERRORS))
+    return met.select(F.least("probe", "kept").alias("l"), F.greatest("probe", "kept").alias("r")).where("l < r").distinct()
 
 
 def _bound(l: str, r: str) -> Column:

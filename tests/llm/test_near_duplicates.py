@@ -82,3 +82,34 @@ def test_a_class_of_equal_copies_keeps_all_links(spark, scratch):
 def test_too_low_similarity_is_refused(spark, scratch):
     with pytest.raises(ValueError):
         pairs(spark, scratch, [(1, "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", T0)], least=0.5)
+
+
+def serpentine(sweeps, size, x=0.0, y=0.0):
+    out = []
+    for k in range(sweeps):
+        ends = [(x, y + size * k / (sweeps - 1)), (x + size, y + size * k / (sweeps - 1))]
+        out += ends if k % 2 == 0 else ends[::-1]
+    return out
+
+
+def line(*paths):
+    parts = ["(" + ", ".join(f"{x!r} {y!r}" for x, y in p) + ")" for p in paths]
+    return "LINESTRING " + parts[0] if len(parts) == 1 else f"MULTILINESTRING ({', '.join(parts)})"
+
+
+def test_pairs_of_any_ratio_of_diagonals(spark, scratch):
+    body = serpentine(41, 0.7)
+    tails = [(-0.7, 0.0), *body, (1.4, 0.7)]
+    dense, at = serpentine(200, 0.1, 300.0), (300.05, 0.05)
+    star = [[at, (at[0] + 0.25 * i, at[1] + 0.25 * j)] for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))]
+    dots = [[(500.05 + i, 0.05 + j), (500.05001 + i, 0.05 + j)] for i, j in ((20, 0), (-20, 0), (0, 20), (0, -20))]
+    corners = [[(700.0, 0.0), (700.0 + i, 0.0)] for i in (0.5, -0.5)], [[(700.0, 0.0), (700.0, j)] for j in (0.5, -0.5)]
+    rows = [
+        (1, line(body)), (2, line(tails)),
+        (3, line(dense)), (4, line(dense, *star)),
+        (5, line(serpentine(200, 0.1, 500.0))), (6, line(serpentine(200, 0.1, 500.0), *dots)),
+        (7, line(serpentine(200, 0.05, 700.0), corners[0][0], corners[1][0])), (8, line(serpentine(200, 0.05, 700.0), corners[0][1], corners[1][1])),
+    ]
+    expected = brute(rows)
+    assert {(1, 2), (3, 4), (5, 6)} <= set(expected)
+    assert pairs(spark, scratch, [(i, g, T0) for i, g in rows]) == expected
