@@ -176,6 +176,17 @@ def dissolved_length(segments: np.ndarray) -> float:
     return out
 
 
+def dissolved_shared_length(segments: np.ndarray, others: np.ndarray) -> float:
+    """Length of the union of segments that lies on other segments."""
+    out = 0.0
+    for i, s in enumerate(segments):
+        spans = _collinear_spans(s, others)
+        if spans:
+            earlier = _collinear_spans(s, segments[:i])
+            out += (_covered(sorted(earlier + spans)) - _covered(earlier)) * hypot(s[2] - s[0], s[3] - s[1])
+    return out
+
+
 def points_in_region(points: np.ndarray, shape: Shape) -> np.ndarray:
     """Even-odd membership; points exactly on an edge may fall either way."""
     e = shape.edges
@@ -288,7 +299,7 @@ def shared_measure(a: Shape, b: Shape) -> tuple[float, float]:
         return both, union
     if a.length == 0 and b.length == 0:
         return 0.0, 0.0
-    both = 0.0 if apart else shared_length(a.segments, b.segments)
+    both = 0.0 if apart else dissolved_shared_length(a.segments, b.segments)
     return both, dissolved_length(a.segments) + dissolved_length(b.segments) - both
 
 

@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolith.geometry import wkb, wkt
-from geolith.geometry.measure import Shape, similarities, signed_area
+from geolith.geometry.measure import Shape, dissolved_length, signed_area, similarities
+from geolith.operators.tiles import similarity_bound
 from geolith.storage import Scratch
 
 WEIGHTS = (0.45, 0.35, 0.20)
@@ -37,7 +38,7 @@ MEASURE_BITS = 8
 ROUNDING = 1e-12
 SLACK = 1e-9
 
-FEATURE = "feature_index bigint, shape binary, area double, length double, x0 double, y0 double, x1 double, y1 double"
+FEATURE = "feature_index bigint, shape binary, area double, length double, dissolved double, x0 double, y0 double, x1 double, y1 double"
 
 
 def _ring(path, outer: bool):
@@ -87,8 +88,8 @@ def describe(batches):
                 continue
             g = one_writing(g)
             s = Shape(g)
-            rows.append((index, wkb.dump(g), s.area, s.length, *map(float, s.bounds)))
-        yield pd.DataFrame(rows, columns=["feature_index", "shape", "area", "length", "x0", "y0", "x1", "y1"])
+            rows.append((index, wkb.dump(g), s.area, s.length, s.length if s.area > 0 else dissolved_length(s.segments), *map(float, s.bounds)))
+        yield pd.DataFrame(rows, columns=["feature_index", "shape", "area", "length", "dissolved", "x0", "y0", "x1", "y1"])
 
 
 def score(batches, least: float):
@@ -128,7 +129,7 @@ def signature(x: Column, y: Column, m: Column) -> Column:
 
 
 def candidate_pairs(shapes: DataFrame, scratch: Scratch, least: float) -> DataFrame:
-    """Distinct (l, r), l < r, within MOST_ERRORS bits of one another. shapes: feature_index, area, length and envelope, one row for each class."""
+    """Distinct (l, r), l < r, within MOST_ERRORS bits of one another. shapes: feature_index, area, length, dissolved length and envelope, one row for each class."""
     overlap = (least - WEIGHTS[1] - WEIGHTS[2]) / WEIGHTS[0]
     if overlap <= 0 or 1 - (1 - least) / WEIGHTS[1] <= 0:
         raise ValueError("below this similarity neither overlap nor distance is bounded")
@@ -153,7 +154,7 @@ def candidate_pairs(shapes: DataFrame, scratch: Scratch, least: float) -> DataFr
         areas = F.concat(listed(area), F.when(thin, listed(touching)).otherwise(listed(())), F.when(crossed, listed(across)).otherwise(listed(())))
         kinds = F.when(F.col("area") > 0, areas).when(F.col("length") > 0, listed(line)).otherwise(listed(zero))
         out = based.withColumn("kind", F.explode(kinds))
-        alike = F.when(F.col("kind") == 1, steps(F.col("length"), overlap)).when(F.col("kind") == 2, steps(F.col("area"), overlap))
+        alike = F.when(F.col("kind") == 1, steps(F.col("dissolved"), overlap)).when(F.col("kind") == 2, steps(F.col("area"), overlap))
         return out.withColumn("step", F.when(F.col("kind").isin(1, 2), alike).when(F.col("kind") > 10, far).otherwise(F.lit(0).cast("bigint")))
 
     natives = placed((0,), (1, 4, 14), (2,), (3, 13), (5, 15)).withColumn("level", F.col("home"))
@@ -191,28 +192,6 @@ def candidate_pairs(shapes: DataFrame, scratch: Scratch, least: float) -> DataFr
     return met.select(F.least("probe", "kept").alias("l"), F.greatest("probe", "kept").alias("r")).where("l < r").distinct()
 
 
-def _bound(l: str, r: str) -> Column:
-    """No pair's similarity is above this, from areas, lengths and envelopes alone."""
-    c = lambda s, n: F.col(f"{s}.{n}")
-    both = lambda f, n: f(c(l, n), c(r, n))
-    w = both(F.least, "x1") - both(F.greatest, "x0")
-    h = both(F.least, "y1") - both(F.greatest, "y0")
-    areas = (c(l, "area") > 0) & (c(r, "area") > 0)
-    common = F.least(c(l, "area"), c(r, "area"), w * h)
-    lines = (c(l, "area") <= 0) & (c(r, "area") <= 0)
-    touching = both(F.least, "length") / (c(l, "area") + c(r, "area"))
-    iou = F.when(areas, F.greatest(common / (c(l, "area") + c(r, "area") - common), touching)).when(lines, both(F.least, "length") / both(F.greatest, "length")).otherwise(1.0)
-    d = F.hypot(both(F.greatest, "x1") - both(F.least, "x0"), both(F.greatest, "y1") - both(F.least, "y0"))
-    far = F.greatest(*[F.abs(c(l, n) - c(r, n)) for n in ("x0", "y0", "x1", "y1")])
-    measure = lambda s: F.when(c(s, "area") > 0, c(s, "area")).otherwise(c(s, "length"))
-    envelope = lambda s: (c(s, "x1") - c(s, "x0")) * (c(s, "y1") - c(s, "y0"))
-    fill = lambda s: F.when(envelope(s) > 0, c(s, "area") / envelope(s)).otherwise(1.0)
-    ratio = F.least(measure(l), measure(r)) / F.greatest(measure(l), measure(r))
-    shape = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (ratio + 1 - F.abs(fill(l) - fill(r))) / 2))
-    value = WEIGHTS[0] * F.least(F.lit(1.0), iou) + WEIGHTS[1] * F.greatest(F.lit(0.0), 1 - far / d) + WEIGHTS[2] * shape
-    return F.when((w < 0) | (h < 0), 0.0).otherwise(value)
-
-
 def near_duplicate_features(features: DataFrame, scratch: Scratch, least: float = 0.85, index: str = "feature_index", geometry: str = "geometry_wkt", newest: str | None = "edited_at") -> DataFrame:
     """(left_index, right_index), left < right, of different features whose similarity reaches ``least``.
 
@@ -233,7 +212,8 @@ def near_duplicate_features(features: DataFrame, scratch: Scratch, least: float
     narrow = one.drop("shape")
     met = candidate_pairs(narrow, scratch, least)
     a, b = (narrow.select(F.col("feature_index").alias(s), F.struct(*[c for c in narrow.columns if c != "feature_index"]).alias(s + "m")) for s in "lr")
-    likely = scratch.save(met.join(a, "l").join(b, "r").where(_bound("lm", "rm") + SLACK >= least).select("l", "r"))
+    envelopes_meet = F.expr("lm.x0 <= rm.x1 and rm.x0 <= lm.x1 and lm.y0 <= rm.y1 and rm.y0 <= lm.y1")
+    likely = scratch.save(met.join(a, "l").join(b, "r").where(envelopes_meet & (similarity_bound("lm", "rm", WEIGHTS, "dissolved") + SLACK >= least)).select("l", "r"))
     texts = [one.select(F.col("feature_index").alias(s), F.col("shape").alias(s + "w")) for s in "lr"]
     pairs = likely.join(texts[0], "l").join(texts[1], "r").select("l", "r", "lw", "rw")
     alike = pairs.mapInPandas(lambda batches: score(batches, least), "l bigint, r bigint")

@@ -136,8 +136,11 @@ class Cache:
         return found
 
 
-def similarity_bound(left: str, right: str, weights: tuple[float, float, float]) -> Column:
-    """No pair's weighted similarity is above this, from areas, lengths and envelopes (structs of these names) alone."""
+def similarity_bound(left: str, right: str, weights: tuple[float, float, float], dissolved: str | None = None) -> Column:
+    """No pair's weighted similarity is above this, from areas, lengths and envelopes (structs of these names) alone.
+
+    Lengths count what is repeated, overlap does not: lines are bounded only where dissolved names their length without repeats.
+    """
     c = lambda s, n: F.col(f"{s}.{n}")
     both = lambda f, n: f(c(left, n), c(right, n))
     w = both(F.least, "x1") - both(F.greatest, "x0")
@@ -145,8 +148,10 @@ def similarity_bound(left: str, right: str, weights: tuple[float, float, float])
     total = c(left, "area") + c(right, "area")
     common = F.least(c(left, "area"), c(right, "area"), F.greatest(F.lit(0.0), w * h))
     areas = (c(left, "area") > 0) & (c(right, "area") > 0)
-    lines = (c(left, "area") <= 0) & (c(right, "area") <= 0) & (both(F.greatest, "length") > 0)
-    iou = F.when(areas, F.greatest(common / (total - common), both(F.least, "length") / total)).when(lines, both(F.least, "length") / both(F.greatest, "length")).otherwise(1.0)
+    iou = F.when(areas, F.greatest(common / (total - common), both(F.greatest, "length") / total))
+    if dissolved:
+        iou = iou.when((c(left, "area") <= 0) & (c(right, "area") <= 0) & (both(F.greatest, dissolved) > 0), both(F.least, dissolved) / both(F.greatest, dissolved))
+    iou = iou.otherwise(1.0)
     d = F.hypot(both(F.greatest, "x1") - both(F.least, "x0"), both(F.greatest, "y1") - both(F.least, "y0"))
     far = F.greatest(*[F.abs(c(left, n) - c(right, n)) for n in ("x0", "y0", "x1", "y1")])
     near = F.when(d > 0, F.greatest(F.lit(0.0), 1 - far / d)).otherwise(1.0)

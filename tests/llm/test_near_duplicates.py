@@ -113,3 +113,14 @@ def test_pairs_of_any_ratio_of_diagonals(spark, scratch):
     expected = brute(rows)
     assert {(1, 2), (3, 4), (5, 6)} <= set(expected)
     assert pairs(spark, scratch, [(i, g, T0) for i, g in rows]) == expected
+
+
+def test_repeated_stretches_and_points_without_length(spark, scratch):
+    rows = [
+        (1, "LINESTRING (0 0, 10 0)"), (2, "LINESTRING (0 0, 10 0, 0 0)"), (3, "MULTILINESTRING ((0 0, 10 0), (0 0, 10 0))"), (4, "LINESTRING (0 0, 10 0, 5 0)"), (5, "LINESTRING (0 0, 10 0, 0 0, 10 0)"),
+        (6, "MULTIPOINT ((50 0), (52 2), (54 0))"), (7, "MULTIPOINT ((50 0), (52 1), (54 0))"),
+        (8, "GEOMETRYCOLLECTION (POINT (90 5), LINESTRING (92 0, 92 0))"), (9, "MULTIPOINT ((90 5), (92 0))"),
+    ]
+    expected = brute(rows)
+    assert {(1, 2), (1, 3), (1, 4), (1, 5), (8, 9)} <= set(expected) and (6, 7) not in expected
+    assert pairs(spark, scratch, [(i, g, T0) for i, g in rows]) == expected

@@ -163,3 +163,9 @@ def test_attribute_scan(spark):
     rules_ = [ColumnRule("id", "integer", False, True), ColumnRule("name", "string", False), ColumnRule("score", "float")]
     out = {(r.issue_type, r.column_name, r.row_position) for r in attributes.scan_attributes(frame, rules_).collect()}
     assert out == {("missing_column", "score", None), ("schema_drift", None, None), ("null_value", "name", 0), ("null_value", "id", 3), ("duplicate_id", "id", 0), ("duplicate_id", "id", 1)}
+
+
+def test_lines_that_repeat_a_stretch_are_duplicates(spark):
+    f = features(spark, "LINESTRING (0 0, 10 0)", "LINESTRING (0 0, 10 0, 0 0)", "MULTILINESTRING ((0 0, 10 0), (0 0, 10 0))")
+    assert duplicates.detect_duplicates(f, duplicates.DuplicateConfig(similarity_threshold=0.9)).count() == 3
+    assert {r.kind for r in compare.compare_features(spark, f.where("feature_index = 0"), f.where("feature_index = 1"), match_threshold=0.9, attributes=None).collect()} <= {"modified", "unchanged"}
