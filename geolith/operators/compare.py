@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,8 +13,7 @@ from pyspark.sql import functions as F
 from geolith.geometry import overlay, wkb, wkt
 from geolith.geometry.exact import topologically_equal
 from geolith.geometry.measure import similarities
-from geolith.operators.components import connected
-from geolith.operators.tiles import Cache, envelope_pairs, likely_pairs, prepared, require, saved, with_shapes
+from geolith.operators.tiles import Cache, likely_pairs, prepared, require, saved, with_shapes
 from geolith.storage import Scratch
 
 
@@ -92,24 +93,66 @@ def compare_schemas(left: Mapping[str, str], right: Mapping[str, str]) -> dict[s
     }
 
 
-def _component_areas(frame: pd.DataFrame) -> pd.DataFrame:
-    """Areas of the unions of both sides of a component, and of their common part."""
-    sides = [overlay.union([wkb.load(w).polygons for w in frame.loc[frame["side"] == s, "shape"]]) for s in (0, 1)]
+CROWDED = 64
+MOST_SPLITS = 8
+
+
+def _tile_areas(frame: pd.DataFrame) -> pd.DataFrame:
+    """Areas of the unions of both sides within a tile, and of their common part."""
+    x0, y0, cell = (float(frame[c].iloc[0]) for c in ("tx", "ty", "cell"))
+    x0, y0 = x0 * cell, y0 * cell
+    tile = [[[(x0, y0), (x0 + cell, y0), (x0 + cell, y0 + cell), (x0, y0 + cell), (x0, y0)]]]
+    sides = [overlay.union([overlay.intersection(wkb.load(w).polygons, tile) for w in frame.loc[frame["side"] == s, "shape"]]) for s in (0, 1)]
     both = overlay.area_of(overlay.intersection(*sides)) if all(sides) else 0.0
     return pd.DataFrame([(overlay.area_of(sides[0]), overlay.area_of(sides[1]), both)], columns=["a", "b", "both"])
 
 
+def _in_tiles(shapes: DataFrame, scratch: Scratch) -> DataFrame:
+    """feature_index, cell, tx, ty of every tile a feature's envelope covers. Tiles do not overlap; crowded ones are split in four.
+
+    Features whose envelope holds the whole tile do not crowd it, as splitting would not part them.
+    """
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    mean = shapes.agg(F.sqrt(F.avg(side * side)).alias("s")).first()["s"]
+    cell = 2.0 ** math.ceil(math.log2(4 * mean)) if mean else 1.0
+    boxes = shapes.select("feature_index", "x0", "y0", "x1", "y1")
+
+    def spread(df, cell, within=None):
+        for c, lo, hi in (("tx", "x0", "x1"), ("ty", "y0", "y1")):
+            first, last = F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)
+            if within:
+                first, last = F.greatest(first, F.col("p" + c) * 2), F.least(last, F.col("p" + c) * 2 + 1)
+            df = df.withColumn(c, F.explode(F.sequence(first, last)))
+        return df.withColumn("cell", F.lit(cell))
+
+    rest, done = spread(boxes, cell), []
+    for k in range(MOST_SPLITS):
+        rest = scratch.save(rest)
+        whole = (F.col("x0") <= F.col("tx") * cell) & (F.col("y0") <= F.col("ty") * cell) & (F.col("x1") >= (F.col("tx") + 1) * cell) & (F.col("y1") >= (F.col("ty") + 1) * cell)
+        crowded = rest.groupBy("tx", "ty").agg(F.count(F.when(~whole, 1)).alias("n")).where(F.col("n") > CROWDED).select("tx", "ty")
+        crowded = scratch.save(crowded)
+        done.append(rest.join(crowded, ["tx", "ty"], "left_anti"))
+        if k == MOST_SPLITS - 1 or crowded.isEmpty():
+            done.append(rest.join(crowded, ["tx", "ty"], "left_semi"))
+            break
+        cell /= 2
+        parents = rest.join(crowded, ["tx", "ty"], "left_semi").select("feature_index", "x0", "y0", "x1", "y1", F.col("tx").alias("ptx"), F.col("ty").alias("pty"))
+        rest = spread(parents, cell, True).drop("ptx", "pty")
+    out = [df.select("feature_index", "cell", "tx", "ty") for df in done]
+    return reduce(DataFrame.unionByName, out)
+
+
 def compare_boundaries(spark: SparkSession, left: DataFrame, right: DataFrame, geometry: str = "geometry") -> DataFrame:
     """One row: boundary_iou and boundary_difference_area of the two unions of polygons.
 
-    Unions are made for each component of polygons that meet, so no task holds a whole dataset that falls apart.
+    Unions are made tile by tile, of the parts in the tile, so no task holds a connected layer; the areas add up.
     Two sides without area have an overlap of 1 if both are empty, else 0.
     """
-    sides = [prepared(df, geometry=geometry).where("fault is null").select((F.col("feature_index") * 2 + s).alias("feature_index"), "shape", "x0", "y0", "x1", "y1", F.lit(s).alias("side")) for s, df in ((0, left), (1, right))]
-    both = Scratch(spark, "boundary").save(sides[0].unionByName(sides[1]))
-    labels = connected(spark, envelope_pairs(both), both.select(F.col("feature_index").alias("vertex")))
-    parts = both.join(labels.withColumnRenamed("vertex", "feature_index"), "feature_index").select("component", "side", "shape")
-    areas = parts.groupBy("component").applyInPandas(_component_areas, "a double, b double, both double")
+    sides = [prepared(df, geometry=geometry).where("fault is null and kind in ('POLYGON', 'MULTIPOLYGON', 'GEOMETRYCOLLECTION')").select((F.col("feature_index") * 2 + s).alias("feature_index"), "shape", "x0", "y0", "x1", "y1", F.lit(s).alias("side")) for s, df in ((0, left), (1, right))]
+    scratch = Scratch(spark, "boundary")
+    both = scratch.save(sides[0].unionByName(sides[1]))
+    parts = _in_tiles(both, scratch).join(both.select("feature_index", "side", "shape"), "feature_index").select("cell", "tx", "ty", "side", "shape")
+    areas = parts.groupBy("cell", "tx", "ty").applyInPandas(_tile_areas, "a double, b double, both double")
     total = areas.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("a", "b", "both")])
     union = F.col("a") + F.col("b") - F.col("both")
     return total.select(F.round(F.when(union > 0, F.col("both") / union).otherwise(1.0), 6).alias("boundary_iou"), F.round(union - F.col("both"), 6).alias("boundary_difference_area"))

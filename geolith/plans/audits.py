@@ -385,6 +385,18 @@ def compare_boundaries(spark, folder):
     return compare.compare_boundaries(spark, *_snapshots(spark, folder))
 
 
+# parcels are one component, with and without every fifth
+@query(
+    as_cte("parcels")
+    + """, cells AS (SELECT DISTINCT idx % 5 = 0 AS fifth, cx, cy FROM (SELECT idx, y0, y1, unnest(range(x0::bigint, x1::bigint)) AS cx FROM parcels) t, unnest(range(y0::bigint, y1::bigint)) AS u(cy)),
+  t AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT cx, cy FROM cells)) AS a, (SELECT count(*) FROM cells WHERE NOT fifth) AS b)
+SELECT round(b / a, 6) AS boundary_iou, round((a - b)::double, 6) AS boundary_difference_area FROM t"""
+)
+def compare_boundaries_connected(spark, folder):
+    parcels = boxes(spark, folder, "parcels")
+    return compare.compare_boundaries(spark, parcels, parcels.where("feature_index % 5 <> 0"))
+
+
 def _layers(spark, folder):
     layer = lambda n, seq, role: boxes(spark, folder, n).select(F.lit(seq).alias("layer_seq"), F.lit(n).alias("layer_name"), F.lit(role).alias("layer_role"), F.lit(None).cast("string").alias("agency"), "feature_index", "geometry")
     return layer("parcels", 0, "Building").unionByName(layer("rivers", 1, "river"))

@@ -169,3 +169,12 @@ def test_lines_that_repeat_a_stretch_are_duplicates(spark):
     f = features(spark, "LINESTRING (0 0, 10 0)", "LINESTRING (0 0, 10 0, 0 0)", "MULTILINESTRING ((0 0, 10 0), (0 0, 10 0))")
     assert duplicates.detect_duplicates(f, duplicates.DuplicateConfig(similarity_threshold=0.9)).count() == 3
     assert {r.kind for r in compare.compare_features(spark, f.where("feature_index = 0"), f.where("feature_index = 1"), match_threshold=0.9, attributes=None).collect()} <= {"modified", "unchanged"}
+
+
+def test_boundaries_of_a_connected_layer_are_compared_tile_by_tile(spark, scratch):
+    a = features(spark, *[box(x, y, x + 1, y + 1) for x in range(20) for y in range(20)])
+    b = features(spark, *[box(x + 0.5, y, x + 1.5, y + 1) for x in range(20) for y in range(20)], "POLYGON ((-3 -3, 30 -3, -3 30, -3 -3))")
+    tiles = compare._in_tiles(prepared(b), scratch)
+    assert tiles.groupBy("cell", "tx", "ty").count().agg(F.max("count")).first()[0] <= compare.CROWDED + 1
+    row = compare.compare_boundaries(spark, a, b).first()
+    assert (row.boundary_iou, row.boundary_difference_area) == (round(400 / 635.625, 6), 235.625)
