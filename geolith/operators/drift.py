@@ -168,9 +168,15 @@ def unified_cells(cells: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def _plain_number(canonical: Column) -> Column:
-    """A canonical number in plain decimal writing where it has up to 38 digits."""
-    value = canonical.try_cast("decimal(38,10)")
-    return F.coalesce(F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""), canonical)
+    """A canonical number (digits, e, exponent) in plain decimal writing where that has up to 38 digits, else as it is: no digit is lost."""
+    part = lambda k: F.regexp_extract(canonical, "^(-?)([0-9]+)e(-?[0-9]+)$", k)
+    sign, digits, e = part(1), part(2), part(3).try_cast("int")
+    n = F.length(digits)
+    point = n + e
+    whole = F.concat(sign, digits, F.repeat(F.lit("0"), e))
+    mixed = F.concat(sign, F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    return F.when(e.isNull() | (e > 38) | (e < -38) | (F.greatest(n, point) > 38), canonical).when(e >= 0, whole).when(point > 0, mixed).otherwise(small)
 
 
 def field_changes(files: DataFrame, records: DataFrame, scratch) -> DataFrame:

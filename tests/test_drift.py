@@ -70,3 +70,14 @@ def test_chained_renames_give_one_table(spark, scratch):
     assert sorted(x.value for x in out.where("field = 'c' and record_no = 2").collect()) == ["2", "2", "2"]
     prints = {x.file_id: x.fingerprint for x in fingerprints(types).collect()}
     assert len(set(prints.values())) == 3
+
+
+def test_unified_numbers_keep_every_digit(spark):
+    from pyspark.sql import functions as F
+
+    from geolith.operators.differences import canonical_number
+    from geolith.operators.drift import _plain_number
+
+    given = ["1.23456789012345", "1e-11", "-0.5", "0", "1200", "-1.20", "1e38", "123456789012345678901234567890.5", "1e400", "-12345678901234567890123456789012345678e-20"]
+    rows = spark.createDataFrame([(canonical_number(x),) for x in given], "v string").select(_plain_number(F.col("v"))).collect()
+    assert [r[0] for r in rows] == ["1.23456789012345", "0.00000000001", "-0.5", "0", "1200", "-1.2", "1e38", "123456789012345678901234567890.5", "1e400", "-123456789012345678.90123456789012345678"]
