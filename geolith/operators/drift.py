@@ -2,8 +2,8 @@
 
 Each file has a fingerprint: its fields and their types, derived from the records.  Consecutive versions of a
 series are linked by explicit migration steps (added, removed, renamed, type_changed).  A file's records are
-routed to the series' newest form by the chained renames, with defaults for fields they lack and casts to one
-type; every change is recorded.
+routed to the series' newest form by the chained renames; one type is named for each field, but values are not cast
+and fields they lack get no default; every change is recorded.
 """
 
 from __future__ import annotations
