@@ -26,7 +26,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """The profile of every column of every load, from value counts maintained by two signed deltas: what came first, and what came late."""
+    """The profile of every column of every load, from value counts; all rows are counted again, no count table is kept between loads."""
     rules = [ColumnRule(r.column_name) for r in column_rules(table(spark, folder, "attribute_columns"))]
     once = delivered_once(table(spark, folder, "attribute_rows"), rules)
     return profile_metrics(apply_deltas(None, value_deltas(once, {r.column_name: counted_value(once[r.column_name], r) for r in rules})))
