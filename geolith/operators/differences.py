@@ -37,7 +37,9 @@ def canonical_number(text: str) -> str:
     return f"{'-' if sign else ''}{short}e{e + len(body) - len(short)}"
 
 
-class _Number(str):
+class WrittenNumber(str):
+    """A JSON number as it was written."""
+
     __slots__ = ()
 
 
@@ -47,7 +49,7 @@ def canonical_value(value) -> str | None:
         return None
     if value is True or value is False:
         return "b" + str(value).lower()
-    if isinstance(value, _Number):
+    if isinstance(value, WrittenNumber):
         return "n" + canonical_number(value)
     if isinstance(value, str):
         return "s" + value
@@ -62,14 +64,21 @@ def _canonical_nested(value):
     return canonical_value(value)
 
 
-def _surrogate_free(text: str) -> str:
-    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if any("\ud800" <= c <= "\udfff" for c in text) else text
+def surrogate_free(text: str) -> str:
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
+
+
+_DECODER = json.JSONDecoder(parse_float=WrittenNumber, parse_int=WrittenNumber, parse_constant=WrittenNumber)
 
 
 def read_object(text: str) -> dict | None:
     """The object's values with numbers kept as written; None for text that is no JSON object."""
     try:
-        value = json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_Number)
+        value = _DECODER.decode(text)
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
@@ -82,7 +91,7 @@ def canonical_object(text: str | None) -> dict[str, str]:
     value = read_object(text)
     if value is None:
         return {NOT_AN_OBJECT: "x" + text}
-    return {_surrogate_free(k): _surrogate_free(c) for k, v in value.items() if (c := canonical_value(v)) is not None}
+    return {surrogate_free(k): surrogate_free(c) for k, v in value.items() if (c := canonical_value(v)) is not None}
 
 
 def json_fields(texts: pd.Series) -> pd.Series:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from geolith.operators.differences import compare_copies, difference_summary
-from geolith.operators.drift import field_changes, field_table, field_types, file_versions, fingerprints, migration_steps, unified_cells, unified_fields
+from geolith.operators.drift import SchemaHistory, unified_cells, unified_fields
 from geolith.operators.nearby import neighbourhood, points_near_points
 from geolith.operators.profile import ColumnRule, apply_deltas, attribute_issues, column_rules, counted_value, delivered_once, profile_metrics, value_deltas
 from geolith.plans.tables import table
@@ -40,24 +40,23 @@ def p4_near(spark: SparkSession, folder: str) -> DataFrame:
     return points_near_points(table(spark, folder, "survey_points"), 50.0)
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return field_changes(table(spark, folder, "schema_files"), table(spark, folder, "file_records"), Scratch(spark, "p5"))
+def _history(spark: SparkSession, folder: str) -> tuple[SchemaHistory, Scratch]:
+    scratch = Scratch(spark, "p5")
+    return SchemaHistory(spark, f"{scratch.root}/history").take(table(spark, folder, "schema_files"), table(spark, folder, "file_records"), scratch), scratch
 
 
-def _drift(spark: SparkSession, folder: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    cells = scratch.save(field_table(table(spark, folder, "file_records")))
-    return scratch.save(file_versions(table(spark, folder, "schema_files"))), cells, scratch.save(field_types(cells))
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _history(spark, folder)[0].steps.select("file_id", "issue_type", "field_name", "previous_name")
 
 
 def p5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    versions, _, types = _drift(spark, folder, Scratch(spark, "p5"))
-    return versions.join(fingerprints(types), "file_id").select("series_name", "file_seq", "file_id", "fields", "fingerprint")
+    return _history(spark, folder)[0].versions.select("series_name", "file_seq", "file_id", "version", "fields", "fingerprint")
 
 
 def p5_unified(spark: SparkSession, folder: str) -> DataFrame:
-    scratch = Scratch(spark, "p5")
-    versions, cells, types = _drift(spark, folder, scratch)
-    return unified_cells(cells, unified_fields(versions, types, migration_steps(versions, cells, types, scratch)))
+    history, scratch = _history(spark, folder)
+    names = scratch.save(unified_fields(history.versions, history.table("types"), history.steps))
+    return unified_cells(history.table("records"), names)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_profile, p4_found, p4_near, p5_found, p5_fingerprints, p5_unified)}

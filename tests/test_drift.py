@@ -1,6 +1,6 @@
 import json
 
-from geolith.operators.drift import field_changes, field_table, field_types, file_versions, fingerprints, migration_steps, unified_cells, unified_fields
+from geolith.operators.drift import SchemaHistory, field_changes, series_table, unified_cells, unified_fields
 
 FILES = "file_id long, series_name string, file_seq int, field string"
 RECORDS = "file_id long, record_no long, payload string, kind string"
@@ -59,17 +59,49 @@ def test_order_repeats_strangers_and_empty(spark, scratch):
     assert changes(spark, scratch, [(1, "s", 1), (2, "s", 2), (3, "s", 3)], [(1, 0, {"id": 1}), (3, 0, {"id": 1})]) == [(2, "removed", "id", ""), (3, "added", "id", "")]
 
 
+def history(spark, scratch, files, records):
+    kept = SchemaHistory(spark, f"{scratch.root}/kept").take(*tables(spark, files, records), scratch)
+    kept = SchemaHistory(spark, kept.path)  # opened again by its path
+    names = unified_fields(kept.versions, kept.table("types"), kept.steps)
+    return kept, names, unified_cells(kept.table("records"), names)
+
+
 def test_chained_renames_give_one_table(spark, scratch):
-    f, r = tables(spark, *series([{"id": i, "a": i, "k": 1} for i in range(4)], [{"id": i, "b": i, "k": 2} for i in range(4)], [{"id": i, "c": float(i), "k": "z"} for i in range(4)]))
-    cells = field_table(r).cache()
-    types, versions = field_types(cells), file_versions(f)
-    steps = migration_steps(versions, cells, types, scratch)
-    names = unified_fields(versions, types, steps)
-    out = unified_cells(cells, names)
-    assert {(x.file_id, x.field, x.type) for x in out.collect()} == {(n, k, t) for n in (1, 2, 3) for k, t in (("id", "integer"), ("c", "float"), ("k", "string"))}
+    kept, names, out = history(spark, scratch, *series([{"id": i, "a": i, "k": 1} for i in range(4)], [{"id": i, "b": i, "k": 2} for i in range(4)], [{"id": i, "c": float(i), "k": "z"} for i in range(4)]))
+    assert {(x.file_id, x.field, x.type, x.rule) for x in out.collect()} == {(n, k, t, "kept" if k != "k" or n == 3 else "cast") for n in (1, 2, 3) for k, t in (("id", "integer"), ("c", "float"), ("k", "string"))}
     assert sorted(x.value for x in out.where("field = 'c' and record_no = 2").collect()) == ["2", "2", "2"]
-    prints = {x.file_id: x.fingerprint for x in fingerprints(types).collect()}
-    assert len(set(prints.values())) == 3
+    versions = kept.versions.collect()
+    assert len({x.fingerprint for x in versions}) == 3 and sorted(x.version for x in versions) == [1, 2, 3]
+    assert {(x.from_fingerprint, x.to_fingerprint) for x in kept.steps.collect()} == {(x.previous_fingerprint, x.fingerprint) for x in versions if x.previous_id}
+    assert sorted(series_table(out, names, "s").collect())[0].asDict() == {"file_id": 1, "record_no": 0, "c": 0.0, "id": 0, "k": "1"}
+
+
+def test_casts_defaults_and_rejected_values(spark, scratch):
+    a = [{"id": 1, "n": "12", "f": "1.50", "b": "true", "gone": 1}, {"id": 2, "n": "x", "f": None}, {}]
+    b = [{"id": 1, "n": 3, "f": 2.5, "b": False, "new": "t"}]
+    _, _, out = history(spark, scratch, *series(a, b))
+    got = {(x.file_id, x.record_no, x.field): (x.type, x.value, x.rule, x.given) for x in out.collect()}
+    assert len(got) == 4 * 6
+    assert got[1, 0, "n"] == ("integer", "12", "cast", None) and got[1, 1, "n"] == ("integer", None, "rejected", "x")
+    assert got[1, 0, "f"] == ("float", "1.50", "cast", None) and got[1, 1, "f"] == ("float", None, "default", None)
+    assert got[1, 0, "b"] == ("boolean", "true", "cast", None) and got[2, 0, "b"] == ("boolean", "false", "kept", None)
+    assert got[1, 0, "new"] == ("string", None, "default", None) and got[2, 0, "gone"] == ("integer", None, "default", None)
+    assert all(got[1, 2, f][2] == "default" for f in ("id", "n", "f", "b", "gone", "new"))
+
+
+def test_a_name_taken_over_by_another_field(spark, scratch):
+    a = [{"id": i, "a": i, "b": f"t{i}"} for i in range(4)]
+    b = [{"id": i, "a": i} for i in range(4)]
+    c = [{"id": i, "b": i} for i in range(4)]
+    _, _, out = history(spark, scratch, *series(a, b, c))
+    got = {(x.file_id, x.field): x.value for x in out.where("record_no = 2 and rule <> 'default'").collect()}
+    assert got == {(1, "id"): "2", (1, "b"): "2", (1, "b#1"): "t2", (2, "id"): "2", (2, "b"): "2", (3, "id"): "2", (3, "b"): "2"}
+
+
+def test_equal_fingerprints_need_no_steps(spark, scratch):
+    kept, _, _ = history(spark, scratch, *series([{"id": 1, "x": 1}], [{"id": 9, "x": 7}], [{"id": 1, "y": 1}]))
+    assert [x.version for x in sorted(kept.versions.collect(), key=lambda x: x.file_id)] == [1, 1, 2]
+    assert sorted((x.file_id, x.issue_type) for x in kept.steps.collect()) == [(3, "added"), (3, "removed")]
 
 
 def test_unified_numbers_keep_every_digit(spark):
