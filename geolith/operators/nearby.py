@@ -1,12 +1,14 @@
 """Points near other points, and the regions that contain points.
 
-Regions: a trapezoidal decomposition. Each polygon's boundary is cut into vertical slabs at its vertices, and the
-edges over a slab are ordered by height.  Slabs are distributed by tiles of the plane; a point meets the slabs
-of its tile, and the number of edges below it, found by binary search, tells whether it is inside.
-
-Points: bands of latitude as high as the distance, cut into cells as wide as the distance reaches at the band's
-latitude, with wrap-around.  A point is compared with its own cell and half of the neighbours, so each pair is
-met once; cells are keys of an equi-join, so a crowded one can be split.
+Regions: a trapezoidal decomposition. Each polygon's boundary is cut into vertical slabs at its vertices and at the
+borders of the tiles, and the edges over a slab are ordered by height.  A tile holds, for each polygon, its slabs in
+order, and of each slab only the edges that reach into the tile and the number of those below it.  A point meets one row
+for each polygon of its tile; its slab and then its place among the slab's edges are found by binary search, in
+generated code, and the number of edges below it tells whether it is inside.
+
+Points: bands of latitude, twice as high as the distance, cut into cells twice as wide as the distance reaches at the
+band's latitude, with wrap-around.  A point is kept in its own cell, and in the neighbours to the west and south where
+it is within reach of them, so each pair is met once; cells are keys of an equi-join, so a crowded one can be split.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolith.geometry import wkt
+from geolith.storage import Scratch
 
 EARTH_RADIUS_M = 6_371_008.8
 TILE_DEGREES = 1.0
-SLABS = "region bigint, part int, x0 double, x1 double, y0 double, y1 double, edges array<struct<ax:double,ay:double,bx:double,by:double>>, walls array<struct<lo:double,hi:double>>"
+SLABS = "region bigint, part int, tx bigint, ty bigint, starts array<double>, slabs array<struct<x1:double,below:int,edges:array<struct<ax:double,ay:double,bx:double,by:double>>,walls:array<struct<lo:double,hi:double>>>>"
 
 
 def slabs_of(polygon):
@@ -63,23 +66,51 @@ def slabs_of(polygon):
             yield x0, x1, a[over[np.argsort(mid, kind="stable")]], sorted(walls.get(float(x0), ()))
 
 
-def decompose(batches):
-    """region, geometry -> SLABS rows. Null, empty and unreadable geometries, points and lines have no slabs."""
-    for batch in batches:
-        rows = []
-        for region, text in zip(batch["region"], batch["geometry"]):
-            try:
-                g = wkt.parse(text)
-            except wkt.BadGeometry:
+def tiles_of(polygon, tile: float):
+    """{(tx, ty): [(x0, x1, below, edges, walls)]}: the polygon's slabs by tile, from left to right; tiles that no inside reaches are left out."""
+    out: dict[tuple[int, int], list] = {}
+    for x0, x1, edges, walls in slabs_of(polygon):
+        slope = (edges[:, 3] - edges[:, 1]) / (edges[:, 2] - edges[:, 0])
+        for tx in range(math.floor(x0 / tile), math.ceil(x1 / tile)):
+            lo, hi = max(float(x0), tx * tile), min(float(x1), (tx + 1) * tile)
+            if lo >= hi:
                 continue
-            for part, polygon in enumerate(g.polygons):
-                if not all(math.isfinite(v) for ring in polygon for c in ring for v in c[:2]):
+            a, b = edges[:, 1] + (lo - edges[:, 0]) * slope, edges[:, 1] + (hi - edges[:, 0]) * slope
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            pad = 1e-9 * max(1.0, float(np.abs(low).max()), float(np.abs(high).max()))
+            for ty in range(math.floor((low.min() - pad) / tile), math.floor((high.max() + pad) / tile) + 1):
+                over, under = np.flatnonzero(high + pad >= ty * tile), np.flatnonzero(low - pad <= (ty + 1) * tile)
+                first, last = int(over[0]) if len(over) else len(edges), int(under[-1]) + 1 if len(under) else 0
+                if first % 2 == 0 and first >= last:
+                    continue
+                spans = [w for w in walls if w[0] <= (ty + 1) * tile and w[1] >= ty * tile] if lo == x0 else []
+                out.setdefault((tx, ty), []).append((lo, hi, first, edges[first:last], spans))
+    return out
+
+
+def decompose(tile: float):
+    """region, geometry -> SLABS rows. Null, empty and unreadable geometries, points and lines have no slabs."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for region, text in zip(batch["region"], batch["geometry"]):
+                try:
+                    g = wkt.parse(text)
+                except wkt.BadGeometry:
                     continue
-                for x0, x1, edges, walls in slabs_of(polygon):
-                    ends = np.concatenate((edges[:, 1] + (x0 - edges[:, 0]) * (edges[:, 3] - edges[:, 1]) / (edges[:, 2] - edges[:, 0]), edges[:, 1] + (x1 - edges[:, 0]) * (edges[:, 3] - edges[:, 1]) / (edges[:, 2] - edges[:, 0])))
-                    pad = 1e-9 * max(1.0, float(np.abs(ends).max()))
-                    rows.append((region, part, x0, x1, float(ends.min()) - pad, float(ends.max()) + pad, [dict(zip(("ax", "ay", "bx", "by"), map(float, x))) for x in edges], [{"lo": lo, "hi": hi} for lo, hi in walls]))
-        yield pd.DataFrame(rows, columns=["region", "part", "x0", "x1", "y0", "y1", "edges", "walls"])
+                for part, polygon in enumerate(g.polygons):
+                    if not all(math.isfinite(v) for ring in polygon for c in ring for v in c[:2]):
+                        continue
+                    for (tx, ty), slabs in tiles_of(polygon, tile).items():
+                        cells = [
+                            {"x1": x1, "below": below, "edges": [dict(zip(("ax", "ay", "bx", "by"), map(float, e))) for e in edges], "walls": [{"lo": lo, "hi": hi} for lo, hi in walls]}
+                            for _, x1, below, edges, walls in slabs
+                        ]
+                        rows.append((region, part, tx, ty, [x[0] for x in slabs], cells))
+            yield pd.DataFrame(rows, columns=["region", "part", "tx", "ty", "starts", "slabs"])
+
+    return run
 
 
 def _side(edge: Column, x: Column, y: Column) -> Column:
@@ -87,29 +118,25 @@ def _side(edge: Column, x: Column, y: Column) -> Column:
     return (edge["bx"] - edge["ax"]) * (y - edge["ay"]) - (edge["by"] - edge["ay"]) * (x - edge["ax"])
 
 
-def edges_below(edges: Column, x: Column, y: Column) -> Column:
-    """How many of the ordered edges are below the point, by binary search; null on an edge."""
-    start = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"), F.lit(False).alias("on"))
+def _search(df: DataFrame, at: str, most: int, goes_on) -> DataFrame:
+    """The rows with column ``at``: how many of the first elements of a sorted array goes_on(index) holds for, by binary search.
 
-    def step(state, _):
-        mid = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
-        side = _side(F.element_at(edges, mid + 1), x, y)
-        done = state["lo"] >= state["hi"]
-        return F.struct(
-            F.when(done | (side <= 0), state["lo"]).otherwise(mid + 1).alias("lo"),
-            F.when(done | (side > 0), state["hi"]).otherwise(mid).alias("hi"),
-            (state["on"] | F.when(done, F.lit(False)).otherwise(side == 0)).alias("on"),
-        )
-
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(edges).cast("double") + 1)).cast("int"))
-    end = F.aggregate(steps, start, step)
-    return F.when(~end["on"], end["lo"])
+    goes_on is null beyond the array's end. most: the longest array's length. One projection a step, so that every step is
+    evaluated once and all of them are generated code; the last one holds a value that is not deterministic, as a filter
+    on the result would else be pushed down with the whole nest of steps in it.
+    """
+    out = df.withColumn(at, F.lit(0))
+    for k in reversed(range(max(1, most).bit_length())):
+        out = out.withColumn(at, F.when(goes_on(F.col(at) + (1 << k) - 1), F.col(at) + (1 << k)).otherwise(F.col(at)))
+    return out.withColumn(at, F.when(F.monotonically_increasing_id() >= 0, F.col(at)))
 
 
-def region_slabs(regions: DataFrame, region: str = "region_id", geometry: str = "geometry_wkt") -> DataFrame:
-    """The slabs of all polygons. Rows that repeat a region's geometry have the same slabs once."""
+def region_slabs(regions: DataFrame, region: str = "region_id", geometry: str = "geometry_wkt", tile: float = TILE_DEGREES) -> DataFrame:
+    """The slabs of all polygons by tile. Rows that repeat a region's geometry have the same slabs once."""
     texts = regions.select(regions[region].cast("bigint").alias("region"), regions[geometry].alias("geometry")).where("region is not null and geometry is not null").distinct()
-    return texts.mapInPandas(decompose, SLABS)
+    # One task would decompose all polygons where their texts are small.
+    spread = texts.repartition(regions.sparkSession.sparkContext.defaultParallelism, "region")
+    return spread.mapInPandas(decompose(tile), SLABS)
 
 
 def points_in_regions(points: DataFrame, regions: DataFrame, *, point: str = "point_id", x: str = "longitude", y: str = "latitude", region: str = "region_id", geometry: str = "geometry_wkt", tile: float = TILE_DEGREES) -> DataFrame:
@@ -118,25 +145,29 @@ def points_in_regions(points: DataFrame, regions: DataFrame, *, point: str = "po
     Plane coordinates; holes are outside and so is the boundary.  Points with a null id, null or NaN coordinates are
     nowhere; so is everything where either table is empty.  tile is the side of the tiles slabs are spread by.
     """
-    slabs = region_slabs(regions, region, geometry)
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile))
-    tiled = slabs.withColumn("tx", F.explode(span("x0", "x1"))).withColumn("ty", F.explode(span("y0", "y1")))
+    slabs = Scratch(points.sparkSession, "slabs").save(region_slabs(regions, region, geometry, tile))
+    longest = slabs.agg(F.max(F.size("starts")).alias("slabs"), F.max(F.array_max(F.transform("slabs", lambda s: F.size(s["edges"])))).alias("edges")).first()  # two numbers
     at = points.select(points[point].cast("bigint").alias("left_id"), points[x].cast("double").alias("px"), points[y].cast("double").alias("py"))
     at = at.where("left_id is not null and px is not null and py is not null and not isnan(px) and not isnan(py)")
     at = at.withColumns({"tx": F.floor(F.col("px") / tile), "ty": F.floor(F.col("py") / tile)})
-    met = at.join(tiled, ["tx", "ty"]).where("px >= x0 and px < x1 and py >= y0 and py <= y1")
-    on_wall = (F.col("px") == F.col("x0")) & F.exists("walls", lambda w: (w["lo"] <= F.col("py")) & (F.col("py") <= w["hi"]))
-    inside = met.where(~on_wall).where(edges_below(F.col("edges"), F.col("px"), F.col("py")) % 2 == 1)
+    met = at.join(slabs, ["tx", "ty"]).select("left_id", "region", "px", "py", "starts", "slabs")
+    met = _search(met, "n", longest["slabs"] or 0, lambda i: F.get("starts", i) <= F.col("px")).where("n > 0")
+    met = met.select("left_id", "region", "px", "py", (F.get("starts", F.col("n") - 1) == F.col("px")).alias("left"), F.get("slabs", F.col("n") - 1).alias("s")).where("px < s.x1")
+    on_wall = F.col("left") & F.exists("s.walls", lambda w: (w["lo"] <= F.col("py")) & (F.col("py") <= w["hi"]))
+    met = met.where(~F.col("left") | ~on_wall).select("left_id", "region", "px", "py", "s.below", "s.edges")
+    side = lambda i: _side(F.get("edges", i), F.col("px"), F.col("py"))
+    met = _search(met, "m", longest["edges"] or 0, lambda i: side(i) > 0)
+    inside = met.where(((F.col("below") + F.col("m")) % 2 == 1) & ~F.coalesce(side(F.col("m")) == 0, F.lit(False)))
     return inside.select("left_id", F.col("region").alias("right_id")).distinct()
 
 
-def _cells(lat_band: Column, degrees: float, meters: float) -> tuple[Column, Column]:
-    """(number of cells in a band, reach in degrees of longitude within the band and the ones beside it)."""
+def _cells(lat_band: Column, height: float, meters: float) -> tuple[Column, Column]:
+    """(number of cells in a band, reach in degrees of longitude within the band and the ones beside it). Cells are two reaches wide at least."""
     reach = meters / (2 * EARTH_RADIUS_M)
-    top = F.least(F.lit(90.0), F.greatest(F.abs((lat_band - 1) * degrees - 90), F.abs((lat_band + 2) * degrees - 90)))
+    top = F.least(F.lit(90.0), F.greatest(F.abs((lat_band - 1) * height - 90), F.abs((lat_band + 2) * height - 90)))
     across = math.sin(reach) * (1 + 1e-9) / F.cos(F.radians(top))
     width = F.when(across < 1, F.degrees(2 * F.asin(across)) * (1 + 1e-9)).otherwise(F.lit(360.0))
-    return F.greatest(F.lit(1), F.floor(F.lit(360.0) / width)), width
+    return F.greatest(F.lit(1), F.floor(F.lit(180.0) / width)), width
 
 
 def points_near_points(points: DataFrame, meters: float, *, point: str = "point_id", longitude: str = "longitude", latitude: str = "latitude") -> DataFrame:
@@ -149,23 +180,30 @@ def points_near_points(points: DataFrame, meters: float, *, point: str = "point_
     if not 0 < meters < EARTH_RADIUS_M / 100:
         raise ValueError("the distance must be positive and small against the sphere")
     degrees = math.degrees(meters / EARTH_RADIUS_M) * (1 + 1e-9)
+    height = 2 * degrees
     at = points.select(points[point].cast("bigint").alias("id"), points[longitude].cast("double").alias("lon"), points[latitude].cast("double").alias("lat"))
     at = at.where("id is not null and lon between -180 and 180 and lat between -90 and 90").distinct()
-    at = at.withColumn("band", F.floor((F.col("lat") + 90) / degrees))
-    cell = lambda lon, n: F.pmod(F.floor((lon + 180) / 360 * n), n)
+    at = at.withColumn("band", F.floor((F.col("lat") + 90) / height))
     lon, band = F.col("lon"), F.col("band")
-    own_n, _ = _cells(band, degrees, meters)
-    south_n, south_reach = _cells(band - 1, degrees, meters)
-    own = cell(lon, own_n)
-    # Kept in its own cell and the one west of it, and in the band to the south wherever its reach goes; looked up in the own cell only.
-    same = F.transform(F.array(own, F.pmod(own - 1, own_n)), lambda c: F.struct(band.alias("b"), c.alias("c")))
-    south = F.transform(F.array(*[cell(lon + k * south_reach, south_n) for k in (-1, 0, 1)]), lambda c: F.struct((band - 1).alias("b"), c.alias("c")))
-    kept = at.select(F.struct("id", "lon", "lat").alias("r"), F.explode(F.array_distinct(F.concat(same, south))).alias("k")).select("r", F.col("k.b").alias("band"), F.col("k.c").alias("cell"))
-    seek = at.select(F.struct("id", "lon", "lat").alias("l"), "band", own.alias("cell"))
+    for name, of in (("own", band), ("south", band - 1)):
+        n, width = _cells(of, height, meters)
+        at = at.withColumns({name + "_n": n, name + "_reach": width})
+    place = lambda lon, n: (lon + 180) / 360 * F.col(n)
+    cell = lambda lon, n: F.pmod(F.floor(place(lon, n)), F.col(n))
+    at = at.withColumns({"own": cell(lon, "own_n"), "offset": (place(lon, "own_n") - F.floor(place(lon, "own_n"))) * 360 / F.col("own_n")})
+    at = at.withColumns({"s1": cell(lon - F.col("south_reach"), "south_n"), "s2": cell(lon + F.col("south_reach"), "south_n")})
+    # Kept in its own cell, in the one west of it and in those of the band to the south, where they are within reach; looked up in its own cell only.
+    key = lambda b, c: F.struct(b.alias("b"), c.alias("c"))
+    west = (F.col("own_n") > 1) & (F.col("offset") <= F.col("own_reach") * (1 + 1e-9))
+    south = F.col("lat") + 90 - band * height <= degrees * (1 + 1e-6)
+    away = F.array(F.when(west, key(band, F.pmod(F.col("own") - 1, F.col("own_n")))), F.when(south, key(band - 1, F.col("s1"))), F.when(south & (F.col("s1") != F.col("s2")), key(band - 1, F.col("s2"))), key(band, F.col("own")))
+    kept = at.select(F.struct("id", "lon", "lat").alias("r"), "band", F.posexplode(away).alias("i", "k")).where("k is not null").select("r", F.col("k.b").alias("band"), F.col("k.c").alias("cell"), (F.col("i") == 3).alias("home"))
+    seek = at.select(F.struct("id", "lon", "lat").alias("l"), "band", F.col("own").alias("cell"))
     half = lambda a, b: F.pow(F.sin(F.radians(a - b) / 2), F.lit(2))
     h = half(F.col("l.lat"), F.col("r.lat")) + F.cos(F.radians("l.lat")) * F.cos(F.radians("r.lat")) * half(F.col("l.lon"), F.col("r.lon"))
     close = 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(F.lit(1.0), h))) <= meters
-    met = seek.join(kept, ["band", "cell"]).where((F.col("l.id") != F.col("r.id")) & close)
+    once = F.when(F.col("home"), F.col("l.id") < F.col("r.id")).otherwise(F.col("l.id") != F.col("r.id"))
+    met = seek.join(kept, ["band", "cell"]).where(once & (F.abs(F.col("l.lat") - F.col("r.lat")) <= degrees * (1 + 1e-6)) & close)
     return met.select(F.least("l.id", "r.id").alias("left_id"), F.greatest("l.id", "r.id").alias("right_id")).distinct()
 
 
