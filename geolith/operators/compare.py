@@ -6,28 +6,29 @@ import math
 from collections.abc import Mapping
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geolith.geometry import overlay, wkb, wkt
+from geolith.geometry.batch import of_pairs, similarities_of
 from geolith.geometry.exact import topologically_equal
-from geolith.geometry.measure import similarities
-from geolith.operators.tiles import Cache, likely_pairs, prepared, require, saved, with_shapes
+from geolith.operators.tiles import likely_pairs, prepared, require, saved, with_shapes
 from geolith.storage import Scratch
 
 
+THIRDS = (1 / 3, 1 / 3, 1 / 3)
+
+
 def _score(least: float):
     def run(batches):
-        shape = Cache()
         for batch in batches:
-            rows = []
-            for l, r, lw, rw in zip(batch["l"], batch["r"], batch["lw"], batch["rw"]):
-                value = sum(similarities(shape(lw), shape(rw))) / 3
-                if value >= least:
-                    equal = lw == rw or (value > 1 - 1e-6 and topologically_equal(wkt.dump(wkb.load(lw)), wkt.dump(wkb.load(rw))))
-                    rows.append((l, r, value, equal))
-            yield pd.DataFrame(rows, columns=["l", "r", "score", "equal"])
+            flat, l, r = of_pairs(batch["l"], batch["r"], batch["lw"], batch["rw"], False)
+            value = similarities_of(flat, l, r, THIRDS, least).sum(1) / 3
+            kept, value = batch[value >= least], value[value >= least]
+            equal = [lw == rw or (v > 1 - 1e-6 and topologically_equal(wkt.dump(wkb.load(lw)), wkt.dump(wkb.load(rw)))) for lw, rw, v in zip(kept["lw"], kept["rw"], value)]
+            yield pd.DataFrame({"l": kept["l"].to_numpy(), "r": kept["r"].to_numpy(), "score": value, "equal": np.array(equal, dtype=bool)})
 
     return run
 
@@ -63,7 +64,7 @@ def compare_features(spark: SparkSession, left: DataFrame, right: DataFrame, mat
     a, b = saved(prepared(left, geometry=geometry)), saved(prepared(right, geometry=geometry))
     require(a)
     require(b)
-    scored = with_shapes(likely_pairs(a, b, 0.0, (1 / 3, 1 / 3, 1 / 3), match_threshold), a, b).mapInPandas(_score(match_threshold), "l bigint, r bigint, score double, equal boolean")
+    scored = with_shapes(likely_pairs(a, b, 0.0, THIRDS, match_threshold), a, b).mapInPandas(_score(match_threshold), "l bigint, r bigint, score double, equal boolean")
     matched = match_once(spark, scored)
     if attributes:
         empty = F.create_map().cast("map<string,string>")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolith.geometry import wkb, wkt
+from geolith.geometry.batch import of_pairs, similarities_of
 from geolith.geometry.exact import topologically_equal
-from geolith.geometry.measure import similarities
-from geolith.operators.tiles import Cache, envelope_pairs, likely_pairs, prepared, require, saved, with_shapes
+from geolith.operators.tiles import envelope_pairs, likely_pairs, prepared, require, saved, with_shapes
 
 PAIR = "left_index bigint, right_index bigint, similarity double, iou double, hausdorff_similarity double, shape_similarity double, exact boolean"
 TIE = 1e-12
@@ -41,16 +42,14 @@ class DuplicateConfig:
 
 def scores(config: DuplicateConfig):
     def run(batches):
-        shape = Cache()
         for batch in batches:
-            rows = []
-            for l, r, lw, rw in zip(batch["l"], batch["r"], batch["lw"], batch["rw"]):
-                parts = similarities(shape(lw), shape(rw))
-                value = sum(w * p for w, p in zip(config.weights, parts))
-                if value + TIE >= config.similarity_threshold:
-                    equal = lw == rw or (value > 1 - 1e-6 and topologically_equal(wkt.dump(wkb.load(lw)), wkt.dump(wkb.load(rw))))
-                    rows.append((l, r, value, *parts, equal))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAIR.split(", ")])
+            flat, l, r = of_pairs(batch["l"], batch["r"], batch["lw"], batch["rw"], True)
+            parts = similarities_of(flat, l, r, config.weights, config.similarity_threshold)
+            value = parts @ np.array(config.weights)
+            keep = value + TIE >= config.similarity_threshold
+            kept, value, parts = batch[keep], value[keep], parts[keep]
+            equal = [lw == rw or (v > 1 - 1e-6 and topologically_equal(wkt.dump(wkb.load(lw)), wkt.dump(wkb.load(rw)))) for lw, rw, v in zip(kept["lw"], kept["rw"], value)]
+            yield pd.DataFrame(dict(zip([c.split()[0] for c in PAIR.split(", ")], (kept["l"].to_numpy(), kept["r"].to_numpy(), value, *parts.T, np.array(equal, dtype=bool)))))
 
     return run
 

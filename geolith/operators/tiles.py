@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolith.geometry import wkb, wkt
+from geolith.geometry.batch import Flat, as_wkb, read_plain
 from geolith.geometry.measure import Shape
 from geolith.storage import Scratch
 
@@ -29,21 +31,38 @@ def read_geometry(value) -> wkt.Geom | None:
     return wkt.parse(value) if isinstance(value, str) else wkb.load(value)
 
 
+SHAPE_NAMES = [c.split()[0] for c in SHAPES.split(", ")]
+
+
+def _prepare_others(indices, values):
+    """Rows of SHAPES, one by one."""
+    rows = []
+    for index, value in zip(indices, values):
+        try:
+            g = read_geometry(value)
+        except wkt.BadGeometry as error:
+            rows.append((index, None, None, None, None, None, None, None, None, str(error)))
+            continue
+        if g is None or g.empty:
+            rows.append((index, None if g is None else wkb.dump(g), None if g is None else g.kind, 0.0, 0.0, None, None, None, None, "null" if g is None else "empty"))
+            continue
+        s = Shape(g)
+        rows.append((index, wkb.dump(g), g.kind, s.area, s.length, *map(float, s.bounds), None))
+    return pd.DataFrame(rows, columns=SHAPE_NAMES)
+
+
 def _prepare(batches):
     for batch in batches:
-        rows = []
-        for index, value in zip(batch["feature_index"], batch["geometry"]):
-            try:
-                g = read_geometry(value)
-            except wkt.BadGeometry as error:
-                rows.append((index, None, None, None, None, None, None, None, None, str(error)))
-                continue
-            if g is None or g.empty:
-                rows.append((index, None if g is None else wkb.dump(g), None if g is None else g.kind, 0.0, 0.0, None, None, None, None, "null" if g is None else "empty"))
-                continue
-            s = Shape(g)
-            rows.append((index, wkb.dump(g), g.kind, s.area, s.length, *map(float, s.bounds), None))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in SHAPES.split(", ")])
+        values = batch["geometry"].tolist()
+        at, polygon, n, xy = read_plain(values)
+        if len(at):
+            flat = Flat(xy, n, polygon, {}, np.arange(len(at)), len(at))
+            kinds = np.where(polygon, "POLYGON", "LINESTRING").astype(object)
+            yield pd.DataFrame(dict(zip(SHAPE_NAMES, (batch["feature_index"].to_numpy()[at], as_wkb(xy, n, polygon), kinds, flat.area, flat.length, *flat.bounds.T, None))))
+        if len(at) < len(values):
+            rest = np.ones(len(values), dtype=bool)
+            rest[at] = False
+            yield _prepare_others(batch["feature_index"][rest], batch["geometry"][rest])
 
 
 def prepared(features: DataFrame, index: str = "feature_index", geometry: str = "geometry") -> DataFrame:

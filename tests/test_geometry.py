@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from geolith.geometry import overlay, wkb, wkt
+from geolith.geometry import batch, overlay, wkb, wkt
 from geolith.geometry.exact import topologically_equal
 from geolith.geometry.measure import Shape, distance, hausdorff, intersects, overlay_areas, similarities
 from geolith.geometry.repair import RepairConfig, repair, snapped
@@ -182,3 +182,48 @@ def test_hausdorff_is_symmetric():
     a, b = shape("LINESTRING (0 0,4 0)"), shape("LINESTRING (0 1,2 3,4 1)")
     assert hausdorff(a, b) == hausdorff(b, a) == 3
     assert np.isfinite(hausdorff(a, shape("POINT (0 0)")))
+
+
+def batch_texts():
+    rng, out = random.Random(8), []
+    for k in range(60):
+        x, y, size = rng.uniform(0, 20), rng.uniform(0, 20), rng.uniform(1, 8)
+        turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(rng.randint(3, 60 if k % 9 == 0 else 11)))
+        ring = [(x + size * rng.uniform(0.5, 1) * math.cos(t), y + size * rng.uniform(0.5, 1) * math.sin(t)) for t in turns]
+        out.append("POLYGON ((" + ", ".join(f"{a!r} {b!r}" for a, b in [*ring, ring[0]]) + "))")
+    for k in range(12):
+        x, y, w, h = rng.randint(0, 9), rng.randint(0, 9), rng.randint(1, 4), rng.randint(1, 4)
+        out.append(f"POLYGON (({x} {y}, {x + w} {y}, {x + w} {y + h}, {x} {y + h}, {x} {y}))")
+        out.append(f"LINESTRING ({x} {y}, {x + w} {y}, {x + w} {y + h})")
+    return [
+        *out, "LINESTRING (0 0, 10 0)", "LINESTRING (0 0, 10 0, 0 0)", "MULTILINESTRING ((0 0, 4 0), (2 0, 10 0))", "LINESTRING (5 5, 5 5)", "POINT (5 5)", "MULTIPOINT ((5 5), (6 6))", "POINT (5 5)",
+        "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (2 2, 2 6, 6 6, 6 2, 2 2))", "MULTIPOLYGON (((0 0, 3 0, 3 3, 0 3, 0 0)), ((5 5, 8 5, 8 8, 5 5)))", "POLYGON ((0 0, 4 4, 4 0, 0 4, 0 0))", "POLYGON ((1 1, 1 1, 5 1, 5 5, 5 5, 1 1))",
+        "GEOMETRYCOLLECTION (POINT (1 2), LINESTRING (0 0, 3 3))", "POLYGON ((3 3, 3 3, 3 3, 3 3))",
+    ]
+
+
+def test_scores_of_a_batch_are_those_of_single_pairs():
+    shapes = [wkt.parse(t) for t in batch_texts()]
+    single = [Shape(g) for g in shapes]
+    flat = batch.Flat.load([wkb.dump(g) for g in shapes])
+    assert np.allclose(flat.area, [s.area for s in single]) and np.allclose(flat.length, [s.length for s in single]) and np.array_equal(flat.bounds, [s.bounds for s in single])
+    l, r = (x.ravel() for x in np.meshgrid(np.arange(len(shapes)), np.arange(len(shapes)), indexing="ij"))
+    meet = (flat.bounds[l, :2] <= flat.bounds[r, 2:]).all(1) & (flat.bounds[r, :2] <= flat.bounds[l, 2:]).all(1)
+    l, r = l[meet], r[meet]
+    weights = (0.45, 0.35, 0.20)
+    expected = np.array([similarities(single[i], single[j]) for i, j in zip(l, r)])
+    assert np.abs(batch.similarities_of(flat, l, r, weights, 0.0) - expected).max() < 1e-12
+    bounded = batch.similarities_of(flat, l, r, weights, 0.8) @ weights
+    assert np.array_equal(bounded >= 0.8 - 1e-12, expected @ weights >= 0.8 - 1e-12)
+
+
+def test_plain_texts_are_read_as_the_parser_does():
+    texts = [*batch_texts(), "polygon((0 0,1 0,1 1,0 0))", " LineString ( 1e1 -2.5 , 3 4 ) ", "POLYGON ((0 0, 1 0, 1 1))", "LINESTRING (0 0)", "LINESTRING (0 0 1, 1 1 1)", "POLYGON (0 0, 1 0, 1 1, 0 0)", "LINESTRING ((0 0, 1 1))", "POLYGON EMPTY", "LINESTRING (nan 0, 1 1)", "LINESTRING (a b, 1 1)", None, b"x"]
+    rows, polygon, n, xy = batch.read_plain(texts)
+    for row, is_polygon, path in zip(rows, polygon, np.split(xy, np.cumsum(n)[:-1])):
+        g = wkt.parse(texts[row])
+        assert np.array_equal(path, (g.polygons[0][0] if is_polygon else g.lines[0])) and len(list(g.paths())) == 1
+        assert batch.as_wkb(path, np.array([len(path)]), np.array([is_polygon])) == [wkb.dump(g)]
+    left_out = set(range(len(texts))) - set(rows.tolist())
+    assert all(not isinstance(texts[k], str) or texts[k].startswith(("POINT", "MULTI", "GEOM")) or k >= len(batch_texts()) or "), (" in texts[k] for k in left_out)
+    assert len(batch.read_plain([])[0]) == 0
