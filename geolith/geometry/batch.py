@@ -411,9 +411,12 @@ def similarities_of(f: Flat, l: np.ndarray, r: np.ndarray, weights: tuple[float,
         rest[at[big]] = True
         at = at[~big]
         a, b, both = common_areas(f, l[at], r[at]).T
-        touching = both <= TOUCH * np.minimum(la[at], ra[at])
-        rest[at[touching]] = True
+        touching = np.flatnonzero(both <= TOUCH * np.minimum(la[at], ra[at]))
+        both[touching] = 0
         union = a + b - both
+        if len(touching):  # then the length of the common boundary counts
+            both[touching], sure = common_lengths(f, l[at[touching]], r[at[touching]])
+            rest[at[touching[~sure]]] = True
         overlap[at] = np.clip(np.where(union > 0, both / np.where(union > 0, union, 1), 0), 0, 1)
     if linear.any():
         at = np.flatnonzero(linear)
