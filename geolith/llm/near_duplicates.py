@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolith.geometry import wkb, wkt
-from geolith.geometry.measure import Shape, dissolved_length, signed_area, similarities
+from geolith.geometry.batch import Flat, as_wkb, dissolved_lengths, of_pairs, read_plain, settled_lines, settled_rings, similarities_of
+from geolith.geometry.measure import Shape, dissolved_length, signed_area
 from geolith.operators.tiles import similarity_bound
 from geolith.storage import Scratch
 
@@ -39,6 +40,7 @@ ROUNDING = 1e-12
 SLACK = 1e-9
 
 FEATURE = "feature_index bigint, shape binary, area double, length double, dissolved double, x0 double, y0 double, x1 double, y1 double"
+FEATURE_NAMES = [c.split()[0] for c in FEATURE.split(", ")]
 
 
 def _ring(path, outer: bool):
@@ -71,44 +73,58 @@ def one_writing(g: wkt.Geom) -> wkt.Geom:
     lines = sorted((_line(x) for x in g.lines), key=lambda x: x.tobytes())
     points = sorted({(float(p[0]) + 0.0, float(p[1]) + 0.0) for p in g.points})
     kinds = [("MULTIPOINT", points), ("MULTILINESTRING", lines), ("MULTIPOLYGON", polygons)]
+    if not points and len(lines) + len(polygons) == 1:
+        return wkt.Geom("POLYGON" if polygons else "LINESTRING", lines=lines, polygons=polygons)
     parts = [wkt.Geom(k, **{f: v}) for (k, v), f in zip(kinds, ("points", "lines", "polygons")) if v]
     return parts[0] if len(parts) == 1 else wkt.collect(parts)
 
 
+def _described(index, texts):
+    """FEATURE rows of geometries that are not plain, one by one."""
+    rows = []
+    for i, text in zip(index, texts):
+        try:
+            g = wkt.parse(text)
+        except wkt.BadGeometry:
+            continue
+        if g.empty or not all(math.isfinite(v) for c in g.coords() for v in c[:2]):
+            continue
+        g = one_writing(g)
+        s = Shape(g)
+        rows.append((i, wkb.dump(g), s.area, s.length, s.length if s.area > 0 else dissolved_length(s.segments), *map(float, s.bounds)))
+    return pd.DataFrame(rows, columns=FEATURE_NAMES)
+
+
 def describe(batches):
-    """feature_index, geometry_wkt -> FEATURE rows; null, empty and unreadable geometries and coordinates that are not finite are left out."""
+    """feature_index, geometry_wkt -> FEATURE rows; null, empty and unreadable geometries and coordinates that are not finite are left out.
+
+    Plain polygons and lines are settled and measured all at once; a part of another kind has the writing its whole has.
+    """
     for batch in batches:
-        rows = []
-        for index, text in zip(batch["feature_index"], batch["geometry_wkt"]):
-            try:
-                g = wkt.parse(text)
-            except wkt.BadGeometry:
-                continue
-            if g.empty or not all(math.isfinite(v) for c in g.coords() for v in c[:2]):
-                continue
-            g = one_writing(g)
-            s = Shape(g)
-            rows.append((index, wkb.dump(g), s.area, s.length, s.length if s.area > 0 else dissolved_length(s.segments), *map(float, s.bounds)))
-        yield pd.DataFrame(rows, columns=["feature_index", "shape", "area", "length", "dissolved", "x0", "y0", "x1", "y1"])
+        index, texts = batch["feature_index"].to_numpy(), batch["geometry_wkt"].tolist()
+        at, polygon, n, xy = read_plain(texts)
+        if len(at):
+            paths = []
+            for is_polygon, settle in ((True, settled_rings), (False, settled_lines)):
+                some = polygon == is_polygon
+                if some.any():
+                    path, counts = settle(xy[np.repeat(some, n)], n[some])
+                    flat = Flat(path, counts, np.full(len(counts), is_polygon), {}, np.arange(len(counts)), len(counts))
+                    once = np.where(flat.area > 0, flat.length, dissolved_lengths(flat, np.arange(len(counts)))) if not is_polygon or (flat.area == 0).any() else flat.length
+                    paths.append(pd.DataFrame(dict(zip(FEATURE_NAMES, (index[at[some]], as_wkb(path, counts, polygon[some]), flat.area, flat.length, once, *flat.bounds.T)))))
+            yield pd.concat(paths)
+        if len(at) < len(texts):
+            rest = np.ones(len(texts), dtype=bool)
+            rest[at] = False
+            yield _described(index[rest], batch["geometry_wkt"][rest])
 
 
 def score(batches, least: float):
     """l, r, lw, rw -> the pairs that reach the similarity."""
-    shapes: dict[int, Shape] = {}
-
-    def shape(index, data):
-        if index not in shapes:
-            if len(shapes) >= 4096:
-                shapes.clear()
-            shapes[index] = Shape(wkb.load(data))
-        return shapes[index]
-
     for batch in batches:
-        keep = []
-        for l, r, lw, rw in zip(batch["l"], batch["r"], batch["lw"], batch["rw"]):
-            parts = similarities(shape(l, lw), shape(r, rw))
-            keep.append(sum(w * p for w, p in zip(WEIGHTS, parts)) + ROUNDING >= least)
-        yield batch.loc[np.asarray(keep, bool), ["l", "r"]]
+        flat, l, r = of_pairs(batch["l"], batch["r"], batch["lw"], batch["rw"], True)
+        value = similarities_of(flat, l, r, WEIGHTS, least) @ np.array(WEIGHTS)
+        yield batch.loc[value + ROUNDING >= least, ["l", "r"]]
 
 
 def _chunks(x: Column, y: Column, m: Column, kind: Column, level: Column, tx: Column, ty: Column, chunk: int, errors: bool) -> Column:

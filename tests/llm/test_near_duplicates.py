@@ -124,3 +124,20 @@ def test_repeated_stretches_and_points_without_length(spark, scratch):
     expected = brute(rows)
     assert {(1, 2), (1, 3), (1, 4), (1, 5), (8, 9)} <= set(expected) and (6, 7) not in expected
     assert pairs(spark, scratch, [(i, g, T0) for i, g in rows]) == expected
+
+
+def test_plain_writing_is_settled_as_the_rest(spark):
+    from geolith.geometry import wkb
+    from geolith.llm.near_duplicates import FEATURE, describe, one_writing
+
+    rng, texts = random.Random(11), ["POLYGON ((1 1, 1 1, 5 1, 5 5, 1 5, 1 1))", "POLYGON ((0 0, 4 4, 4 0, 0 4, 0 0))", "POLYGON ((0 0, 2 2, 4 4, 2 2, 0 0))", "POLYGON ((3 3, 3 3, 3 3, 3 3))", "POLYGON ((0 0, 2 1, 4 0, 0 0, 2 3, 0 0))", "LINESTRING (5 5, 5 5)", "LINESTRING (-0 0, 1 1, 1 1)", "LINESTRING (3 3, 1 0, 3 3)", "LINESTRING (0 5, 0 2, 1 9, 0 2, 0 4)"]
+    for _ in range(60):
+        points = [(rng.randint(0, 3), rng.randint(0, 3)) for _ in range(rng.randint(3, 8))]
+        texts += [polygon(points), polygon(points[::-1]), "LINESTRING (" + ", ".join(f"{x} {y}" for x, y in points) + ")"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "feature_index long, geometry_wkt string").coalesce(1)
+    got = {r.feature_index: r for r in frame.mapInPandas(describe, FEATURE).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        g = one_writing(wkt.parse(text))
+        assert bytes(got[i].shape) == wkb.dump(g), text
+        assert math.isclose(got[i].area, Shape(g).area, abs_tol=1e-9) and math.isclose(got[i].length, Shape(g).length)
