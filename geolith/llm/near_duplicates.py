@@ -110,7 +110,8 @@ def describe(batches):
                 if some.any():
                     path, counts = settle(xy[np.repeat(some, n)], n[some])
                     flat = Flat(path, counts, np.full(len(counts), is_polygon), {}, np.arange(len(counts)), len(counts))
-                    once = np.where(flat.area > 0, flat.length, dissolved_lengths(flat, np.arange(len(counts)))) if not is_polygon or (flat.area == 0).any() else flat.length
+                    once, bare = flat.length.copy(), np.flatnonzero(flat.area == 0)
+                    once[bare] = dissolved_lengths(flat, bare)
                     paths.append(pd.DataFrame(dict(zip(FEATURE_NAMES, (index[at[some]], as_wkb(path, counts, polygon[some]), flat.area, flat.length, once, *flat.bounds.T)))))
             yield pd.concat(paths)
         if len(at) < len(texts):
@@ -127,18 +128,18 @@ def score(batches, least: float):
         yield batch.loc[value + ROUNDING >= least, ["l", "r"]]
 
 
-def _chunks(x: Column, y: Column, m: Column, kind: Column, level: Column, tx: Column, ty: Column, chunk: int, errors: bool) -> Column:
-    """Keys of one chunk: alternate bits of the three codes, as the counts of ones that unary codes are; with one wrong bit where errors."""
-    half = lambda v: (v + (1 - chunk)) / F.lit(2)
-    u = [F.floor(half(x)), F.floor(half(y)), F.floor(half(m)) % MEASURE_BITS]
+def _chunks(x: Column, y: Column, m: Column, tile: Column, chunk: int, errors: bool) -> list[Column]:
+    """Keys of one chunk: alternate bits of the three codes, as the counts of ones that unary codes are, with the tile's hash; with one wrong bit where errors."""
+    half = lambda v: F.shiftright(v + (1 - chunk), 1)
+    u = [half(x), half(y), half(m)]
     steps = [(0, 0, 0)] + ([(i * s, j * s, k * s) for s in (1, -1) for i, j, k in ((1, 0, 0), (0, 1, 0), (0, 0, 1))] if errors else [])
-    keys = [F.xxhash64(kind, level, tx, ty, F.lit(chunk), u[0] + i, u[1] + j, (u[2] + k + MEASURE_BITS) % MEASURE_BITS) for i, j, k in steps]
-    return F.array(*keys)
+    place = lambda i, j, k: F.lit(chunk << 12).cast("bigint") + (u[0] + (i + 1)) * 256 + (u[1] + (j + 1)) * 16 + (u[2] + (k + MEASURE_BITS)) % MEASURE_BITS
+    return [tile.bitwiseXOR(place(*step)) for step in steps]
 
 
 def signature(x: Column, y: Column, m: Column) -> Column:
     """The bits: unary codes of x and y (0 to 6), cyclic unary code of m (0 to 2 * MEASURE_BITS - 1)."""
-    unary = lambda v: F.expr("1").cast("bigint") * (F.pow(F.lit(2.0), v).cast("bigint") - 1)
+    unary = lambda v: F.call_function("shiftleft", F.lit(1).cast("bigint"), v.cast("int")) - 1
     full = (1 << MEASURE_BITS) - 1
     cyclic = F.when(m <= MEASURE_BITS, unary(m)).otherwise(F.lit(full).cast("bigint") - unary(m - MEASURE_BITS))
     return unary(x) + unary(y) * (1 << 8) + cyclic * (1 << 16)
@@ -150,36 +151,45 @@ def candidate_pairs(shapes: DataFrame, scratch: Scratch, least: float) -> DataFr
     if overlap <= 0 or 1 - (1 - least) / WEIGHTS[1] <= 0:
         raise ValueError("below this similarity neither overlap nor distance is bounded")
     sized = shapes.withColumn("d", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).where("d > 0")
-    # Overlap is bounded by measures of one kind only: areas with areas, lengths with lengths. A line in a polygon, or two
-    # polygons that only touch, overlap by a length against an area; that needs a polygon of less area than this.
-    longest = sized.where("area <= 0").agg(F.coalesce(F.max("length"), F.lit(0.0)).alias("longest"))
-    sized = sized.crossJoin(F.broadcast(longest))  # one row
-    thin = F.col("area") <= F.greatest(F.col("length"), F.col("longest")) / overlap
-    crossed = F.col("area") <= F.col("longest") / overlap
+    sized = sized.withColumn("home", F.floor(F.log2("d")) + 1)
+    # Overlap is bounded by measures of one kind only: areas with areas, lengths with lengths. Polygons that only touch overlap by
+    # a part of either boundary against both areas, so each has less area than its own boundary allows. A line in a polygon
+    # overlaps by its length against the area: the polygon has less area than the longest line it can meet allows, that of the
+    # levels beside its own, or for pairs of unlike diagonals that of all.
+    lines = sized.where("area <= 0").groupBy("home").agg(F.max("length").alias("length"))
+    beside_longest = lines.select(F.explode(F.array(*[F.col("home") + k for k in (-1, 0, 1)])).alias("home"), "length").groupBy("home").agg(F.max("length").alias("longest_near"))
+    longest = lines.agg(F.coalesce(F.max("length"), F.lit(0.0)).alias("longest"))
+    sized = sized.crossJoin(F.broadcast(longest)).join(F.broadcast(beside_longest), "home", "left")  # one row, and one for each binary order of magnitude
+    thin = F.col("area") <= F.col("length") / overlap
+    crossed = F.coalesce(F.col("area") <= F.col("longest_near") / overlap, F.lit(False))
+    crossed_far = F.col("area") <= F.col("longest") / overlap
     # Where one diagonal is more than twice the other, the Hausdorff distance is at least 1 / (4 sqrt 2) of the common one, so the
     # shape term bounds the measures of all kinds.
     apart = 2 * (least - WEIGHTS[0] - WEIGHTS[1] * (1 - 1 / math.sqrt(32))) / WEIGHTS[2] - 1
     steps = lambda column, least_ratio: F.floor(F.log(column) / (max(math.log(1 / least_ratio), 1e-6) * (1 + SLACK)))
     measure = F.when(F.col("area") > 0, F.col("area")).otherwise(F.col("length"))
     far = steps(measure, apart) if apart > 0 else F.lit(0).cast("bigint")
-    based = sized.withColumn("home", F.floor(F.log2("d")) + 1)
 
-    def placed(zero, line, area, touching, across):
+    def placed(zero, line, area, touching, across, across_far):
         """A row for each kind the feature takes part in. Kinds: points 0, lines 1, areas 2, touching areas 3, lines in areas 4 and 5 by who is the guest; 10 more for the far ones of these."""
-        listed = lambda kinds: F.array(*[F.lit(k) for k in kinds]).cast("array<int>")
-        areas = F.concat(listed(area), F.when(thin, listed(touching)).otherwise(listed(())), F.when(crossed, listed(across)).otherwise(listed(())))
-        kinds = F.when(F.col("area") > 0, areas).when(F.col("length") > 0, listed(line)).otherwise(listed(zero))
-        out = based.withColumn("kind", F.explode(kinds))
+        when = lambda condition, kinds: [F.when(condition, F.lit(k)) for k in kinds]
+        is_area, is_line = F.col("area") > 0, F.col("length") > 0
+        kinds = when(is_area, area) + when(is_area & thin, touching) + when(is_area & crossed, across) + when(is_area & crossed_far, across_far) + when(~is_area & is_line, line) + when(~is_area & ~is_line, zero)
+        out = sized.withColumn("kind", F.explode(F.array(*kinds))).where("kind is not null")
         alike = F.when(F.col("kind") == 1, steps(F.col("dissolved"), overlap)).when(F.col("kind") == 2, steps(F.col("area"), overlap))
         return out.withColumn("step", F.when(F.col("kind").isin(1, 2), alike).when(F.col("kind") > 10, far).otherwise(F.lit(0).cast("bigint")))
 
-    natives = placed((0,), (1, 4, 14), (2,), (3, 13), (5, 15)).withColumn("level", F.col("home"))
-    beside = placed((0,), (1,), (2,), (3,), (4,)).withColumn("level", F.col("home"))
-    above = placed((), (1, 5), (2,), (3,), (4,)).withColumn("level", F.col("home") + 1)
+    natives = placed((0,), (1, 4, 14), (2,), (3, 13), (5,), (15,)).withColumn("level", F.col("home"))
+    beside = placed((0,), (1,), (2,), (3,), (4,), ()).withColumn("level", F.col("home"))
+    above = placed((), (1, 5), (2,), (3,), (4,), ()).withColumn("level", F.col("home") + 1)
     # At most one row for each kind and order of magnitude of measure and size.
-    homes = natives.where("kind in (1, 2) or kind > 10").select("kind", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step"), "level").groupBy("kind", "step").agg(F.collect_set("level").alias("levels"))
-    upward = placed((), (1, 15), (2,), (13,), (14,)).join(F.broadcast(homes), ["kind", "step"])
+    around_step = F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step")
+    homes = natives.where("kind in (1, 2) or kind > 10").select("kind", around_step, "level").groupBy("kind", "step").agg(F.collect_set("level").alias("levels"))
+    upward = placed((), (1, 15), (2,), (13,), (), (14,)).join(F.broadcast(homes), ["kind", "step"])
     upward = upward.withColumn("level", F.explode(F.filter("levels", lambda v: v > F.col("home") + 1)))
+    # Of the far kinds only those natives look whose level and measure have guests: as bounded as homes.
+    expected = upward.where("kind > 10").select("kind", "level", around_step).distinct()
+    natives = natives.where("kind < 10").unionByName(natives.where("kind > 10").join(F.broadcast(expected), ["kind", "level", "step"], "left_semi").select(*natives.columns))
 
     def centred(df, guest):
         out = df.withColumn("cell", F.pow(F.lit(2.0), F.col("level")))
@@ -193,11 +203,11 @@ def candidate_pairs(shapes: DataFrame, scratch: Scratch, least: float) -> DataFr
     def rows(tx, ty, role, source):
         out = source.withColumns({"tx": tx, "ty": ty})
         x, y = F.col("cx") - F.col("tx") * side + 1, F.col("cy") - F.col("ty") * side + 1
-        out = out.withColumns({"x": x, "y": y})
-        args = [F.col(c) for c in ("x", "y", "m", "kind", "level", "tx", "ty")]
-        keys = F.concat(*[_chunks(*args, chunk, role == "probe") for chunk in range(CHUNKS)])
+        out = out.withColumns({"x": x, "y": y, "at": F.xxhash64("kind", "level", "tx", "ty")})
+        args = [F.col(c) for c in ("x", "y", "m")]
+        keys = F.array(*[key for chunk in range(CHUNKS) for key in _chunks(*args, F.col("at"), chunk, role == "probe")])
         further = [F.col("guest") | (F.col("kind") == 4)] if role == "kept" else []
-        return out.select(F.col("feature_index").alias(role), signature(*args[:3]).alias(role + "_bits"), *[c.alias("any_order") for c in further], F.explode(keys).alias("key"))
+        return out.select(F.col("feature_index").alias(role), signature(*args).alias(role + "_bits"), *[c.alias("any_order") for c in further], F.explode(keys).alias("key"))
 
     probe = rows(tile(F.col("cx")), tile(F.col("cy")), "probe", centred(natives, False))
     around = lambda c: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor((F.col(c) + k) / side)))
