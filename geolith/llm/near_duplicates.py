@@ -128,13 +128,16 @@ def score(batches, least: float):
         yield batch.loc[value + ROUNDING >= least, ["l", "r"]]
 
 
-def _chunks(x: Column, y: Column, m: Column, tile: Column, chunk: int, errors: bool) -> list[Column]:
-    """Keys of one chunk: alternate bits of the three codes, as the counts of ones that unary codes are, with the tile's hash; with one wrong bit where errors."""
-    half = lambda v: F.shiftright(v + (1 - chunk), 1)
-    u = [half(x), half(y), half(m)]
-    steps = [(0, 0, 0)] + ([(i * s, j * s, k * s) for s in (1, -1) for i, j, k in ((1, 0, 0), (0, 1, 0), (0, 0, 1))] if errors else [])
-    place = lambda i, j, k: F.lit(chunk << 12).cast("bigint") + (u[0] + (i + 1)) * 256 + (u[1] + (j + 1)) * 16 + (u[2] + (k + MEASURE_BITS)) % MEASURE_BITS
-    return [tile.bitwiseXOR(place(*step)) for step in steps]
+def _codes(errors: bool) -> Column:
+    """(chunk, step) for each key of a geometry: the chunk as it is, and with one wrong bit where errors. A step moves one of the three fields of a packed chunk."""
+    steps = [0, *((1, -1, 16, -16, 256, -256) if errors else ())]
+    return F.array(*[F.struct(F.lit(chunk).alias("chunk"), F.lit(step).alias("step")) for chunk in range(CHUNKS) for step in steps])
+
+
+def _chunk(x: Column, y: Column, m: Column, chunk: int) -> Column:
+    """One chunk, packed: alternate bits of the three codes, as the counts of ones that unary codes are. The cyclic code is on top, so that it wraps round."""
+    half = lambda v: F.shiftright(v + (1 - chunk), 1).cast("int")
+    return half(m) * 256 + (half(x) + 1) * 16 + half(y) + 1
 
 
 def signature(x: Column, y: Column, m: Column) -> Column:
@@ -198,21 +201,26 @@ def candidate_pairs(shapes: DataFrame, scratch: Scratch, least: float) -> DataFr
         return out.select("feature_index", "kind", F.pmod("step", F.lit(2 * MEASURE_BITS)).alias("m"), "level", "cx", "cy", F.lit(guest).alias("guest"))
 
     side = 1 << TILE_BITS
-    tile = lambda c: F.floor(c / side)
+    # Written, as generated code that placed features and made keys in one method would be too long to be compiled.
+    natives = scratch.save(centred(natives, False))
+    takers = scratch.save(centred(beside, False).unionByName(centred(above, True)).unionByName(centred(upward, True)))
 
     def rows(tx, ty, role, source):
         out = source.withColumns({"tx": tx, "ty": ty})
         x, y = F.col("cx") - F.col("tx") * side + 1, F.col("cy") - F.col("ty") * side + 1
         out = out.withColumns({"x": x, "y": y, "at": F.xxhash64("kind", "level", "tx", "ty")})
-        args = [F.col(c) for c in ("x", "y", "m")]
-        keys = F.array(*[key for chunk in range(CHUNKS) for key in _chunks(*args, F.col("at"), chunk, role == "probe")])
+        codes = [F.col(c) for c in ("x", "y", "m")]
         further = [F.col("guest") | (F.col("kind") == 4)] if role == "kept" else []
-        return out.select(F.col("feature_index").alias(role), signature(*args).alias(role + "_bits"), *[c.alias("any_order") for c in further], F.explode(keys).alias("key"))
-
-    probe = rows(tile(F.col("cx")), tile(F.col("cy")), "probe", centred(natives, False))
-    around = lambda c: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor((F.col(c) + k) / side)))
-    takers = centred(beside, False).unionByName(centred(above, True)).unionByName(centred(upward, True))
-    near = takers.withColumn("ux", F.explode(around("cx"))).withColumn("uy", F.explode(around("cy")))
+        out = out.select(F.col("feature_index").alias(role), signature(*codes).alias(role + "_bits"), *[c.alias("any_order") for c in further], "at", *[_chunk(*codes, k).alias(f"c{k}") for k in range(CHUNKS)], F.explode(_codes(role == "probe")).alias("e"))
+        own = F.when(F.col("e.chunk") == 0, F.col("c0")).otherwise(F.col("c1"))
+        wrapped = (own + F.col("e.step")).bitwiseAND(256 * MEASURE_BITS - 1) + F.col("e.chunk") * (512 * MEASURE_BITS)
+        return out.select(role, role + "_bits", *(["any_order"] if further else []), F.col("at").bitwiseXOR(wrapped.cast("bigint")).alias("key"))
+
+    tile = lambda c, k=0: F.floor((F.col(c) + k) / side)
+    near = takers
+    for c, u in (("cx", "ux"), ("cy", "uy")):  # the tiles within one cell: one or two
+        near = near.withColumn(u, F.explode(F.array(tile(c, -1), F.when(tile(c, 1) != tile(c, -1), tile(c, 1))))).where(F.col(u).isNotNull())
+    probe = rows(tile("cx"), tile("cy"), "probe", natives)
     kept = rows(F.col("ux"), F.col("uy"), "kept", near)
     met = probe.join(kept, "key").where((F.col("any_order") | (F.col("probe") < F.col("kept"))) & (F.bit_count(F.col("probe_bits").bitwiseXOR(F.col("kept_bits"))) <= MOST_ERRORS))
     return met.select(F.least("probe", "kept").alias("l"), F.greatest("probe", "kept").alias("r")).where("l < r").distinct()
