@@ -19,6 +19,7 @@ and members are put back at the end.  Exact scores follow the join.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,7 @@ ROUNDING = 1e-12
 SLACK = 1e-9
 
 FEATURE = "feature_index bigint, shape binary, area double, length double, dissolved double, x0 double, y0 double, x1 double, y1 double"
+PLACE = "home int, alike int, far int"
 FEATURE_NAMES = [c.split()[0] for c in FEATURE.split(", ")]
 
 
@@ -136,10 +138,45 @@ def _codes(errors: bool) -> Column:
 
 def _chunk(x: Column, y: Column, m: Column, chunk: int) -> Column:
     """One chunk, packed: alternate bits of the three codes, as the counts of ones that unary codes are. The cyclic code is on top, so that it wraps round."""
-    half = lambda v: F.shiftright(v + (1 - chunk), 1).cast("int")
+    half = lambda v: F.shiftright(v + (1 - chunk), 1)
     return half(m) * 256 + (half(x) + 1) * 16 + half(y) + 1
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """What a least similarity implies."""
+
+    least: float
+
+    @property
+    def overlap(self) -> float:
+        """Least intersection over union."""
+        return (self.least - WEIGHTS[1] - WEIGHTS[2]) / WEIGHTS[0]
+
+    @property
+    def apart(self) -> float:
+        """Least ratio of measures of a pair of which one diagonal is more than twice the other: the Hausdorff distance is then at least
+        1 / (4 sqrt 2) of the common diagonal, and the shape term bounds the measures of all kinds."""
+        return 2 * (self.least - WEIGHTS[0] - WEIGHTS[1] * (1 - 1 / math.sqrt(32))) / WEIGHTS[2] - 1
+
+    def check(self) -> None:
+        if self.overlap <= 0 or 1 - (1 - self.least) / WEIGHTS[1] <= 0:
+            raise ValueError("below this similarity neither overlap nor distance is bounded")
+
+    def places(self, frame: pd.DataFrame) -> pd.DataFrame:
+        """The frame with PLACE: the level whose cells are wider than the envelope's diagonal (null for a point), and the steps of measure for pairs of one kind and for far ones."""
+        d = np.hypot(frame["x1"] - frame["x0"], frame["y1"] - frame["y0"]).to_numpy(dtype=float)
+        area, length, dissolved = (frame[c].to_numpy(dtype=float) for c in ("area", "length", "dissolved"))
+
+        def steps(measure, ratio):
+            with np.errstate(divide="ignore"):
+                return np.where(measure > 0, np.floor(np.log(np.where(measure > 0, measure, 1)) / (max(math.log(1 / ratio), 1e-6) * (1 + SLACK))), 0).astype("int32")
+
+        home = pd.array(np.floor(np.log2(np.where(d > 0, d, 1))).astype("int32") + 1, dtype="Int32")
+        home[d == 0] = pd.NA
+        return frame.assign(home=home, alike=steps(np.where(area > 0, area, dissolved), self.overlap), far=steps(np.where(area > 0, area, length), self.apart) if self.apart > 0 else np.int32(0))
+
+
 def signature(x: Column, y: Column, m: Column) -> Column:
     """The bits: unary codes of x and y (0 to 6), cyclic unary code of m (0 to 2 * MEASURE_BITS - 1)."""
     unary = lambda v: F.call_function("shiftleft", F.lit(1).cast("bigint"), v.cast("int")) - 1
@@ -148,80 +185,73 @@ def signature(x: Column, y: Column, m: Column) -> Column:
     return unary(x) + unary(y) * (1 << 8) + cyclic * (1 << 16)
 
 
-def candidate_pairs(shapes: DataFrame, scratch: Scratch, least: float) -> DataFrame:
-    """Distinct (l, r), l < r, within MOST_ERRORS bits of one another. shapes: feature_index, area, length, dissolved length and envelope, one row for each class."""
-    overlap = (least - WEIGHTS[1] - WEIGHTS[2]) / WEIGHTS[0]
-    if overlap <= 0 or 1 - (1 - least) / WEIGHTS[1] <= 0:
-        raise ValueError("below this similarity neither overlap nor distance is bounded")
-    sized = shapes.withColumn("d", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).where("d > 0")
-    sized = sized.withColumn("home", F.floor(F.log2("d")) + 1)
+NATIVE, BESIDE, ABOVE, UPWARD = 1, 2, 4, 8
+
+
+def candidate_pairs(shapes: DataFrame, scratch: Scratch, bounds: Bounds) -> DataFrame:
+    """Distinct (l, r), l < r, within MOST_ERRORS bits of one another. shapes: feature_index, area, length, envelope and PLACE, one row for each class."""
+    overlap = bounds.overlap
+    sized = shapes.where("home is not null")
     # Overlap is bounded by measures of one kind only: areas with areas, lengths with lengths. Polygons that only touch overlap by
     # a part of either boundary against both areas, so each has less area than its own boundary allows. A line in a polygon
     # overlaps by its length against the area: the polygon has less area than the longest line it can meet allows, that of the
     # levels beside its own, or for pairs of unlike diagonals that of all.
     lines = sized.where("area <= 0").groupBy("home").agg(F.max("length").alias("length"))
+    lines = scratch.save(lines)  # one row for each binary order of magnitude
     beside_longest = lines.select(F.explode(F.array(*[F.col("home") + k for k in (-1, 0, 1)])).alias("home"), "length").groupBy("home").agg(F.max("length").alias("longest_near"))
     longest = lines.agg(F.coalesce(F.max("length"), F.lit(0.0)).alias("longest"))
-    sized = sized.crossJoin(F.broadcast(longest)).join(F.broadcast(beside_longest), "home", "left")  # one row, and one for each binary order of magnitude
-    thin = F.col("area") <= F.col("length") / overlap
-    crossed = F.coalesce(F.col("area") <= F.col("longest_near") / overlap, F.lit(False))
-    crossed_far = F.col("area") <= F.col("longest") / overlap
-    # Where one diagonal is more than twice the other, the Hausdorff distance is at least 1 / (4 sqrt 2) of the common one, so the
-    # shape term bounds the measures of all kinds.
-    apart = 2 * (least - WEIGHTS[0] - WEIGHTS[1] * (1 - 1 / math.sqrt(32))) / WEIGHTS[2] - 1
-    steps = lambda column, least_ratio: F.floor(F.log(column) / (max(math.log(1 / least_ratio), 1e-6) * (1 + SLACK)))
-    measure = F.when(F.col("area") > 0, F.col("area")).otherwise(F.col("length"))
-    far = steps(measure, apart) if apart > 0 else F.lit(0).cast("bigint")
-
-    def placed(zero, line, area, touching, across, across_far):
-        """A row for each kind the feature takes part in. Kinds: points 0, lines 1, areas 2, touching areas 3, lines in areas 4 and 5 by who is the guest; 10 more for the far ones of these."""
-        when = lambda condition, kinds: [F.when(condition, F.lit(k)) for k in kinds]
-        is_area, is_line = F.col("area") > 0, F.col("length") > 0
-        kinds = when(is_area, area) + when(is_area & thin, touching) + when(is_area & crossed, across) + when(is_area & crossed_far, across_far) + when(~is_area & is_line, line) + when(~is_area & ~is_line, zero)
-        out = sized.withColumn("kind", F.explode(F.array(*kinds))).where("kind is not null")
-        alike = F.when(F.col("kind") == 1, steps(F.col("dissolved"), overlap)).when(F.col("kind") == 2, steps(F.col("area"), overlap))
-        return out.withColumn("step", F.when(F.col("kind").isin(1, 2), alike).when(F.col("kind") > 10, far).otherwise(F.lit(0).cast("bigint")))
-
-    natives = placed((0,), (1, 4, 14), (2,), (3, 13), (5,), (15,)).withColumn("level", F.col("home"))
-    beside = placed((0,), (1,), (2,), (3,), (4,), ()).withColumn("level", F.col("home"))
-    above = placed((), (1, 5), (2,), (3,), (4,), ()).withColumn("level", F.col("home") + 1)
+    is_area, is_line = F.col("area") > 0, (F.col("area") <= 0) & (F.col("length") > 0)
+    thin = is_area & (F.col("area") <= F.col("length") / overlap)
+    crossed = is_area & F.coalesce(F.col("area") <= F.col("longest_near") / overlap, F.lit(False))
+    crossed_far = is_area & (F.col("area") <= F.col("longest") / overlap)
+    # Kinds: points 0, lines 1, areas 2, touching areas 3, lines in areas 4 and 5 by who is the guest; 10 more for the far ones of
+    # these. A feature has a row for each kind it takes part in, with its roles: native of its home level, guest there, one level
+    # above, and further upward.
+    kinds = [
+        (~is_area & ~is_line, 0, NATIVE + BESIDE), (is_line, 1, NATIVE + BESIDE + ABOVE + UPWARD), (is_area, 2, NATIVE + BESIDE + ABOVE + UPWARD), (thin, 3, NATIVE + BESIDE + ABOVE), (thin, 13, NATIVE + UPWARD),
+        (is_line, 4, NATIVE), (crossed, 4, BESIDE + ABOVE), (is_line, 14, NATIVE), (crossed_far, 14, UPWARD), (crossed, 5, NATIVE), (is_line, 5, ABOVE), (crossed_far, 15, NATIVE), (is_line, 15, UPWARD),
+    ]
+    taking = F.array(*[F.when(condition, F.struct(F.lit(kind).alias("kind"), F.lit(roles).alias("roles"))) for condition, kind, roles in kinds])
+    placed = sized.crossJoin(F.broadcast(longest)).join(F.broadcast(beside_longest), "home", "left")
+    placed = placed.select("feature_index", "home", "alike", "far", (F.col("x0") + F.col("x1")).alias("sx"), (F.col("y0") + F.col("y1")).alias("sy"), F.explode(taking).alias("k")).where("k is not null")
+    step = F.when(F.col("k.kind").isin(1, 2), F.col("alike")).when(F.col("k.kind") > 10, F.col("far")).otherwise(0)
+    # Written, as generated code that placed features and made keys in one method would be too long to be compiled.
+    placed = scratch.save(placed.select("feature_index", "home", "sx", "sy", "k.kind", "k.roles", step.alias("step")))
+    has = lambda role: F.col("roles").bitwiseAND(role) != 0
+    natives = placed.where(has(NATIVE))
     # At most one row for each kind and order of magnitude of measure and size.
     around_step = F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step")
-    homes = natives.where("kind in (1, 2) or kind > 10").select("kind", around_step, "level").groupBy("kind", "step").agg(F.collect_set("level").alias("levels"))
-    upward = placed((), (1, 15), (2,), (13,), (), (14,)).join(F.broadcast(homes), ["kind", "step"])
-    upward = upward.withColumn("level", F.explode(F.filter("levels", lambda v: v > F.col("home") + 1)))
+    homes = natives.where("kind in (1, 2) or kind > 10").select("kind", "step", "home").distinct().select("kind", around_step, "home").groupBy("kind", "step").agg(F.collect_set("home").alias("levels"))
+    upward = placed.where(has(UPWARD)).join(F.broadcast(homes), ["kind", "step"])
+    upward = scratch.save(upward.withColumn("level", F.explode(F.filter("levels", lambda v: v > F.col("home") + 1))).select("feature_index", "kind", "step", "sx", "sy", "level"))
     # Of the far kinds only those natives look whose level and measure have guests: as bounded as homes.
-    expected = upward.where("kind > 10").select("kind", "level", around_step).distinct()
-    natives = natives.where("kind < 10").unionByName(natives.where("kind > 10").join(F.broadcast(expected), ["kind", "level", "step"], "left_semi").select(*natives.columns))
-
-    def centred(df, guest):
-        out = df.withColumn("cell", F.pow(F.lit(2.0), F.col("level")))
-        for c, lo, hi in (("cx", "x0", "x1"), ("cy", "y0", "y1")):
-            out = out.withColumn(c, F.floor((F.col(lo) + F.col(hi)) / 2 / F.col("cell")))
-        return out.select("feature_index", "kind", F.pmod("step", F.lit(2 * MEASURE_BITS)).alias("m"), "level", "cx", "cy", F.lit(guest).alias("guest"))
-
+    expected = upward.where("kind > 10").select("kind", F.col("level").alias("home"), "step").distinct().select("kind", "home", around_step).distinct()
+    natives = natives.where("kind < 10").unionByName(natives.where("kind > 10").join(F.broadcast(expected), ["kind", "home", "step"], "left_semi").select(*natives.columns))
     side = 1 << TILE_BITS
-    # Written, as generated code that placed features and made keys in one method would be too long to be compiled.
-    natives = scratch.save(centred(natives, False))
-    takers = scratch.save(centred(beside, False).unionByName(centred(above, True)).unionByName(centred(upward, True)))
+
+    def celled(df, *further):
+        out = df.withColumn("cell", 2 * F.pow(F.lit(2.0), F.col("level")))
+        return out.select("feature_index", "kind", F.pmod("step", F.lit(2 * MEASURE_BITS)).alias("m"), "level", F.floor(F.col("sx") / F.col("cell")).alias("cx"), F.floor(F.col("sy") / F.col("cell")).alias("cy"), *further)
 
     def rows(tx, ty, role, source):
-        out = source.withColumns({"tx": tx, "ty": ty})
-        x, y = F.col("cx") - F.col("tx") * side + 1, F.col("cy") - F.col("ty") * side + 1
-        out = out.withColumns({"x": x, "y": y, "at": F.xxhash64("kind", "level", "tx", "ty")})
+        x, y = (F.col("cx") - tx * side + 1).cast("int"), (F.col("cy") - ty * side + 1).cast("int")
+        further = ["any_order"] if role == "kept" else []
+        out = source.select(F.col("feature_index").alias(role), "m", *further, x.alias("x"), y.alias("y"), F.xxhash64("kind", "level", tx, ty).alias("at"))
         codes = [F.col(c) for c in ("x", "y", "m")]
-        further = [F.col("guest") | (F.col("kind") == 4)] if role == "kept" else []
-        out = out.select(F.col("feature_index").alias(role), signature(*codes).alias(role + "_bits"), *[c.alias("any_order") for c in further], "at", *[_chunk(*codes, k).alias(f"c{k}") for k in range(CHUNKS)], F.explode(_codes(role == "probe")).alias("e"))
+        out = out.select(role, signature(*codes).alias(role + "_bits"), *further, "at", *[_chunk(*codes, k).alias(f"c{k}") for k in range(CHUNKS)], F.explode(_codes(role == "probe")).alias("e"))
         own = F.when(F.col("e.chunk") == 0, F.col("c0")).otherwise(F.col("c1"))
         wrapped = (own + F.col("e.step")).bitwiseAND(256 * MEASURE_BITS - 1) + F.col("e.chunk") * (512 * MEASURE_BITS)
-        return out.select(role, role + "_bits", *(["any_order"] if further else []), F.col("at").bitwiseXOR(wrapped.cast("bigint")).alias("key"))
+        return out.select(role, role + "_bits", *further, F.col("at").bitwiseXOR(wrapped.cast("bigint")).alias("key"))
 
     tile = lambda c, k=0: F.floor((F.col(c) + k) / side)
-    near = takers
+    probe = rows(tile("cx"), tile("cy"), "probe", celled(natives.withColumnRenamed("home", "level")))
+    as_guest = lambda level, guest: F.struct(level.alias("level"), F.lit(guest).alias("guest"))
+    near = placed.where(has(BESIDE + ABOVE)).withColumn("g", F.explode(F.array(F.when(has(BESIDE), as_guest(F.col("home"), False)), F.when(has(ABOVE), as_guest(F.col("home") + 1, True))))).where("g is not null")
+    takers = near.select("feature_index", "kind", "step", "sx", "sy", "g.level", "g.guest").unionByName(upward.withColumn("guest", F.lit(True)))
+    takers = celled(takers, (F.col("guest") | (F.col("kind") == 4)).alias("any_order"))
     for c, u in (("cx", "ux"), ("cy", "uy")):  # the tiles within one cell: one or two
-        near = near.withColumn(u, F.explode(F.array(tile(c, -1), F.when(tile(c, 1) != tile(c, -1), tile(c, 1))))).where(F.col(u).isNotNull())
-    probe = rows(tile("cx"), tile("cy"), "probe", natives)
-    kept = rows(F.col("ux"), F.col("uy"), "kept", near)
+        takers = takers.withColumn(u, F.explode(F.array(tile(c, -1), F.when(tile(c, 1) != tile(c, -1), tile(c, 1))))).where(F.col(u).isNotNull())
+    kept = rows(F.col("ux"), F.col("uy"), "kept", takers)
     met = probe.join(kept, "key").where((F.col("any_order") | (F.col("probe") < F.col("kept"))) & (F.bit_count(F.col("probe_bits").bitwiseXOR(F.col("kept_bits"))) <= MOST_ERRORS))
     return met.select(F.least("probe", "kept").alias("l"), F.greatest("probe", "kept").alias("r")).where("l < r").distinct()
 
@@ -237,15 +267,19 @@ def near_duplicate_features(features: DataFrame, scratch: Scratch, least: float
     rows = features.where(features[index].isNotNull() & features[geometry].isNotNull())
     order = [features[newest]] if newest else []
     rows = rows.groupBy(rows[index].cast("bigint").alias("feature_index")).agg(F.max(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], features[geometry].alias("g"))).alias("v"))
-    described = rows.select("feature_index", F.col("v.g").alias("geometry_wkt")).mapInPandas(describe, FEATURE)
-    shapes = scratch.save(described.withColumn("class", F.sha2("shape", 256)))
+    bounds = Bounds(least)
+    bounds.check()
+    described = rows.select("feature_index", F.col("v.g").alias("geometry_wkt")).mapInPandas(lambda batches: map(bounds.places, describe(batches)), f"{FEATURE}, {PLACE}")
+    shapes = scratch.save(described.withColumn("class", F.unhex(F.sha2("shape", 256))))
     classes = shapes.groupBy("class").agg(F.min("feature_index").alias("first"), F.count(F.lit(1)).alias("n"))
-    members = scratch.save(shapes.select("class", "feature_index").join(classes, "class").select("first", "feature_index", "n"))
-    one = scratch.save(shapes.join(members.where("first = feature_index").select("feature_index"), "feature_index", "left_semi").drop("class"))
+    classed = scratch.save(shapes.join(classes, "class").drop("class"))
     scratch.drop(shapes)
+    members = classed.select("first", "feature_index", "n")
+    one = classed.where("first = feature_index").drop("first", "n")
     narrow = one.drop("shape")
-    met = candidate_pairs(narrow, scratch, least)
-    a, b = (narrow.select(F.col("feature_index").alias(s), F.struct(*[c for c in narrow.columns if c != "feature_index"]).alias(s + "m")) for s in "lr")
+    met = candidate_pairs(narrow, scratch, bounds)
+    measured = F.struct("area", "length", "dissolved", "x0", "y0", "x1", "y1")
+    a, b = (narrow.select(F.col("feature_index").alias(s), measured.alias(s + "m")) for s in "lr")
     envelopes_meet = F.expr("lm.x0 <= rm.x1 and rm.x0 <= lm.x1 and lm.y0 <= rm.y1 and rm.y0 <= lm.y1")
     likely = scratch.save(met.join(a, "l").join(b, "r").where(envelopes_meet & (similarity_bound("lm", "rm", WEIGHTS, "dissolved") + SLACK >= least)).select("l", "r"))
     texts = [one.select(F.col("feature_index").alias(s), F.col("shape").alias(s + "w")) for s in "lr"]
