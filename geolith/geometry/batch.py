@@ -128,40 +128,84 @@ def as_wkb(xy: np.ndarray, n: np.ndarray, polygon: np.ndarray) -> list[bytes]:
     return [h + data[a:b] for h, a, b in zip(heads, ends, ends[1:])]
 
 
+MULTI_POLYGON_HEAD = struct.pack("<BI", 1, 6)
+MULTI_LINE_HEAD = struct.pack("<BI", 1, 5)
+ANY_POLYGON_HEAD = struct.pack("<BI", 1, 3)
+
+
+def _paths(data: bytes) -> list[tuple[int, bytes]] | None:
+    """(sign, coordinates) of the paths of a little-endian two-dimensional geometry of polygons or lines alone: 1 for shells, -1 for holes, 0 for lines. None for any other."""
+    count = struct.Struct("<I").unpack_from
+    out = []
+
+    def polygon(at: int) -> int:
+        (rings,) = count(data, at)
+        at += 4
+        for k in range(rings):
+            (n,) = count(data, at)
+            if not n:
+                raise ValueError("an empty ring")
+            out.append((-1 if k else 1, data[at + 4 : at + 4 + 16 * n]))
+            at += 4 + 16 * n
+        return at
+
+    try:
+        if data.startswith(ANY_POLYGON_HEAD):
+            at = polygon(5)
+        elif data.startswith(MULTI_POLYGON_HEAD):
+            at = 9
+            for _ in range(count(data, 5)[0]):
+                if data[at : at + 5] != ANY_POLYGON_HEAD:
+                    return None
+                at = polygon(at + 5)
+        elif data.startswith(LINE_HEAD) or data.startswith(MULTI_LINE_HEAD):
+            at, parts = (0, 1) if data.startswith(LINE_HEAD) else (9, count(data, 5)[0])
+            for _ in range(parts):
+                if data[at : at + 5] != LINE_HEAD:
+                    return None
+                (n,) = count(data, at + 5)
+                if not n:
+                    return None
+                out.append((0, data[at + 9 : at + 9 + 16 * n]))
+                at += 9 + 16 * n
+        else:
+            return None
+    except (struct.error, ValueError):
+        return None
+    return out if out and at == len(data) else None
+
+
 class Flat:
     """Vertices, segments (all), edges (of rings, not upright, from left to right) and measures of a batch of geometries."""
 
-    def __init__(self, xy: np.ndarray, n: np.ndarray, polygon: np.ndarray, others: dict[int, Shape], rows: np.ndarray, size: int):
-        """Paths of plain polygons and lines at rows, prepared shapes at the others."""
-        self.others, self.size = others, size
+    def __init__(self, xy: np.ndarray, n: np.ndarray, sign: np.ndarray, rows: np.ndarray, size: int, others: dict[int, Shape] | None = None, data: Sequence[bytes] = ()):
+        """Paths (n vertices each; sign 1 for shells, -1 for holes, 0 for lines) of the geometries at rows, which rise, and prepared shapes at the others. data: WKB by row, where single shapes may be asked for."""
+        self.others, self.size, self.data = dict(others or {}), size, data
         at = _starts(n)
         owner = np.repeat(rows, n)
         inner = np.ones(len(xy), dtype=bool)
         inner[at[1:] - 1] = False
         seg = np.hstack((xy[:-1], xy[1:]))[inner[:-1]] if len(xy) else np.empty((0, 4))
         seg_owner = owner[inner]
-        ring = np.repeat(polygon, n)[inner]
+        ring = np.repeat(sign != 0, n)[inner]
         lengths = np.hypot(seg[:, 2] - seg[:, 0], seg[:, 3] - seg[:, 1])
         self.area, self.length, self.dissolved, self.bounds = np.zeros(size), np.zeros(size), np.full(size, np.nan), np.full((size, 4), np.nan)
         if len(n):
-            areas = np.zeros(len(n))
-            if polygon.any():
-                areas[polygon] = np.abs(signed_areas(xy[np.repeat(polygon, n)], n[polygon]))
-            self.area[rows] = areas
-            self.length[rows] = np.bincount(seg_owner, lengths, size)[rows] if len(seg) else 0.0
-            self.bounds[rows] = np.hstack((np.minimum.reduceat(xy, at[:-1]), np.maximum.reduceat(xy, at[:-1])))
+            rings = sign != 0
+            if rings.any():
+                self.area += np.bincount(rows[rings], np.abs(signed_areas(xy[np.repeat(rings, n)], n[rings])) * sign[rings], size)
+            if len(seg):
+                self.length += np.bincount(seg_owner, lengths, size)
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            self.bounds[owner[first]] = np.hstack((np.minimum.reduceat(xy, first), np.maximum.reduceat(xy, first)))
         parts = [(owner, xy, seg_owner, seg, *self._edges(seg_owner[ring], seg[ring]))]
-        for row, s in others.items():
+        for row, s in self.others.items():
             self.area[row], self.length[row], self.bounds[row] = s.area, s.length, s.bounds
             parts.append((np.full(len(s.vertices), row), s.vertices, np.full(len(s.segments), row), s.segments, np.full(len(s.edges), row), s.edges))
         for name, k, width in (("vertices", 0, 2), ("segments", 2, 4), ("edges", 4, 4)):
             who, what = np.concatenate([p[k] for p in parts]), np.vstack([p[k + 1].reshape(-1, width) for p in parts])
             counts = np.bincount(who, minlength=size) if len(who) else np.zeros(size, dtype=np.int64)
-            if others:
-                what = what[np.argsort(who, kind="stable")]
-            elif len(n) and (np.diff(rows) < 0).any():
-                what = what[np.argsort(who, kind="stable")]
-            setattr(self, name, what)
+            setattr(self, name, what[np.argsort(who, kind="stable")] if self.others else what)
             setattr(self, name + "_n", counts)
             setattr(self, name + "_at", _starts(counts)[:-1])
         self.measure = np.where(self.area > 0, self.area, self.length)
@@ -176,31 +220,27 @@ class Flat:
     @classmethod
     def load(cls, values: Sequence[bytes]) -> Flat:
         """From WKB."""
-        rows, counts, polygon, chunks, others = [], [], [], [], {}
+        rows, counts, sign, chunks, others = [], [], [], [], {}
         for row, data in enumerate(values):
             if data.startswith(POLYGON_HEAD) and len(data) - 13 == 16 * struct.unpack_from("<I", data, 9)[0] > 0:
-                chunks.append(data[13:])
-                polygon.append(True)
-            elif data.startswith(LINE_HEAD) and len(data) - 9 == 16 * struct.unpack_from("<I", data, 5)[0] > 0:
-                chunks.append(data[9:])
-                polygon.append(False)
+                found = ((1, data[13:]),)
             else:
+                found = _paths(data)
+            if found is None:
                 others[row] = Shape(wkb.load(data))
                 continue
-            rows.append(row)
-            counts.append(len(chunks[-1]) >> 4)
+            for s, chunk in found:
+                chunks.append(chunk)
+                sign.append(s)
+                rows.append(row)
+                counts.append(len(chunk) >> 4)
         xy = np.frombuffer(b"".join(chunks), dtype="<f8").reshape(-1, 2)
-        return cls(xy, np.array(counts, dtype=np.int64), np.array(polygon, dtype=bool), others, np.array(rows, dtype=np.int64), len(values))
+        return cls(xy, np.array(counts, dtype=np.int64), np.array(sign, dtype=np.int64), np.array(rows, dtype=np.int64), len(values), others, values)
 
     def shape(self, row: int) -> Shape:
         found = self.others.get(row)
         if found is None:
-            from geolith.geometry.wkt import Geom
-
-            a, n = self.vertices_at[row], self.vertices_n[row]
-            path = self.vertices[a : a + n]
-            ring = self.area[row] > 0 or self.edges_n[row] > 0
-            found = self.others[row] = Shape(Geom("POLYGON", polygons=[[path]]) if ring else Geom("LINESTRING", lines=[path]))
+            found = self.others[row] = Shape(wkb.load(self.data[row]))
         return found
 
     def padded(self, name: str, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -350,7 +390,8 @@ def dissolved_lengths(f: Flat, rows: np.ndarray) -> np.ndarray:
             other = real[:, :, None] & real[:, None, :] & ~np.eye(w, dtype=bool)
             lap[some] = ((hi > lo) & other).any((1, 2))
     for k in np.flatnonzero(lap):
-        out[k] = dissolved_length(f.shape(int(rows[k])).segments)
+        a = f.segments_at[rows[k]]
+        out[k] = dissolved_length(f.segments[a : a + f.segments_n[rows[k]]])
     return out
 
 
@@ -423,6 +464,7 @@ def similarities_of(f: Flat, l: np.ndarray, r: np.ndarray, weights: tuple[float,
         used = np.unique(np.concatenate((l[at], r[at])))
         f.dissolved[used] = dissolved_lengths(f, used)
         both, sure = common_lengths(f, l[at], r[at])
+        sure |= f.dissolved[r[at]] >= f.length[r[at]] * (1 - 1e-12)  # what does not cover itself covers no stretch twice
         sure &= f.dissolved[l[at]] >= f.length[l[at]] * (1 - 1e-12)
         rest[at[~sure]] = True
         union = f.dissolved[l[at]] + f.dissolved[r[at]] - both

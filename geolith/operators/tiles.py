@@ -56,7 +56,7 @@ def _prepare(batches):
         values = batch["geometry"].tolist()
         at, polygon, n, xy = read_plain(values)
         if len(at):
-            flat = Flat(xy, n, polygon, {}, np.arange(len(at)), len(at))
+            flat = Flat(xy, n, polygon.astype(np.int64), np.arange(len(at)), len(at))
             kinds = np.where(polygon, "POLYGON", "LINESTRING").astype(object)
             yield pd.DataFrame(dict(zip(SHAPE_NAMES, (batch["feature_index"].to_numpy()[at], as_wkb(xy, n, polygon), kinds, flat.area, flat.length, *flat.bounds.T, None))))
         if len(at) < len(values):
@@ -183,6 +183,16 @@ def similarity_bound(left: str, right: str, weights: tuple[float, float, float],
     return weights[0] * F.least(F.lit(1.0), iou) + weights[1] * near + weights[2] * shape
 
 
+def reaching(both: DataFrame, weights: tuple[float, float, float], least: float, dissolved: str | None = None) -> DataFrame:
+    """The rows whose structs lm and rm can reach the similarity.
+
+    The bound is a column that is not deterministic, so that it is not pushed into a filter: projections evaluate common
+    parts once, filters do not.
+    """
+    bound = F.when(F.monotonically_increasing_id() >= 0, similarity_bound("lm", "rm", weights, dissolved))
+    return both.withColumn("_bound", bound).where(F.col("_bound") + 1e-9 >= least).drop("_bound")
+
+
 MEASURED = ("area", "length", "x0", "y0", "x1", "y1")
 
 
@@ -190,4 +200,4 @@ def likely_pairs(left: DataFrame, right: DataFrame | None, tolerance: float, wei
     """The envelope pairs whose similarity can reach ``least``."""
     met = envelope_pairs(left, right, tolerance, MEASURED)
     both = met.select("l", "r", *[F.struct(*[F.col(f"{s}_{c}").alias(c) for c in MEASURED]).alias(s + "m") for s in "lr"])
-    return both.where(similarity_bound("lm", "rm", weights) + 1e-9 >= least).select("l", "r")
+    return reaching(both, weights, least).select("l", "r")
