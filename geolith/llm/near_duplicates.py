@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from geolith.geometry import wkb, wkt
 from geolith.geometry.batch import Flat, as_wkb, dissolved_lengths, of_pairs, read_plain, settled_lines, settled_rings, similarities_of
 from geolith.geometry.measure import Shape, dissolved_length, signed_area
-from geolith.operators.tiles import similarity_bound
+from geolith.operators.tiles import reaching
 from geolith.storage import Scratch
 
 WEIGHTS = (0.45, 0.35, 0.20)
@@ -111,7 +111,7 @@ def describe(batches):
                 some = polygon == is_polygon
                 if some.any():
                     path, counts = settle(xy[np.repeat(some, n)], n[some])
-                    flat = Flat(path, counts, np.full(len(counts), is_polygon), {}, np.arange(len(counts)), len(counts))
+                    flat = Flat(path, counts, np.full(len(counts), int(is_polygon)), np.arange(len(counts)), len(counts))
                     once, bare = flat.length.copy(), np.flatnonzero(flat.area == 0)
                     once[bare] = dissolved_lengths(flat, bare)
                     paths.append(pd.DataFrame(dict(zip(FEATURE_NAMES, (index[at[some]], as_wkb(path, counts, polygon[some]), flat.area, flat.length, once, *flat.bounds.T)))))
@@ -281,7 +281,7 @@ def near_duplicate_features(features: DataFrame, scratch: Scratch, least: float
     measured = F.struct("area", "length", "dissolved", "x0", "y0", "x1", "y1")
     a, b = (narrow.select(F.col("feature_index").alias(s), measured.alias(s + "m")) for s in "lr")
     envelopes_meet = F.expr("lm.x0 <= rm.x1 and rm.x0 <= lm.x1 and lm.y0 <= rm.y1 and rm.y0 <= lm.y1")
-    likely = scratch.save(met.join(a, "l").join(b, "r").where(envelopes_meet & (similarity_bound("lm", "rm", WEIGHTS, "dissolved") + SLACK >= least)).select("l", "r"))
+    likely = scratch.save(reaching(met.join(a, "l").join(b, "r").where(envelopes_meet), WEIGHTS, least, "dissolved").select("l", "r"))
     texts = [one.select(F.col("feature_index").alias(s), F.col("shape").alias(s + "w")) for s in "lr"]
     pairs = likely.join(texts[0], "l").join(texts[1], "r").select("l", "r", "lw", "rw")
     alike = pairs.mapInPandas(lambda batches: score(batches, least), "l bigint, r bigint")
