@@ -1,8 +1,8 @@
 """Column profiles kept as value-count tables.
 
-The state of the profile is one table, ``(load_id, column_name, value, n)``: how often each value of each column
-occurs in each load.  A load is a set of signed deltas to that table, so adding, correcting or withdrawing rows
-never rescans what was counted before.  Null rates, distinct counts, ranges, entropy, repeated ids and the
+The state of the profile is one table, ``(load_id, column_name, value, n)``, kept under a path (ValueCounts): how often
+each value of each column occurs in each load.  A delivery is a set of signed deltas to that table, so adding,
+correcting or withdrawing rows never rescans what was counted before.  Null rates, distinct counts, ranges, entropy, repeated ids and the
 distance between two loads' distributions are all derived from the counts.
 
 Values are written with a leading kind letter: ``v`` text, ``b`` bin number, ``x`` text of invalid form in a
@@ -14,9 +14,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geolith.storage import file_system, remove
+
 INTEGER = r"\A[+-]?[0-9]+\z"
 FLOAT = r"\A[+-]?[0-9]+(\.[0-9]+)?\z"
 BOOLEAN = r"\A(true|false)\z"
@@ -24,6 +26,7 @@ DATETIME = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-
 WHOLE_LOAD = -1
 LEAST_CHANGE_NUM, LEAST_CHANGE_DEN = 1, 4
 NULL_VALUE = "0"
+COUNTS = "load_id bigint, column_name string, value string, n bigint"
 
 
 @dataclass(frozen=True)
@@ -129,12 +132,22 @@ def row_faults(rules: Sequence[ColumnRule], row: DataFrame) -> Column:
     return F.filter(F.array(*faults), lambda x: x.isNotNull()) if faults else F.array().cast("array<struct<column_name:string,issue_type:string>>")
 
 
-def delivered_once(rows: DataFrame, rules: Sequence[ColumnRule], load: str = "load_id", position: str = "row_position") -> DataFrame:
-    """One row for each (load, position). Rows delivered again count once; should their content differ, the greatest counts."""
+def delivered_once(rows: DataFrame, rules: Sequence[ColumnRule], load: str = "load_id", position: str = "row_position", first: str | None = None) -> DataFrame:
+    """One row for each (load, position). Rows delivered again count once; should their content differ, the greatest counts.
+
+    first: a column of times; the least of a row's is returned as ``_received``.
+    """
     present = [r.column_name for r in rules]
-    kept = rows.select(rows[load].alias("load_id"), rows[position].alias("row_position"), F.struct(*[rows[c].cast("string").alias(c) for c in present]).alias("v"))
-    kept = kept.groupBy("load_id", "row_position").agg(F.max("v").alias("v"))
-    return kept.select("load_id", "row_position", *[F.col("v")[c].alias(c) for c in present])
+    times = [rows[first].alias("_received")] if first else []
+    kept = rows.select(rows[load].alias("load_id"), rows[position].alias("row_position"), F.struct(*[rows[c].cast("string").alias(c) for c in present]).alias("v"), *times)
+    kept = kept.groupBy("load_id", "row_position").agg(F.max("v").alias("v"), *[F.min("_received").alias("_received") for _ in times])
+    return kept.select("load_id", "row_position", *[F.col("v")[c].alias(c) for c in present], *["_received" for _ in times])
+
+
+def repeated_deliveries(rows: DataFrame, load: str = "load_id", position: str = "row_position") -> DataFrame:
+    """The rows whose (load, position) was delivered more than once, each as often as it was."""
+    again = rows.groupBy(rows[load].alias("_load"), rows[position].alias("_position")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return rows.join(again, rows[load].eqNullSafe(F.col("_load")) & rows[position].eqNullSafe(F.col("_position")), "left_semi")
 
 
 def value_deltas(rows: DataFrame, values: dict[str, Column], sign: int = 1) -> DataFrame:
@@ -156,6 +169,43 @@ def apply_deltas(state: DataFrame | None, *deltas: DataFrame) -> DataFrame:
     return out.groupBy("load_id", "column_name", "value").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
+class ValueCounts:
+    """The maintained value counts: numbered versions of the table under a path, the newest complete one counts.
+
+    ``apply`` writes the next version, the sum of the present one and the deltas, and removes versions older than the one
+    before, which readers may still hold.  A version that was not finished is never read and is written again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _complete(self) -> list[int]:
+        fs, at = file_system(self.spark, self.path)
+        if not fs.exists(at):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(at)]
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(file_system(self.spark, f"{self.path}/{n}/_SUCCESS")[1]))
+
+    @property
+    def version(self) -> int:
+        """0 before the first delta."""
+        return max(self._complete(), default=0)
+
+    @property
+    def counts(self) -> DataFrame | None:
+        return self.spark.read.schema(COUNTS).parquet(f"{self.path}/v{self.version}") if self.version else None
+
+    def apply(self, *deltas: DataFrame) -> DataFrame:
+        """The counts after the deltas."""
+        done = self._complete()
+        now = max(done, default=0)
+        apply_deltas(self.counts, *deltas).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/v{now + 1}")
+        for old in done:
+            if old < now:
+                remove(self.spark, f"{self.path}/v{old}")
+        return self.counts
+
+
 def profile_metrics(counts: DataFrame) -> DataFrame:
     """One row for each load and column: rows, nulls, distinct values, repeated values, most frequent count, entropy in bits, least and greatest text.
 
@@ -210,7 +260,7 @@ def changed_distributions(counts: DataFrame, baselines: DataFrame) -> DataFrame:
     return apart.where(enough).select("load_id", "column_name").distinct()
 
 
-def attribute_issues(rows: DataFrame, rules: Sequence[ColumnRule], loads: DataFrame, scratch) -> DataFrame:
+def attribute_issues(rows: DataFrame, rules: Sequence[ColumnRule], loads: DataFrame, scratch, *, received: str | None = None, started: str | None = None, late_hours: float = 24.0) -> DataFrame:
     """Every fault of landed rows, with its position: load_id, column_name, issue_type, row_position.
 
     rows: load_id, row_position and the rules' columns as text; loads: load_id, baseline_load_id.  Issue types:
@@ -218,12 +268,23 @@ def attribute_issues(rows: DataFrame, rules: Sequence[ColumnRule], loads: DataFr
     row_position -1.  Empty text is a value, not a null.  Rows are deduplicated and counted in one pass whose
     result, faults and value counts, is written once; the rest reads only what it needs of that table.  Columns
     of ``rows`` that no rule names are not read.  No rows or no rules give no issues.
+
+    The counts of the compared columns go as signed deltas into the maintained table under the scratch root: first those
+    of the rows received (column ``received``) within late_hours of their load's start (``started`` of loads), then those
+    of the late ones; without these columns all are one delta.  Repeated ids are counted in the same pass.
     """
     rules = list(rules)
-    once = delivered_once(rows, rules)
+    timed = received is not None and started is not None
+    once = delivered_once(rows, rules, first=received if timed else None)
     compared = [r for r in rules if r.compare_loads]
     ids = [r for r in rules if r.is_id]
     text, long = "string", "bigint"
+    late = F.lit(False)
+    if timed:
+        begun = loads.where("load_id is not null").groupBy("load_id").agg(F.min(started).alias("_begun"))  # metadata: one row a load
+        once = once.join(begun, "load_id", "left")
+        late = F.coalesce(F.col("_received") > F.col("_begun") + F.expr(f"interval {int(late_hours * 3600)} seconds"), F.lit(False))
+    once = once.withColumn("_late", late)
 
     def cell(kind, column, issue, value, position):
         return F.struct(kind.alias("kind"), column.alias("column_name"), issue.alias("issue_type"), value.alias("value"), position.alias("row_position"))
@@ -234,15 +295,19 @@ def attribute_issues(rows: DataFrame, rules: Sequence[ColumnRule], loads: DataFr
     faults = F.transform(row_faults(rules, once), lambda x: cell(F.lit("fault"), x["column_name"], x["issue_type"], null_text, once["row_position"]))
     # Faults are one row each; values are pre-summed map-side and then summed by the same shuffle.
     landed = (
-        once.select("load_id", F.explode(F.concat(faults, F.filter(F.array(*cells), lambda c: c.isNotNull())) if cells else faults).alias("c"))
+        once.select("load_id", "_late", F.explode(F.concat(faults, F.filter(F.array(*cells), lambda c: c.isNotNull())) if cells else faults).alias("c"))
         .groupBy("load_id", "c.kind", "c.column_name", "c.issue_type", "c.value", "c.row_position")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("kind <> 'id' or n > 1")  # of the id counts, only the repeated ones matter here
+        .agg(F.count(F.when(~F.col("_late"), 1)).alias("n"), F.count(F.when(F.col("_late"), 1)).alias("late_n"))
+        .where("kind <> 'id' or n + late_n > 1")  # of the id counts, only the repeated ones matter here
     )
     state = scratch.save(landed, by=("kind",))
     found = state.where("kind = 'fault'").select("load_id", "column_name", "issue_type", "row_position")
     if compared:
-        counts = apply_deltas(None, state.where("kind = 'count'").select("load_id", "column_name", "value", "n"))
+        delta = lambda n: state.where(f"kind = 'count' and {n} > 0").select("load_id", "column_name", "value", F.col(n).alias("n"))
+        kept = ValueCounts(rows.sparkSession, f"{scratch.root}/counts")
+        counts = kept.apply(delta("n"))
+        if timed:
+            counts = kept.apply(delta("late_n"))
         changed = changed_distributions(counts, loads)
         found = found.unionByName(changed.select("load_id", "column_name", F.lit("distribution_change").alias("issue_type"), F.lit(WHOLE_LOAD).cast(long).alias("row_position")))
     for rule in ids:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from geolith.operators.differences import compare_copies, difference_summary
 from geolith.operators.drift import SchemaHistory, unified_cells, unified_fields
 from geolith.operators.nearby import neighbourhood, points_near_points
-from geolith.operators.profile import ColumnRule, apply_deltas, attribute_issues, column_rules, counted_value, delivered_once, profile_metrics, value_deltas
+from geolith.operators.profile import ColumnRule, ValueCounts, attribute_issues, column_rules, counted_value, delivered_once, profile_metrics, repeated_deliveries, value_deltas
 from geolith.plans.tables import table
 from geolith.storage import Scratch
 
@@ -22,14 +23,25 @@ def p1_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     rules = column_rules(table(spark, folder, "attribute_columns"))
-    return attribute_issues(table(spark, folder, "attribute_rows"), rules, table(spark, folder, "attribute_loads"), Scratch(spark, "p2"))
+    return attribute_issues(table(spark, folder, "attribute_rows"), rules, table(spark, folder, "attribute_loads"), Scratch(spark, "p2"), received="received_at", started="started_at")
 
 
 def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """The profile of every column of every load, from value counts; all rows are counted again, no count table is kept between loads."""
+    """The profile of every column of every load, from counts maintained by three signed deltas.
+
+    What arrived within a day of its load's start is counted as it was delivered, then what came later is added, then the
+    rows delivered more than once are withdrawn as often as they came and added once.
+    """
     rules = [ColumnRule(r.column_name) for r in column_rules(table(spark, folder, "attribute_columns"))]
-    once = delivered_once(table(spark, folder, "attribute_rows"), rules)
-    return profile_metrics(apply_deltas(None, value_deltas(once, {r.column_name: counted_value(once[r.column_name], r) for r in rules})))
+    rows, loads = table(spark, folder, "attribute_rows"), table(spark, folder, "attribute_loads")
+    begun = loads.groupBy(F.col("load_id").alias("of_load")).agg(F.min("started_at").alias("begun"))  # metadata: one row a load
+    timed = rows.join(begun, rows["load_id"] == begun["of_load"], "left").withColumn("late", F.coalesce(F.col("received_at") > F.col("begun") + F.expr("interval 24 hours"), F.lit(False)))
+    counted = lambda df, sign=1: value_deltas(df, {r.column_name: counted_value(df[r.column_name], r) for r in rules}, sign)
+    kept = ValueCounts(spark, f"{Scratch(spark, 'p2').root}/counts")
+    kept.apply(counted(timed.where("not late")))
+    kept.apply(counted(timed.where("late")))
+    again = repeated_deliveries(rows)
+    return profile_metrics(kept.apply(counted(again, -1), counted(delivered_once(again, rules))))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -71,3 +71,28 @@ def test_rules_from_a_table(spark):
     t = spark.createDataFrame([("b", "float", None, None, None, "0", None, 2.0, True), ("a", "string", False, True, "^x$", None, None, None, None)], "column_name string, data_type string, nullable boolean, is_id boolean, value_pattern string, min_value string, max_value string, bin_width double, compare_loads boolean")
     a, b = column_rules(t)
     assert (a.column_name, a.nullable, a.is_id, a.compare_loads, b.nullable, b.bin_width) == ("a", False, True, False, True, 2.0)
+
+
+def test_maintained_counts_equal_a_full_count(spark, scratch):
+    from geolith.operators.profile import ValueCounts, repeated_deliveries
+
+    schema = "load_id long, row_position long, v string, value string"
+    first = [(1, 0, "a", "clash"), (1, 1, "b", "clash"), (1, 1, "b", "clash"), (2, 0, None, "clash")]
+    late = [(1, 2, "a", "clash"), (2, 0, None, "clash"), (1, 1, "b", "clash"), (2, 1, "", "clash")]
+    gone = [(1, 0, "a", "clash")]
+    rule = ColumnRule("v")
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    delta = lambda df, sign=1: value_deltas(df, {"v": counted_value(df["v"], rule)}, sign)
+    path = f"{scratch.root}/counts"
+    kept = ValueCounts(spark, path)
+    assert kept.version == 0 and kept.counts is None
+    kept.apply(delta(frame(first)))
+    kept.apply(delta(frame(late)))
+    again = repeated_deliveries(frame(first + late))
+    assert again.count() == 5
+    kept.apply(delta(again, -1), delta(delivered_once(again, [rule])))
+    ValueCounts(spark, path).apply(delta(frame(gone), -1))  # opened again by its path
+    got = sorted((r.load_id, r.value, r.n) for r in kept.counts.collect())
+    assert kept.version == 4 and got == [(1, "va", 1), (1, "vb", 1), (2, "0", 1), (2, "v", 1)]
+    left = [r for r in first + late if r not in gone]
+    assert sorted(map(tuple, profile_metrics(kept.counts).collect()), key=repr) == sorted(map(tuple, profile_metrics(delta(delivered_once(frame(left), [rule]))).collect()), key=repr)
