@@ -4,7 +4,7 @@ Each round, every vertex tells its neighbourhood the least vertex in it.  A vert
 minimum is pruned: it hangs below the least minimum it heard of, as a leaf of a propagation forest, and leaves
 the graph; the minima it heard of stay linked through that least one.  Rounds shrink the graph until no edge is
 left; then the seeds' identifiers flow down the forest, last pruned first.  The rounds grow with the logarithm of a
-group's size, every step is a combining aggregation or an equi-join, and each vertex is written once.
+group's size, every step is a combining aggregation or an equi-join, and each vertex's label is written once, with its round.
 """
 
 from __future__ import annotations
@@ -48,14 +48,18 @@ def linked_groups(matches: DataFrame, scratch: Scratch, first: str = "a", second
         rest = scratch.save(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
         scratch.drop(edges, heard)
         edges = rest
-    labels = None
+    # A vertex's parent is a seed or was pruned in a later round: labels are made round by round, last first, each written once.
+    known = None
     for forest in reversed(pruned):
-        if labels is None:
-            labels = scratch.save(forest.select(F.col("parent").alias("group_index"), F.col("vertex").alias("feature_index")))
-            continue
-        known = labels.select(F.col("feature_index").alias("parent"), "group_index")
-        below = forest.join(known, "parent", "left").select(F.coalesce("group_index", "parent").alias("group_index"), F.col("vertex").alias("feature_index"))
-        labels = scratch.save(labels.unionByName(below))
+        if known is None:
+            below = forest.select(F.col("parent").alias("group_index"), F.col("vertex").alias("feature_index"))
+        else:
+            above = known.select(F.col("feature_index").alias("parent"), "group_index")
+            below = forest.join(above, "parent", "left").select(F.coalesce("group_index", "parent").alias("group_index"), F.col("vertex").alias("feature_index"))
+        below = scratch.save(below)
+        scratch.drop(forest)
+        known = below if known is None else known.unionByName(below)
+    labels = known
     alone = loops.select(F.col("u").alias("group_index"), F.col("u").alias("feature_index"))
     if labels is None:
         return alone

@@ -256,13 +256,12 @@ def candidate_pairs(shapes: DataFrame, scratch: Scratch, bounds: Bounds) -> Data
     return met.select(F.least("probe", "kept").alias("l"), F.greatest("probe", "kept").alias("r")).where("l < r").distinct()
 
 
-def near_duplicate_features(features: DataFrame, scratch: Scratch, least: float = 0.85, index: str = "feature_index", geometry: str = "geometry_wkt", newest: str | None = "edited_at") -> DataFrame:
-    """(left_index, right_index), left < right, of different features whose similarity reaches ``least``.
+def near_duplicate_classes(features: DataFrame, scratch: Scratch, least: float = 0.85, index: str = "feature_index", geometry: str = "geometry_wkt", newest: str | None = "edited_at") -> tuple[DataFrame, DataFrame]:
+    """The result of near_duplicate_features without copies multiplied out: links and members.
 
-    Similarity is 0.45 overlap + 0.35 Hausdorff + 0.20 shape similarity, for geometries whose envelopes meet.  A
-    feature is its index: of several rows the newest geometry counts, ties by the greatest text.  Features with
-    null index, null, empty or unreadable geometry have no pairs.  Equal geometries are all pairs of one another,
-    as the result demands.  An empty table gives no rows; other columns are not read.
+    links: (left_class, right_class), one row for two classes whose geometries reach the similarity. members: (class,
+    feature_index, n), one row for each feature with a geometry; a class is named by its least feature and has n equal
+    geometries, all linked to one another. Rows grow with the features, however many copies there are of one.
     """
     rows = features.where(features[index].isNotNull() & features[geometry].isNotNull())
     order = [features[newest]] if newest else []
@@ -285,8 +284,20 @@ def near_duplicate_features(features: DataFrame, scratch: Scratch, least: float
     texts = [one.select(F.col("feature_index").alias(s), F.col("shape").alias(s + "w")) for s in "lr"]
     pairs = likely.join(texts[0], "l").join(texts[1], "r").select("l", "r", "lw", "rw")
     alike = pairs.mapInPandas(lambda batches: score(batches, least), "l bigint, r bigint")
+    return alike.select(F.col("l").alias("left_class"), F.col("r").alias("right_class")), members.select(F.col("first").alias("class"), "feature_index", "n")
+
+
+def near_duplicate_features(features: DataFrame, scratch: Scratch, least: float = 0.85, index: str = "feature_index", geometry: str = "geometry_wkt", newest: str | None = "edited_at") -> DataFrame:
+    """(left_index, right_index), left < right, of different features whose similarity reaches ``least``.
+
+    Similarity is 0.45 overlap + 0.35 Hausdorff + 0.20 shape similarity, for geometries whose envelopes meet.  A
+    feature is its index: of several rows the newest geometry counts, ties by the greatest text.  Features with
+    null index, null, empty or unreadable geometry have no pairs.  Equal geometries are all pairs of one another,
+    as the result demands: n copies have n (n - 1) / 2 rows, near_duplicate_classes has n.  An empty table gives no rows; other columns are not read.
+    """
+    links, members = near_duplicate_classes(features, scratch, least, index, geometry, newest)
     several = members.where("n > 1")
-    left, right = (members.select(F.col("first").alias(s), F.col("feature_index").alias(s + "i")) for s in "lr")
-    across = alike.join(left, "l").join(right, "r").select("li", "ri")
-    within = several.select("first", F.col("feature_index").alias("li")).join(several.select("first", F.col("feature_index").alias("ri")), "first").where("li < ri").select("li", "ri")
+    left, right = (members.select(F.col("class").alias(s + "_class"), F.col("feature_index").alias(s[0] + "i")) for s in ("left", "right"))
+    across = links.join(left, "left_class").join(right, "right_class").select("li", "ri")
+    within = several.select("class", F.col("feature_index").alias("li")).join(several.select("class", F.col("feature_index").alias("ri")), "class").where("li < ri").select("li", "ri")
     return across.unionByName(within).select(F.least("li", "ri").alias("left_index"), F.greatest("li", "ri").alias("right_index"))

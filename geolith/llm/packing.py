@@ -1,63 +1,74 @@
 """Filling containers of fixed capacity with the sum-of-squares rule.
 
-Documents are spread over shards by a hash, each shard is packed on its own: an item goes to the fill level at
-which the sum of the squared numbers of partly filled containers becomes least.  The levels of a shard are one
-array of counts, so a step is one vector operation whatever the number of containers.  A shard holds a bounded
-number of documents, so there are as many shards as the data needs and no task grows with it.
+An item goes to the fill level at which the sum of the squared numbers of partly filled containers becomes least.  The
+levels are one array of counts, so a step is one vector operation whatever the number of containers.  Every partition of
+the items is packed where it stands, online, with its own levels: no shuffle, no key and no count of all items, so
+neither equal nor null items gather anywhere and the packing of one partition does not depend on the rest of the data.
+Items arrive in windows of a bounded number; within a window the larger ones go first, which leaves less unused space,
+and the open containers are handed on from window to window.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
-SHARD_ITEMS = 1 << 17
-
-
-def sum_of_squares(sizes, capacity: int) -> np.ndarray:
-    """Container of each item (0..capacity), by arrival. Ties go to the fullest level, then to a new container last.
-
-    Placing s into level h > 0 changes the sum of squares by 2 (N[h+s] - N[h]) + 2, by 1 - 2 N[h] if that fills the
-    container, and opening a container changes it by 2 N[s] + 1 (not at all if s fills it).
-    """
-    counts = np.zeros(capacity + 1, dtype=np.int64)
-    open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
-    out = np.empty(len(sizes), dtype=np.int64)
-    made = 0
-    last = -1
-    for i, s in enumerate(sizes):
-        if s == 0:
-            if last < 0:
-                last, made = made, made + 1
-                counts[0] = 0
-                open_at[0].append(last)
-            out[i] = last
-            continue
-        if open_at[0]:
-            level = 0
-        else:
-            level = -1
-            if s < capacity:
+WINDOW_ITEMS = 1 << 17
+PARTITION_BITS = 40
+
+
+class Levels:
+    """The open containers by fill level."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.made, self.last = capacity, 0, -1
+        self.counts = np.zeros(capacity + 1, dtype=np.int64)
+        self.open_at: dict[int, list[int]] = {}
+
+    def place(self, sizes) -> np.ndarray:
+        """Container of each item (0..capacity), by arrival. Ties go to the fullest level, then to a new container last.
+
+        Placing s into level h > 0 changes the sum of squares by 2 (N[h+s] - N[h]) + 2, by 1 - 2 N[h] if that fills the
+        container, and opening a container changes it by 2 N[s] + 1 (not at all if s fills it). An item of size 0 joins
+        the container filled last, or opens one that the next item fills.
+        """
+        capacity, counts, open_at = self.capacity, self.counts, self.open_at
+        out = np.empty(len(sizes), dtype=np.int64)
+        for i, s in enumerate(sizes):
+            if s == 0:
+                if self.last < 0:
+                    self.last, self.made = self.made, self.made + 1
+                    open_at[0] = [self.last]
+                out[i] = self.last
+                continue
+            level = 0 if open_at.get(0) else -1
+            if level < 0 and s < capacity:
                 gain = 2 * (counts[s + 1 :] - counts[1 : capacity - s + 1]) + 2
                 gain[-1] -= 1  # counts[capacity] is always 0: the full container leaves the sum
                 gain[counts[1 : capacity - s + 1] == 0] = 1 << 60
                 k = len(gain) - 1 - int(np.argmin(gain[::-1]))
                 if gain[k] <= 2 * counts[s] + 1:
                     level = k + 1
-        if level < 0:
-            at, level, made = made, 0, made + 1
-        else:
-            at = open_at[level].pop()
-            if level:
-                counts[level] -= 1
-        out[i] = last = at
-        if level + s < capacity:
-            counts[level + s] += 1
-            open_at[level + s].append(at)
-    return out
+            if level < 0:
+                at, level, self.made = self.made, 0, self.made + 1
+            else:
+                at = open_at[level].pop()
+                if level:
+                    counts[level] -= 1
+            out[i] = self.last = at
+            if level + s < capacity:
+                counts[level + s] += 1
+                open_at.setdefault(level + s, []).append(at)
+        return out
+
+
+def sum_of_squares(sizes, capacity: int) -> np.ndarray:
+    """Container of each of a list of items, from no open container on."""
+    return Levels(capacity).place(sizes)
 
 
 def pieces_of(n: int, capacity: int) -> list[int]:
@@ -68,34 +79,52 @@ def pieces_of(n: int, capacity: int) -> list[int]:
     return [capacity] * full + [rest] * (rest > 0)
 
 
-def pack_shard(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """shard, item, n_tokens -> shard, item, piece, piece_tokens, container. Larger pieces arrive first."""
-    frame = frame.sort_values(["n_tokens", "item"], ascending=[False, True], kind="stable", na_position="last")
+def pack_window(frame: pd.DataFrame, levels: Levels) -> pd.DataFrame:
+    """item, n_tokens -> item, piece, piece_tokens, container. Larger pieces arrive first."""
     n = frame["n_tokens"].to_numpy()
-    pieces = [pieces_of(int(x), capacity) for x in n]
-    counts = np.array([len(p) for p in pieces])
+    pieces = [pieces_of(int(x), levels.capacity) for x in n]
+    counts = np.array([len(p) for p in pieces], dtype=np.int64)
     row = np.repeat(np.arange(len(frame)), counts)
     piece = np.concatenate([np.arange(c) for c in counts]) if len(frame) else np.empty(0, int)
     size = np.array([s for p in pieces for s in p], dtype=np.int64)
     order = np.argsort(-size, kind="stable")
     container = np.empty(len(size), dtype=np.int64)
-    container[order] = sum_of_squares(size[order], capacity)
-    return pd.DataFrame({"shard": frame["shard"].to_numpy()[row], "item": frame["item"].to_numpy()[row], "piece": piece.astype("int32"), "piece_tokens": size, "container": container})
+    container[order] = levels.place(size[order])
+    return pd.DataFrame({"item": frame["item"].to_numpy()[row], "piece": piece.astype("int32"), "piece_tokens": size, "container": container})
+
+
+def packer(capacity: int, window: int):
+    def run(batches):
+        levels, held = Levels(capacity), []
+        first = TaskContext.get().partitionId() << PARTITION_BITS
+
+        def packed():
+            out = pack_window(pd.concat(held, ignore_index=True), levels)
+            held.clear()
+            return out.assign(container=out["container"] + first)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= window:
+                yield packed()
+        if held:
+            yield packed()
+
+    return run
 
 
-def pack_items(items: DataFrame, *, item: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, rows: int | None = None) -> DataFrame:
-    """Placements: item, piece, piece_tokens, container_id (unique over shards).
+def pack_items(items: DataFrame, *, item: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, window: int = WINDOW_ITEMS) -> DataFrame:
+    """Placements: item, piece, piece_tokens, container_id (unique over partitions).
 
     Every row of items is placed once, whole if it fits a container, else in full pieces and a rest.  A null or
     negative size counts as 0; items of size 0 join the container filled last.  Rows that repeat an item are items
-    of their own.  rows: number of items where it is known, else they are counted.  No items, no containers.
+    of their own; null items are placed like any.  Each partition of items is packed by itself: few large partitions
+    leave less unused space than many small ones.  No items, no containers.
     """
-    rows = items.count() if rows is None else rows
-    shards = max(1, -(-rows // SHARD_ITEMS))
     size_of = F.greatest(F.coalesce(items[size].cast("bigint"), F.lit(0)), F.lit(0))
-    keyed = items.select((F.pmod(F.xxhash64(items[item]), F.lit(shards))).cast("bigint").alias("shard"), items[item].cast("bigint").alias("item"), size_of.alias("n_tokens"))
-    packed = keyed.groupBy("shard").applyInPandas(lambda frame: pack_shard(frame, capacity), "shard bigint, item bigint, piece int, piece_tokens bigint, container bigint")
-    return packed.select(F.col("item").alias(item), "piece", "piece_tokens", (F.col("shard") * (1 << 32) + F.col("container")).alias("container_id"))
+    keyed = items.select(items[item].cast("bigint").alias("item"), size_of.alias("n_tokens"))
+    packed = keyed.mapInPandas(packer(capacity, window), "item bigint, piece int, piece_tokens bigint, container bigint")
+    return packed.select(F.col("item").alias(item), "piece", "piece_tokens", F.col("container").alias("container_id"))
 
 
 def packing_report(placements: DataFrame, capacity: int = CAPACITY) -> DataFrame:

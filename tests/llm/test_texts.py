@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 import regex
 
-from geolith.llm.packing import pack_items, pack_shard, packing_report, pieces_of, sum_of_squares
+from geolith.llm.packing import Levels, pack_items, pack_window, packing_report, pieces_of, sum_of_squares
 from geolith.llm.repetition import host_rates, judge_repetition, repeated_words, with_host_verdicts
 from geolith.llm.tokens import VOCABULARY, decode_tree, encode_tree, encoder, token_counts, token_ids
 
@@ -65,7 +65,7 @@ def test_the_rule_against_its_definition():
 def test_whole_items_and_pieces():
     assert pieces_of(5, 4) == [4, 1] and pieces_of(8, 4) == [4, 4] and pieces_of(4, 4) == [4] and pieces_of(0, 4) == [0]
     frame = pd.DataFrame({"shard": 0, "item": [1, 2, 3, 3, 4], "n_tokens": [0, 9, 3, 3, 1]})
-    out = pack_shard(frame, 4)
+    out = pack_window(frame, Levels(4))
     assert out.groupby("container").piece_tokens.sum().max() <= 4
     assert sorted(out.piece_tokens) == [0, 1, 1, 3, 3, 4, 4] and out.container.nunique() == 4
 
@@ -81,6 +81,23 @@ def test_packing_is_near_the_bound_and_loses_nothing(spark):
     assert (parts["sum"].to_numpy() == sizes).all() and (parts["count"].to_numpy() == np.maximum(1, -(-sizes // 2048))).all()
 
 
+def test_windows_and_partitions_lose_nothing(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(k % 7 if k % 3 else None, rng.choice([0, 5, 700, 1500, 2048, 5000])) for k in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, n_tokens long").repartition(3).cache()
+    placed = pack_items(frame, window=64).collect()
+    assert sum(r.piece_tokens for r in placed) == sum(n for _, n in rows) and len(placed) == sum(len(pieces_of(n, 2048)) for _, n in rows)
+    fills = {}
+    for r in placed:
+        fills[r.container_id] = fills.get(r.container_id, 0) + r.piece_tokens
+    assert max(fills.values()) <= 2048 and len({c >> 40 for c in fills}) == 3
+    whole = Levels(2048)
+    sizes = [n for _, n in rows if n <= 2048]
+    assert [*whole.place(sizes[:100]), *whole.place(sizes[100:])] == list(sum_of_squares(sizes, 2048))
+
+
 def test_packing_of_nulls_and_nothing(spark):
     frame = spark.createDataFrame([(1, None), (2, -5), (None, 3), (4, 2048)], "doc_id long, n_tokens long")
     assert sorted(r.piece_tokens for r in pack_items(frame).collect()) == [0, 0, 3, 2048]
