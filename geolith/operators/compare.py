@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from geolith.geometry import overlay, wkb, wkt
 from geolith.geometry.batch import of_pairs, similarities_of
 from geolith.geometry.exact import topologically_equal
-from geolith.operators.tiles import likely_pairs, prepared, require, saved, with_shapes
+from geolith.operators.tiles import likely_pairs, prepared, require, saved, spread, with_shapes
 from geolith.storage import Scratch
 
 
@@ -118,7 +118,7 @@ def _in_tiles(shapes: DataFrame, scratch: Scratch) -> DataFrame:
     cell = 2.0 ** math.ceil(math.log2(4 * mean)) if mean else 1.0
     boxes = shapes.select("feature_index", "x0", "y0", "x1", "y1")
 
-    def spread(df, cell, within=None):
+    def over_tiles(df, cell, within=None):
         for c, lo, hi in (("tx", "x0", "x1"), ("ty", "y0", "y1")):
             first, last = F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)
             if within:
@@ -126,7 +126,7 @@ def _in_tiles(shapes: DataFrame, scratch: Scratch) -> DataFrame:
             df = df.withColumn(c, F.explode(F.sequence(first, last)))
         return df.withColumn("cell", F.lit(cell))
 
-    rest, done = spread(boxes, cell), []
+    rest, done = over_tiles(boxes, cell), []
     for k in range(MOST_SPLITS):
         rest = scratch.save(rest)
         whole = (F.col("x0") <= F.col("tx") * cell) & (F.col("y0") <= F.col("ty") * cell) & (F.col("x1") >= (F.col("tx") + 1) * cell) & (F.col("y1") >= (F.col("ty") + 1) * cell)
@@ -138,7 +138,7 @@ def _in_tiles(shapes: DataFrame, scratch: Scratch) -> DataFrame:
             break
         cell /= 2
         parents = rest.join(crowded, ["tx", "ty"], "left_semi").select("feature_index", "x0", "y0", "x1", "y1", F.col("tx").alias("ptx"), F.col("ty").alias("pty"))
-        rest = spread(parents, cell, True).drop("ptx", "pty")
+        rest = over_tiles(parents, cell, True).drop("ptx", "pty")
     out = [df.select("feature_index", "cell", "tx", "ty") for df in done]
     return reduce(DataFrame.unionByName, out)
 
@@ -153,7 +153,7 @@ def compare_boundaries(spark: SparkSession, left: DataFrame, right: DataFrame, g
     scratch = Scratch(spark, "boundary")
     both = scratch.save(sides[0].unionByName(sides[1]))
     parts = _in_tiles(both, scratch).join(both.select("feature_index", "side", "shape"), "feature_index").select("cell", "tx", "ty", "side", "shape")
-    areas = parts.groupBy("cell", "tx", "ty").applyInPandas(_tile_areas, "a double, b double, both double")
+    areas = spread(parts, "cell", "tx", "ty").groupBy("cell", "tx", "ty").applyInPandas(_tile_areas, "a double, b double, both double")
     total = areas.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("a", "b", "both")])
     union = F.col("a") + F.col("b") - F.col("both")
     return total.select(F.round(F.when(union > 0, F.col("both") / union).otherwise(1.0), 6).alias("boundary_iou"), F.round(union - F.col("both"), 6).alias("boundary_difference_area"))

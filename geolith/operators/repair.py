@@ -1,8 +1,7 @@
 """Repair of geometries and coverages.
 
 Repair of one geometry is a map.  Overlaps need no sequence: what a feature loses is its part in the union of all
-earlier ones, so one tile join and one group for each feature do.  Gaps are local to the polygons around them:
-components of polygons that meet are filled one by one.
+earlier ones, so one tile join and one group for each feature do.  Gaps are found tile by tile (geolith.operators.gaps).
 """
 
 from __future__ import annotations
@@ -16,11 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.geometry import overlay, wkb, wkt
-from geolith.geometry.measure import Shape, shared_length
 from geolith.geometry.repair import AREA_EPSILON, RepairConfig, area, polygonal, repair, shift, unsafe, vertex_count
 from geolith.geometry.validity import invalid_reason
-from geolith.operators.components import connected
-from geolith.operators.tiles import envelope_pairs, prepared, read_geometry
+from geolith.operators.gaps import fill_gaps
+from geolith.operators.tiles import envelope_pairs, prepared, read_geometry, spread
 from geolith.storage import Scratch
 
 ACTIONS = "array<struct<issue_type:string,strategy:string,detail:string>>"
@@ -111,29 +109,6 @@ def _erase(batches):
         yield pd.DataFrame([found], columns=["feature_index", "erased", "detail"])
 
 
-def _fill(config: RepairConfig):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """One component of polygons that meet: the polygons that gaps were filled into."""
-        frame = frame.sort_values("feature_index")
-        index = frame["feature_index"].tolist()
-        shapes = [wkb.load(w).polygons for w in frame["shape"]]
-        details = [[] for _ in shapes]
-        covered = overlay.union(shapes)
-        holes = [[[h[::-1]]] for p in covered for h in p[1:]]
-        holes = [h for h in holes if AREA_EPSILON < overlay.area_of(h) < config.gap_area_threshold]
-        for hole in sorted(holes, key=lambda h: min(h[0][0])):
-            edge = Shape(overlay.region(hole)).segments
-            shared = [shared_length(edge, Shape(overlay.region(s)).segments) if s else 0.0 for s in shapes]
-            best = max(range(len(shared)), key=lambda k: (shared[k], -k))
-            if shared[best] > 0:
-                shapes[best] = overlay.union([shapes[best], hole])
-                details[best].append(f"Filled {overlay.area_of(hole):.6g} of gap.")
-        rows = [(i, wkb.dump(overlay.region(s)), d) for i, s, d in zip(index, shapes, details) if d]
-        return pd.DataFrame(rows, columns=["feature_index", "filled", "details"])
-
-    return run
-
-
 def _finish(config: RepairConfig):
     def run(batches):
         for batch in batches:
@@ -159,16 +134,15 @@ def repair_coverage(spark: SparkSession, features: DataFrame, config: RepairConf
     """
     scratch = Scratch(spark, "coverage")
     base = features.select(features[index].cast("bigint").alias("feature_index"), features[geometry].alias("geometry"))
-    stage = scratch.save(base.mapInPandas(_first_stage(config), STAGE))
+    stage = scratch.save(spread(base, "feature_index").mapInPandas(_first_stage(config), STAGE))
     action = lambda kind, strategy, detail: F.struct(F.lit(kind).alias("issue_type"), F.lit(strategy).alias("strategy"), detail.alias("detail"))
     if config.resolve_overlaps:
-        shapes = prepared(stage.where("shape is not null"), geometry="shape").where("kind in ('POLYGON', 'MULTIPOLYGON') and fault is null").select("feature_index", "shape", "x0", "y0", "x1", "y1")
+        shapes = scratch.save(prepared(stage.where("shape is not null"), geometry="shape").where("kind in ('POLYGON', 'MULTIPOLYGON') and fault is null").select("feature_index", "shape", "x0", "y0", "x1", "y1"))
         pairs = envelope_pairs(shapes)
         own = shapes.select(F.col("feature_index").alias("r"), F.col("shape").alias("own"))
         other = shapes.select(F.col("feature_index").alias("l"), F.col("shape").alias("other"))
         groups = pairs.join(own, "r").join(other, "l").select(F.col("r").alias("feature_index"), "own", F.col("l").alias("other_index"), "other")
-        spread = groups.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "feature_index").sortWithinPartitions("feature_index", "other_index")
-        erased = spread.mapInPandas(_erase, "feature_index bigint, erased binary, detail string")
+        erased = spread(groups, "feature_index").sortWithinPartitions("feature_index", "other_index").mapInPandas(_erase, "feature_index bigint, erased binary, detail string")
         stage = scratch.save(
             stage.join(erased, "feature_index", "left").select(
                 "feature_index", "before", F.coalesce("erased", "shape").alias("shape"),
@@ -177,13 +151,12 @@ def repair_coverage(spark: SparkSession, features: DataFrame, config: RepairConf
         )
     if config.fill_gaps:
         shapes = prepared(stage.where("shape is not null"), geometry="shape").where("kind in ('POLYGON', 'MULTIPOLYGON') and fault is null").select("feature_index", "shape", "x0", "y0", "x1", "y1")
-        labels = connected(spark, envelope_pairs(shapes), shapes.select(F.col("feature_index").alias("vertex")))
-        filled = shapes.select("feature_index", "shape").join(labels.withColumnRenamed("vertex", "feature_index"), "feature_index").groupBy("component").applyInPandas(_fill(config), "feature_index bigint, filled binary, details array<string>")
+        filled = fill_gaps(spark, scratch.save(shapes), config.gap_area_threshold, scratch)
         stage = stage.join(filled, "feature_index", "left").select(
             "feature_index", "before", F.coalesce("filled", "shape").alias("shape"),
             F.when(F.col("filled").isNotNull(), F.concat("actions", F.transform("details", lambda d: action("gap", "fill_gap", d)))).otherwise(F.col("actions")).alias("actions"), "failure",
         )
-    return stage.mapInPandas(_finish(config), RESULT)
+    return spread(stage, "feature_index").mapInPandas(_finish(config), RESULT)
 
 
 def repair_report(results: DataFrame) -> DataFrame:

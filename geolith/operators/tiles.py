@@ -76,6 +76,12 @@ def saved(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession, "shapes").save(df)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows by keys over as many tasks as the session shuffles with, for work in Python: partitions of few bytes are else put together, however much there is to compute."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def require(shapes: DataFrame, kinds: Iterable[str] | None = None) -> None:
     """Raise ValueError if a geometry is missing, empty, unreadable or of another kind than wanted."""
     bad = F.col("fault").isNotNull()

@@ -197,12 +197,12 @@ def repair_safety(spark, folder):
     return out.groupBy("status").agg(F.count(F.lit(1)).alias("features"))
 
 
-# Rings of boxes around a hole of area 1
+# Rings of boxes around a hole of area 1; the rings touch, so that all features are one component
 @query("SELECT count(*) * 4 AS features, count(*) AS filled, count(*) * 9.0 AS area FROM customer")
 def coverage_gap_fill(spark, folder):
     k = F.col("c_custkey")
     parts = [(0, 0, 2, 1), (2, 0, 3, 2), (1, 2, 3, 3), (0, 1, 1, 3)]
-    x, y = 5 * (k % 100), 5 * F.floor(k / 100)
+    x, y = 3 * (k % 100), 3 * F.floor(k / 100)
     ring = table(spark, folder, "customer").select(F.explode(F.array(*[F.struct((k * 4 + i).alias("i"), (x + a).alias("x0"), (y + b).alias("y0"), (x + c).alias("x1"), (y + d).alias("y1")) for i, (a, b, c, d) in enumerate(parts)])).alias("b"))
     features = ring.select(F.col("b.i").alias("feature_index"), g.box_wkt(F.col("b.x0"), F.col("b.y0"), F.col("b.x1"), F.col("b.y1")).alias("geometry"))
     out = repairs.repair_coverage(spark, features, RepairConfig(gap_area_threshold=1.5))

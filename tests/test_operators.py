@@ -178,3 +178,28 @@ def test_boundaries_of_a_connected_layer_are_compared_tile_by_tile(spark, scratc
     assert tiles.groupBy("cell", "tx", "ty").count().agg(F.max("count")).first()[0] <= compare.CROWDED + 1
     row = compare.compare_boundaries(spark, a, b).first()
     assert (row.boundary_iou, row.boundary_difference_area) == (round(400 / 635.625, 6), 235.625)
+
+
+def test_gaps_by_tiles_are_the_holes_of_the_union(spark, scratch):
+    import random
+
+    from geolith.geometry import overlay, wkt
+    from geolith.operators.gaps import small_gaps
+    from geolith.operators.tiles import prepared
+
+    rng = random.Random(12)
+    boxes = []
+    for k in range(260):
+        x, y, big = rng.uniform(0, 40), rng.uniform(0, 40), 12 if k % 40 == 0 else 3
+        w, h = rng.uniform(0.3, big), rng.uniform(0.3, big)
+        boxes.append(f"POLYGON (({x} {y}, {x + w} {y}, {x + w + 0.3} {y + h}, {x} {y + h}, {x} {y}))")
+    boxes += ["POLYGON ((100 0, 140 0, 140 0.001, 100 0.001, 100 0))", "POLYGON ((100 0.001, 100.001 0.001, 100.001 0.002, 100 0.002, 100 0.001))", "POLYGON ((139.999 0.001, 140 0.001, 140 0.002, 139.999 0.002, 139.999 0.001))", "POLYGON ((100 0.002, 140 0.002, 140 0.003, 100 0.003, 100 0.002))"]
+    boxes += [f"POLYGON ((0 {50 + i}, 9 {50 + i}, 9 {50.9 + i}, 0 {50.9 + i}, 0 {50 + i}))" for i in range(3)]
+    covered = overlay.union([wkt.parse(b).polygons for b in boxes])
+    found = 0
+    for threshold in (0.5, 40.0):
+        expected = sorted(round(overlay.area_of([[h[::-1]]]), 9) for p in covered for h in p[1:] if 1e-12 < overlay.area_of([[h[::-1]]]) < threshold)
+        shapes = prepared(features(spark, *boxes)).select("feature_index", "shape", "x0", "y0", "x1", "y1")
+        assert sorted(round(r.area, 9) for r in small_gaps(spark, shapes, threshold, scratch).collect()) == expected
+        found += len(expected)
+    assert found > 5
