@@ -70,19 +70,31 @@ def analyze_conflicts(features: DataFrame, policy: ConflictPolicy = ConflictPoli
     features: layer_seq (order of layers), layer_name, layer_role, agency, feature_index and the geometry; several
     layers may use the same indices. The layer of lower layer_seq is left. magnitude is the measure of the common
     part over the lesser measure, at most 1, and 1 where that is 0. Null, empty and unreadable geometries are in no
-    conflict. Layers without rule make no candidates.
+    conflict. Only layers (of one role and agency each) that have a rule are joined, pair by pair: a feature has one row
+    for each its own has a rule with, and features of one layer never meet.
     """
     keyed = features.select("layer_seq", "layer_name", "layer_role", "agency", F.col("feature_index").cast("bigint").alias("own_index"), F.col(geometry).alias("geometry"))
-    numbered = keyed.withColumn("id", F.xxhash64("layer_seq", "own_index"))
+    layers = saved(keyed.select("layer_seq", F.col("layer_role").alias("role"), "agency").distinct())  # metadata
+    side = lambda s: layers.select(*[F.col(c).alias(f"{s}_{c}") for c in layers.columns])
+    ruled = side("l").join(side("r"), F.col("l_layer_seq") < F.col("r_layer_seq")).withColumn("conflict_type", conflict_rule(*[F.col(c) for c in ("l_role", "r_role", "l_agency", "r_agency")]))
+    ruled = saved(ruled.where("conflict_type is not null").withColumn("pair", F.monotonically_increasing_id()))
+    numbered = saved(keyed.withColumn("id", F.monotonically_increasing_id()))  # written, so that a feature keeps its number
     info = numbered.select("id", "layer_seq", "layer_name", F.col("layer_role").alias("role"), "agency", "own_index")
-    shapes = saved(prepared(numbered, "id").join(info.withColumnRenamed("id", "feature_index"), "feature_index").where("fault is null"))
-    met = envelope_pairs(shapes, keep=("layer_seq", "role", "agency"))
-    met = met.where("l_layer_seq <> r_layer_seq").withColumn("conflict_type", conflict_rule(*[F.col(c) for c in ("l_role", "r_role", "l_agency", "r_agency")])).where("conflict_type is not null")
+    shapes = saved(prepared(numbered, "id").where("fault is null"))
+    placed = shapes.select("feature_index", "x0", "y0", "x1", "y1").join(info.select(F.col("id").alias("feature_index"), "layer_seq", "role", "agency"), "feature_index")
+
+    def of_pairs(s):
+        ends = ruled.select(*[F.col(f"{s}_{c}").alias(f"of_{c}") for c in ("layer_seq", "role", "agency")], "pair", "conflict_type")
+        same = F.lit(True)
+        for c in ("layer_seq", "role", "agency"):
+            same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+        return placed.join(ends, same).drop("of_layer_seq", "of_role", "of_agency")
+
+    met = envelope_pairs(of_pairs("l"), of_pairs("r"), by=("pair", "conflict_type"))
     found = with_shapes(met.select("l", "r", "conflict_type"), shapes.select("feature_index", "shape")).mapInPandas(_magnitudes, "l bigint, r bigint, conflict_type string, magnitude double")
-    side = lambda s: info.select(F.col("id").alias(s), F.struct("layer_seq", "layer_name", "own_index").alias(s + "i"))
-    out = found.join(side("l"), "l").join(side("r"), "r")
-    swap = F.col("li.layer_seq") > F.col("ri.layer_seq")
-    first, second = F.when(swap, F.col("ri")).otherwise(F.col("li")), F.when(swap, F.col("li")).otherwise(F.col("ri"))
+    named = lambda s: info.select(F.col("id").alias(s), F.struct("layer_name", "own_index").alias(s + "i"))
+    out = found.join(named("l"), "l").join(named("r"), "r")
+    first, second = F.col("li"), F.col("ri")
     base = F.create_map(*[F.lit(v) for k in (("road_river_crossing", policy.road_river_base), ("building_in_river", policy.building_river_base), ("inter_agency_overlap", policy.overlap_base), ("boundary_conflict", policy.boundary_base)) for v in k])
     severity = F.round(F.least(F.lit(100.0), F.element_at(base, F.col("conflict_type")) + policy.magnitude_weight * F.col("magnitude")), 2)
     return out.select(

@@ -79,7 +79,8 @@ def saved(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """The rows by keys over as many tasks as the session shuffles with, for work in Python: partitions of few bytes are else put together, however much there is to compute."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+    # One more than a shuffle has: a repartition to what the rows already have is optimised away, and its tasks are put together.
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) + 1, *keys)
 
 
 def require(shapes: DataFrame, kinds: Iterable[str] | None = None) -> None:
@@ -96,10 +97,11 @@ def _side(tolerance: float) -> Column:
     return F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 2 * tolerance
 
 
-def envelope_pairs(left: DataFrame, right: DataFrame | None = None, tolerance: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+def envelope_pairs(left: DataFrame, right: DataFrame | None = None, tolerance: float = 0.0, keep: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """(l, r) of features whose envelopes, the left grown by the tolerance, meet; with right None l < r within left.
 
-    keep: further columns of both sides, returned with the prefix l_ or r_. Features without envelope have no pairs.
+    keep: further columns of both sides, returned with the prefix l_ or r_. by: columns that must be equal on both sides,
+    part of the join's key and returned. Features without envelope have no pairs.
     """
     one = right is None
     right = left if one else right
@@ -108,7 +110,7 @@ def envelope_pairs(left: DataFrame, right: DataFrame | None = None, tolerance: f
         side = _side(grow)
         level = F.when(side > 0, F.greatest(F.ceil(F.log2(side)), F.lit(LOWEST_LEVEL))).otherwise(LOWEST_LEVEL).cast("int")
         return df.where("x0 is not null").select(
-            F.col("feature_index").alias("id"), *keep,
+            F.col("feature_index").alias("id"), *keep, *by,
             (F.col("x0") - grow).alias("a0"), (F.col("y0") - grow).alias("b0"), (F.col("x1") + grow).alias("a1"), (F.col("y1") + grow).alias("b1"), level.alias("own"),
         )
 
@@ -127,16 +129,16 @@ def envelope_pairs(left: DataFrame, right: DataFrame | None = None, tolerance: f
         # Lane 0: natives of the left with all of the right; lane 1: guests of the left with natives of the right. Guests never meet guests.
         lanes = F.when(home, F.lit(0)).otherwise(1) if s == "l" else F.explode(F.when(home, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         cols = ["id", *keep, "a0", "b0", "a1", "b1"]
-        return out.select("level", "cell", "gx", "gy", lanes.alias("lane"), *[F.col(c).alias(f"{s}_{c}") for c in cols])
+        return out.select(*by, "level", "cell", "gx", "gy", lanes.alias("lane"), *[F.col(c).alias(f"{s}_{c}") for c in cols])
 
-    met = tiled(a, "l").join(tiled(b, "r").drop("cell"), ["level", "gx", "gy", "lane"])
+    met = tiled(a, "l").join(tiled(b, "r").drop("cell"), [*by, "level", "gx", "gy", "lane"])
     cx, cy = F.greatest("l_a0", "r_a0"), F.greatest("l_b0", "r_b0")
     meet = (F.col("l_a0") <= F.col("r_a1")) & (F.col("r_a0") <= F.col("l_a1")) & (F.col("l_b0") <= F.col("r_b1")) & (F.col("r_b0") <= F.col("l_b1"))
     first = (F.floor(cx / F.col("cell")) == F.col("gx")) & (F.floor(cy / F.col("cell")) == F.col("gy"))
     once = met.where(meet & first)
     if one:
         once = once.where("l_id < r_id")
-    return once.select(F.col("l_id").alias("l"), F.col("r_id").alias("r"), *[f"{s}_{c}" for s in "lr" for c in keep])
+    return once.select(F.col("l_id").alias("l"), F.col("r_id").alias("r"), *by, *[f"{s}_{c}" for s in "lr" for c in keep])
 
 
 def with_shapes(pairs: DataFrame, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
