@@ -6,6 +6,7 @@ import html
 import json
 import os
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -14,15 +15,10 @@ from pyspark.sql import functions as F
 
 from geolith.storage import Scratch
 
-# Actions by issue type, penalties by severity, lower edges of the badges.
-ACTIONS = {
-    "building_in_river": "Clip or relocate the building once an authority has confirmed the river.",
-    "road_river_crossing": "Confirm the crossing and model a bridge or culvert.",
-    "inter_agency_overlap": "Settle ownership against the authoritative boundary.",
-    "boundary_conflict": "Snap the boundary or have the dispute decided.",
-    "duplicate": "Keep the authoritative feature, remove the other.",
-}
-OTHER_ACTION = "Review, and repair with the operation that changes least."
+# What is done about an issue, as a code; texts for people belong to the caller.
+ACTIONS = {"building_in_river": "confirm_river", "road_river_crossing": "model_crossing", "inter_agency_overlap": "settle_owner", "boundary_conflict": "settle_boundary", "duplicate": "drop_copy"}
+OTHER_ACTION = "review"
+# Penalties by severity, lower edges of the badges.
 PENALTIES = {"info": 1, "warning": 5, "error": 10, "critical": 25}
 BADGES = ((90, "Excellent"), (75, "Good"), (50, "Fair"))
 
@@ -39,19 +35,20 @@ class PriorityWeights:
             raise ValueError("weights must not be negative and sum to 1")
 
 
-def prioritize(candidates: DataFrame, weights: PriorityWeights = PriorityWeights()) -> DataFrame:
+def prioritize(candidates: DataFrame, weights: PriorityWeights = PriorityWeights(), actions: Mapping[str, str] = ACTIONS, other_action: str = OTHER_ACTION) -> DataFrame:
     """rank, issue_id, priority_score, action, rationale of (issue_id, issue_type, severity, impact, area, feature_count).
 
     The score weighs severity, impact, and area and feature count as shares of their maxima (0 where a maximum is 0),
-    rounded to two digits before ranking; ties go by issue_id. The maxima are one broadcast row, ranks are given by
+    rounded to two digits before ranking; ties go by issue_id. actions: what to do by issue type, as codes or texts. The maxima are one broadcast row, ranks are given by
     range-partitioned position, so no task sees all candidates.
     """
     top = candidates.agg(F.max("area").alias("top_area"), F.max("feature_count").alias("top_count"))
     share = lambda c, t: F.when(F.col(t) > 0, 100 * F.col(c) / F.col(t)).otherwise(0.0)
     scored = candidates.crossJoin(F.broadcast(top)).withColumns({"area_score": share("area", "top_area"), "count_score": share("feature_count", "top_count")})  # top: one row
     score = weights.severity * F.col("severity") + weights.impact * F.col("impact") + weights.area * F.col("area_score") + weights.feature_count * F.col("count_score")
-    action = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for k in ACTIONS.items() for v in k]), F.col("issue_type")), F.lit(OTHER_ACTION))
-    rationale = F.format_string("severity=%.1f, impact=%.1f, area=%.1f, features=%.1f; deterministic weighted rule", F.col("severity").cast("double"), F.col("impact").cast("double"), F.col("area_score").cast("double"), F.col("count_score").cast("double"))
+    action = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for k in actions.items() for v in k]), F.col("issue_type")), F.lit(other_action))
+    parts = {"severity": F.col("severity"), "impact": F.col("impact"), "area": F.col("area_score"), "features": F.col("count_score")}
+    rationale = F.concat_ws(" ", *[F.concat(F.lit(name + "="), F.round(value.cast("double"), 1).cast("string")) for name, value in parts.items()])
     out = scored.select("issue_id", F.round(score, 2).alias("priority_score"), action.alias("action"), rationale.alias("rationale"))
     return numbered(out, [F.desc("priority_score"), F.asc("issue_id")], "rank", 1)
 

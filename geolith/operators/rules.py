@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolith.errors import DuplicateRuleError, InvalidRuleResultError, RuleExecutionError, UnknownRuleError
+from geolith.storage import Scratch
 
 SEVERITIES = ("info", "warning", "error", "critical")
 CATEGORIES = ("attribute", "completeness", "geometry", "metadata", "topology")
@@ -53,30 +54,54 @@ class RuleRegistry:
         return [self._rules[i] for i in ids]
 
 
-def run_rules(frame: DataFrame, registry: RuleRegistry, ids: Iterable[str] | None = None, raise_errors: bool = False) -> DataFrame:
-    """rule_seq, rule_id, status (passed, failed, error), findings, error: one row for each selected rule, in request order.
+RESULTS = "rule_seq int, rule_id string, status string, findings bigint, error string"
+FINDINGS = "rule_seq int, rule_id string, message string, feature_id string"
+
+
+@dataclass(frozen=True)
+class RuleOutcome:
+    """results: one row for each selected rule. findings: what the rules found, one row each."""
+
+    results: DataFrame
+    findings: DataFrame
+
+
+def execute_rules(frame: DataFrame, registry: RuleRegistry, ids: Iterable[str] | None = None, raise_errors: bool = False) -> RuleOutcome:
+    """Run the selected rules, each as a job of its own, so that one that fails, be it in planning or in a task, leaves the others' results alone.
 
-    A rule that raises while its plan is built has status error, or raises with raise_errors. Rules run as one union,
-    so a scan is shared by Catalyst where it can be.
+    results: rule_seq, rule_id, status (passed, failed, error), findings, error, in request order; findings: rule_seq,
+    rule_id, message, feature_id, written by the rule's job. A rule that raises has status error and no findings, or raises
+    RuleExecutionError with raise_errors; one that returns something other than findings raises InvalidRuleResultError.
     """
     spark = frame.sparkSession
-    out = None
+    scratch, rows, found = Scratch(spark, "rules"), [], None
     for seq, rule in enumerate(registry.select(ids)):
         try:
-            found = rule.execute(frame)
+            out = rule.execute(frame)
+            if not isinstance(out, DataFrame) or not set(FINDING_COLUMNS) <= set(out.columns):
+                raise InvalidRuleResultError(rule.id)
+            kept = scratch.save(out.select(F.lit(seq).alias("rule_seq"), F.lit(rule.id).alias("rule_id"), F.col("message").cast("string").alias("message"), F.col("feature_id").cast("string").alias("feature_id")))
+            n = kept.count()
+        except InvalidRuleResultError:
+            raise
         except Exception as error:
             if raise_errors:
                 raise RuleExecutionError(rule.id, error) from error
-            row = spark.createDataFrame([(seq, rule.id, "error", 0, str(error))], "rule_seq int, rule_id string, status string, findings bigint, error string")
-        else:
-            if not isinstance(found, DataFrame) or not set(FINDING_COLUMNS) <= set(found.columns):
-                raise InvalidRuleResultError(rule.id)
-            n = F.count(F.lit(1))
-            row = found.agg(n.alias("findings")).select(
-                F.lit(seq).alias("rule_seq"), F.lit(rule.id).alias("rule_id"), F.when(F.col("findings") > 0, "failed").otherwise("passed").alias("status"), "findings", F.lit(None).cast("string").alias("error")
-            )
-        out = row if out is None else out.unionByName(row)
-    return out if out is not None else spark.createDataFrame([], "rule_seq int, rule_id string, status string, findings bigint, error string")
+            rows.append((seq, rule.id, "error", 0, str(error).splitlines()[0] if str(error) else type(error).__name__))
+            continue
+        rows.append((seq, rule.id, "failed" if n else "passed", n, None))
+        found = kept if found is None else found.unionByName(kept)
+    return RuleOutcome(spark.createDataFrame(rows, RESULTS), found if found is not None else spark.createDataFrame([], FINDINGS))
+
+
+def run_rules(frame: DataFrame, registry: RuleRegistry, ids: Iterable[str] | None = None, raise_errors: bool = False) -> DataFrame:
+    """The results of execute_rules."""
+    return execute_rules(frame, registry, ids, raise_errors).results
+
+
+def merge_findings(merged: DataFrame, findings: DataFrame) -> DataFrame:
+    """The findings of all parts (part, rule_id, ...) that count after merge_results: those of rules that failed in no part."""
+    return findings.join(merged.where("status = 'failed'").select("rule_id"), "rule_id", "left_semi")
 
 
 def merge_results(partials: DataFrame) -> DataFrame:

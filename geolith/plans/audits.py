@@ -131,15 +131,31 @@ def lines_self_intersection(spark, folder):
     return found.where(F.exists("issues", lambda i: i["issue_type"] == "self_intersection")).select("feature_index")
 
 
+_LINE_FACTS = """, c AS (SELECT idx, count(*) AS n, count(DISTINCT (x, y)) AS d, arg_min(x, seq) = arg_max(x, seq) AND arg_min(y, seq) = arg_max(y, seq) AS ends FROM line_vertices GROUP BY idx),
+bad AS (SELECT idx, d = 1 AS invalid, idx IN (SELECT idx FROM crossing) AS crossed, n > 1 AND d < n - CASE WHEN ends AND n > 2 THEN 1 ELSE 0 END AS repeated FROM c)"""
+
+
 # Audit and a bounded list of findings
-@query()
+@query(
+    as_cte("line_vertices")
+    + _CROSSING
+    + _LINE_FACTS
+    + " SELECT count(*) AS feature_count, count(*) FILTER (invalid OR crossed OR repeated) AS invalid_feature_count, least(1000, count(*) FILTER (invalid OR crossed OR repeated)) AS findings_listed, count(*) FILTER (invalid OR crossed OR repeated) > 1000 AS findings_truncated FROM bad"
+)
 def validate_audit(spark, folder):
-    return validate.audit(validate.validate(lines(spark, folder)))
+    return validate.audit_dataset(lines(spark, folder), crs="EPSG:4326", require_crs=True, require_features=True).summary
 
 
-@query()
+@query(
+    as_cte("line_vertices")
+    + _CROSSING
+    + _LINE_FACTS
+    + """ SELECT idx AS feature_index, concat_ws(',', CASE WHEN invalid THEN 'invalid_geometry' END, CASE WHEN crossed THEN 'self_intersection' END, CASE WHEN repeated THEN 'duplicate_vertex' END) AS issues
+FROM bad WHERE invalid OR crossed OR repeated ORDER BY idx LIMIT 1000"""
+)
 def validate_findings(spark, folder):
-    return validate.findings(validate.validate(lines(spark, folder))).select("feature_index", "geometry_type", F.to_json("issues").alias("issues"))
+    found = validate.audit_dataset(lines(spark, folder)).findings
+    return found.select("feature_index", F.array_join(F.transform("issues", lambda i: i["issue_type"]), ",").alias("issues"))
 
 
 # R01 on the delivered copies: every geometry of a snapshot
@@ -159,12 +175,24 @@ def repair_lines(spark, folder):
     return repairs.repair_geometries_alone(lines(spark, folder)).select("feature_index", "status", "vertex_count_after")
 
 
-@query()
+_KEPT = """, v AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM line_vertices WINDOW w AS (PARTITION BY idx ORDER BY seq)),
+l AS (SELECT idx, count(*) AS n, count(DISTINCT (x, y)) AS d, greatest(2, count(*) FILTER (px IS NULL OR px <> x OR py <> y)) AS kept FROM v GROUP BY idx)"""
+
+
+@query(
+    as_cte("line_vertices")
+    + _KEPT
+    + """ SELECT count(*) AS total_count, count(*) FILTER (n > 1 AND (kept < n OR d = 1)) AS repaired_count, count(*) FILTER (n > 1 AND kept = n AND d > 1) AS unchanged_count, count(*) FILTER (n = 1) AS failed_count, 0.0::double AS total_area_delta, 0.0::double AS max_shape_shift FROM l"""
+)
 def repair_report(spark, folder):
     return repairs.repair_report(repairs.repair_geometries_alone(lines(spark, folder)))
 
 
-@query()
+@query(
+    as_cte("line_vertices")
+    + _KEPT
+    + " SELECT 'duplicate_vertex' AS issue_type, count(*) AS actions FROM l WHERE n > 1 AND kept < n UNION ALL SELECT 'self_intersection', count(*) FROM l WHERE n > 1 AND d = 1"
+)
 def repair_action_counts(spark, folder):
     return repairs.action_counts(repairs.repair_geometries_alone(lines(spark, folder)))
 
@@ -265,16 +293,30 @@ def road_duplicates(spark, folder):
 
 
 # R07d: closed orders' lines are loops
-@query()
+@query(
+    as_cte("line_vertices")
+    + _CROSSING
+    + """, r AS (SELECT idx, arg_min(x, seq) = arg_max(x, seq) AND arg_min(y, seq) = arg_max(y, seq) AS closed, count(*) AS n FROM line_vertices GROUP BY idx),
+g AS (SELECT idx, sum(sqrt((x - px) * (x - px) + (y - py) * (y - py))) AS length FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM line_vertices WINDOW w AS (PARTITION BY idx ORDER BY seq)) GROUP BY idx)
+SELECT idx AS feature_index, round(length, 6) AS metric FROM r JOIN g USING (idx) WHERE closed AND n > 1 AND length <= 40 AND idx NOT IN (SELECT idx FROM crossing)"""
+)
 def road_loops(spark, folder):
     features = lines(spark, folder).where(F.size("path") > 1).select("feature_index", "geometry")
     return roads.road_findings(features, roads.RoadConfig(max_loop_length=40.0)).where("issue_type = 'loop_error'").select(F.col("feature_indices")[0].alias("feature_index"), F.round("metric", 6).alias("metric"))
 
 
 # A05
-@query()
+@query(
+    as_cte("roads")
+    + _ENDS
+    + _NEAR_ROAD.replace("SELECT idx AS feature_index, x, y, round(min(d), 6) AS metric FROM near", ", broken AS (SELECT idx FROM near")
+    + """), twice AS (SELECT 1 FROM roads a JOIN roads b ON a.idx < b.idx AND ((a.xa, a.ya, a.xb, a.yb) = (b.xa, b.ya, b.xb, b.yb) OR (a.xa, a.ya, a.xb, a.yb) = (b.xb, b.yb, b.xa, b.ya)))
+SELECT 'broken_connection' AS issue_type, (SELECT count(*) FROM broken) AS findings UNION ALL SELECT 'dangling_road', (SELECT count(*) FROM dead WHERE sqrt((xa - xb) * (xa - xb) + (ya - yb) * (ya - yb)) <= 1.5)
+UNION ALL SELECT 'dead_end', (SELECT count(*) FROM dead) UNION ALL SELECT 'duplicate_segment', (SELECT count(*) FROM twice) UNION ALL SELECT 'loop_error', 0"""
+)
 def road_issue_counts(spark, folder):
-    return roads.road_issue_counts(roads.road_findings(segments(spark, folder), roads.RoadConfig(connection_tolerance=0.9, dangling_length_threshold=1.5)))
+    found = roads.road_findings(segments(spark, folder), roads.RoadConfig(connection_tolerance=0.9, dangling_length_threshold=1.5))
+    return roads.road_issue_counts(found.where("issue_type <> 'broken_connection' or metric > 1e-12"))
 
 
 SMALL = small_polygons.SmallPolygonConfig(sliver_area_threshold=5.0, sliver_compactness_threshold=0.6, tiny_island_area_threshold=4.0, isolation_distance=1.0, noise_area_threshold=1.0, merge_tolerance=0.1)
@@ -332,6 +374,26 @@ def duplicate_statistics(spark, folder):
     return duplicates.duplicate_statistics(boxes(spark, folder, "parcels"))
 
 
+_NEAR_PARCELS = "near AS (SELECT a.idx AS l, b.idx AS r, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1\n  FROM {left} a JOIN {right} b ON {on} AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1)"
+
+
+# A cap that cuts the candidates, in the order of their indices
+@query(
+    as_cte("parcels")
+    + _BOX_SCORES.replace(_NEAR_PARCELS, _NEAR_PARCELS[:-1] + " ORDER BY l, r LIMIT 700)").format(left="parcels", right="parcels", on="a.idx < b.idx")
+    + " SELECT l AS left_index, r AS right_index, round(100 * (0.45 * iou + 0.35 * hs + 0.20 * ss), 4) AS similarity_percent FROM scored WHERE 0.45 * iou + 0.35 * hs + 0.20 * ss + 1e-12 >= 0.45"
+)
+def duplicate_pairs_capped(spark, folder):
+    config = duplicates.DuplicateConfig(similarity_threshold=0.45, maximum_pairs=700)
+    return duplicates.detect_duplicates(boxes(spark, folder, "parcels"), config).select("left_index", "right_index", "similarity_percent")
+
+
+@query("SELECT count(*) AS feature_count, 700 AS candidate_pairs, true AS truncated FROM orders")
+def duplicate_statistics_capped(spark, folder):
+    config = duplicates.DuplicateConfig(maximum_pairs=700)
+    return duplicates.duplicate_statistics(boxes(spark, folder, "parcels"), config).select("feature_count", "candidate_pairs", "truncated")
+
+
 # Envelope pairs by tiles
 @query(as_cte("parcels") + " SELECT a.idx AS l, b.idx AS r FROM parcels a JOIN parcels b ON a.idx < b.idx AND a.x0 - 1 <= b.x1 AND b.x0 <= a.x1 + 1 AND a.y0 - 1 <= b.y1 AND b.y0 <= a.y1 + 1")
 def tile_join_pairs(spark, folder):
@@ -344,8 +406,7 @@ def _snapshots(spark, folder):
     return side("lattice_old"), side("lattice_new")
 
 
-# R10, J02, J03, J14
-@query(
+_COMPARED = (
     as_cte("lattice_old", "lattice_new")
     + _BOX_SCORES.format(left="lattice_old", right="lattice_new", on="true")
     + """, matched AS (SELECT *, (iou + hs + ss) / 3 AS score FROM scored WHERE (iou + hs + ss) / 3 >= 0.5)
@@ -354,13 +415,17 @@ FROM matched JOIN lattice_old o ON o.idx = l JOIN lattice_new n ON n.idx = r
 UNION ALL SELECT 'removed', idx, NULL, 0, '' FROM lattice_old WHERE idx NOT IN (SELECT l FROM matched)
 UNION ALL SELECT 'added', NULL, idx, 0, '' FROM lattice_new WHERE idx NOT IN (SELECT r FROM matched)"""
 )
+
+
+# R10, J02, J03, J14
+@query(_COMPARED)
 def compare_features(spark, folder):
     out = compare.compare_features(spark, *_snapshots(spark, folder))
     return out.select("kind", "left_index", "right_index", "geometry_similarity_percent", F.array_join("changed_attributes", ",").alias("changed"))
 
 
 # A08
-@query()
+@query(f"SELECT kind, count(*) AS features FROM ({_COMPARED}) GROUP BY kind")
 def compare_counts(spark, folder):
     return compare.compare_features(spark, *_snapshots(spark, folder)).groupBy("kind").agg(F.count(F.lit(1)).alias("features"))
 
@@ -419,6 +484,26 @@ def conflict_summary(spark, folder):
     return conflicts.conflict_summary(conflicts.analyze_conflicts(_layers(spark, folder)))
 
 
+_THREE = (("parcels", "Boundary", "a"), ("lattice_old", "boundary", "b"), ("blocks", "zone", "c"))
+
+
+# Boundaries against boundaries, and layers of other agencies
+@query(
+    as_cte("parcels", "lattice_old", "blocks")
+    + ", met AS ("
+    + " UNION ALL ".join(
+        f"""SELECT '{kind}' AS conflict_type, '{a}' AS left_layer, '{b}' AS right_layer, {base} AS base, a.idx AS l, b.idx AS r, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS w, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS h,
+  least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) AS least FROM {a} a JOIN {b} b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"""
+        for a, b, kind, base in (("parcels", "lattice_old", "boundary_conflict", 55), ("parcels", "blocks", "inter_agency_overlap", 60), ("lattice_old", "blocks", "inter_agency_overlap", 60))
+    )
+    + """), found AS (SELECT *, least(1, CASE WHEN w > 0 AND h > 0 THEN w * h ELSE greatest(w, h) END / least) AS m FROM met)
+SELECT conflict_type, left_layer, right_layer, l AS left_index, r AS right_index, round(least(100, base + 20 * m), 2) AS severity_score, round(m, 6) AS magnitude FROM found"""
+)
+def layer_conflict_rules(spark, folder):
+    layers = [boxes(spark, folder, n).select(F.lit(i).alias("layer_seq"), F.lit(n).alias("layer_name"), F.lit(role).alias("layer_role"), F.lit(agency).alias("agency"), "feature_index", "geometry") for i, (n, role, agency) in enumerate(_THREE)]
+    return conflicts.analyze_conflicts(layers[0].unionByName(layers[1]).unionByName(layers[2]))
+
+
 # R11 on the delivered layers
 @query()
 def spatial_layer_conflicts(spark, folder):
@@ -432,10 +517,11 @@ def spatial_layer_conflicts(spark, folder):
 @query(
     as_cte("repair_candidates")
     + """, s AS (SELECT issue_id, issue_type, round(0.40 * severity + 0.30 * impact + 0.15 * (100 * area / max(area) OVER ()) + 0.15 * (100 * feature_count / max(feature_count) OVER ()), 2) AS priority_score FROM repair_candidates)
-SELECT row_number() OVER (ORDER BY priority_score DESC, issue_id) AS rank, issue_id, priority_score FROM s"""
+SELECT row_number() OVER (ORDER BY priority_score DESC, issue_id) AS rank, issue_id, priority_score,
+  CASE issue_type WHEN 'building_in_river' THEN 'confirm_river' WHEN 'road_river_crossing' THEN 'model_crossing' WHEN 'inter_agency_overlap' THEN 'settle_owner' WHEN 'boundary_conflict' THEN 'settle_boundary' ELSE 'review' END AS action FROM s"""
 )
 def prioritize_repairs(spark, folder):
-    return reports.prioritize(derived(spark, folder, "repair_candidates")).select("rank", "issue_id", "priority_score")
+    return reports.prioritize(derived(spark, folder, "repair_candidates")).select("rank", "issue_id", "priority_score", "action")
 
 
 # R13, J15, W03
@@ -546,6 +632,19 @@ def rule_results(spark, folder):
     return rules.run_rules(table(spark, folder, "orders"), registry)
 
 
+# The findings of rules; one fails in its tasks and leaves the others alone
+@query("SELECT 0 AS rule_seq, 'price.low' AS rule_id, 'low price' AS message, o_orderkey::varchar AS feature_id FROM orders WHERE o_totalprice < 2000 UNION ALL SELECT 2, 'price.high', 'high price', o_orderkey::varchar FROM orders WHERE o_totalprice > 400000")
+def rule_findings(spark, folder):
+    def found(condition, message):
+        return lambda df: df.where(condition).select(F.lit(message).alias("message"), F.col("o_orderkey").cast("string").alias("feature_id"))
+
+    def fails(df):
+        return df.select(F.raise_error(F.lit("fails in a task")).cast("string").alias("message"), F.col("o_orderkey").cast("string").alias("feature_id"))
+
+    registry = rules.RuleRegistry([rules.Rule("price.low", "Low prices", found("o_totalprice < 2000", "low price")), rules.Rule("fails", "Fails", fails), rules.Rule("price.high", "High prices", found("o_totalprice > 400000", "high price"))])
+    return rules.execute_rules(table(spark, folder, "orders"), registry).findings
+
+
 # Results of chunks merged
 @query(
     """WITH p AS (SELECT user_id, event_type AS rule_id, count(*) AS n FROM events GROUP BY ALL)

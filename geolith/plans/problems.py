@@ -124,6 +124,22 @@ SELECT load_id, column_name, "rows", nulls, round(nulls / "rows", 6) AS null_rat
 ORACLES = {
     "p2_found": _ONCE + _FAULTS + " SELECT load_id, column_name, issue_type, row_position FROM found",
     "p2_profile": _ONCE + _PROFILE,
+    "p5_fingerprints": """
+WITH once AS (SELECT file_id, record_no, max(payload) AS p FROM file_records GROUP BY ALL), cells AS (
+  SELECT file_id, k AS field, json_type(p, '$."' || k || '"') AS t, json_extract_string(p, '$."' || k || '"') AS v FROM (SELECT file_id, p, unnest(json_keys(p)) AS k FROM once WHERE json_valid(p) AND json_type(p) = 'OBJECT')
+), kinds AS (
+  SELECT file_id, field, CASE WHEN t = 'NULL' THEN NULL WHEN t = 'BOOLEAN' THEN 'boolean' WHEN t IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'UHUGEINT') THEN 'integer' WHEN t = 'DOUBLE' THEN 'float'
+    WHEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z') AND try_cast(substr(v, 1, 10) AS date) IS NOT NULL THEN 'datetime' ELSE 'string' END AS kind FROM cells
+), types AS (
+  SELECT file_id, field, CASE WHEN count(kind) = 0 THEN '' WHEN count(DISTINCT kind) = 1 THEN min(kind) WHEN count(*) FILTER (kind NOT IN ('integer', 'float')) = 0 THEN 'float' ELSE 'string' END AS type FROM kinds GROUP BY ALL
+), prints AS (
+  SELECT file_id, count(*)::int AS fields, sha256('[' || string_agg('{"field":' || to_json(field) || ',"type":"' || type || '"}', ',' ORDER BY field) || ']') AS fingerprint FROM types GROUP BY 1
+), named AS (
+  SELECT series_name, file_seq, f.file_id, coalesce(fields, 0) AS fields, coalesce(fingerprint, '') AS fingerprint FROM (SELECT DISTINCT file_id, series_name, file_seq FROM schema_files WHERE file_id IS NOT NULL AND series_name IS NOT NULL AND file_seq IS NOT NULL) f LEFT JOIN prints p ON p.file_id = f.file_id
+), steps AS (
+  SELECT *, CASE WHEN lag(fingerprint) OVER w = fingerprint THEN 0 ELSE 1 END AS new FROM named WINDOW w AS (PARTITION BY series_name ORDER BY file_seq, file_id)
+)
+SELECT series_name, file_seq, file_id, sum(new) OVER (PARTITION BY series_name ORDER BY file_seq, file_id)::bigint AS version, fields, fingerprint FROM steps""",
     "p4_near": """
 WITH p AS (SELECT DISTINCT point_id AS id, longitude AS lon, latitude AS lat FROM survey_points WHERE longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90)
 SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM p a JOIN p b ON b.lat >= a.lat - 0.001 AND b.lat <= a.lat + 0.001 AND a.id < b.id

@@ -19,10 +19,10 @@ def features(spark, *texts):
 
 def test_audit_of_missing_bad_and_sound_geometries(spark):
     out = validate.validate(features(spark, "POINT (0 0)", "POLYGON ((0 0, 2 2, 0 2, 2 0, 0 0))", None, "rubbish")).cache()
-    assert tuple(validate.audit(out).first()) == (4, 3)
+    assert tuple(validate.audit(out).first()) == (4, 3, 3, False) and tuple(validate.audit(out, 2).first()) == (4, 3, 2, True)
     assert {r.issue_type: r.features for r in validate.issue_counts(out).collect()} == {"invalid_geometry": 2, "self_intersection": 1, "empty_geometry": 1}
     assert [r.feature_index for r in validate.findings(out, most=2).collect()] == [1, 2]
-    assert tuple(validate.audit(out.limit(0)).first()) == (0, 0)
+    assert tuple(validate.audit(out.limit(0)).first()) == (0, 0, 0, False)
 
 
 def test_overlaps_gaps_and_safety(spark):
@@ -203,3 +203,31 @@ def test_gaps_by_tiles_are_the_holes_of_the_union(spark, scratch):
         assert sorted(round(r.area, 9) for r in small_gaps(spark, shapes, threshold, scratch).collect()) == expected
         found += len(expected)
     assert found > 5
+
+
+def test_audit_preconditions(spark):
+    from geolith.errors import EmptyLayerError, MissingCrsError
+
+    some = features(spark, "POINT (0 0)", None)
+    with pytest.raises(MissingCrsError):
+        validate.audit_dataset(some, crs=" ", require_crs=True)
+    with pytest.raises(EmptyLayerError):
+        validate.audit_dataset(some.limit(0), require_features=True)
+    found = validate.audit_dataset(some, crs="EPSG:4326", require_crs=True, require_features=True)
+    assert tuple(found.summary.first()) == (2, 1, 1, False) and [r.feature_index for r in found.findings.collect()] == [1] and found.issue_counts.first().issue_type == "empty_geometry"
+    assert tuple(validate.audit_dataset(some.limit(0)).summary.first()) == (0, 0, 0, False)
+
+
+def test_a_rule_that_fails_in_its_tasks(spark):
+    frame = spark.createDataFrame([("1",), ("x",)], "v string")
+    registry = rules.RuleRegistry([
+        rules.Rule("number", "Number", lambda df: df.where(F.col("v").cast("int") > 0).select(F.lit("n").alias("message"), F.col("v").alias("feature_id"))),
+        rules.Rule("text", "Text", lambda df: df.where("v = 'x'").select(F.lit("t").alias("message"), F.col("v").alias("feature_id"))),
+    ])
+    out = rules.execute_rules(frame, registry)
+    assert [(r.rule_id, r.status, r.findings) for r in out.results.orderBy("rule_seq").collect()] == [("number", "error", 0), ("text", "failed", 1)]
+    assert [tuple(r) for r in out.findings.collect()] == [(1, "text", "t", "x")]
+    with pytest.raises(RuleExecutionError):
+        rules.execute_rules(frame, registry, ["number"], raise_errors=True)
+    assert out.findings.where("rule_id = 'number'").isEmpty() and rules.execute_rules(frame, registry, []).findings.isEmpty()
+    assert rules.merge_findings(out.results, out.findings).count() == 1
