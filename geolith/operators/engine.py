@@ -6,9 +6,13 @@ import os
 import time
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geolith.geometry.wkt import BadGeometry
+from geolith.operators.tiles import read_geometry
+
 MIB = 1024 * 1024
 # How much larger a format is in memory than on disk.
 EXPANSION = {"GeoJSON": 2.5, "GeoParquet": 6.0, "GPKG": 4.0, "ESRI Shapefile": 3.0}
@@ -40,6 +44,23 @@ def estimated_memory(size: Column, driver: Column, features: Column, sampled_byt
     return F.when(features.isNull(), disk).otherwise(F.greatest(disk, features * F.greatest(F.lit(512), F.floor(sampled_bytes_per_feature) * 3)))
 
 
+def vertex_sample(features: DataFrame, geometry: str = "geometry", index: str = "feature_index", most: int = 256) -> DataFrame:
+    """One row: sampled_features, average_vertices and maximum_vertices of the first features by index; a sample of bounded size, as a profile asks for. Geometries that are null or unreadable have none."""
+
+    def count(values: pd.Series) -> pd.Series:
+        out = []
+        for value in values:
+            try:
+                g = read_geometry(value)
+                out.append(0 if g is None else sum(1 for _ in g.coords()))
+            except BadGeometry:
+                out.append(0)
+        return pd.Series(out, dtype="int64")
+
+    sample = features.orderBy(index).limit(most).select(F.pandas_udf(count, "bigint")(F.col(geometry)).alias("n"))
+    return sample.agg(F.count(F.lit(1)).alias("sampled_features"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("average_vertices"), F.coalesce(F.max("n"), F.lit(0)).alias("maximum_vertices"))
+
+
 def engine_decision(profiles: DataFrame, limits: EngineLimits = EngineLimits()) -> DataFrame:
     """The profiles (size_bytes, feature_count, estimated_memory_bytes, available_memory_bytes, average_vertices) with engine and reasons.
 
@@ -71,6 +92,23 @@ def remaining_seconds(completed: int, total: int, elapsed: float) -> float | Non
     return None if completed <= 0 else elapsed / completed * (total - completed)
 
 
+def _resident() -> int:
+    """Resident bytes of the driver's Python; 0 where the system does not tell."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    except (OSError, ValueError, IndexError):
+        return 0
+
+
+def _peak() -> int:
+    try:
+        import resource
+    except ImportError:
+        return _resident()
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+
+
 class Recorder:
     """Times operations and keeps one record each; with enabled=False it only calls them."""
 
@@ -80,8 +118,8 @@ class Recorder:
     def measure(self, name: str, operation, **context):
         if not self.enabled:
             return operation()
-        wall, cpu = time.perf_counter(), time.process_time()
+        wall, cpu, before = time.perf_counter(), time.process_time(), _resident()
         result = operation()
         wall, cpu = time.perf_counter() - wall, time.process_time() - cpu
-        self.records.append({"audit": name, "runtime_seconds": wall, "cpu_time_seconds": cpu, "cpu_usage_percent": 100 * cpu / wall if wall else 0.0, **context})
+        self.records.append({"audit": name, "runtime_seconds": wall, "cpu_time_seconds": cpu, "cpu_usage_percent": 100 * cpu / wall if wall else 0.0, "memory_usage_bytes": max(0, _resident() - before), "peak_memory_bytes": _peak(), **context})
         return result

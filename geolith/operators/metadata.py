@@ -7,19 +7,22 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolith.functions.crs import canonical_crs
+
 
 def scan_crs(sources: DataFrame) -> DataFrame:
-    """The sources (seq, uri, crs canonical text, read_error) with status and the baseline.
+    """The sources (seq, uri, crs, read_error) with status and the baseline, whatever the writing of a CRS.
 
-    The baseline is the first source by (seq, uri) with a CRS; a source equals it (consistent), differs (mismatch),
-    declares none or a blank one (missing) or could not be read (error). One row of baseline is broadcast; without
-    any valid CRS every readable source is missing.
+    The baseline is the first source by (seq, uri) with a readable CRS; a source equals it (consistent), differs
+    (mismatch), declares none or a blank one (missing), or could not be read or names no reference system (error).
+    baseline and crs are as written, crs null where it is not readable. One row of baseline is broadcast; without any
+    valid CRS every readable source is missing.
     """
-    crs = F.when(F.col("read_error").isNull() & (F.trim("crs") != ""), F.col("crs"))
-    read = sources.withColumn("crs", crs)
-    first = read.where("crs is not null").agg(F.min(F.struct("seq", "uri", "crs")).alias("b")).select(F.col("b.crs").alias("baseline"))
-    status = F.when(F.col("read_error").isNotNull(), "error").when(F.col("crs").isNull(), "missing").when(F.col("crs") == F.col("baseline"), "consistent").otherwise("mismatch")
-    return read.crossJoin(F.broadcast(first)).select("seq", "uri", "crs", "baseline", status.alias("status"))  # first: one row
+    blank = F.col("crs").isNull() | (F.trim("crs") == "")
+    read = sources.withColumn("_known", F.when(F.col("read_error").isNull(), canonical_crs(F.col("crs"))))
+    first = read.where("_known is not null").agg(F.min(F.struct("seq", "uri", "crs", "_known")).alias("b")).select(F.col("b.crs").alias("baseline"), F.col("b._known").alias("_first"))
+    status = F.when(F.col("read_error").isNotNull(), "error").when(blank, "missing").when(F.col("_known").isNull(), "error").when(F.col("_known") == F.col("_first"), "consistent").otherwise("mismatch")
+    return read.crossJoin(F.broadcast(first)).select("seq", "uri", F.when(F.col("_known").isNotNull(), F.col("crs")).alias("crs"), "baseline", status.alias("status"))  # first: one row
 
 
 def crs_consistent(scanned: DataFrame) -> DataFrame:

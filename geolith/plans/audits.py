@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.functions import geometry as g
+from geolith.functions.crs import canonical_crs, reproject
 from geolith.geometry.repair import RepairConfig
-from geolith.operators import attributes, compare, conflicts, duplicates, engine, metadata, reports, roads, rules, small_polygons, snap, validate
+from geolith.operators import attributes, batch, compare, conflicts, duplicates, engine, metadata, reports, roads, rules, small_polygons, snap, validate
 from geolith.operators import repair as repairs
 from geolith.operators.profile import ColumnRule
 from geolith.operators.tiles import envelope_pairs, prepared
 from geolith.plans.derived import as_cte, derived
 from geolith.plans.tables import table
+from geolith.sources import geoparquet
 from geolith.sources.geoparquet import predicate
+from geolith.storage import Scratch
 
 QUERIES, ORACLES = {}, {}
 
@@ -65,6 +70,17 @@ def scan_project_filter(spark, folder):
     return df.select("o_orderkey", "o_totalprice")
 
 
+# Features written as GeoParquet and scanned again, with and without predicates
+@query(as_cte("parcels") + " SELECT count(*) AS features, 0 AS first_index, count(*) - 1 AS last_index, count(*) FILTER (x0 > 30) AS kept, count(*) FILTER (x0 > 30) - 1 AS last_kept, sum((x1 - x0) * (y1 - y0)) AS area FROM parcels")
+def geoparquet_round_trip(spark, folder):
+    path = re.sub(r"^file:(//)?", "", Scratch(spark, "geoparquet").root) + ".parquet"
+    features = prepared(boxes(spark, folder, "parcels")).select(F.col("shape").alias("geometry"), "x0", "area")
+    geoparquet.write(features, path, crs="EPSG:4326")
+    every = geoparquet.scan(spark, path, ["area"], include_geometry=False).agg(F.count(F.lit(1)).alias("features"), F.min("feature_index").alias("first_index"), F.max("feature_index").alias("last_index"), F.sum("area").alias("area"))
+    some = geoparquet.scan(spark, path, ["area"], [("x0", ">", 30)], include_geometry=False).agg(F.count(F.lit(1)).alias("kept"), F.max("feature_index").alias("last_kept"))
+    return every.crossJoin(some)  # one row each
+
+
 # Places of rows in an order
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS feature_index FROM orders")
 def row_positions(spark, folder):
@@ -534,6 +550,35 @@ def crs_scan(spark, folder):
     return metadata.scan_crs(derived(spark, folder, "crs_sources"))
 
 
+# One CRS in many writings
+@query(
+    """SELECT n_nationkey AS seq, CASE n_nationkey % 9 WHEN 7 THEN 'missing' WHEN 8 THEN 'error' WHEN 6 THEN 'mismatch' ELSE 'consistent' END AS status,
+  CASE n_nationkey % 9 WHEN 7 THEN NULL WHEN 8 THEN NULL WHEN 6 THEN 'EPSG:32633' ELSE 'EPSG:4326' END AS canonical FROM nation"""
+)
+def crs_writings(spark, folder):
+    texts = (
+        "EPSG:4326", " epsg:4326 ", "urn:ogc:def:crs:EPSG::4326", "http://www.opengis.net/def/crs/EPSG/0/4326", 'GEOGCRS["WGS 84",DATUM["World",ELLIPSOID["WGS 84",6378137,298.257223563]],ID["EPSG",4326]]',
+        '{"type": "GeographicCRS", "id": {"authority": "EPSG", "code": 4326}}', 'PROJCS["WGS 84 / UTM zone 33N",GEOGCS["WGS 84"]]', "  ", "no system",
+    )
+    written = F.element_at(F.array(*map(F.lit, texts)), (F.col("n_nationkey") % 9 + 1).cast("int"))
+    sources = table(spark, folder, "nation").select(F.col("n_nationkey").alias("seq"), F.col("n_name").alias("uri"), written.alias("crs"), F.lit(None).cast("string").alias("read_error"))
+    return metadata.scan_crs(sources).select("seq", "status", canonical_crs(F.col("crs")).alias("canonical"))
+
+
+# Longitudes and latitudes as metres and back
+@query(
+    """WITH p AS (SELECT DISTINCT point_id, longitude, latitude FROM survey_points WHERE longitude BETWEEN -180 AND 180 AND latitude BETWEEN -85 AND 85)
+SELECT point_id, round(6378137.0 * radians(longitude), 2) AS x, round(6378137.0 * ln(tan(pi() / 4 + radians(latitude) / 2)), 2) AS y, true AS back FROM p"""
+)
+def reproject_points(spark, folder):
+    p = table(spark, folder, "survey_points").where("longitude between -180 and 180 and latitude between -85 and 85").select("point_id", "longitude", "latitude").distinct()
+    x, y = reproject(F.col("longitude"), F.col("latitude"), "EPSG:4326", "EPSG:3857")
+    p = p.select("*", x.alias("x"), y.alias("y"))
+    lon, lat = reproject(F.col("x"), F.col("y"), "EPSG:3857", "EPSG:4326")
+    back = (F.abs(lon - F.col("longitude")) < 1e-9) & (F.abs(lat - F.col("latitude")) < 1e-9)
+    return p.select("point_id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), back.alias("back"))
+
+
 # A21
 @query("SELECT 25 AS datasets, (SELECT count(*) FROM nation WHERE n_nationkey % 13 <> 12 AND n_nationkey % 6 <> 0 AND (n_regionkey = 2) <> (SELECT arg_min(n_regionkey, n_nationkey) = 2 FROM nation WHERE n_nationkey % 13 <> 12 AND n_nationkey % 6 <> 0)) AS mismatched, false AS is_consistent")
 def crs_consistent(spark, folder):
@@ -678,6 +723,37 @@ def memory_estimates(spark, folder):
     return n.select("seq", engine.estimated_memory(1000003 * F.col("seq"), driver, F.col("seq") * 1000000, F.lit(100)).cast("bigint").alias("estimated"))
 
 
+# A bounded sample of vertices
+@query(as_cte("line_vertices") + ", n AS (SELECT idx, count(*) AS n FROM line_vertices GROUP BY idx HAVING count(*) > 1 ORDER BY idx LIMIT 256) SELECT count(*) AS sampled_features, round(avg(n), 6) AS average_vertices, max(n) AS maximum_vertices FROM n")
+def vertex_sample(spark, folder):
+    return engine.vertex_sample(lines(spark, folder).where(F.size("path") > 1)).withColumn("average_vertices", F.round("average_vertices", 6))
+
+
+# Several files, one without geometry and one that is not there
+@query(
+    """SELECT 0 AS seq, 'succeeded' AS status, (SELECT count(*) FROM snapshot_left) AS features UNION ALL SELECT 1, 'failed', NULL UNION ALL SELECT 2, 'succeeded', (SELECT count(*) FROM feature_geometries)
+UNION ALL SELECT 3, 'failed', NULL UNION ALL SELECT 4, 'succeeded', (SELECT count(*) FROM spatial_layers)"""
+)
+def batch_audit(spark, folder):
+    names = ("snapshot_left", "region", "feature_geometries", "not_there", "spatial_layers")
+    items = batch.process_files(spark, [f"{folder}/{n}.parquet" for n in names])
+    return items.select("seq", "status", F.get_json_object("value", "$.feature_count").cast("bigint").alias("features"))
+
+
+# A processor of chunks with a collector
+@query("SELECT count(*) AS features, sum(len(geometry_wkt)) AS characters FROM snapshot_left")
+def chunk_pipeline(spark, folder):
+    def process(chunk):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sizes = pc.utf8_length(chunk.column("geometry_wkt"))
+        return pa.RecordBatch.from_arrays([pa.array([chunk.num_rows], pa.int64()), pa.array([pc.sum(sizes).as_py() or 0], pa.int64())], ["n", "c"])
+
+    run = batch.ChunkPipeline(process, "n bigint, c bigint", lambda df: df.agg(F.sum("n").alias("features"), F.sum("c").alias("characters")), chunk_rows=1024)
+    return run.run(table(spark, folder, "snapshot_left").select("geometry_wkt"))
+
+
 # R22, A15
 @query(as_cte("audit_runs") + " SELECT count(*) AS total, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'failed') = 0 AS is_successful FROM audit_runs")
 def batch_totals(spark, folder):

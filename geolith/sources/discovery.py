@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import base64
+import binascii
+from collections.abc import Iterable, Mapping
 from pathlib import Path
 
 from geolith.errors import UnsupportedFormatError
 
-SUFFIXES = (".gpkg", ".shp", ".geojson", ".json", ".parquet", ".geoparquet", ".fgb")
+# What a folder is searched for, of which .gml and .kml have no reader, and the ceilings of an upload.
+SUFFIXES = (".gpkg", ".shp", ".geojson", ".json", ".parquet", ".geoparquet", ".fgb", ".gml", ".kml")
+MOST_BYTES, MOST_FEATURES, MOST_REPAIRED = 100 * 1024 * 1024, 1_000_000, 50_000
 SHAPEFILE_PARTS = (".shp", ".shx", ".dbf")
 
 
@@ -47,3 +51,25 @@ def check_bundle(names: Iterable[str]) -> None:
             raise ValueError(f"the Shapefile lacks {', '.join(missing)}")
         if len({p.stem for p in paths}) > 1:
             raise ValueError("the parts of a Shapefile have one stem")
+
+
+def decode_bundle(files: Mapping[str, str]) -> dict[str, bytes]:
+    """The bytes of a dataset's files given in base64, after check_bundle and the ceiling on bytes. Text that is no base64 raises ValueError."""
+    check_bundle(files)
+    out = {}
+    for name, text in files.items():
+        try:
+            out[name] = base64.b64decode(text, validate=True)
+        except (binascii.Error, TypeError) as error:
+            raise ValueError(f"{name} is no base64") from error
+    check_ceilings(sum(map(len, out.values())), None)
+    return out
+
+
+def check_ceilings(size: int, features: int | None, repair: bool = False) -> None:
+    """Raise ValueError for a dataset over the ceilings of bytes or features; repair has a lower one of its own."""
+    if size > MOST_BYTES:
+        raise ValueError(f"more than {MOST_BYTES} bytes")
+    most = MOST_REPAIRED if repair else MOST_FEATURES
+    if features is not None and features > most:
+        raise ValueError(f"more than {most} features")

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -72,10 +72,15 @@ def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None, p
         df = df.where(predicate(*p))
     if not with_index:
         return df.select(*names)
-    from geolith.operators.reports import numbered
-
     placed = df.select(*[F.col(n) for n in names], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return numbered(placed, [F.asc("_file"), F.asc("_row")], "feature_index").drop("_file", "_row")
+    if predicates:  # the places of the rows that pass are not known before: a sort by file and row
+        from geolith.operators.reports import numbered
+
+        return numbered(placed, [F.asc("_file"), F.asc("_row")], "feature_index").drop("_file", "_row")
+    # Without predicates a row's place is its own in the file and the rows of the files before: one number a file, no shuffle.
+    ahead = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = ahead.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(ahead), "_file").withColumn("feature_index", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
 
 
 @dataclass
@@ -140,9 +145,18 @@ class _Writer(DataSourceArrowWriter):
         for left in self.staging.iterdir():  # of tasks that ran more than once
             if left.name not in parts:
                 left.unlink()
-        if self.path.exists() and self.overwrite:
-            shutil.rmtree(self.path) if self.path.is_dir() else self.path.unlink()
-        os.replace(self.staging, self.path)
+        aside = self.path.with_name(f".{self.path.name}.{uuid.uuid4().hex}.old")
+        replaced = self.path.exists() and self.overwrite
+        if replaced:  # the old data stay until the new ones are in place, and come back if these cannot be
+            os.replace(self.path, aside)
+        try:
+            os.replace(self.staging, self.path)
+        except OSError:
+            if replaced:
+                os.replace(aside, self.path)
+            raise
+        if replaced:
+            shutil.rmtree(aside, ignore_errors=True) if aside.is_dir() else aside.unlink(missing_ok=True)
 
     def abort(self, messages):
         import shutil

@@ -8,6 +8,7 @@ as a map of texts and the geometry as WKB.
 from __future__ import annotations
 
 import json
+import math
 import sqlite3
 import struct
 from pathlib import Path
@@ -504,10 +505,25 @@ def inspect(path: str, layer: str | None = None) -> dict:
         raise MetadataReadError(path, str(error)) from error
 
 
-def write_geojson(features: DataFrame, path: str, geometry: str = "geometry", index: str = "feature_index") -> None:
-    """Write features as line-delimited GeoJSON features, attributes kept, ids by index; one file for each partition."""
+def write_geojson(features: DataFrame, path: str, geometry: str = "geometry", index: str = "feature_index", crs: str | None = None) -> None:
+    """Write features as line-delimited GeoJSON features, attributes kept, ids by index; one file for each partition.
+
+    crs: AUTHORITY:CODE of the coordinates; EPSG:3857 is written as longitude and latitude. A system without
+    transformation raises ValueError.
+    """
+    if crs not in (None, "EPSG:4326", "OGC:CRS84", "EPSG:3857"):
+        raise ValueError(f"no transformation from {crs}")
+
+    def degrees(g: Geom) -> Geom:
+        for part in g.members:
+            degrees(part)
+        turn = lambda path: [(math.degrees(c[0] / 6378137.0), math.degrees(2 * math.atan(math.exp(c[1] / 6378137.0)) - math.pi / 2), *c[2:]) for c in path]
+        g.points, g.lines, g.polygons = turn(g.points), [turn(x) for x in g.lines], [[turn(r) for r in p] for p in g.polygons]
+        return g
+
     def as_json(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else json.dumps(to_mapping(wkb.load(v))) for v in values], dtype=object)
+        read = (lambda v: degrees(wkb.load(v))) if crs == "EPSG:3857" else wkb.load
+        return pd.Series([None if v is None else json.dumps(to_mapping(read(v))) for v in values], dtype=object)
 
     g = F.pandas_udf(as_json, "string")(F.col(geometry))
     rest = [c for c in features.columns if c not in (geometry, index)]
