@@ -149,9 +149,9 @@ def compare_boundaries(spark: SparkSession, left: DataFrame, right: DataFrame, g
     Unions are made tile by tile, of the parts in the tile, so no task holds a connected layer; the areas add up.
     Two sides without area have an overlap of 1 if both are empty, else 0.
     """
-    sides = [prepared(df, geometry=geometry).where("fault is null and kind in ('POLYGON', 'MULTIPOLYGON', 'GEOMETRYCOLLECTION')").select((F.col("feature_index") * 2 + s).alias("feature_index"), "shape", "x0", "y0", "x1", "y1", F.lit(s).alias("side")) for s, df in ((0, left), (1, right))]
+    sides = [prepared(df, geometry=geometry).where("fault is null and kind in ('POLYGON', 'MULTIPOLYGON', 'GEOMETRYCOLLECTION')").select("shape", "x0", "y0", "x1", "y1", F.lit(s).alias("side")) for s, df in ((0, left), (1, right))]
     scratch = Scratch(spark, "boundary")
-    both = scratch.save(sides[0].unionByName(sides[1]))
+    both = scratch.save(sides[0].unionByName(sides[1]).withColumn("feature_index", F.monotonically_increasing_id()))  # written, so that a feature keeps its number
     parts = _in_tiles(both, scratch).join(both.select("feature_index", "side", "shape"), "feature_index").select("cell", "tx", "ty", "side", "shape")
     areas = spread(parts, "cell", "tx", "ty").groupBy("cell", "tx", "ty").applyInPandas(_tile_areas, "a double, b double, both double")
     total = areas.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("a", "b", "both")])

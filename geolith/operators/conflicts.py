@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolith.geometry.measure import intersects, length_inside, overlay_areas, shared_length
-from geolith.operators.tiles import Cache, envelope_pairs, prepared, saved, with_shapes
+from geolith.geometry.batch import common_areas, common_lengths, of_pairs
+from geolith.geometry.measure import TOUCH, intersects, length_inside, overlay_areas, shared_length
+from geolith.operators.tiles import envelope_pairs, prepared, saved, with_shapes
 
 
 @dataclass(frozen=True)
@@ -52,16 +53,28 @@ def common_measure(a, b) -> float | None:
 
 
 def _magnitudes(batches):
-    shape = Cache()
+    """l, r, conflict_type, lw, rw -> the pairs that share a point with the common measure's share. Polygons are overlaid by batch, the rest one by one."""
     for batch in batches:
-        rows = []
-        for l, r, kind, lw, rw in zip(batch["l"], batch["r"], batch["conflict_type"], batch["lw"], batch["rw"]):
-            a, b = shape(lw), shape(rw)
-            common = common_measure(a, b)
-            if common is not None:
-                least = min(a.measure, b.measure)
-                rows.append((l, r, kind, min(1.0, common / least) if least else 1.0))
-        yield pd.DataFrame(rows, columns=["l", "r", "conflict_type", "magnitude"])
+        f, l, r = of_pairs(batch["l"], batch["r"], batch["lw"], batch["rw"], True)
+        common, known = np.zeros(len(l)), np.zeros(len(l), dtype=bool)
+        areal = np.flatnonzero((f.area[l] > 0) & (f.area[r] > 0) & (np.maximum(f.edges_n[l], f.edges_n[r]) <= 512))
+        if len(areal):
+            both = common_areas(f, l[areal], r[areal])[:, 2]
+            over = both > TOUCH * np.minimum(f.area[l[areal]], f.area[r[areal]])
+            common[areal[over]], known[areal[over]] = both[over], True
+            beside = areal[~over]
+            if len(beside):
+                length, sure = common_lengths(f, l[beside], r[beside])
+                sure &= length > 0
+                common[beside[sure]], known[beside[sure]] = length[sure], True
+        keep = known.copy()
+        for k in np.flatnonzero(~known):
+            found = common_measure(f.shape(int(l[k])), f.shape(int(r[k])))
+            if found is not None:
+                common[k], keep[k] = found, True
+        least = np.minimum(f.measure[l], f.measure[r])
+        share = np.where(least > 0, np.minimum(1.0, common / np.where(least > 0, least, 1)), 1.0)
+        yield batch.loc[keep, ["l", "r", "conflict_type"]].assign(magnitude=share[keep])
 
 
 def analyze_conflicts(features: DataFrame, policy: ConflictPolicy = ConflictPolicy(), geometry: str = "geometry") -> DataFrame:

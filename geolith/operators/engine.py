@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import os
 import time
+from collections.abc import Mapping
 from dataclasses import dataclass
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geolith.errors import GeolithError
 from geolith.geometry.wkt import BadGeometry
 from geolith.operators.tiles import read_geometry
+from geolith.sources import vector
 
 MIB = 1024 * 1024
 # How much larger a format is in memory than on disk.
@@ -61,16 +65,41 @@ def vertex_sample(features: DataFrame, geometry: str = "geometry", index: str =
     return sample.agg(F.count(F.lit(1)).alias("sampled_features"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("average_vertices"), F.coalesce(F.max("n"), F.lit(0)).alias("maximum_vertices"))
 
 
-def engine_decision(profiles: DataFrame, limits: EngineLimits = EngineLimits()) -> DataFrame:
+def dataset_profile(spark: SparkSession, path: str, layer: str | None = None, available_memory_bytes: int | None = None) -> DataFrame:
+    """One row for engine_decision: size_bytes (of a Shapefile with its siblings, of a folder all its files), feature_count, average_vertices and maximum_vertices of the sample, estimated_memory_bytes, available_memory_bytes."""
+    at = Path(path)
+    if at.is_dir():
+        size = sum(p.stat().st_size for p in at.rglob("*") if p.is_file())
+    elif at.suffix.lower() == ".shp":
+        size = sum(p.stat().st_size for p in at.parent.glob(f"{at.stem}.*"))
+    else:
+        size = at.stat().st_size
+    try:
+        meta = vector.inspect(path, layer)
+    except GeolithError:  # a table without the footer of the format
+        meta = {"driver": "other", "feature_count": None}
+    features = vector.read(spark, path, layer)
+    name = next((c for c in ("geometry", "geometry_wkt") if c in features.columns), None)
+    if name is None:
+        raise ValueError("the dataset has no geometry column")
+    sample = vertex_sample(features.select("feature_index", name), name)
+    count = F.lit(meta["feature_count"]).cast("bigint")
+    estimate = estimated_memory(F.lit(size), F.lit(meta["driver"]), count, 16 * F.col("average_vertices"))
+    return sample.select(F.lit(size).cast("bigint").alias("size_bytes"), count.alias("feature_count"), "average_vertices", "maximum_vertices", estimate.cast("bigint").alias("estimated_memory_bytes"), F.lit(available_memory_bytes).cast("bigint").alias("available_memory_bytes"))
+
+
+def engine_decision(profiles: DataFrame, limits: EngineLimits = EngineLimits(), rules: Mapping[str, Column] | None = None) -> DataFrame:
     """The profiles (size_bytes, feature_count, estimated_memory_bytes, available_memory_bytes, average_vertices) with engine and reasons.
 
     `streaming` (bounded memory) if any rule fires, else `in_memory`. Null counts and null available memory fire nothing.
+    rules: further conditions by the reason they give.
     """
     budget = F.coalesce(F.least(F.lit(limits.maximum_memory_bytes), F.floor(F.col("available_memory_bytes") * limits.available_memory_fraction)), F.lit(limits.maximum_memory_bytes))
     projected = F.floor(F.col("average_vertices") * F.coalesce("feature_count", F.lit(0)))
     reasons = F.array(
         F.when(F.col("estimated_memory_bytes") > budget, "memory"), F.when(F.col("feature_count") > limits.maximum_features, "feature_count"),
         F.when(F.col("size_bytes") > limits.maximum_file_bytes, "file_size"), F.when((F.col("average_vertices") >= limits.complex_average_vertices) & (projected >= limits.complex_projected_vertices), "complexity"),
+        *[F.when(condition, F.lit(reason)) for reason, condition in (rules or {}).items()],
     )
     out = profiles.withColumn("reasons", F.filter(reasons, lambda r: r.isNotNull()))
     return out.withColumn("engine", F.when(F.size("reasons") > 0, "streaming").otherwise("in_memory"))

@@ -10,9 +10,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolith.geometry.wkt import BadGeometry
+from geolith.operators.tiles import read_geometry
+from geolith.sources.vector import to_mapping
 from geolith.storage import Scratch
 
 # What is done about an issue, as a code; texts for people belong to the caller.
@@ -103,6 +107,49 @@ def benchmark_summary(records: DataFrame) -> DataFrame:
     return records.agg(*out)
 
 
+# A map's colours by severity, dark to light as they matter less.
+COLOURS = {"critical": "#7f1d1d", "error": "#dc2626", "warning": "#d97706", "info": "#2563eb"}
+
+
+def map_features(findings: DataFrame, geometry: str = "geometry", severity: str = "severity", label: str | None = None) -> DataFrame:
+    """Findings as GeoJSON features for a map, one JSON text a row: geometry (WKB or WKT) and the other columns as properties, with colour, weight and label.
+
+    Findings whose geometry is null or unreadable have a null geometry and stay. Severities not known are grey.
+    """
+
+    def as_json(values: pd.Series) -> pd.Series:
+        out = []
+        for value in values:
+            try:
+                g = read_geometry(value)
+            except BadGeometry:
+                g = None
+            out.append(None if g is None else json.dumps(to_mapping(g)))
+        return pd.Series(out, dtype=object)
+
+    colour = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for k in COLOURS.items() for v in k]), F.col(severity)), F.lit("#6b7280"))
+    weight = F.when(F.col(severity).isin("critical", "error"), 3).otherwise(1)
+    rest = [c for c in findings.columns if c != geometry]
+    properties = F.to_json(F.struct(*rest, colour.alias("colour"), weight.alias("weight"), (F.col(label) if label else F.col(severity)).cast("string").alias("label")), {"ignoreNullFields": "false"})
+    shape = F.coalesce(F.pandas_udf(as_json, "string")(F.col(geometry)), F.lit("null"))
+    return findings.select(F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit(',"properties":'), properties, F.lit("}")).alias("feature"))
+
+
+def write_quality_report(path: str | Path, title: str, dataset_name: str, total_checks: int, passed_checks: int, issues: DataFrame, summary: str | None = None, most: int = 1000) -> Path:
+    """A dataset's quality report as a file, by its suffix: score, badge, counts by severity, the recommendations once each, and the first issues by pos.
+
+    issues: report_id, pos, severity, recommendation of one report. Blank names and counts out of order raise ValueError.
+    """
+    if not title.strip() or not dataset_name.strip() or not 0 <= passed_checks <= total_checks:
+        raise ValueError("a report needs a title, a dataset and 0 <= passed <= total checks")
+    found = quality_reports(issues).drop("report_id").first()
+    facts = {"dataset": dataset_name, "total_checks": total_checks, "passed_checks": passed_checks, "failed_checks": total_checks - passed_checks}
+    facts |= found.asDict() if found else {"issue_count": 0, **{s: 0 for s in PENALTIES}, "quality_score": 100.0, "quality_badge": BADGES[0][1]}
+    facts["summary"] = summary or f"{passed_checks} of {total_checks} checks passed."
+    facts["recommendations"] = "; ".join(r["recommendation"] for r in recommendations(issues.where("recommendation is not null")).orderBy("place").limit(most).collect())
+    return write_report(path, title, facts, [r.asDict() for r in issues.drop("report_id").orderBy("pos").limit(most).collect()])
+
+
 def write_report(path: str | Path, title: str, summary: dict, rows: list[dict]) -> Path:
     """Write a small report as JSON, Markdown or HTML, by the suffix, replacing the file in one step."""
     path = Path(path)

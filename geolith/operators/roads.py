@@ -109,7 +109,8 @@ def road_findings(features: DataFrame, config: RoadConfig = RoadConfig(), geomet
     one = F.array("of").alias("feature_indices")
     found = dead.select(F.lit("dead_end").alias("issue_type"), one, *point, F.lit(None).cast("double").alias("metric"))
     found = found.unionByName(dead.where(F.col("length") <= config.dangling_length_threshold).select(F.lit("dangling_road").alias("issue_type"), one, *point, F.col("length").alias("metric")))
-    spots = dead.select((F.col("of") * 2 + F.col("end")).alias("feature_index"), F.col("px").alias("x0"), F.col("py").alias("y0"), F.col("px").alias("x1"), F.col("py").alias("y1"), "of", "end", "px", "py")
+    # Ends are named by a written number: any arithmetic on indices would overflow for hashed ones.
+    spots = saved(dead.select(F.monotonically_increasing_id().alias("feature_index"), F.col("px").alias("x0"), F.col("py").alias("y0"), F.col("px").alias("x1"), F.col("py").alias("y1"), "of", "end", "px", "py"))
     met = envelope_pairs(spots, lines, config.connection_tolerance).join(spots.select(F.col("feature_index").alias("l"), "of", "end", "px", "py"), "l").where("r <> of")
     gaps = met.join(lines.select(F.col("feature_index").alias("r"), F.col("shape").alias("rw")), "r").mapInPandas(_gap, "of bigint, end int, px double, py double, r bigint, d double")
     nearest = gaps.where((F.col("d") > 0) & (F.col("d") <= config.connection_tolerance)).groupBy("of", "end", "px", "py").agg(F.min(F.struct("d", "r")).alias("m"))
@@ -122,7 +123,8 @@ def road_findings(features: DataFrame, config: RoadConfig = RoadConfig(), geomet
     alike = envelope_pairs(corners, tolerance=tolerance, keep=("u1", "v1"))
     alike = alike.where(F.greatest(*[F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")) for c in ("u1", "v1")]) <= tolerance).select("l", "r")
     found = found.unionByName(with_shapes(alike, lines).mapInPandas(_same(config), FINDING))
-    return found.dropDuplicates(["issue_type", "feature_indices", "x", "y"])
+    # Findings of one kind, place and features are one; should their metrics differ, the greatest counts.
+    return found.groupBy("issue_type", "feature_indices", "x", "y").agg(F.max("metric").alias("metric"))
 
 
 def road_issue_counts(findings: DataFrame) -> DataFrame:

@@ -117,3 +117,28 @@ def test_geojson_of_web_mercator(spark, tmp_path):
     assert x == pytest.approx(90) and y == pytest.approx(0)
     with pytest.raises(ValueError):
         vector.write_geojson(frame, str(tmp_path / "other"), crs="EPSG:2056")
+
+
+def test_profiles_and_own_selection_rules(spark, tmp_path):
+    path = str(tmp_path / "some.parquet")
+    spark.createDataFrame([("LINESTRING (0 0, 1 1, 2 2)",), ("POINT (1 1)",)], "geometry_wkt string").write.parquet(path)
+    profile = engine.dataset_profile(spark, path)
+    row = profile.first()
+    assert (row.average_vertices, row.maximum_vertices, row.feature_count) == (2.0, 3, None) and row.size_bytes > 0
+    plain, own = engine.engine_decision(profile).first(), engine.engine_decision(profile, rules={"lines": F.col("maximum_vertices") > 2}).first()
+    assert (plain.engine, own.engine, list(own.reasons)) == ("in_memory", "streaming", ["lines"])
+
+
+def test_maps_and_quality_reports(spark, tmp_path):
+    from geolith.operators import reports
+
+    rows = spark.createDataFrame([(1, 1, "error", "fix", "POINT (1 2)"), (1, 0, "odd", "look", None), (1, 2, "error", "fix", "rubbish")], "report_id long, pos long, severity string, recommendation string, geometry string")
+    found = [json.loads(r.feature) for r in reports.map_features(rows, label="recommendation").collect()]
+    assert [f["geometry"] and f["geometry"]["type"] for f in found] == ["Point", None, None]
+    assert found[0]["properties"]["colour"] == reports.COLOURS["error"] and found[0]["properties"]["label"] == "fix" and found[1]["properties"]["colour"] == "#6b7280"
+    path = reports.write_quality_report(tmp_path / "r.json", "Title", "parcels", 5, 3, rows.drop("geometry"))
+    facts = json.loads(path.read_text())["summary"]
+    assert (facts["quality_score"], facts["quality_badge"], facts["failed_checks"], facts["recommendations"]) == (80.0, "Good", 2, "look; fix")
+    assert json.loads(reports.write_quality_report(tmp_path / "e.json", "T", "d", 0, 0, rows.drop("geometry").limit(0)).read_text())["summary"]["quality_score"] == 100
+    with pytest.raises(ValueError):
+        reports.write_quality_report(tmp_path / "x.json", " ", "d", 1, 2, rows)
