@@ -19,6 +19,7 @@ and members are put back at the end.  Exact scores follow the join.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 from geolith.geometry import wkb, wkt
 from geolith.geometry.batch import Flat, as_wkb, dissolved_lengths, of_pairs, read_plain, settled_lines, settled_rings, similarities_of
-from geolith.geometry.measure import Shape, dissolved_length, signed_area
 from geolith.operators.tiles import reaching
 from geolith.storage import Scratch
 
@@ -45,18 +45,6 @@ PLACE = "home int, alike int, far int"
 FEATURE_NAMES = [c.split()[0] for c in FEATURE.split(", ")]
 
 
-def _ring(path, outer: bool):
-    a = np.asarray(path, dtype=float)[:, :2] + 0.0
-    keep = np.ones(len(a), bool)
-    keep[1:] = (a[1:] != a[:-1]).any(1)
-    a = a[keep][:-1] if keep.sum() > 1 else a[:1]
-    if (signed_area(np.vstack((a, a[:1]))) > 0) != outer:
-        a = a[::-1]
-    k = int(np.lexsort((a[:, 1], a[:, 0]))[0])
-    a = np.vstack((a[k:], a[:k]))
-    return np.vstack((a, a[:1]))
-
-
 def _line(path):
     a = np.asarray(path, dtype=float)[:, :2] + 0.0
     keep = np.ones(len(a), bool)
@@ -65,11 +53,21 @@ def _line(path):
     return a if tuple(a.ravel()) <= tuple(a[::-1].ravel()) else a[::-1]
 
 
-def one_writing(g: wkt.Geom) -> wkt.Geom:
-    """The geometry with ring starts, directions, repeated vertices and the order of parts settled; vertices stay."""
+def _settled(geometries) -> Iterator[np.ndarray]:
+    """The settled rings of all geometries, one after the other."""
+    rings = [np.asarray(r, dtype=float)[:, :2] for g in geometries for p in g.polygons for r in p]
+    if not rings:
+        return iter(())
+    xy, n = settled_rings(np.vstack(rings), np.array([len(r) for r in rings]))
+    return iter(np.split(xy, np.cumsum(n)[:-1]))
+
+
+def one_writing(g: wkt.Geom, rings: Iterator[np.ndarray] | None = None) -> wkt.Geom:
+    """The geometry with ring starts, directions, repeated vertices and the order of parts settled; vertices stay. rings: its settled rings come next."""
+    rings = _settled([g]) if rings is None else rings
     polygons = []
     for p in g.polygons:
-        shell, holes = _ring(p[0], True), [_ring(h, False) for h in p[1:]]
+        shell, holes = next(rings), [next(rings)[::-1] for _ in p[1:]]
         polygons.append([shell, *sorted(holes, key=lambda r: r.tobytes())])
     polygons.sort(key=lambda p: b"".join(r.tobytes() for r in p))
     lines = sorted((_line(x) for x in g.lines), key=lambda x: x.tobytes())
@@ -81,20 +79,27 @@ def one_writing(g: wkt.Geom) -> wkt.Geom:
     return parts[0] if len(parts) == 1 else wkt.collect(parts)
 
 
-def _described(index, texts):
-    """FEATURE rows of geometries that are not plain, one by one."""
-    rows = []
+def _rows(index, shapes: list[bytes], flat: Flat) -> pd.DataFrame:
+    """FEATURE rows of settled shapes."""
+    once, bare = flat.length.copy(), np.flatnonzero((flat.area <= 0) & (flat.segments_n > 0))
+    once[bare] = dissolved_lengths(flat, bare)
+    return pd.DataFrame(dict(zip(FEATURE_NAMES, (index, shapes, flat.area, flat.length, once, *flat.bounds.T))))
+
+
+def _described(index, texts) -> pd.DataFrame:
+    """FEATURE rows of geometries that are not plain."""
+    kept, geometries = [], []
     for i, text in zip(index, texts):
         try:
             g = wkt.parse(text)
         except wkt.BadGeometry:
             continue
-        if g.empty or not all(math.isfinite(v) for c in g.coords() for v in c[:2]):
-            continue
-        g = one_writing(g)
-        s = Shape(g)
-        rows.append((i, wkb.dump(g), s.area, s.length, s.length if s.area > 0 else dissolved_length(s.segments), *map(float, s.bounds)))
-    return pd.DataFrame(rows, columns=FEATURE_NAMES)
+        if not g.empty and all(math.isfinite(v) for c in g.coords() for v in c[:2]):
+            kept.append(i)
+            geometries.append(g)
+    rings = _settled(geometries)
+    shapes = [wkb.dump(one_writing(g, rings)) for g in geometries]
+    return _rows(np.array(kept, dtype=np.int64), shapes, Flat.load(shapes))
 
 
 def describe(batches):
@@ -112,9 +117,7 @@ def describe(batches):
                 if some.any():
                     path, counts = settle(xy[np.repeat(some, n)], n[some])
                     flat = Flat(path, counts, np.full(len(counts), int(is_polygon)), np.arange(len(counts)), len(counts))
-                    once, bare = flat.length.copy(), np.flatnonzero(flat.area == 0)
-                    once[bare] = dissolved_lengths(flat, bare)
-                    paths.append(pd.DataFrame(dict(zip(FEATURE_NAMES, (index[at[some]], as_wkb(path, counts, polygon[some]), flat.area, flat.length, once, *flat.bounds.T)))))
+                    paths.append(_rows(index[at[some]], as_wkb(path, counts, polygon[some]), flat))
             yield pd.concat(paths)
         if len(at) < len(texts):
             rest = np.ones(len(texts), dtype=bool)
