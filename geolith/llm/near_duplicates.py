@@ -35,7 +35,7 @@ from geolith.storage import Scratch
 WEIGHTS = (0.45, 0.35, 0.20)
 CHUNKS = 2
 MOST_ERRORS = 3
-TILE_BITS = 2
+TILE_BITS = 3
 MEASURE_BITS = 8
 ROUNDING = 1e-12
 SLACK = 1e-9
@@ -181,18 +181,18 @@ class Bounds:
 
 
 def signature(x: Column, y: Column, m: Column) -> Column:
-    """The bits: unary codes of x and y (0 to 6), cyclic unary code of m (0 to 2 * MEASURE_BITS - 1)."""
+    """The bits: unary codes of x and y (0 to 11), cyclic unary code of m (0 to 2 * MEASURE_BITS - 1)."""
     unary = lambda v: F.call_function("shiftleft", F.lit(1).cast("bigint"), v.cast("int")) - 1
     full = (1 << MEASURE_BITS) - 1
     cyclic = F.when(m <= MEASURE_BITS, unary(m)).otherwise(F.lit(full).cast("bigint") - unary(m - MEASURE_BITS))
-    return unary(x) + unary(y) * (1 << 8) + cyclic * (1 << 16)
+    return unary(x) + unary(y) * (1 << 12) + cyclic * (1 << 24)
 
 
 NATIVE, BESIDE, ABOVE, UPWARD = 1, 2, 4, 8
 
 
 def candidate_pairs(shapes: DataFrame, scratch: Scratch, bounds: Bounds) -> DataFrame:
-    """Distinct (l, r), l < r, within MOST_ERRORS bits of one another. shapes: feature_index, area, length, envelope and PLACE, one row for each class."""
+    """Distinct (l, r), l < r, within MOST_ERRORS bits of one another. shapes: feature_index, area, length, dissolved length, envelope and PLACE, one row for each class."""
     overlap = bounds.overlap
     sized = shapes.where("home is not null")
     # Overlap is bounded by measures of one kind only: areas with areas, lengths with lengths. Polygons that only touch overlap by
@@ -216,17 +216,18 @@ def candidate_pairs(shapes: DataFrame, scratch: Scratch, bounds: Bounds) -> Data
     ]
     taking = F.array(*[F.when(condition, F.struct(F.lit(kind).alias("kind"), F.lit(roles).alias("roles"))) for condition, kind, roles in kinds])
     placed = sized.crossJoin(F.broadcast(longest)).join(F.broadcast(beside_longest), "home", "left")
-    placed = placed.select("feature_index", "home", "alike", "far", (F.col("x0") + F.col("x1")).alias("sx"), (F.col("y0") + F.col("y1")).alias("sy"), F.explode(taking).alias("k")).where("k is not null")
+    placed = placed.select("feature_index", "home", "alike", "far", F.when(is_area, F.col("area")).otherwise(F.col("dissolved")).cast("float").alias("size"), (F.col("x0") + F.col("x1")).alias("sx"), (F.col("y0") + F.col("y1")).alias("sy"), F.explode(taking).alias("k")).where("k is not null")
     step = F.when(F.col("k.kind").isin(1, 2), F.col("alike")).when(F.col("k.kind") > 10, F.col("far")).otherwise(0)
     # Written, as generated code that placed features and made keys in one method would be too long to be compiled.
-    placed = scratch.save(placed.select("feature_index", "home", "sx", "sy", "k.kind", "k.roles", step.alias("step")))
+    size = F.when(F.col("k.kind").isin(1, 2), F.col("size"))  # of these kinds the overlap bounds the ratio of sizes
+    placed = scratch.save(placed.select("feature_index", "home", size.alias("size"), "sx", "sy", "k.kind", "k.roles", step.alias("step")))
     has = lambda role: F.col("roles").bitwiseAND(role) != 0
     natives = placed.where(has(NATIVE))
     # At most one row for each kind and order of magnitude of measure and size.
     around_step = F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step")
     homes = natives.where("kind in (1, 2) or kind > 10").select("kind", "step", "home").distinct().select("kind", around_step, "home").groupBy("kind", "step").agg(F.collect_set("home").alias("levels"))
     upward = placed.where(has(UPWARD)).join(F.broadcast(homes), ["kind", "step"])
-    upward = scratch.save(upward.withColumn("level", F.explode(F.filter("levels", lambda v: v > F.col("home") + 1))).select("feature_index", "kind", "step", "sx", "sy", "level"))
+    upward = scratch.save(upward.withColumn("level", F.explode(F.filter("levels", lambda v: v > F.col("home") + 1))).select("feature_index", "size", "kind", "step", "sx", "sy", "level"))
     # Of the far kinds only those natives look whose level and measure have guests: as bounded as homes.
     expected = upward.where("kind > 10").select("kind", F.col("level").alias("home"), "step").distinct().select("kind", "home", around_step).distinct()
     natives = natives.where("kind < 10").unionByName(natives.where("kind > 10").join(F.broadcast(expected), ["kind", "home", "step"], "left_semi").select(*natives.columns))
@@ -234,13 +235,15 @@ def candidate_pairs(shapes: DataFrame, scratch: Scratch, bounds: Bounds) -> Data
 
     def celled(df, *further):
         out = df.withColumn("cell", 2 * F.pow(F.lit(2.0), F.col("level")))
-        return out.select("feature_index", "kind", F.pmod("step", F.lit(2 * MEASURE_BITS)).alias("m"), "level", F.floor(F.col("sx") / F.col("cell")).alias("cx"), F.floor(F.col("sy") / F.col("cell")).alias("cy"), *further)
+        return out.select("feature_index", "size", "kind", F.pmod("step", F.lit(2 * MEASURE_BITS)).alias("m"), "level", F.floor(F.col("sx") / F.col("cell")).alias("cx"), F.floor(F.col("sy") / F.col("cell")).alias("cy"), *further)
 
     def rows(tx, ty, role, source):
         x, y = (F.col("cx") - tx * side + 1).cast("int"), (F.col("cy") - ty * side + 1).cast("int")
         further = ["any_order"] if role == "kept" else []
+        further = [F.col("size").alias(role + "_size"), *further]
         out = source.select(F.col("feature_index").alias(role), "m", *further, x.alias("x"), y.alias("y"), F.xxhash64("kind", "level", tx, ty).alias("at"))
         codes = [F.col(c) for c in ("x", "y", "m")]
+        further = [role + "_size", *(["any_order"] if role == "kept" else [])]
         out = out.select(role, signature(*codes).alias(role + "_bits"), *further, "at", *[_chunk(*codes, k).alias(f"c{k}") for k in range(CHUNKS)], F.explode(_codes(role == "probe")).alias("e"))
         own = F.when(F.col("e.chunk") == 0, F.col("c0")).otherwise(F.col("c1"))
         wrapped = (own + F.col("e.step")).bitwiseAND(256 * MEASURE_BITS - 1) + F.col("e.chunk") * (512 * MEASURE_BITS)
@@ -250,12 +253,14 @@ def candidate_pairs(shapes: DataFrame, scratch: Scratch, bounds: Bounds) -> Data
     probe = rows(tile("cx"), tile("cy"), "probe", celled(natives.withColumnRenamed("home", "level")))
     as_guest = lambda level, guest: F.struct(level.alias("level"), F.lit(guest).alias("guest"))
     near = placed.where(has(BESIDE + ABOVE)).withColumn("g", F.explode(F.array(F.when(has(BESIDE), as_guest(F.col("home"), False)), F.when(has(ABOVE), as_guest(F.col("home") + 1, True))))).where("g is not null")
-    takers = near.select("feature_index", "kind", "step", "sx", "sy", "g.level", "g.guest").unionByName(upward.withColumn("guest", F.lit(True)))
+    takers = near.select("feature_index", "size", "kind", "step", "sx", "sy", "g.level", "g.guest").unionByName(upward.withColumn("guest", F.lit(True)))
     takers = celled(takers, (F.col("guest") | (F.col("kind") == 4)).alias("any_order"))
     for c, u in (("cx", "ux"), ("cy", "uy")):  # the tiles within one cell: one or two
         takers = takers.withColumn(u, F.explode(F.array(tile(c, -1), F.when(tile(c, 1) != tile(c, -1), tile(c, 1))))).where(F.col(u).isNotNull())
     kept = rows(F.col("ux"), F.col("uy"), "kept", takers)
-    met = probe.join(kept, "key").where((F.col("any_order") | (F.col("probe") < F.col("kept"))) & (F.bit_count(F.col("probe_bits").bitwiseXOR(F.col("kept_bits"))) <= MOST_ERRORS))
+    alike = F.least("probe_size", "kept_size") >= F.greatest("probe_size", "kept_size") * (overlap * (1 - 1e-5))
+    alike = F.col("probe_size").isNull() | F.col("kept_size").isNull() | alike
+    met = probe.join(kept, "key").where(alike & (F.col("any_order") | (F.col("probe") < F.col("kept"))) & (F.bit_count(F.col("probe_bits").bitwiseXOR(F.col("kept_bits"))) <= MOST_ERRORS))
     return met.select(F.least("probe", "kept").alias("l"), F.greatest("probe", "kept").alias("r")).where("l < r").distinct()
 
 
