@@ -160,6 +160,14 @@ def value_deltas(rows: DataFrame, values: dict[str, Column], sign: int = 1) -> D
     return cells.groupBy("load_id", F.col("c.column_name").alias("column_name"), F.col("c.value").alias("value")).agg((F.count(F.lit(1)) * sign).alias("n"))
 
 
+def timely_and_late(rows: DataFrame, values: dict[str, Column], late: Column) -> DataFrame:
+    """The deltas of rows in time (n) and of late ones (late_n) in one pass: load_id, column_name, value, n, late_n."""
+    cells = F.array(*[F.struct(F.lit(name).alias("column_name"), value.alias("value")) for name, value in values.items()])
+    cells = rows.select("load_id", late.alias("_late"), F.explode(F.filter(cells, lambda c: c["value"].isNotNull())).alias("c"))
+    counts = [F.count(F.when(~F.col("_late"), 1)).alias("n"), F.count(F.when(F.col("_late"), 1)).alias("late_n")]
+    return cells.groupBy("load_id", F.col("c.column_name").alias("column_name"), F.col("c.value").alias("value")).agg(*counts)
+
+
 def apply_deltas(state: DataFrame | None, *deltas: DataFrame) -> DataFrame:
     """The value counts after the deltas. A value whose count reaches zero leaves the table."""
     tables = [t.select("load_id", "column_name", "value", "n") for t in (state, *deltas) if t is not None]
@@ -195,11 +203,15 @@ class ValueCounts:
     def counts(self) -> DataFrame | None:
         return self.spark.read.schema(COUNTS).parquet(f"{self.path}/v{self.version}") if self.version else None
 
-    def apply(self, *deltas: DataFrame) -> DataFrame:
-        """The counts after the deltas."""
+    def apply(self, *deltas: DataFrame, summed: bool = False) -> DataFrame:
+        """The counts after the deltas. summed: a first and only delta that has one row for each value is written as it is."""
         done = self._complete()
         now = max(done, default=0)
-        apply_deltas(self.counts, *deltas).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/v{now + 1}")
+        if summed and not now and len(deltas) == 1:
+            after = deltas[0].select("load_id", "column_name", "value", "n").where("n <> 0")
+        else:
+            after = apply_deltas(self.counts, *deltas)
+        after.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/v{now + 1}")
         for old in done:
             if old < now:
                 remove(self.spark, f"{self.path}/v{old}")
@@ -305,7 +317,7 @@ def attribute_issues(rows: DataFrame, rules: Sequence[ColumnRule], loads: DataFr
     if compared:
         delta = lambda n: state.where(f"kind = 'count' and {n} > 0").select("load_id", "column_name", "value", F.col(n).alias("n"))
         kept = ValueCounts(rows.sparkSession, f"{scratch.root}/counts")
-        counts = kept.apply(delta("n"))
+        counts = kept.apply(delta("n"), summed=True)
         if timed:
             counts = kept.apply(delta("late_n"))
         changed = changed_distributions(counts, loads)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geolith.operators.differences import compare_copies, difference_summary
 from geolith.operators.drift import SchemaHistory, unified_cells, unified_fields
 from geolith.operators.nearby import neighbourhood, points_near_points
-from geolith.operators.profile import ColumnRule, ValueCounts, attribute_issues, column_rules, counted_value, delivered_once, profile_metrics, repeated_deliveries, value_deltas
+from geolith.operators.profile import ColumnRule, ValueCounts, attribute_issues, column_rules, counted_value, delivered_once, profile_metrics, repeated_deliveries, timely_and_late, value_deltas
 from geolith.plans.tables import table
 from geolith.storage import Scratch
 
@@ -35,11 +35,15 @@ def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
     rules = [ColumnRule(r.column_name) for r in column_rules(table(spark, folder, "attribute_columns"))]
     rows, loads = table(spark, folder, "attribute_rows"), table(spark, folder, "attribute_loads")
     begun = loads.groupBy(F.col("load_id").alias("of_load")).agg(F.min("started_at").alias("begun"))  # metadata: one row a load
-    timed = rows.join(begun, rows["load_id"] == begun["of_load"], "left").withColumn("late", F.coalesce(F.col("received_at") > F.col("begun") + F.expr("interval 24 hours"), F.lit(False)))
-    counted = lambda df, sign=1: value_deltas(df, {r.column_name: counted_value(df[r.column_name], r) for r in rules}, sign)
-    kept = ValueCounts(spark, f"{Scratch(spark, 'p2').root}/counts")
-    kept.apply(counted(timed.where("not late")))
-    kept.apply(counted(timed.where("late")))
+    timed = rows.join(begun, rows["load_id"] == begun["of_load"], "left")
+    late = F.coalesce(F.col("received_at") > F.col("begun") + F.expr("interval 24 hours"), F.lit(False))
+    values = lambda df: {r.column_name: counted_value(df[r.column_name], r) for r in rules}
+    counted = lambda df, sign=1: value_deltas(df, values(df), sign)
+    scratch = Scratch(spark, "p2")
+    arrived = scratch.save(timely_and_late(timed, values(timed), late))
+    kept = ValueCounts(spark, f"{scratch.root}/counts")
+    kept.apply(arrived.where("n > 0"), summed=True)
+    kept.apply(arrived.where("late_n > 0").select("load_id", "column_name", "value", F.col("late_n").alias("n")))
     again = repeated_deliveries(rows)
     return profile_metrics(kept.apply(counted(again, -1), counted(delivered_once(again, rules))))
 
