@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from geolith.geometry import wkb, wkt
 from geolith.geometry.batch import of_pairs, similarities_of
 from geolith.geometry.exact import topologically_equal
-from geolith.operators.tiles import envelope_pairs, likely_pairs, prepared, require, saved, with_shapes
+from geolith.operators.tiles import envelope_pairs, likely_pairs, prepared, require, saved, spread, with_shapes
 
 PAIR = "left_index bigint, right_index bigint, similarity double, iou double, hausdorff_similarity double, shape_similarity double, exact boolean"
 TIE = 1e-12
@@ -61,7 +61,7 @@ def detect_duplicates(features: DataFrame, config: DuplicateConfig = DuplicateCo
     maximum_pairs is set, only the first candidates by (left, right) are scored, as a report asks for; by default all
     are. Missing or empty geometries raise ValueError. Order the result by similarity_percent descending and indices.
     """
-    shapes = saved(prepared(features, index, geometry))
+    shapes = saved(prepared(spread(features, index), index, geometry))
     require(shapes)
     if config.maximum_pairs is None:
         pairs = likely_pairs(shapes, None, config.search_tolerance, config.weights, config.similarity_threshold)

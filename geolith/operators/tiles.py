@@ -12,7 +12,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.geometry import wkb, wkt
@@ -83,6 +83,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) + 1, *keys)
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """A table that grows with the features, as a side of a join: joined by sorting, never broadcast.
+
+    Catalyst takes a table's size from the bytes of its files, and shapes are compressed there to a small part of what
+    they take in memory: under its limit a table of a million shapes would be built in the driver.
+    """
+    return df.hint("merge")
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """The session's limit for broadcasts in bytes, negative where there are none."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def require(shapes: DataFrame, kinds: Iterable[str] | None = None) -> None:
     """Raise ValueError if a geometry is missing, empty, unreadable or of another kind than wanted."""
     bad = F.col("fault").isNotNull()
@@ -115,8 +129,10 @@ def envelope_pairs(left: DataFrame, right: DataFrame | None = None, tolerance: f
         )
 
     a, b = levelled(left, tolerance), levelled(right, 0.0)
-    # The levels that occur: at most one for each binary order of magnitude.
-    levels = sorted({r["own"] for r in a.select("own").distinct().union(b.select("own").distinct()).distinct().collect()})
+    # The levels that occur, with their features on each side: at most one for each binary order of magnitude.
+    side_of = lambda df, s: df.select("own", F.lit(s).alias("side"))
+    counted = side_of(a, "l").union(side_of(b, "r")).groupBy("own", "side").count().collect()
+    levels = sorted({r["own"] for r in counted})
     if not levels:
         levels = [0]
 
@@ -131,7 +147,16 @@ def envelope_pairs(left: DataFrame, right: DataFrame | None = None, tolerance: f
         cols = ["id", *keep, "a0", "b0", "a1", "b1"]
         return out.select(*by, "level", "cell", "gx", "gy", lanes.alias("lane"), *[F.col(c).alias(f"{s}_{c}") for c in cols])
 
-    met = tiled(a, "l").join(tiled(b, "r").drop("cell"), [*by, "level", "gx", "gy", "lane"])
+    def small(s):
+        """Whether the side's tiles, up to four at a level and in two lanes, are under the session's limit for broadcasts as rows in memory, whatever bytes its files have."""
+        rows = sum(4 * r["count"] * (sum(k >= r["own"] for k in levels) + 1) for r in counted if r["side"] == s)
+        return rows * (64 + 8 * (10 + len(by) + len(keep))) <= broadcast_limit(left.sparkSession)
+
+    few = [small(s) for s in "lr"]
+    tiles = tiled(a, "l"), tiled(b, "r").drop("cell")
+    if few != [True, True]:
+        tiles = [F.broadcast(t) if f else t if any(few) else sorted_side(t) for t, f in zip(tiles, few)]
+    met = tiles[0].join(tiles[1], [*by, "level", "gx", "gy", "lane"])
     cx, cy = F.greatest("l_a0", "r_a0"), F.greatest("l_b0", "r_b0")
     meet = (F.col("l_a0") <= F.col("r_a1")) & (F.col("r_a0") <= F.col("l_a1")) & (F.col("l_b0") <= F.col("r_b1")) & (F.col("r_b0") <= F.col("l_b1"))
     first = (F.floor(cx / F.col("cell")) == F.col("gx")) & (F.floor(cy / F.col("cell")) == F.col("gy"))
@@ -144,8 +169,8 @@ def envelope_pairs(left: DataFrame, right: DataFrame | None = None, tolerance: f
 def with_shapes(pairs: DataFrame, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
     """The pairs with both shapes, lw and rw."""
     right = left if right is None else right
-    out = pairs.join(left.select(F.col("feature_index").alias("l"), F.col("shape").alias("lw")), "l")
-    return out.join(right.select(F.col("feature_index").alias("r"), F.col("shape").alias("rw")), "r")
+    out = pairs.join(sorted_side(left.select(F.col("feature_index").alias("l"), F.col("shape").alias("lw"))), "l")
+    return out.join(sorted_side(right.select(F.col("feature_index").alias("r"), F.col("shape").alias("rw"))), "r")
 
 
 class Cache:
