@@ -43,3 +43,8 @@ def twice(spark, n):
 def test_duplicates_are_joined_by_sorting(spark, joins):
     rows, broadcast = joins(lambda: duplicates.detect_duplicates(twice(spark, 1500)))
     assert len(rows) == 1500 and broadcast == 0
+
+
+def test_capped_duplicates_are_joined_by_sorting(spark, joins):
+    rows, broadcast = joins(lambda: duplicates.detect_duplicates(twice(spark, 1500), duplicates.DuplicateConfig(maximum_pairs=700)))
+    assert len(rows) == 700 and broadcast == 0
