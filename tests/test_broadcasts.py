@@ -1,9 +1,11 @@
 """Tables of features are never broadcast, however small their files are: a million of them would not fit the driver."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from geolith.operators import duplicates
+from geolith.operators import duplicates, roads
 
 
 @pytest.fixture
@@ -48,3 +50,11 @@ def test_duplicates_are_joined_by_sorting(spark, joins):
 def test_capped_duplicates_are_joined_by_sorting(spark, joins):
     rows, broadcast = joins(lambda: duplicates.detect_duplicates(twice(spark, 1500), duplicates.DuplicateConfig(maximum_pairs=700)))
     assert len(rows) == 700 and broadcast == 0
+
+
+def test_road_checks_are_joined_by_sorting(spark, joins):
+    x, y = 3 * (F.col("id") % 50), 3 * F.floor(F.col("id") / 50)
+    lines = spark.range(3000).select(F.col("id").alias("feature_index"), F.format_string("LINESTRING (%d %d, %d %d)", x, y, x + 2, y).alias("geometry"))
+    rows, broadcast = joins(lambda: roads.road_findings(lines, roads.RoadConfig(connection_tolerance=1.0)))
+    kinds = [r.issue_type for r in rows]
+    assert kinds.count("dead_end") == 6000 and kinds.count("broken_connection") == 5880 and broadcast == 0
