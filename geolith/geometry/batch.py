@@ -284,6 +284,22 @@ def _farthest(points: np.ndarray, segments: np.ndarray) -> np.ndarray:
     return wx.min(2).max(1)
 
 
+def point_distances(f: Flat, points: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Distance of each point to the linework of the geometry at its row."""
+    n = f.segments_n[rows]
+    seg = f.segments[np.repeat(f.segments_at[rows], n) + _ranges(n)]
+    p = np.repeat(points, n, axis=0)
+    d = seg[:, 2:] - seg[:, :2]
+    n2 = (d * d).sum(1)
+    wx, wy = p[:, 0] - seg[:, 0], p[:, 1] - seg[:, 1]
+    t = np.clip((wx * d[:, 0] + wy * d[:, 1]) / np.where(n2 > 0, n2, 1), 0, 1)
+    rx, ry = wx - t * d[:, 0], wy - t * d[:, 1]
+    out = np.full(len(points), np.inf)
+    if len(seg):
+        out[n > 0] = np.minimum.reduceat(np.sqrt(rx * rx + ry * ry), _starts(n)[:-1][n > 0])
+    return out
+
+
 def hausdorff_distances(f: Flat, l: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Discrete Hausdorff distance of each pair."""
     out = np.empty(len(l))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolith.geometry import wkb, wkt
-from geolith.geometry.batch import LINE_HEAD
+from geolith.geometry.batch import LINE_HEAD, Flat, point_distances
 from geolith.geometry.measure import Shape, hausdorff, point_segment_distances
 from geolith.geometry.validity import lines_simple
 from geolith.operators.tiles import Cache, envelope_pairs, prepared, require, saved, sorted_side, spread, with_shapes
@@ -57,9 +57,10 @@ LONGEST = "feature_index bigint, shape binary, length double, x0 double, y0 doub
 
 
 def _gap(batches):
-    shape = Cache()
     for batch in batches:
-        d = [float(point_segment_distances(np.array([[x, y]]), shape(w).segments).min()) for x, y, w in zip(batch["px"], batch["py"], batch["rw"])]
+        _, first, row = np.unique(batch["r"], return_index=True, return_inverse=True)
+        f = Flat.load(batch["rw"].to_numpy()[first].tolist())
+        d = point_distances(f, batch[["px", "py"]].to_numpy(), row)
         yield batch[["of", "end", "px", "py", "r"]].assign(d=d)
 
 

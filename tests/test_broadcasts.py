@@ -58,3 +58,11 @@ def test_road_checks_are_joined_by_sorting(spark, joins):
     rows, broadcast = joins(lambda: roads.road_findings(lines, roads.RoadConfig(connection_tolerance=1.0)))
     kinds = [r.issue_type for r in rows]
     assert kinds.count("dead_end") == 6000 and kinds.count("broken_connection") == 5880 and broadcast == 0
+
+
+def test_road_ends_and_distances_of_all_kinds_of_lines(spark):
+    texts = ["LINESTRING (0 0, 2 0)", "MULTILINESTRING ((0 5, 1 5), (4 0, 8 0))", "LINESTRING (-0 20, 1 20, 1 21, 0 20)", "LINESTRING (3 0.5, 3 0.5)"]
+    features = spark.createDataFrame(list(enumerate(texts)), "feature_index long, geometry string")
+    found = {(r.issue_type, *r.feature_indices): (r.x, r.y, r.metric) for r in roads.road_findings(features, roads.RoadConfig(connection_tolerance=1.2)).collect() if r.issue_type in ("broken_connection", "loop_error")}
+    assert found[("broken_connection", 0, 3)] == (2, 0, 1.25**0.5) and found[("broken_connection", 1, 3)] == (4, 0, 1.25**0.5)
+    assert ("loop_error", 2) in found
