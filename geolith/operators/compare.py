@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from geolith.geometry import overlay, wkb, wkt
 from geolith.geometry.batch import of_pairs, similarities_of
 from geolith.geometry.exact import topologically_equal
-from geolith.operators.tiles import likely_pairs, prepared, require, saved, spread, with_shapes
+from geolith.operators.tiles import likely_pairs, prepared, require, saved, sorted_side, spread, with_shapes
 from geolith.storage import Scratch
 
 
@@ -43,9 +43,9 @@ def match_once(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     order = F.struct("score", "l", "r")
     while not rest.isEmpty():
         tops = [rest.groupBy(s).agg(F.max(order).alias("m")).select("m.l", "m.r") for s in "lr"]
-        sure = scratch.save(rest.join(tops[0], ["l", "r"], "left_semi").join(tops[1], ["l", "r"], "left_semi"))
+        sure = scratch.save(rest.join(sorted_side(tops[0]), ["l", "r"], "left_semi").join(sorted_side(tops[1]), ["l", "r"], "left_semi"))
         taken.append(sure)
-        rest = scratch.save(rest.join(sure.select("l"), "l", "left_anti").join(sure.select("r"), "r", "left_anti"))
+        rest = scratch.save(rest.join(sorted_side(sure.select("l")), "l", "left_anti").join(sorted_side(sure.select("r")), "r", "left_anti"))
     out = rest
     for t in taken:
         out = out.unionByName(t)
@@ -61,7 +61,7 @@ def compare_features(spark: SparkSession, left: DataFrame, right: DataFrame, mat
     """
     if not 0 <= match_threshold <= 1:
         raise ValueError("match_threshold must be within 0 and 1")
-    a, b = saved(prepared(left, geometry=geometry)), saved(prepared(right, geometry=geometry))
+    a, b = (saved(prepared(spread(df, "feature_index"), geometry=geometry)) for df in (left, right))
     require(a)
     require(b)
     scored = with_shapes(likely_pairs(a, b, 0.0, THIRDS, match_threshold), a, b).mapInPandas(_score(match_threshold), "l bigint, r bigint, score double, equal boolean")
@@ -69,7 +69,7 @@ def compare_features(spark: SparkSession, left: DataFrame, right: DataFrame, mat
     if attributes:
         empty = F.create_map().cast("map<string,string>")
         for s, df in (("l", left), ("r", right)):
-            matched = matched.join(df.select(F.col("feature_index").alias(s), F.coalesce(F.col(attributes), empty).alias(s + "m")), s)
+            matched = matched.join(sorted_side(df.select(F.col("feature_index").alias(s), F.coalesce(F.col(attributes), empty).alias(s + "m"))), s)
         keys = F.array_union(F.map_keys("lm"), F.map_keys("rm"))
         changed = F.array_sort(F.filter(keys, lambda k: ~F.element_at("lm", k).eqNullSafe(F.element_at("rm", k))))
     else:
@@ -80,8 +80,8 @@ def compare_features(spark: SparkSession, left: DataFrame, right: DataFrame, mat
         F.round(F.col("score") * 100, 4).alias("geometry_similarity_percent"), F.col("changed").alias("changed_attributes"),
     )
     rest = [F.lit(0.0).alias("geometry_similarity_percent"), F.array().cast("array<string>").alias("changed_attributes")]
-    gone = a.select(F.col("feature_index").alias("l")).join(matched.select("l"), "l", "left_anti").select(F.lit("removed").alias("kind"), F.col("l").alias("left_index"), none.alias("right_index"), *rest)
-    come = b.select(F.col("feature_index").alias("r")).join(matched.select("r"), "r", "left_anti").select(F.lit("added").alias("kind"), none.alias("left_index"), F.col("r").alias("right_index"), *rest)
+    gone = a.select(F.col("feature_index").alias("l")).join(sorted_side(matched.select("l")), "l", "left_anti").select(F.lit("removed").alias("kind"), F.col("l").alias("left_index"), none.alias("right_index"), *rest)
+    come = b.select(F.col("feature_index").alias("r")).join(sorted_side(matched.select("r")), "r", "left_anti").select(F.lit("added").alias("kind"), none.alias("left_index"), F.col("r").alias("right_index"), *rest)
     return rows.unionByName(gone).unionByName(come)
 
 

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from geolith.operators import duplicates, roads
+from geolith.operators import compare, duplicates, roads
 
 
 @pytest.fixture
@@ -66,3 +66,10 @@ def test_road_ends_and_distances_of_all_kinds_of_lines(spark):
     found = {(r.issue_type, *r.feature_indices): (r.x, r.y, r.metric) for r in roads.road_findings(features, roads.RoadConfig(connection_tolerance=1.2)).collect() if r.issue_type in ("broken_connection", "loop_error")}
     assert found[("broken_connection", 0, 3)] == (2, 0, 1.25**0.5) and found[("broken_connection", 1, 3)] == (4, 0, 1.25**0.5)
     assert ("loop_error", 2) in found
+
+
+def test_compared_features_are_joined_by_sorting(spark, joins):
+    one = grid(spark, 1500).withColumn("attributes", F.create_map(F.lit("k"), F.lit("v")))
+    for query in (lambda: compare.compare_features(spark, one, one), lambda: compare.compare_features(spark, one, one).groupBy("kind").count()):
+        rows, broadcast = joins(query)
+        assert {r.kind for r in rows} == {"unchanged"} and broadcast == 0
