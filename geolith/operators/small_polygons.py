@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from geolith.geometry import overlay, wkb, wkt
 from geolith.geometry.measure import distance, shared_length
 from geolith.geometry.validity import invalid_reason
-from geolith.operators.tiles import Cache, envelope_pairs, prepared, require, saved, with_shapes
+from geolith.operators.tiles import Cache, envelope_pairs, prepared, require, saved, sorted_side, spread, with_shapes
 
 POLYGONS = ("POLYGON", "MULTIPOLYGON")
 RECOMMENDATIONS = ("delete", "ignore", "merge")
@@ -78,7 +78,7 @@ def classify_small(shapes: DataFrame, config: SmallPolygonConfig) -> DataFrame:
     islands = sized.where("issue_type is null")
     met = with_shapes(envelope_pairs(islands, shapes, config.isolation_distance).where("l <> r"), islands, shapes)
     near = met.mapInPandas(_near(config.isolation_distance), "feature_index bigint").distinct().withColumn("near", F.lit(True))
-    joined = sized.join(near, "feature_index", "left")
+    joined = sized.join(sorted_side(near), "feature_index", "left")
     return joined.where("issue_type is not null or near is null").withColumn("issue_type", F.coalesce("issue_type", F.lit("tiny_island"))).drop("near")
 
 
@@ -90,14 +90,14 @@ def small_polygons(features: DataFrame, config: SmallPolygonConfig = SmallPolygo
     target's area by no more than the limit, else delete for noise and islands and ignore for slivers. preview is the
     union where merge is recommended. Other geometries than polygons, missing or empty ones raise ValueError.
     """
-    shapes = saved(prepared(features, index, geometry))
+    shapes = saved(prepared(spread(features, index), index, geometry))
     require(shapes, POLYGONS)
     small = saved(classify_small(shapes, config))
     ranked = with_shapes(envelope_pairs(small, shapes, config.merge_tolerance).where("l <> r"), small, shapes).mapInPandas(_rank, "l bigint, r bigint, shared double, d double")
     best = ranked.groupBy("l").agg(F.max(F.struct("shared", (-F.col("d")).alias("d"), (-F.col("r")).alias("r"))).alias("m")).select("l", (-F.col("m.r")).alias("r"))
     merged = with_shapes(best, small, shapes).mapInPandas(_merge(config.max_target_area_change), "feature_index bigint, target_index bigint, target_before string, preview string")
     advice = F.when(F.col("preview").isNotNull(), "merge").when(F.col("issue_type") == "sliver_polygon", "ignore").otherwise("delete")
-    return small.join(merged, "feature_index", "left").select("feature_index", "issue_type", advice.alias("recommendation"), "area", "compactness", "target_index", "target_before", "preview")
+    return small.join(sorted_side(merged), "feature_index", "left").select("feature_index", "issue_type", advice.alias("recommendation"), "area", "compactness", "target_index", "target_before", "preview")
 
 
 def recommendation_counts(findings: DataFrame) -> DataFrame:

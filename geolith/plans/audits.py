@@ -13,7 +13,7 @@ from geolith.geometry.repair import RepairConfig
 from geolith.operators import attributes, batch, compare, conflicts, duplicates, engine, metadata, reports, roads, rules, small_polygons, snap, validate
 from geolith.operators import repair as repairs
 from geolith.operators.profile import ColumnRule
-from geolith.operators.tiles import envelope_pairs, prepared
+from geolith.operators.tiles import envelope_pairs, prepared, saved, spread
 from geolith.plans.derived import as_cte, derived
 from geolith.plans.tables import table
 from geolith.sources import geoparquet
@@ -347,7 +347,7 @@ SELECT idx AS feature_index, CASE WHEN area <= 1 THEN 'noise_geometry' WHEN area
 FROM sized WHERE area <= 1 OR (area <= 5 AND compact <= 0.6) OR (area <= 4 AND idx NOT IN (SELECT i FROM near))"""
 )
 def small_polygon_classes(spark, folder):
-    out = small_polygons.classify_small(prepared(boxes(spark, folder, "parcels")), SMALL)
+    out = small_polygons.classify_small(saved(prepared(spread(boxes(spark, folder, "parcels"), "feature_index"))), SMALL)
     return out.select("feature_index", "issue_type", "area", F.round("compactness", 6).alias("compactness"))
 
 

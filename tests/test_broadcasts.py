@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from geolith.operators import compare, duplicates, roads
+from geolith.operators import compare, duplicates, roads, small_polygons
 
 
 @pytest.fixture
@@ -73,3 +73,8 @@ def test_compared_features_are_joined_by_sorting(spark, joins):
     for query in (lambda: compare.compare_features(spark, one, one), lambda: compare.compare_features(spark, one, one).groupBy("kind").count()):
         rows, broadcast = joins(query)
         assert {r.kind for r in rows} == {"unchanged"} and broadcast == 0
+
+
+def test_small_polygons_are_joined_by_sorting(spark, joins):
+    rows, broadcast = joins(lambda: small_polygons.small_polygons(grid(spark, 1500), small_polygons.SmallPolygonConfig(tiny_island_area_threshold=2.0, isolation_distance=0.5)))
+    assert len(rows) == 1500 and {r.issue_type for r in rows} == {"tiny_island"} and broadcast == 0
