@@ -18,7 +18,7 @@ from geolith.geometry import overlay, wkb, wkt
 from geolith.geometry.repair import AREA_EPSILON, RepairConfig, area, polygonal, repair, shift, unsafe, vertex_count
 from geolith.geometry.validity import invalid_reason
 from geolith.operators.gaps import fill_gaps
-from geolith.operators.tiles import envelope_pairs, prepared, read_geometry, spread
+from geolith.operators.tiles import envelope_pairs, prepared, read_geometry, sorted_side, spread
 from geolith.storage import Scratch
 
 ACTIONS = "array<struct<issue_type:string,strategy:string,detail:string>>"
@@ -141,10 +141,10 @@ def repair_coverage(spark: SparkSession, features: DataFrame, config: RepairConf
         pairs = envelope_pairs(shapes)
         own = shapes.select(F.col("feature_index").alias("r"), F.col("shape").alias("own"))
         other = shapes.select(F.col("feature_index").alias("l"), F.col("shape").alias("other"))
-        groups = pairs.join(own, "r").join(other, "l").select(F.col("r").alias("feature_index"), "own", F.col("l").alias("other_index"), "other")
+        groups = pairs.join(sorted_side(own), "r").join(sorted_side(other), "l").select(F.col("r").alias("feature_index"), "own", F.col("l").alias("other_index"), "other")
         erased = spread(groups, "feature_index").sortWithinPartitions("feature_index", "other_index").mapInPandas(_erase, "feature_index bigint, erased binary, detail string")
         stage = scratch.save(
-            stage.join(erased, "feature_index", "left").select(
+            stage.join(sorted_side(erased), "feature_index", "left").select(
                 "feature_index", "before", F.coalesce("erased", "shape").alias("shape"),
                 F.when(F.col("erased").isNotNull(), F.concat("actions", F.array(action("overlap", "erase_overlap", F.col("detail"))))).otherwise(F.col("actions")).alias("actions"), "failure",
             )

@@ -5,7 +5,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from geolith.geometry.repair import RepairConfig
 from geolith.operators import compare, duplicates, roads, small_polygons
+from geolith.operators import repair as repairs
 
 
 @pytest.fixture
@@ -78,3 +80,8 @@ def test_compared_features_are_joined_by_sorting(spark, joins):
 def test_small_polygons_are_joined_by_sorting(spark, joins):
     rows, broadcast = joins(lambda: small_polygons.small_polygons(grid(spark, 1500), small_polygons.SmallPolygonConfig(tiny_island_area_threshold=2.0, isolation_distance=0.5)))
     assert len(rows) == 1500 and {r.issue_type for r in rows} == {"tiny_island"} and broadcast == 0
+
+
+def test_coverages_are_joined_by_sorting(spark, joins):
+    rows, broadcast = joins(lambda: repairs.repair_coverage(spark, grid(spark, 600, width=3), RepairConfig(fill_gaps=False)))
+    assert len(rows) == 600 and broadcast == 0
