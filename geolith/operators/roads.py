@@ -17,7 +17,7 @@ from geolith.operators.tiles import Cache, envelope_pairs, prepared, require, sa
 
 LINES = ("LINESTRING", "MULTILINESTRING")
 ISSUE_TYPES = ("broken_connection", "dangling_road", "dead_end", "duplicate_segment", "loop_error")
-FINDING = "issue_type string, feature_indices array<bigint>, x double, y double, metric double"
+FINDING = "feature_indices array<bigint>, x double, y double, metric double"
 
 
 @dataclass(frozen=True)
@@ -79,8 +79,8 @@ def _same(config: RoadConfig):
                 n = np.hypot(b.segments[:, 2] - b.segments[:, 0], b.segments[:, 3] - b.segments[:, 1])
                 share = float(n[d <= reach].sum()) / max(min(a.length, b.length), 1e-15)
                 if share >= config.duplicate_overlap_ratio:
-                    rows.append(("duplicate_segment", [l, r], *a.centroid(), share))
-            yield pd.DataFrame(rows, columns=["issue_type", "feature_indices", "x", "y", "metric"])
+                    rows.append(([l, r], *a.centroid(), share))
+            yield pd.DataFrame(rows, columns=["feature_indices", "x", "y", "metric"])
 
     return run
 
@@ -131,7 +131,8 @@ def road_findings(features: DataFrame, config: RoadConfig = RoadConfig(), geomet
     corners = corners.withColumns({"x0": F.col("u0"), "y0": F.col("v0"), "x1": F.col("u0"), "y1": F.col("v0")})
     alike = envelope_pairs(corners, tolerance=tolerance, keep=("u1", "v1"))
     alike = alike.where(F.greatest(*[F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")) for c in ("u1", "v1")]) <= tolerance).select("l", "r")
-    found = found.unionByName(with_shapes(alike, lines).mapInPandas(_same(config), FINDING))
+    # The issue's name stands outside of Python, so that a reader of other issues does not compare lines at all.
+    found = found.unionByName(with_shapes(alike, lines).mapInPandas(_same(config), FINDING).withColumn("issue_type", F.lit("duplicate_segment")))
     # Findings of one kind, place and features are one; should their metrics differ, the greatest counts.
     return found.groupBy("issue_type", "feature_indices", "x", "y").agg(F.max("metric").alias("metric"))
 

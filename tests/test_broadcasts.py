@@ -70,6 +70,15 @@ def test_road_ends_and_distances_of_all_kinds_of_lines(spark):
     assert ("loop_error", 2) in found
 
 
+def test_road_lines_are_read_by_many_tasks(spark, tmp_path):
+    lines = spark.range(200).select(F.col("id").alias("feature_index"), F.format_string("LINESTRING (%d 0, %d 1)", "id", "id").alias("geometry")).coalesce(1)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.glob("shapes-*/1"))
+    roads.road_findings(lines).collect()
+    first = min(set(folder.glob("shapes-*/1")) - before, key=lambda p: p.stat().st_ctime)
+    assert len(list(first.glob("part-*"))) > 1
+
+
 def test_compared_features_are_joined_by_sorting(spark, joins):
     one = grid(spark, 1500).withColumn("attributes", F.create_map(F.lit("k"), F.lit("v")))
     for query in (lambda: compare.compare_features(spark, one, one), lambda: compare.compare_features(spark, one, one).groupBy("kind").count()):
@@ -85,3 +94,9 @@ def test_small_polygons_are_joined_by_sorting(spark, joins):
 def test_coverages_are_joined_by_sorting(spark, joins):
     rows, broadcast = joins(lambda: repairs.repair_coverage(spark, grid(spark, 600, width=3), RepairConfig(fill_gaps=False)))
     assert len(rows) == 600 and broadcast == 0
+
+
+def test_readers_of_other_road_issues_compare_no_lines(spark):
+    lines = spark.range(50).select(F.col("id").alias("feature_index"), F.lit("LINESTRING (0 0, 1 0, 1 1, 0 0)").alias("geometry"))
+    loops = roads.road_findings(lines).where("issue_type = 'loop_error'")
+    assert "MapInPandas" not in loops._jdf.queryExecution().optimizedPlan().toString() and loops.count() == 50
