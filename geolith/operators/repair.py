@@ -7,14 +7,18 @@ earlier ones, so one tile join and one group for each feature do.  Gaps are foun
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 from dataclasses import asdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.geometry import overlay, wkb, wkt
+from geolith.geometry.batch import Flat, as_wkb, hausdorff_distances
+from geolith.geometry.boxes import BOX_HEAD, bounds_of, boxes_of, sides_of, texts_of
 from geolith.geometry.repair import AREA_EPSILON, RepairConfig, area, polygonal, repair, shift, unsafe, vertex_count
 from geolith.geometry.validity import invalid_reason
 from geolith.operators.gaps import fill_gaps
@@ -30,14 +34,16 @@ def _named(actions):
     return [dict(zip(("issue_type", "strategy", "detail"), a)) if not isinstance(a, dict) else a for a in actions]
 
 
-def result_row(index, before: wkt.Geom, after: wkt.Geom, actions, failure: str | None):
+def result_row(index, before: wkt.Geom, after: wkt.Geom, actions, failure: str | None, known: tuple[float, float, float] | None = None):
+    """known: areas before and after, and shift, of a candidate that unsafe has judged."""
     if failure:
-        status, after, actions = "failed", before, []
+        status, after, actions, known = "failed", before, [], known and (known[0], known[0], 0.0)
     elif not actions:
-        status, after = "unchanged", before
+        status, after, known = "unchanged", before, known and (known[0], known[0], 0.0)
     else:
-        status = "failed" if invalid_reason(after) else "repaired"
-    return (index, before.kind.title(), status, wkt.dump(before), wkt.dump(after), _named(actions), area(before), area(after), vertex_count(before), vertex_count(after), shift(before, after), failure)
+        status = "failed" if known is None and invalid_reason(after) else "repaired"
+    sizes = known or (area(before), area(after), shift(before, after))
+    return (index, before.kind.title(), status, wkt.dump(before), wkt.dump(after), _named(actions), *sizes[:2], vertex_count(before), vertex_count(after), sizes[2], failure)
 
 
 def _geometry(value) -> wkt.Geom:
@@ -67,9 +73,26 @@ STAGE = f"feature_index bigint, before binary, shape binary, actions {ACTIONS},
 STAGE_NAMES = ["feature_index", "before", "shape", "actions", "failure"]
 
 
+def _sound(corners: np.ndarray, config: RepairConfig) -> np.ndarray:
+    """Which boxes are sure to need no repair: valid, no sliver by more than rounding, no side within the tolerance of vertices."""
+    w, h = sides_of(corners)
+    with np.errstate(over="ignore", invalid="ignore"):
+        size, around = w * h, 2 * (w + h)
+        thick = (size > config.sliver_area_threshold * (1 + 1e-9)) & (4 * np.pi * size > config.sliver_thinness_threshold * around**2 * (1 + 1e-9)) & np.isfinite(around**2)
+    return (np.minimum(w, h) > config.duplicate_vertex_tolerance) & thick & (size > 0)
+
+
 def _first_stage(config: RepairConfig):
     def run(batches):
         for batch in batches:
+            values = batch["geometry"].tolist()
+            at, corners = boxes_of(values)
+            sound = _sound(corners, config)
+            at, corners = at[sound], corners[sound]
+            if len(at):
+                same = as_wkb(corners.reshape(-1, 2), np.full(len(at), 5), np.ones(len(at), dtype=bool))
+                yield pd.DataFrame({"feature_index": batch["feature_index"].to_numpy()[at], "before": same, "shape": same, "actions": [[] for _ in same], "failure": None})
+            batch = batch.drop(batch.index[at])
             rows = []
             for i, value in zip(batch["feature_index"], batch["geometry"]):
                 try:
@@ -85,40 +108,82 @@ def _first_stage(config: RepairConfig):
     return run
 
 
+def _polygons(data: bytes) -> overlay.Polygons:
+    if data.startswith(BOX_HEAD) and len(data) == 93:
+        v = struct.unpack_from("<10d", data, 13)
+        return [[list(zip(v[::2], v[1::2]))]]
+    return wkb.load(data).polygons
+
+
 def _erased(index: int, own: bytes, others: list[bytes]):
     """One feature without the earlier ones it meets; None where they have no area in common."""
-    polygons = wkb.load(own).polygons
-    rest = overlay.difference(polygons, *[wkb.load(w).polygons for w in others])
+    polygons = _polygons(own)
+    rest = overlay.difference(polygons, *[_polygons(w) for w in others])
     common = overlay.area_of(polygons) - overlay.area_of(rest)
     return None if common <= AREA_EPSILON else (index, wkb.dump(overlay.region(rest)), f"Erased {common:.6g} of overlap.")
 
 
+def _may_overlap(own: list[bytes], other: list[bytes]) -> list[bool]:
+    """False for pairs of boxes without area in common, which are exact in their comparisons; True for all other pairs."""
+    out = np.ones(len(own), dtype=bool)
+    (l, a), (r, b) = boxes_of(own), boxes_of(other)
+    both, i, j = np.intersect1d(l, r, assume_unique=True, return_indices=True)
+    a, b = bounds_of(a[i]), bounds_of(b[j])
+    out[both] = (np.maximum(a[:, :2], b[:, :2]) < np.minimum(a[:, 2:], b[:, 2:])).all(1)
+    return out.tolist()
+
+
 def _erase(batches):
-    """Rows sorted by feature: one feature's rows follow one another, so only they are held, and small groups cost no more than their rows."""
-    index, own, others = None, None, []
+    """Rows sorted by feature: one feature's rows follow one another, so only they are held, and small groups cost no more than their rows. Where no row has area in common by its boxes, nothing is cut."""
+    index, own, others, cut = None, None, [], False
     for batch in batches:
         out = []
-        for i, mine, other in zip(batch["feature_index"].tolist(), batch["own"], batch["other"]):
+        for i, mine, other, common in zip(batch["feature_index"].tolist(), batch["own"], batch["other"], _may_overlap(batch["own"].tolist(), batch["other"].tolist())):
             if i != index:
-                if index is not None and (found := _erased(index, own, others)):
+                if cut and (found := _erased(index, own, others)):
                     out.append(found)
-                index, own, others = i, mine, []
+                index, own, others, cut = i, mine, [], False
             others.append(other)
+            cut = cut or common
         yield pd.DataFrame(out, columns=["feature_index", "erased", "detail"])
-    if index is not None and (found := _erased(index, own, others)):
+    if cut and (found := _erased(index, own, others)):
         yield pd.DataFrame([found], columns=["feature_index", "erased", "detail"])
 
 
+def _untouched(batch: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame | None]:
+    """The rows of boxes that nothing was done to, and their results."""
+    same = np.array([b is not None and b == s and f is None and not len(a) for b, s, a, f in zip(batch["before"], batch["shape"], batch["actions"], batch["failure"])], dtype=bool)
+    rows = np.flatnonzero(same)
+    at, corners = boxes_of(batch["before"].to_numpy()[rows].tolist())
+    texts = texts_of(corners)
+    if texts is None or not len(at):
+        return rows[:0], None
+    w, h = sides_of(corners)
+    index = batch["feature_index"].to_numpy()[rows[at]]
+    return rows[at], pd.DataFrame(dict(zip(NAMES, (index, "Polygon", "unchanged", texts, texts, [[] for _ in texts], w * h, w * h, 5, 5, 0.0, None))), columns=NAMES)
+
+
 def _finish(config: RepairConfig):
     def run(batches):
         for batch in batches:
+            gone, done = _untouched(batch)
+            if done is not None:
+                yield done
+                batch = batch.drop(batch.index[gone])
             rows = []
-            for r in batch.itertuples():
-                if r.before is None:
-                    rows.append((r.feature_index, None, "failed", None, None, [], None, None, None, None, None, r.failure))
-                    continue
-                before, after = wkb.load(r.before), wkb.load(r.shape)
-                rows.append(result_row(r.feature_index, before, after, list(r.actions), r.failure or unsafe(before, after, config)))
+            unread = batch["before"].isna().to_numpy(dtype=bool)
+            judged = batch[~unread]
+            for r in batch[unread].itertuples():
+                rows.append((r.feature_index, None, "failed", None, None, [], None, None, None, None, None, r.failure))
+            n = len(judged)
+            flat = Flat.load(judged["before"].tolist() + judged["shape"].tolist())
+            l, r = np.arange(n), np.arange(n, 2 * n)
+            far = np.zeros(n)
+            some = (flat.vertices_n[l] > 0) & (flat.vertices_n[r] > 0)
+            far[some] = hausdorff_distances(flat, l[some], r[some])
+            for i, b, a, actions, failure, *known in zip(judged["feature_index"], judged["before"], judged["shape"], judged["actions"], judged["failure"], flat.area[:n].tolist(), flat.area[n:].tolist(), far.tolist()):
+                before, after = wkb.load(b), wkb.load(a)
+                rows.append(result_row(i, before, after, list(actions), failure or unsafe(before, after, config, known), known))
             yield pd.DataFrame(rows, columns=NAMES)
 
     return run

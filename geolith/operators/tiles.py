@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from geolith.geometry import wkb, wkt
 from geolith.geometry.batch import Flat, as_wkb, read_plain
+from geolith.geometry.boxes import boxes_of
 from geolith.geometry.measure import Shape
 from geolith.storage import Scratch
 
@@ -55,6 +56,10 @@ def _prepare(batches):
     for batch in batches:
         values = batch["geometry"].tolist()
         at, polygon, n, xy = read_plain(values)
+        binary = [i for i, v in enumerate(values) if not isinstance(v, str)]
+        boxes, corners = boxes_of([values[i] for i in binary])
+        if len(boxes):
+            at, polygon, n, xy = (np.concatenate(x) for x in ((at, np.array(binary)[boxes]), (polygon, np.ones(len(boxes), dtype=bool)), (n, np.full(len(boxes), 5)), (xy, corners.reshape(-1, 2))))
         if len(at):
             flat = Flat(xy, n, polygon.astype(np.int64), np.arange(len(at)), len(at))
             kinds = np.where(polygon, "POLYGON", "LINESTRING").astype(object)
