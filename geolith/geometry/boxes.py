@@ -7,7 +7,9 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from geolith.geometry import wkb
 from geolith.geometry.batch import POLYGON_HEAD, _starts, read_plain
+from geolith.geometry.measure import TOUCH
 
 BOX_HEAD = POLYGON_HEAD + struct.pack("<I", 5)
 
@@ -50,3 +52,36 @@ def texts_of(corners: np.ndarray) -> list[str] | None:
     if not ((corners == np.floor(corners)) & (np.abs(corners) < 1e15)).all():
         return None
     return ["POLYGON ((%d %d, %d %d, %d %d, %d %d, %d %d))" % tuple(c) for c in corners.reshape(-1, 10).astype(np.int64).tolist()]
+
+
+def polygons_of(data: bytes) -> list:
+    """The polygons of a WKB, for overlays."""
+    if data.startswith(BOX_HEAD) and len(data) == 93:
+        v = struct.unpack_from("<10d", data, 13)
+        return [[list(zip(v[::2], v[1::2]))]]
+    return wkb.load(data).polygons
+
+
+def paired(left: Sequence, right: Sequence) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, bounds on the left, bounds on the right) of the pairs that are boxes on both sides."""
+    (l, a), (r, b) = boxes_of(left), boxes_of(right)
+    both, i, j = np.intersect1d(l, r, assume_unique=True, return_indices=True)
+    return both, bounds_of(a[i]), bounds_of(b[j])
+
+
+def box_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least distance of closed boxes, 0 where they meet."""
+    return np.hypot(*np.maximum(0.0, np.maximum(b[:, :2] - a[:, 2:], a[:, :2] - b[:, 2:])).T)
+
+
+def box_shared_lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the left's boundary that lies on the right's."""
+    out = np.zeros(len(a))
+    for k in (0, 1):
+        # Sides that are k-lines: both of a box span the same part of the other axis.
+        m = 1 - k
+        span = a[:, m + 2] - a[:, m]
+        common = np.maximum(0.0, np.minimum(a[:, m + 2], b[:, m + 2]) - np.maximum(a[:, m], b[:, m]))
+        for side in (a[:, k], a[:, k + 2]):
+            out += np.where(np.minimum(np.abs(side - b[:, k]), np.abs(side - b[:, k + 2])) <= TOUCH * span, common, 0.0)
+    return out

@@ -7,7 +7,6 @@ earlier ones, so one tile join and one group for each feature do.  Gaps are foun
 from __future__ import annotations
 
 import json
-import struct
 from collections.abc import Iterator
 from dataclasses import asdict
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from geolith.geometry import overlay, wkb, wkt
 from geolith.geometry.batch import Flat, as_wkb, hausdorff_distances
-from geolith.geometry.boxes import BOX_HEAD, bounds_of, boxes_of, sides_of, texts_of
+from geolith.geometry.boxes import boxes_of, paired, polygons_of, sides_of, texts_of
 from geolith.geometry.repair import AREA_EPSILON, RepairConfig, area, polygonal, repair, shift, unsafe, vertex_count
 from geolith.geometry.validity import invalid_reason
 from geolith.operators.gaps import fill_gaps
@@ -108,17 +107,10 @@ def _first_stage(config: RepairConfig):
     return run
 
 
-def _polygons(data: bytes) -> overlay.Polygons:
-    if data.startswith(BOX_HEAD) and len(data) == 93:
-        v = struct.unpack_from("<10d", data, 13)
-        return [[list(zip(v[::2], v[1::2]))]]
-    return wkb.load(data).polygons
-
-
 def _erased(index: int, own: bytes, others: list[bytes]):
     """One feature without the earlier ones it meets; None where they have no area in common."""
-    polygons = _polygons(own)
-    rest = overlay.difference(polygons, *[_polygons(w) for w in others])
+    polygons = polygons_of(own)
+    rest = overlay.difference(polygons, *[polygons_of(w) for w in others])
     common = overlay.area_of(polygons) - overlay.area_of(rest)
     return None if common <= AREA_EPSILON else (index, wkb.dump(overlay.region(rest)), f"Erased {common:.6g} of overlap.")
 
@@ -126,9 +118,7 @@ def _erased(index: int, own: bytes, others: list[bytes]):
 def _may_overlap(own: list[bytes], other: list[bytes]) -> list[bool]:
     """False for pairs of boxes without area in common, which are exact in their comparisons; True for all other pairs."""
     out = np.ones(len(own), dtype=bool)
-    (l, a), (r, b) = boxes_of(own), boxes_of(other)
-    both, i, j = np.intersect1d(l, r, assume_unique=True, return_indices=True)
-    a, b = bounds_of(a[i]), bounds_of(b[j])
+    both, a, b = paired(own, other)
     out[both] = (np.maximum(a[:, :2], b[:, :2]) < np.minimum(a[:, 2:], b[:, 2:])).all(1)
     return out.tolist()
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolith.geometry import overlay, wkb, wkt
+from geolith.geometry.boxes import box_distances, box_shared_lengths, paired, polygons_of
 from geolith.geometry.measure import distance, shared_length
 from geolith.geometry.validity import invalid_reason
 from geolith.operators.tiles import Cache, envelope_pairs, prepared, require, saved, sorted_side, spread, with_shapes
@@ -37,8 +39,13 @@ def _near(limit: float):
     def run(batches):
         shape = Cache()
         for batch in batches:
-            close = [distance(shape(a), shape(b)) < limit for a, b in zip(batch["lw"], batch["rw"])]
-            yield pd.DataFrame({"feature_index": batch.loc[close, "l"]})
+            left, right = batch["lw"].tolist(), batch["rw"].tolist()
+            both, a, b = paired(left, right)
+            d = np.full(len(batch), np.nan)
+            d[both] = box_distances(a, b)
+            for k in np.flatnonzero(np.isnan(d)):
+                d[k] = distance(shape(left[k]), shape(right[k]))
+            yield pd.DataFrame({"feature_index": batch.loc[d < limit, "l"]})
 
     return run
 
@@ -46,8 +53,14 @@ def _near(limit: float):
 def _rank(batches):
     shape = Cache()
     for batch in batches:
-        rows = [(l, r, shared_length(shape(a).segments, shape(b).segments), distance(shape(a), shape(b))) for l, r, a, b in zip(batch["l"], batch["r"], batch["lw"], batch["rw"])]
-        yield pd.DataFrame(rows, columns=["l", "r", "shared", "d"])
+        left, right = batch["lw"].tolist(), batch["rw"].tolist()
+        both, a, b = paired(left, right)
+        shared, d = np.full(len(batch), np.nan), np.full(len(batch), np.nan)
+        shared[both], d[both] = box_shared_lengths(a, b), box_distances(a, b)
+        for k in np.flatnonzero(np.isnan(d)):
+            x, y = shape(left[k]), shape(right[k])
+            shared[k], d[k] = shared_length(x.segments, y.segments), distance(x, y)
+        yield batch[["l", "r"]].assign(shared=shared, d=d)
 
 
 def _merge(limit: float):
@@ -55,11 +68,11 @@ def _merge(limit: float):
         for batch in batches:
             rows = []
             for l, r, lw, rw in zip(batch["l"], batch["r"], batch["lw"], batch["rw"]):
-                base = wkb.load(rw).polygons
-                merged = overlay.union([base, wkb.load(lw).polygons])
+                base = polygons_of(rw)
+                merged = overlay.union([base, polygons_of(lw)])
                 size = overlay.area_of(base)
                 whole = overlay.region(merged)
-                safe = invalid_reason(whole) is None and abs(overlay.area_of(merged) - size) / max(size, 1e-15) <= limit
+                safe = abs(overlay.area_of(merged) - size) / max(size, 1e-15) <= limit and invalid_reason(whole) is None
                 rows.append((l, r, wkt.dump(wkb.load(rw)), wkt.dump(whole) if safe else None))
             yield pd.DataFrame(rows, columns=["feature_index", "target_index", "target_before", "preview"])
 

@@ -7,8 +7,10 @@ import pandas as pd
 import pytest
 
 from geolith.geometry import overlay, validity, wkb, wkt
+from geolith.geometry.measure import Shape, distance, shared_length
 from geolith.geometry.repair import RepairConfig
 from geolith.operators import repair as repairs
+from geolith.operators import small_polygons
 
 
 def box(x, y, w, h):
@@ -69,3 +71,14 @@ def test_odd_features_are_repaired_beside_boxes(spark):
     found = repairs.repair_coverage(spark, features, RepairConfig(fill_gaps=False, max_relative_area_change=0.4)).orderBy("feature_index").collect()
     assert [r.status for r in found] == ["unchanged", "unchanged", "failed", "unchanged", "failed", "repaired", "unchanged", "failed", "unchanged"]
     assert found[3].after == texts[3] and found[3].area_after == 2
+
+
+def test_small_boxes_are_measured_by_the_batch(monkeypatch):
+    """small_polygon_recommendations: distances and common edges of boxes without an object each."""
+    a, others = data(0, 0, 2, 2), [data(2, 1, 3, 3), data(5, 6, 1, 1), data(2, 2, 1, 1), data(0, 0, 2, 1), data(-1, -1, 5, 5)]
+    general = [(shared_length(x.segments, y.segments), distance(x, y)) for x, y in ((Shape(wkb.load(a)), Shape(wkb.load(b))) for b in others)]
+    monkeypatch.setattr(small_polygons.Cache, "__call__", lambda *x: pytest.fail("a box was read by itself"))
+    pairs = pd.DataFrame({"l": 1, "r": range(5), "lw": [a] * 5, "rw": others})
+    ranked = pd.concat(small_polygons._rank([pairs]))
+    assert ranked[["shared", "d"]].values.tolist() == [pytest.approx(x) for x in general] == [[1, 0], [0, 5], [0, 0], [4, 0], [0, 0]]
+    assert len(pd.concat(small_polygons._near(5.0)([pairs]))) == 4
