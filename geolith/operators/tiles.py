@@ -88,6 +88,30 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) + 1, *keys)
 
 
+def runs(batches: Iterable[pd.DataFrame], *keys: str):
+    """(frame, starts): the batches again, each of whole runs of rows with equal keys, and where the runs start and the last one ends. For rows that are sorted by keys, as a group of its own costs far more than its rows."""
+    left = None
+    for batch in batches:
+        batch = batch if left is None else pd.concat((left, batch), ignore_index=True)
+        new = np.zeros(len(batch), dtype=bool)
+        for k in keys:
+            v = batch[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(new)
+        if not len(starts):
+            left = batch
+            continue
+        left = batch.iloc[starts[-1] :]
+        yield batch.iloc[: starts[-1]], [0, *starts.tolist()]
+    if left is not None and len(left):
+        batch = left.reset_index(drop=True)
+        new = np.zeros(len(batch), dtype=bool)
+        for k in keys:
+            v = batch[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        yield batch, [0, *np.flatnonzero(new).tolist(), len(batch)]
+
+
 def sorted_side(df: DataFrame) -> DataFrame:
     """A table that grows with the features, as a side of a join: joined by sorting, never broadcast.
 

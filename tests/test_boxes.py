@@ -10,7 +10,7 @@ from geolith.geometry import overlay, validity, wkb, wkt
 from geolith.geometry.measure import Shape, distance, shared_length
 from geolith.geometry.repair import RepairConfig
 from geolith.operators import repair as repairs
-from geolith.operators import small_polygons
+from geolith.operators import small_polygons, snap
 
 
 def box(x, y, w, h):
@@ -82,3 +82,17 @@ def test_small_boxes_are_measured_by_the_batch(monkeypatch):
     ranked = pd.concat(small_polygons._rank([pairs]))
     assert ranked[["shared", "d"]].values.tolist() == [pytest.approx(x) for x in general] == [[1, 0], [0, 5], [0, 0], [4, 0], [0, 0]]
     assert len(pd.concat(small_polygons._near(5.0)([pairs]))) == 4
+
+
+def test_boxes_are_snapped_by_the_batch(monkeypatch):
+    """snap_boundaries: distances without an object each, features without a group each, runs over the ends of batches."""
+    monkeypatch.setattr(snap.Cache, "__call__", lambda *x: pytest.fail("a box was read by itself"))
+    a, b, c = data(0, 0, 3, 3), data(4, 0, 3, 3), data(4, 4, 3, 3)
+    pairs = pd.DataFrame({"l": [1, 1, 2, 2], "r": [2, 3, 3, 4], "lw": [a, a, b, b], "rw": [b, c, c, data(6, 1, 1, 1)]})
+    near = pd.concat(snap._near(1.0)([pairs]), ignore_index=True)
+    assert near[["l", "r"]].values.tolist() == [[1, 2], [2, 3]]
+    config = snap.SnapConfig(tolerance=1.0, max_relative_area_change=0.5, max_shape_shift=1.5)
+    more = pd.concat((near, pd.DataFrame({"l": [3], "r": [3], "lw": [a], "rw": [c]})), ignore_index=True)
+    moved = pd.concat(snap._move(config)([more[:2], more[2:]]))
+    assert moved[["feature_index", "anchors", "reason", "shift", "area_after"]].values.tolist() == [[2, [1], "", 1, 12], [3, [2, 3], snap.CHANGED, 2**0.5, 14]]
+    assert not len(pd.concat(snap._adds_overlap([pd.DataFrame({"l": [2], "r": [1], "before": [b], "after": [moved["after"].iloc[0]], "rw": [a]})])))
