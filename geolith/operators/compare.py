@@ -8,13 +8,16 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geolith.geometry import overlay, wkb, wkt
 from geolith.geometry.batch import of_pairs, similarities_of
+from geolith.geometry.boxes import bounds_of, boxes_of, read_boxes
+from geolith.geometry.cells import union_areas
 from geolith.geometry.exact import topologically_equal
-from geolith.operators.tiles import likely_pairs, prepared, require, saved, sorted_side, spread, with_shapes
+from geolith.operators.tiles import _prepare, likely_pairs, prepared, require, runs, saved, sorted_side, spread, with_shapes
 from geolith.storage import Scratch
 
 
@@ -95,51 +98,99 @@ def compare_schemas(left: Mapping[str, str], right: Mapping[str, str]) -> dict[s
 
 
 CROWDED = 64
+CROWDED_BOXES = 4096
 MOST_SPLITS = 8
+PARTS = "side int, x0 double, y0 double, x1 double, y1 double, box boolean, shape binary"
+PARTS_SCHEMA = pa.schema([("side", pa.int32()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1")), ("box", pa.bool_()), ("shape", pa.binary())])
 
 
-def _tile_areas(frame: pd.DataFrame) -> pd.DataFrame:
-    """Areas of the unions of both sides within a tile, and of their common part."""
-    x0, y0, cell = (float(frame[c].iloc[0]) for c in ("tx", "ty", "cell"))
-    x0, y0 = x0 * cell, y0 * cell
-    tile = [[[(x0, y0), (x0 + cell, y0), (x0 + cell, y0 + cell), (x0, y0 + cell), (x0, y0)]]]
-    sides = [overlay.union([overlay.intersection(wkb.load(w).polygons, tile) for w in frame.loc[frame["side"] == s, "shape"]]) for s in (0, 1)]
-    both = overlay.area_of(overlay.intersection(*sides)) if all(sides) else 0.0
-    return pd.DataFrame([(overlay.area_of(sides[0]), overlay.area_of(sides[1]), both)], columns=["a", "b", "both"])
+def _polygons(side: int):
+    """The polygons of a side with their envelopes. Plain boxes have no shape, being their envelope."""
 
+    def run(batches):
+        for batch in batches:
+            values = batch.column("geometry")
+            text = pa.types.is_string(values.type) or pa.types.is_large_string(values.type)
+            at, corners = read_boxes(values) if text else boxes_of(values.to_pylist())
+            if len(at):
+                bounds = bounds_of(corners).T.copy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), side, dtype=np.int32)), *map(pa.array, bounds), pa.array(np.ones(len(at), dtype=bool)), pa.nulls(len(at), pa.binary())], schema=PARTS_SCHEMA)
+            if len(at) < len(values):
+                rest = np.ones(len(values), dtype=bool)
+                rest[at] = False
+                for found in _prepare([pd.DataFrame({"feature_index": 0, "geometry": values.filter(pa.array(rest)).to_pylist()})]):
+                    found = found[found["fault"].isna() & found["kind"].isin(("POLYGON", "MULTIPOLYGON", "GEOMETRYCOLLECTION"))]
+                    yield pa.RecordBatch.from_pandas(found.assign(side=side, box=False)[PARTS_SCHEMA.names], schema=PARTS_SCHEMA, preserve_index=False)
 
-def _in_tiles(shapes: DataFrame, scratch: Scratch) -> DataFrame:
-    """feature_index, cell, tx, ty of every tile a feature's envelope covers. Tiles do not overlap; crowded ones are split in four.
+    return run
 
-    Features whose envelope holds the whole tile do not crowd it, as splitting would not part them.
+
+def _tile_area(frame: pd.DataFrame) -> tuple[float, float, float]:
+    """Areas of the unions of both sides within one tile, and of their common part."""
+    x0, y0, cell = (float(frame[c].iloc[0]) for c in ("tx", "ty", "cell"))
+    x0, y0 = x0 * cell, y0 * cell
+    ring = lambda a, b, c, d: [[[(a, b), (c, b), (c, d), (a, d), (a, b)]]]
+    tile = ring(x0, y0, x0 + cell, y0 + cell)
+    sides = [[], []]
+    for side, data, *bounds in zip(frame["side"], frame["shape"], *(frame[c].tolist() for c in ("x0", "y0", "x1", "y1"))):
+        sides[side].append(overlay.intersection(ring(*bounds) if data is None else wkb.load(data).polygons, tile))
+    sides = [overlay.union(s) for s in sides]
+    return overlay.area_of(sides[0]), overlay.area_of(sides[1]), overlay.area_of(overlay.intersection(*sides)) if all(sides) else 0.0
+
+
+def _tile_areas(batches):
+    """Rows sorted by tile: tiles of boxes alone by the batch, on the cells of their coordinates, all others one by one."""
+    for frame, starts in runs(batches, "cell", "tx", "ty"):
+        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        other = frame["shape"].notna().to_numpy(dtype=bool)
+        mixed = np.bincount(group[other], minlength=len(starts) - 1) > 0
+        boxed = ~mixed[group]
+        cell = frame["cell"].to_numpy()
+        low = [frame[c].to_numpy() * cell for c in ("tx", "ty")]
+        bounds = np.column_stack([*(np.maximum(frame[c].to_numpy(), v) for c, v in zip(("x0", "y0"), low)), *(np.minimum(frame[c].to_numpy(), v + cell) for c, v in zip(("x1", "y1"), low))])
+        rows = [union_areas(group[boxed], bounds[boxed], frame["side"].to_numpy()[boxed])]
+        rows += [_tile_area(frame.iloc[starts[g] : starts[g + 1]]) for g in np.flatnonzero(mixed)]
+        yield pd.DataFrame(rows, columns=["a", "b", "both"])
+
+
+def _in_tiles(shapes: DataFrame, scratch: Scratch, keep: tuple[str, ...] = ()) -> DataFrame:
+    """feature_index, keep, cell, tx, ty of every tile whose inside a feature's envelope meets. Tiles do not overlap; crowded ones are split in four.
+
+    Features whose envelope holds the whole tile do not crowd it, as splitting would not part them. A tile of boxes alone, by a column box, may have many.
     """
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     mean = shapes.agg(F.sqrt(F.avg(side * side)).alias("s")).first()["s"]
     cell = 2.0 ** math.ceil(math.log2(4 * mean)) if mean else 1.0
-    boxes = shapes.select("feature_index", "x0", "y0", "x1", "y1")
+    carried = list(dict.fromkeys(("feature_index", "x0", "y0", "x1", "y1", *(c for c in ("box",) if c in shapes.columns), *keep)))
+    other = ~F.col("box") if "box" in shapes.columns else F.lit(True)
 
     def over_tiles(df, cell, within=None):
         for c, lo, hi in (("tx", "x0", "x1"), ("ty", "y0", "y1")):
-            first, last = F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)
+            first = F.floor(F.col(lo) / cell)
+            last = F.greatest(first, F.ceil(F.col(hi) / cell) - 1)
             if within:
                 first, last = F.greatest(first, F.col("p" + c) * 2), F.least(last, F.col("p" + c) * 2 + 1)
             df = df.withColumn(c, F.explode(F.sequence(first, last)))
         return df.withColumn("cell", F.lit(cell))
 
-    rest, done = over_tiles(boxes, cell), []
+    rest, done = over_tiles(shapes.select(carried), cell), []
     for k in range(MOST_SPLITS):
-        rest = scratch.save(rest)
+        if k:
+            rest = scratch.save(rest)
         whole = (F.col("x0") <= F.col("tx") * cell) & (F.col("y0") <= F.col("ty") * cell) & (F.col("x1") >= (F.col("tx") + 1) * cell) & (F.col("y1") >= (F.col("ty") + 1) * cell)
-        crowded = rest.groupBy("tx", "ty").agg(F.count(F.when(~whole, 1)).alias("n")).where(F.col("n") > CROWDED).select("tx", "ty")
-        crowded = scratch.save(crowded)
+        counted = rest.groupBy("tx", "ty").agg(F.count(F.when(~whole, 1)).alias("n"), F.count(F.when(other, 1)).alias("others"))
+        crowded = scratch.save(counted.where(F.col("n") > F.when(F.col("others") > 0, CROWDED).otherwise(CROWDED_BOXES)).select("tx", "ty"))
+        if crowded.isEmpty():
+            done.append(rest)
+            break
         done.append(rest.join(crowded, ["tx", "ty"], "left_anti"))
-        if k == MOST_SPLITS - 1 or crowded.isEmpty():
+        if k == MOST_SPLITS - 1:
             done.append(rest.join(crowded, ["tx", "ty"], "left_semi"))
             break
         cell /= 2
-        parents = rest.join(crowded, ["tx", "ty"], "left_semi").select("feature_index", "x0", "y0", "x1", "y1", F.col("tx").alias("ptx"), F.col("ty").alias("pty"))
+        parents = rest.join(crowded, ["tx", "ty"], "left_semi").select(*carried, F.col("tx").alias("ptx"), F.col("ty").alias("pty"))
         rest = over_tiles(parents, cell, True).drop("ptx", "pty")
-    out = [df.select("feature_index", "cell", "tx", "ty") for df in done]
+    out = [df.select("feature_index", *keep, "cell", "tx", "ty") for df in done]
     return reduce(DataFrame.unionByName, out)
 
 
@@ -149,11 +200,16 @@ def compare_boundaries(spark: SparkSession, left: DataFrame, right: DataFrame, g
     Unions are made tile by tile, of the parts in the tile, so no task holds a connected layer; the areas add up.
     Two sides without area have an overlap of 1 if both are empty, else 0.
     """
-    sides = [prepared(df, geometry=geometry).where("fault is null and kind in ('POLYGON', 'MULTIPOLYGON', 'GEOMETRYCOLLECTION')").select("shape", "x0", "y0", "x1", "y1", F.lit(s).alias("side")) for s, df in ((0, left), (1, right))]
     scratch = Scratch(spark, "boundary")
+    sides = [df.select(F.col(geometry).alias("geometry")).mapInArrow(_polygons(s), PARTS) for s, df in ((0, left), (1, right))]
     both = scratch.save(sides[0].unionByName(sides[1]).withColumn("feature_index", F.monotonically_increasing_id()))  # written, so that a feature keeps its number
-    parts = _in_tiles(both, scratch).join(both.select("feature_index", "side", "shape"), "feature_index").select("cell", "tx", "ty", "side", "shape")
-    areas = spread(parts, "cell", "tx", "ty").groupBy("cell", "tx", "ty").applyInPandas(_tile_areas, "a double, b double, both double")
+    tiles = _in_tiles(both.drop("shape"), scratch, ("side", "box", "x0", "y0", "x1", "y1"))
+    shapes = both.where("not box").select("feature_index", "shape")
+    kept = ["cell", "tx", "ty", "side", "x0", "y0", "x1", "y1", "shape"]
+    parts = tiles.where("box").withColumn("shape", F.lit(None).cast("binary")).select(kept)
+    if not shapes.isEmpty():
+        parts = parts.unionByName(tiles.where("not box").join(sorted_side(shapes), "feature_index").select(kept))
+    areas = spread(parts, "cell", "tx", "ty").sortWithinPartitions("cell", "tx", "ty").mapInPandas(_tile_areas, "a double, b double, both double")
     total = areas.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("a", "b", "both")])
     union = F.col("a") + F.col("b") - F.col("both")
     return total.select(F.round(F.when(union > 0, F.col("both") / union).otherwise(1.0), 6).alias("boundary_iou"), F.round(union - F.col("both"), 6).alias("boundary_difference_area"))

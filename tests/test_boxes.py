@@ -10,7 +10,7 @@ from geolith.geometry import overlay, validity, wkb, wkt
 from geolith.geometry.measure import Shape, distance, shared_length
 from geolith.geometry.repair import RepairConfig
 from geolith.operators import repair as repairs
-from geolith.operators import small_polygons, snap
+from geolith.operators import compare, small_polygons, snap
 
 
 def box(x, y, w, h):
@@ -96,3 +96,41 @@ def test_boxes_are_snapped_by_the_batch(monkeypatch):
     moved = pd.concat(snap._move(config)([more[:2], more[2:]]))
     assert moved[["feature_index", "anchors", "reason", "shift", "area_after"]].values.tolist() == [[2, [1], "", 1, 12], [3, [2, 3], snap.CHANGED, 2**0.5, 14]]
     assert not len(pd.concat(snap._adds_overlap([pd.DataFrame({"l": [2], "r": [1], "before": [b], "after": [moved["after"].iloc[0]], "rw": [a]})])))
+
+
+def _areas(left, right):
+    a, b = overlay.union(left), overlay.union(right)
+    return [overlay.area_of(a), overlay.area_of(b), overlay.area_of(overlay.intersection(a, b)) if a and b else 0]
+
+
+def test_tiles_of_boxes_are_compared_by_the_batch(monkeypatch):
+    """compare_boundaries_connected: no overlay, no object and no group for a tile of boxes; tiles over the ends of batches, cut where they have many places."""
+    from geolith.geometry import cells
+
+    pick, rows = random.Random(7), []
+    for tx in range(6):
+        for _ in range(pick.randint(1, 12)):
+            draw = pick.uniform if tx % 2 else pick.randint
+            x, y = 8 * tx + draw(-1, 7), draw(-1, 7)
+            rows.append((8.0, tx, 0, pick.randint(0, 1), x, y, x + draw(1, 5), y + draw(1, 5), None))
+    frame = pd.DataFrame(rows, columns=["cell", "tx", "ty", "side", "x0", "y0", "x1", "y1", "shape"])
+    expected = [0, 0, 0]
+    for tx in range(6):
+        tile, sides = [box(8 * tx, 0, 8, 8)], ([], [])
+        for r in frame[frame["tx"] == tx].itertuples():
+            sides[r.side].append(overlay.intersection([box(r.x0, r.y0, r.x1 - r.x0, r.y1 - r.y0)], tile))
+        expected = [a + b for a, b in zip(expected, _areas(*sides))]
+    monkeypatch.setattr(compare, "overlay", None)
+    for most in (cells.MOST_PLACES, 30):
+        monkeypatch.setattr(cells, "MOST_PLACES", most)
+        found = pd.concat(compare._tile_areas([frame[:9], frame[9:]]))
+        assert found.sum().tolist() == pytest.approx(expected, rel=1e-12)
+
+
+def test_odd_boundaries_are_compared_beside_boxes(spark):
+    texts = [text(0, 0, 3, 2), "polygon((1e0 1,4. 1 ,4 +3,1.0 3,1 1) )", "POLYGON ((20 0, 24 0, 20 4, 20 0))", "POLYGON EMPTY", None, "x", "POINT (1 1)", text(21, 0, 1, 1)]
+    rows = lambda *t: spark.createDataFrame([(i, v) for i, v in enumerate(t)], "feature_index long, geometry string")
+    assert tuple(compare.compare_boundaries(spark, rows(*texts), rows(texts[0], texts[7], text(90, 90, 1, 1))).first()) == (round(7 / 19, 6), 12)
+    binary = spark.createDataFrame([(1, data(0, 0, 3, 2)), (2, None)], "feature_index long, geometry binary")
+    assert tuple(compare.compare_boundaries(spark, binary, rows(text(1, 0, 3, 2))).first()) == (0.5, 4)
+    assert tuple(compare.compare_boundaries(spark, rows(None), rows("POLYGON EMPTY")).first()) == (1, 0)
