@@ -55,6 +55,12 @@ def read_boxes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], corners[good]
 
 
+def column_boxes(values: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    """What boxes_of gives of a column of texts or of WKB."""
+    text = isinstance(next((v for v in values if v is not None), None), str)
+    return read_boxes(pa.array(values, pa.large_string())) if text else boxes_of(values)
+
+
 def sides_of(corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Widths and heights."""
     return np.abs(corners[:, 2, 0] - corners[:, 0, 0]), np.abs(corners[:, 2, 1] - corners[:, 0, 1])

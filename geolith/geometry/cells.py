@@ -59,10 +59,40 @@ class Cells:
         d[np.cumsum(n) - 1] = 0.0
         return d
 
+    def inner(self) -> np.ndarray:
+        """Which places are cells."""
+        return (self.column < self.xn[self.group] - 1) & (self.row < self.yn[self.group] - 1)
+
+    def bounds_at(self, at: np.ndarray) -> np.ndarray:
+        x, y = self.x_at[self.group[at]] + self.column[at], self.y_at[self.group[at]] + self.row[at]
+        return np.column_stack((self.x[x], self.y[y], self.x[x + 1], self.y[y + 1]))
+
     def areas(self) -> np.ndarray:
         return self._steps(self.x, self.xn)[self.x_at[self.group] + self.column] * self._steps(self.y, self.yn)[self.y_at[self.group] + self.row]
 
 
+def connected_cells(cells: Cells, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of some of the cells, and the number of the part each belongs to: cells with a common side are of one part."""
+    at = np.flatnonzero(some)
+    turned = some[cells.turned]
+    across = (np.cumsum(some) - 1)[cells.turned[turned]]
+
+    def runs(mask):
+        first = mask.copy()
+        first[1:] &= ~mask[:-1]
+        run = np.cumsum(first[mask]) - 1
+        return np.flatnonzero(np.diff(run, prepend=-1)), run
+
+    (up, up_run), (over, over_run) = runs(some), runs(turned)
+    label, before = np.arange(len(at)), None
+    while len(at) and (before is None or (label != before).any()):
+        before = label
+        column = np.minimum.reduceat(label, up)[up_run]
+        label = np.empty_like(column)
+        label[across] = np.minimum.reduceat(column[across], over)[over_run]
+    return at, np.unique(label, return_inverse=True)[1]
+
+
 def _parts(rows: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """One group cut into parts of few places: rows and bounds of each."""
     levels = [np.unique(bounds[:, [k, k + 2]]) for k in (0, 1)]

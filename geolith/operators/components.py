@@ -16,6 +16,8 @@ def connected(spark: SparkSession, pairs: DataFrame, vertices: DataFrame) -> Dat
     """
     scratch = Scratch(spark, "components")
     edges = scratch.save(pairs.select(F.greatest("l", "r").alias("u"), F.least("l", "r").alias("v")).where("u <> v").distinct())
+    if edges.isEmpty():
+        return vertices.select("vertex", F.col("vertex").alias("component"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

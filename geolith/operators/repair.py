@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from geolith.geometry import overlay, wkb, wkt
 from geolith.geometry.batch import Flat, as_wkb, hausdorff_distances
-from geolith.geometry.boxes import boxes_of, paired, polygons_of, sides_of, texts_of
+from geolith.geometry.boxes import boxes_of, column_boxes, paired, polygons_of, sides_of, texts_of
 from geolith.geometry.repair import AREA_EPSILON, RepairConfig, area, polygonal, repair, shift, unsafe, vertex_count
 from geolith.geometry.validity import invalid_reason
 from geolith.operators.gaps import fill_gaps
@@ -85,7 +85,7 @@ def _first_stage(config: RepairConfig):
     def run(batches):
         for batch in batches:
             values = batch["geometry"].tolist()
-            at, corners = boxes_of(values)
+            at, corners = column_boxes(values)
             sound = _sound(corners, config)
             at, corners = at[sound], corners[sound]
             if len(at):
@@ -193,7 +193,11 @@ def repair_coverage(spark: SparkSession, features: DataFrame, config: RepairConf
     action = lambda kind, strategy, detail: F.struct(F.lit(kind).alias("issue_type"), F.lit(strategy).alias("strategy"), detail.alias("detail"))
     if config.resolve_overlaps:
         shapes = scratch.save(prepared(stage.where("shape is not null"), geometry="shape").where("kind in ('POLYGON', 'MULTIPOLYGON') and fault is null").select("feature_index", "shape", "x0", "y0", "x1", "y1"))
-        pairs = envelope_pairs(shapes)
+        # What meets others in points and borders alone loses nothing.
+        cut = scratch.save(envelope_pairs(shapes, area=True).select("r").distinct())
+    whole = config.resolve_overlaps and cut.isEmpty()
+    if config.resolve_overlaps and not whole:
+        pairs = envelope_pairs(shapes).join(sorted_side(cut), "r", "left_semi")
         own = shapes.select(F.col("feature_index").alias("r"), F.col("shape").alias("own"))
         other = shapes.select(F.col("feature_index").alias("l"), F.col("shape").alias("other"))
         groups = pairs.join(sorted_side(own), "r").join(sorted_side(other), "l").select(F.col("r").alias("feature_index"), "own", F.col("l").alias("other_index"), "other")
@@ -205,9 +209,10 @@ def repair_coverage(spark: SparkSession, features: DataFrame, config: RepairConf
             )
         )
     if config.fill_gaps:
-        shapes = prepared(stage.where("shape is not null"), geometry="shape").where("kind in ('POLYGON', 'MULTIPOLYGON') and fault is null").select("feature_index", "shape", "x0", "y0", "x1", "y1")
-        filled = fill_gaps(spark, scratch.save(shapes), config.gap_area_threshold, scratch)
-        stage = stage.join(filled, "feature_index", "left").select(
+        if not whole:
+            shapes = scratch.save(prepared(stage.where("shape is not null"), geometry="shape").where("kind in ('POLYGON', 'MULTIPOLYGON') and fault is null").select("feature_index", "shape", "x0", "y0", "x1", "y1"))
+        filled = fill_gaps(spark, shapes, config.gap_area_threshold, scratch)
+        stage = stage.join(sorted_side(filled), "feature_index", "left").select(
             "feature_index", "before", F.coalesce("filled", "shape").alias("shape"),
             F.when(F.col("filled").isNotNull(), F.concat("actions", F.transform("details", lambda d: action("gap", "fill_gap", d)))).otherwise(F.col("actions")).alias("actions"), "failure",
         )

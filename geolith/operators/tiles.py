@@ -9,6 +9,7 @@ A pair is kept only in the tile that holds the lower left corner of the envelope
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -140,11 +141,12 @@ def _side(tolerance: float) -> Column:
     return F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 2 * tolerance
 
 
-def envelope_pairs(left: DataFrame, right: DataFrame | None = None, tolerance: float = 0.0, keep: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+def envelope_pairs(left: DataFrame, right: DataFrame | None = None, tolerance: float = 0.0, keep: tuple[str, ...] = (), by: tuple[str, ...] = (), area: bool = False) -> DataFrame:
     """(l, r) of features whose envelopes, the left grown by the tolerance, meet; with right None l < r within left.
 
     keep: further columns of both sides, returned with the prefix l_ or r_. by: columns that must be equal on both sides,
-    part of the join's key and returned. Features without envelope have no pairs.
+    part of the join's key and returned. area: only envelopes with area in common, so that borders reach into no tile.
+    Features without envelope have no pairs.
     """
     one = right is None
     right = left if one else right
@@ -164,17 +166,25 @@ def envelope_pairs(left: DataFrame, right: DataFrame | None = None, tolerance: f
     levels = sorted({r["own"] for r in counted})
     if not levels:
         levels = [0]
+    home_of = {s: {r["own"] for r in counted if r["side"] == s} for s in "lr"}
+    # Where a lane can have pairs at all: natives of the left with what is no larger, its guests with natives of the right.
+    lane_levels = [k for k in levels if k in home_of["l"] and min(home_of["r"], default=k + 1) <= k], [k for k in levels if k in home_of["r"] and min(home_of["l"], default=k) < k]
 
     def tiled(df, s):
         at = F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col("own"))
         out = df.withColumn("level", F.explode(at)).withColumn("cell", F.pow(F.lit(2.0), F.col("level")))
         for c, lo, hi in (("gx", "a0", "a1"), ("gy", "b0", "b1")):
-            out = out.withColumn(c, F.explode(F.sequence(F.floor(F.col(lo) / F.col("cell")), F.floor(F.col(hi) / F.col("cell")))))
+            low, high = F.floor(F.col(lo) / F.col("cell")), F.floor(F.col(hi) / F.col("cell"))
+            if area:
+                high = F.greatest(low, F.ceil(F.col(hi) / F.col("cell")) - 1)
+            out = out.withColumn(c, F.explode(F.sequence(low, high)))
         home = F.col("own") == F.col("level")
         # Lane 0: natives of the left with all of the right; lane 1: guests of the left with natives of the right. Guests never meet guests.
         lanes = F.when(home, F.lit(0)).otherwise(1) if s == "l" else F.explode(F.when(home, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         cols = ["id", *keep, "a0", "b0", "a1", "b1"]
-        return out.select(*by, "level", "cell", "gx", "gy", lanes.alias("lane"), *[F.col(c).alias(f"{s}_{c}") for c in cols])
+        out = out.select(*by, "level", "cell", "gx", "gy", lanes.alias("lane"), *[F.col(c).alias(f"{s}_{c}") for c in cols])
+        used = [(F.col("lane") == n) & F.col("level").isin(*k) for n, k in enumerate(lane_levels) if k]
+        return out.where(reduce(Column.__or__, used) if used else F.lit(False))
 
     def small(s):
         """Whether the side's tiles, up to four at a level and in two lanes, are under the session's limit for broadcasts as rows in memory, whatever bytes its files have."""
@@ -188,6 +198,8 @@ def envelope_pairs(left: DataFrame, right: DataFrame | None = None, tolerance: f
     met = tiles[0].join(tiles[1], [*by, "level", "gx", "gy", "lane"])
     cx, cy = F.greatest("l_a0", "r_a0"), F.greatest("l_b0", "r_b0")
     meet = (F.col("l_a0") <= F.col("r_a1")) & (F.col("r_a0") <= F.col("l_a1")) & (F.col("l_b0") <= F.col("r_b1")) & (F.col("r_b0") <= F.col("l_b1"))
+    if area:
+        meet = (cx < F.least("l_a1", "r_a1")) & (cy < F.least("l_b1", "r_b1"))
     first = (F.floor(cx / F.col("cell")) == F.col("gx")) & (F.floor(cy / F.col("cell")) == F.col("gy"))
     once = met.where(meet & first)
     if one:

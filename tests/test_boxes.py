@@ -10,7 +10,7 @@ from geolith.geometry import overlay, validity, wkb, wkt
 from geolith.geometry.measure import Shape, distance, shared_length
 from geolith.geometry.repair import RepairConfig
 from geolith.operators import repair as repairs
-from geolith.operators import compare, small_polygons, snap
+from geolith.operators import compare, gaps, small_polygons, snap
 
 
 def box(x, y, w, h):
@@ -134,3 +134,30 @@ def test_odd_boundaries_are_compared_beside_boxes(spark):
     binary = spark.createDataFrame([(1, data(0, 0, 3, 2)), (2, None)], "feature_index long, geometry binary")
     assert tuple(compare.compare_boundaries(spark, binary, rows(text(1, 0, 3, 2))).first()) == (0.5, 4)
     assert tuple(compare.compare_boundaries(spark, rows(None), rows("POLYGON EMPTY")).first()) == (1, 0)
+
+
+def test_tiles_of_boxes_leave_their_fragments_by_the_batch(monkeypatch):
+    """coverage_gap_fill: no overlay for a tile of boxes whose small gaps are of one cell, and the same fragments as the general way."""
+    ring = [(0, 0, 2, 1), (2, 0, 3, 2), (1, 2, 3, 3), (0, 1, 1, 3)]
+    rows = [(k, *map(float, b), True, 4.0, tx, 0, None) for tx in (0, 5) for k, b in enumerate((4 * tx + a, b, 4 * tx + c, d) for a, b, c, d in ring)]
+    frame = pd.DataFrame(rows, columns=["feature_index", "x0", "y0", "x1", "y1", "box", "cell", "tx", "ty", "shape"])
+    general = [r for tx in (0, 5) for r in gaps._tile_fragments(frame[frame["tx"] == tx])]
+    monkeypatch.setattr(gaps, "_tile_fragments", lambda f: pytest.fail("a tile of boxes was cut by itself"))
+    found = pd.concat(gaps._fragments(1.5)([frame[:3], frame[3:]]))
+    small = lambda rows: sorted((a, [tuple(map(float, c)) for c in wkb.load(w).polygons[0][0][:-1]]) for t, w, a, s in rows if not t and a < 1.5)
+    assert small(found.itertuples(index=False)) == [(a, sorted(c, key=c[0].__eq__, reverse=True)) for a, c in small(general)] == small(general)
+    assert sorted(found["area"]) == sorted(r[2] for r in general) == [0, 0, 1, 1, 7, 7]
+
+
+def test_boxes_take_boxes_by_the_batch(monkeypatch):
+    shifts = (0, 20, 40, 60)
+    polygons, holes = [data(x, 0, 2, 1) for x in shifts], [data(x + 1, 1, 1, 1) for x in shifts]
+    frame = pd.DataFrame({"feature_index": shifts, "l": shifts, "polygon": polygons, "hole": holes})
+    expected = [wkb.dump(overlay.region(overlay.union([wkb.load(p).polygons, wkb.load(h).polygons]))) for p, h in zip(polygons, holes)]
+    unions, union = [], overlay.union
+    monkeypatch.setattr(gaps.overlay, "union", lambda r: unions.append(1) or union(r))
+    found = pd.concat(gaps._filled([frame]))
+    assert found.values.tolist() == [[x, w, ["Filled 1 of gap."]] for x, w in zip(shifts, expected)]
+    assert len(unions) == 2  # one for each order of coordinates in a frame; the last polygon comes in a frame of its own
+    alone = pd.concat(gaps._holes(1.5)([pd.DataFrame({"component": shifts, "fragment": shifts, "shape": holes})]))
+    assert alone[["feature_index", "area", "x0", "y0", "x1", "y1"]].values.tolist() == [[x, 1, x + 1, 1, x + 2, 2] for x in shifts] and len(unions) == 2
